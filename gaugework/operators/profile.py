@@ -178,9 +178,9 @@ def profile_columns(
     from gaugework.operators.semantic import column_roles, semantic_types
 
     counts = column_counts(df)
-    moments = numeric_moments(df)
     tables = value_counts(df, df.columns, order_by=order_by)
     has_numeric = any(k in NUMERIC for k in families(df).values())
+    moments = numeric_moments(df) if has_numeric else None
     if approx:
         sketch = approximate_summary(df)
         distinct = sketch.select("column", "unique_count")

@@ -144,7 +144,8 @@ def _semantic_sql(view_name: str, key: str, columns: list[tuple[str, str]]) -> s
                 f"FROM {view_name} WHERE {c} IS NOT NULL QUALIFY r <= 100"
             )
         else:
-            inner = f"SELECT '' AS t, 1 AS r WHERE false"
+            parts.append(f"SELECT DISTINCT '{c}', '{'generic_numeric' if kind == 'float' else 'datetime_string'}' FROM {view_name}")
+            continue
         date = (
             "(try_cast(t AS TIMESTAMP) IS NOT NULL AND regexp_matches(t, '^\\d{4}-')"
             " OR try_strptime(t, '%d/%m/%Y') IS NOT NULL OR try_strptime(t, '%m/%d/%Y') IS NOT NULL)"
@@ -155,7 +156,6 @@ def _semantic_sql(view_name: str, key: str, columns: list[tuple[str, str]]) -> s
         )
         literals = ", ".join(f"'{x}'" for x in semantic.BOOLEAN_LITERALS)
         fixed = {
-            "float": "'generic_numeric'", "temporal": "'datetime_string'",
             "integer": f"CASE WHEN min(CASE WHEN r <= 50 THEN CAST(lower(t) IN ({literals}) AS INT) END) = 1 "
                        "THEN 'boolean' ELSE 'generic_numeric' END",
         }.get(kind)

@@ -26,5 +26,6 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load() -> None:
     """Import every module that registers queries."""
     from gaugework.plans import (  # noqa: F401
+        checks_detect,
         checks_profile,
     )
