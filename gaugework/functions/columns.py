@@ -30,6 +30,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def text_literal(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def family(field: T.StructField) -> str:
     """integer, float, boolean, temporal or string."""
     kind = field.dataType

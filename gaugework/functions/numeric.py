@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -11,25 +9,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def rounded(value: Column, digits: int = 4) -> Column:
-    """Round for reporting; NaN and infinities become null, negative zero becomes zero."""
+def rounded(value: Column | str, digits: int = 4) -> Column:
+    """Round for reporting; NaN and infinities become null, negative zero becomes zero.
+
+    A string is read as a SQL expression, which costs one call instead of many.
+    """
+    if isinstance(value, str):
+        shown = f"round({value}, {digits})"
+        return F.expr(
+            f"CASE WHEN isnan({value}) OR abs({value}) = double('infinity') THEN NULL "
+            f"WHEN {shown} = 0 THEN 0.0D ELSE {shown} END")
     finite = ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")))
     shown = F.round(value, digits)
     return F.when(finite, F.when(shown == 0, F.lit(0.0)).otherwise(shown))
 
 
-def share(part: Column, whole: Column, digits: int = 4) -> Column:
-    return F.when(whole > 0, F.round(part / whole, digits)).otherwise(F.lit(0.0))
-
-
-def sample_skewness(population: Column, n: Column) -> Column:
-    """Bias-corrected skewness from Spark's population skewness."""
-    return F.when(n > 2, population * F.sqrt(n * (n - 1)) / (n - 2))
-
-
-def sample_kurtosis(population: Column, n: Column) -> Column:
-    """Bias-corrected excess kurtosis from Spark's population excess kurtosis."""
-    return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * population + 6))
+def share(part: str, whole: str, digits: int = 4) -> Column:
+    """Rounded quotient of two SQL expressions, 0 for an empty whole."""
+    return F.expr(f"CASE WHEN {whole} > 0 THEN round({part} / {whole}, {digits}) ELSE 0.0D END")
 
 
 def cramers_v(chi2: Column, n: Column, rows: Column, cols: Column) -> Column:
@@ -55,27 +52,17 @@ def yates_chi2(chi2: Column, n: Column, row_product: Column, col_product: Column
     return shrunk * shrunk * inverse_e
 
 
-def psi_term(expected: Column, actual: Column) -> Column:
-    return (actual - expected) * F.log(actual / expected)
-
-
-def ks_p_value(d: Column, n1: Column, n2: Column, terms: int = 40) -> Column:
-    """Asymptotic two-sample Kolmogorov p-value.
+def ks_p_value(d: str, n1: str, n2: str) -> Column:
+    """Asymptotic two-sample Kolmogorov p-value of three SQL expressions.
 
     The alternating series converges fast for large lambda; below 0.6 the dual theta series is used.
     """
-    lam = d * F.sqrt(n1 * n2 / (n1 + n2))
-    tail = reduce(
-        lambda acc, j: acc + F.lit((-1.0) ** (j - 1)) * F.exp(F.lit(-2.0 * j * j) * lam * lam),
-        range(2, 12), F.exp(F.lit(-2.0) * lam * lam),
-    )
-    head = reduce(
-        lambda acc, j: acc + F.exp(F.lit(-((2 * j - 1) ** 2) * np.pi ** 2 / 8.0) / (lam * lam)),
-        range(2, 6), F.exp(F.lit(-np.pi ** 2 / 8.0) / (lam * lam)),
-    )
-    small = F.lit(1.0) - F.lit(float(np.sqrt(2 * np.pi))) / lam * head
-    p = F.when(lam <= 1e-9, F.lit(1.0)).when(lam < 0.6, small).otherwise(F.lit(2.0) * tail)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
+    lam = f"({d} * sqrt({n1} * {n2} / ({n1} + {n2})))"
+    tail = " + ".join(f"{(-1) ** (j - 1)}D * exp({-2 * j * j}D * {lam} * {lam})" for j in range(1, 12))
+    head = " + ".join(f"exp({-((2 * j - 1) ** 2) * np.pi ** 2 / 8.0!r}D / ({lam} * {lam}))" for j in range(1, 6))
+    return F.expr(
+        f"greatest(0.0D, least(1.0D, CASE WHEN {lam} <= 1e-9D THEN 1.0D WHEN {lam} < 0.6D "
+        f"THEN 1.0D - {float(np.sqrt(2 * np.pi))!r}D / {lam} * ({head}) ELSE 2.0D * ({tail}) END))")
 
 
 def _incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -43,7 +43,7 @@ def cramers_v_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     corrected = yates_chi2(plain, n, (n * n - F.col("qx")) / 2, (n * n - F.col("qy")) / 2)
     chi2 = F.when((F.col("rows") == 2) & (F.col("cols") == 2), corrected).otherwise(F.greatest(plain, F.lit(0.0)))
     return joined.withColumn("chi2", chi2).select(
-        F.lit(x).alias("x"), F.lit(y).alias("y"), "n", "rows", "cols", rounded(F.col("chi2")).alias("chi2"),
+        F.lit(x).alias("x"), F.lit(y).alias("y"), "n", "rows", "cols", rounded("chi2").alias("chi2"),
         cramers_v(F.col("chi2"), n, F.col("rows"), F.col("cols")).alias("cramers_v"),
     )
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.columns import families, present, ref, text_key
-from gaugework.functions.numeric import ks_p_value, psi_term, rounded
+from gaugework.functions.numeric import ks_p_value, rounded
 from gaugework.operators import findings as fd
 from gaugework.operators.leakage import first_two_values
 from gaugework.operators.ordered import (
@@ -19,7 +19,8 @@ from gaugework.options import Thresholds
 
 BASE_SHARE = 0.70
 FLOOR = 1e-4
-EDGE = 1e-5
+EDGE = "0.00001D"
+PSI_TERM = "(actual - expected) * ln(actual / expected)"
 LEAST_ROWS, LEAST_PART, LEAST_VALUES = 50, 20, 10
 
 
@@ -33,41 +34,43 @@ class Partition:
 
 
 def _value_at(df: DataFrame, order: Column, position: int):
-    """Value at a zero-based position of the sorted non-null column, and rows strictly below it."""
+    """Value at a zero-based position of the sorted non-null column, rows below it and rows with it."""
     counts = df.select(order.alias("value")).where("value IS NOT NULL").groupBy("value").agg(
-        F.count(F.lit(1)).alias("n")).withColumn("group", F.lit("all"))
-    ordered = running_totals(counts, ["group"], "value", ["n"])
-    hit = ordered.where((F.col("cum_n") - F.col("n") <= position) & (position < F.col("cum_n")))
-    return hit.select("value", (F.col("cum_n") - F.col("n")).alias("below"), "n").first()
+        F.expr("count(1) AS n")).selectExpr("'all' AS g", "value", "n")
+    ordered = running_totals(counts, ["g"], "value", ["n"])
+    return ordered.where(f"cum_n - n <= {position} AND {position} < cum_n").selectExpr(
+        "value", "cum_n - n AS below", "n").first()
 
 
 def partition_by_position(df: DataFrame, order: list[str], share: float = BASE_SHARE) -> Partition:
     """First ``share`` of the rows in ``order`` (nulls last) against the rest.
 
     Only the boundary row is looked for, by exact selection on the value counts of each order column
-    in turn; the parts are then plain comparisons that push down to the scan. The last column must be
-    a unique row key.
+    in turn; the parts are then plain comparisons that push down to the scan. Later columns matter
+    only among ties at the boundary; the last one must be a unique row key.
     """
-    total = df.count()
-    position = int(total * share)
-    below, boundary = F.lit(False), F.lit(True)
-    rows = df
-    left = position
+    below, boundary, rows = F.lit(False), F.lit(True), df
+    left: int | None = None
     for name in order:
         column = ref(name)
-        known = rows.where(column.isNotNull()).count()
-        if left < known:
+        size = rows.agg(F.count(F.lit(1)).alias("n"), F.count(column).alias("known")).first()
+        if left is None:
+            left = int(size["n"] * share)
+        if left < size["known"]:
             hit = _value_at(rows, column, left)
-            below = below | (boundary & column.isNotNull() & (column < F.lit(hit["value"])))
-            boundary = boundary & (column == F.lit(hit["value"]))
-            rows = rows.where(column == F.lit(hit["value"]))
+            edge = F.lit(hit["value"])
+            below = below | (boundary & column.isNotNull() & (column < edge))
+            boundary, rows = boundary & (column == edge), rows.where(column == edge)
             left -= hit["below"]
+            ties = hit["n"]
         else:
             below = below | (boundary & column.isNotNull())
-            boundary = boundary & column.isNull()
-            rows = rows.where(column.isNull())
-            left -= known
-    # on the boundary row itself the current part begins
+            boundary, rows = boundary & column.isNull(), rows.where(column.isNull())
+            left -= size["known"]
+            ties = size["n"] - size["known"]
+        if left == 0 or ties <= 1:
+            break
+    # the current part begins at the boundary row itself
     base = F.coalesce(below, F.lit(False))
     percent = round(share * 100)
     return Partition(base, ~base, f"ordered by {', '.join(order)} ({percent}/{100 - percent})")
@@ -144,53 +147,44 @@ def numeric_bins(counts: DataFrame, bins: int = 10) -> DataFrame:
     """
     ordered = running_totals(counts, ["column"], "value", ["nb"])
     probs = {f"e{i}": i / bins for i in range(bins + 1)}
-    edges = interpolated_quantiles(ordered, ["column"], "value", "nb", probs).select(
-        "column", F.array_distinct(F.array(*probs)).alias("edges"))
+    edges = interpolated_quantiles(ordered, ["column"], "value", "nb", probs).selectExpr(
+        "column", f"array_distinct(array({', '.join(probs)})) AS edges")
     totals = counts.groupBy("column").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("nb").alias("total_b"), F.sum("nc").alias("total_c"))
+        *[F.expr(e) for e in ("min(value) AS lo", "max(value) AS hi", "sum(nb) AS total_b", "sum(nc) AS total_c")])
     # broadcast: one row per column with at most bins + 1 edges
     spec = totals.join(F.broadcast(edges), "column").where(
-        (F.size("edges") >= 2) & (F.col("total_b") > 0) & (F.col("total_c") > 0)
-    ).withColumn("inner", F.slice("edges", F.lit(2), F.size("edges") - 2))
-    placed = counts.join(F.broadcast(spec.select("column", "inner")), "column").withColumn(
-        "bin", F.size(F.filter("inner", lambda e: e <= F.col("value"))))
-    found = placed.groupBy("column", "bin").agg(F.sum("nb").alias("nb"), F.sum("nc").alias("nc"))
-    grid = spec.select("*", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
-    clip = lambda c: F.least(F.greatest(c, F.lit(FLOOR)), F.lit(1.0))
-    shares = grid.join(found, ["column", "bin"], "left").select(
-        "column", "bin",
-        F.when(F.col("bin") == 0, F.col("lo") - EDGE).otherwise(F.col("edges")[F.col("bin")]).alias("low"),
-        F.when(F.col("bin") == F.size("edges") - 2, F.col("hi") + EDGE).otherwise(F.col("edges")[F.col("bin") + 1]).alias("high"),
-        clip(F.coalesce("nb", F.lit(0)) / F.col("total_b")).alias("e"), clip(F.coalesce("nc", F.lit(0)) / F.col("total_c")).alias("a"),
-    )
+        "size(edges) >= 2 AND total_b > 0 AND total_c > 0").withColumn("inner", F.expr("slice(edges, 2, size(edges) - 2)"))
+    found = counts.join(F.broadcast(spec.select("column", "inner")), "column").selectExpr(
+        "column", "size(filter(inner, e -> e <= value)) AS bin", "nb", "nc"
+    ).groupBy("column", "bin").agg(F.expr("sum(nb) AS nb"), F.expr("sum(nc) AS nc"))
+    grid = spec.selectExpr("*", "explode(sequence(0, size(edges) - 2)) AS bin")
+    shares = grid.join(found, ["column", "bin"], "left").selectExpr(
+        "column", "bin", f"CASE WHEN bin = 0 THEN lo - {EDGE} ELSE edges[bin] END AS low",
+        f"CASE WHEN bin = size(edges) - 2 THEN hi + {EDGE} ELSE edges[bin + 1] END AS high",
+        f"least(greatest(coalesce(nb, 0) / total_b, {FLOOR!r}D), 1.0D) AS e",
+        f"least(greatest(coalesce(nc, 0) / total_c, {FLOOR!r}D), 1.0D) AS a")
     # at most ``bins`` rows per column
-    per = Window.partitionBy("column")
-    scaled = shares.withColumn("expected", F.col("e") / F.sum("e").over(per)).withColumn(
-        "actual", F.col("a") / F.sum("a").over(per))
-    return scaled.select(
-        "column", "bin", "low", "high", "expected", "actual",
-        psi_term(F.col("expected"), F.col("actual")).alias("contribution"))
+    return shares.selectExpr(
+        "column", "bin", "low", "high", "e / sum(e) OVER (PARTITION BY column) AS expected",
+        "a / sum(a) OVER (PARTITION BY column) AS actual",
+    ).withColumn("contribution", F.expr(PSI_TERM))
 
 
 def categorical_bins(counts: DataFrame) -> DataFrame:
     """column, value, expected, actual, contribution per category; rare shares are floored only."""
-    totals = counts.groupBy("column").agg(F.sum("nb").alias("total_b"), F.sum("nc").alias("total_c"))
+    totals = counts.groupBy("column").agg(F.expr("sum(nb) AS total_b"), F.expr("sum(nc) AS total_c"))
     # broadcast: one row per column
-    joined = counts.join(F.broadcast(totals), "column").where((F.col("total_b") > 0) & (F.col("total_c") > 0))
-    return joined.select(
-        "column", "value",
-        F.greatest(F.col("nb") / F.col("total_b"), F.lit(FLOOR)).alias("expected"),
-        F.greatest(F.col("nc") / F.col("total_c"), F.lit(FLOOR)).alias("actual"),
-    ).withColumn("contribution", psi_term(F.col("expected"), F.col("actual")))
+    return counts.join(F.broadcast(totals), "column").where("total_b > 0 AND total_c > 0").selectExpr(
+        "column", "value", f"greatest(nb / total_b, {FLOOR!r}D) AS expected", f"greatest(nc / total_c, {FLOOR!r}D) AS actual",
+    ).withColumn("contribution", F.expr(PSI_TERM))
 
 
 def ks_statistics(counts: DataFrame) -> DataFrame:
     """column, nb, nc, ks_stat, ks_p from running counts of both parts over the ordered values."""
-    ordered = running_totals(counts, ["column"], "value", ["nb", "nc"])
-    gap = F.abs(F.col("cum_nb") / F.col("all_nb") - F.col("cum_nc") / F.col("all_nc"))
-    found = ordered.groupBy("column").agg(
-        F.max("all_nb").alias("nb"), F.max("all_nc").alias("nc"), F.max(gap).alias("ks_stat"))
-    return found.withColumn("ks_p", ks_p_value(F.col("ks_stat"), F.col("nb"), F.col("nc")))
+    found = running_totals(counts, ["column"], "value", ["nb", "nc"]).groupBy("column").agg(
+        F.expr("max(all_nb) AS nb"), F.expr("max(all_nc) AS nc"),
+        F.expr("max(abs(cum_nb / all_nb - cum_nc / all_nc)) AS ks_stat"))
+    return found.withColumn("ks_p", ks_p_value("ks_stat", "nb", "nc"))
 
 
 def drift_tables(
@@ -227,8 +221,8 @@ def drift_tables(
         details.append(bins.select("column", F.substring("value", 1, 100).alias("bin_label"), "expected", "actual", "contribution"))
     raw = reduce(DataFrame.unionByName, metrics).where((F.col("nb") >= LEAST_VALUES) & (F.col("nc") >= LEAST_VALUES))
     shaped = raw.select(
-        "column", rounded(F.col("psi")).alias("psi"), rounded(F.col("ks_stat")).alias("ks_stat"),
-        rounded(F.col("ks_p")).alias("ks_p"))
+        "column", rounded("psi").alias("psi"), rounded("ks_stat").alias("ks_stat"),
+        rounded("ks_p").alias("ks_p"))
     critical = F.col("psi") >= limits.psi_critical
     warning = (F.col("psi") >= limits.psi_warning) | F.coalesce(
         (F.col("ks_p") < limits.ks_p_value) & (F.col("psi") >= limits.psi_with_ks), F.lit(False))
@@ -236,8 +230,8 @@ def drift_tables(
         "severity", F.when(critical, "CRITICAL").when(warning, "WARNING").otherwise("INFO")
     ).withColumn("is_drift", critical | warning)
     listed = reduce(DataFrame.unionByName, details).select(
-        "column", "bin_label", rounded(F.col("expected")).alias("expected_pct"),
-        rounded(F.col("actual")).alias("actual_pct"), rounded(F.col("contribution")).alias("contribution"))
+        "column", "bin_label", rounded("expected").alias("expected_pct"),
+        rounded("actual").alias("actual_pct"), rounded("contribution").alias("contribution"))
     return ruled, listed
 
 

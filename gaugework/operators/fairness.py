@@ -98,7 +98,7 @@ def slice_metrics(
     return parts.select(
         F.col("column").alias("feature"), "slice_value", F.col("n").alias("sample_count"),
         F.round(F.col("n") / F.col("_covered"), 4).alias("sample_pct"), F.lit(metric).alias("metric_name"),
-        rounded(F.col("score")).alias("slice_score"), rounded(F.col("_overall")).alias("overall_score"),
+        rounded("score").alias("slice_score"), rounded("_overall").alias("overall_score"),
         F.coalesce(F.round(ratio, 3), F.lit(1.0)).alias("disparity_ratio"), unfair.alias("is_disparate"),
     )
 

@@ -200,8 +200,8 @@ def feature_target_scores(df: DataFrame, features: list[str], target: str, targe
             scored = scored.withColumn("metric", F.lit(None).cast("string")).withColumn("score", F.lit(None).cast("double"))
     # all tables have one row per feature
     return names.join(F.broadcast(scored), "column", "left").select(
-        "column", F.lit("R2" if regression else "AUC").alias("metric"), rounded(F.col("score")).alias("score"),
-        rounded(F.col("spearman")).alias("spearman"), "post_event_name",
+        "column", F.lit("R2" if regression else "AUC").alias("metric"), rounded("score").alias("score"),
+        rounded("spearman").alias("spearman"), "post_event_name",
     )
 
 

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions.columns import families, present, ref, text_key
+from gaugework.functions.columns import families, present, quoted, ref, text_key
 
 _OVERSAMPLE = 8
 _STRIDE = 32
@@ -30,24 +30,21 @@ def _splitters(df: DataFrame, by: list[str], order: str, buckets: int) -> DataFr
     One member of each hash class is picked by a second hash, so the sample is a pure function of
     the data: recomputing it after a lost executor or in another branch gives the same buckets.
     """
-    picked = (
-        df.groupBy(*by, F.pmod(F.xxhash64(F.lit("class"), order), F.lit(buckets * _OVERSAMPLE)).alias("_class"))
-        .agg(F.min_by(order, F.xxhash64(F.lit("pick"), order)).alias("_member"))
-    )
+    picked = df.groupBy(*by, F.expr(f"pmod(xxhash64('class', {order}), {buckets * _OVERSAMPLE}) AS _class")).agg(
+        F.expr(f"min_by({order}, xxhash64('pick', {order})) AS _member"))
     # at most buckets * _OVERSAMPLE members per group: bounded by the partition setting
-    return picked.groupBy(*by).agg(F.sort_array(F.collect_list("_member")).alias("_members")).select(
-        *by,
-        F.filter("_members", lambda x, i: (i % _OVERSAMPLE) == _OVERSAMPLE - 1).alias("_cuts"),
-    )
+    return picked.groupBy(*by).agg(F.expr(
+        f"filter(sort_array(collect_list(_member)), (x, i) -> i % {_OVERSAMPLE} = {_OVERSAMPLE - 1}) AS _cuts"))
 
 
-def _bucket(cuts: Column, value: Column, buckets: int) -> Column:
-    """Number of cut points not above ``value``, in two steps when there are many."""
+def _bucket(order: str, buckets: int) -> str:
+    """Number of cut points not above the value, in two steps when there are many."""
     if buckets <= 2 * _STRIDE:
-        return F.size(F.filter(cuts, lambda c: c <= value))
-    coarse = F.size(F.filter(F.filter(cuts, lambda c, i: (i % _STRIDE) == _STRIDE - 1), lambda c: c <= value))
-    fine = F.slice(cuts, coarse * _STRIDE + 1, F.lit(_STRIDE))
-    return coarse * _STRIDE + F.size(F.filter(fine, lambda c: c <= value))
+        return f"size(filter(_cuts, c -> c <= {order}))"
+    coarse = f"size(filter(filter(_cuts, (c, i) -> i % {_STRIDE} = {_STRIDE - 1}), c -> c <= {order}))"
+    return (
+        f"{coarse} * {_STRIDE} + size(filter(slice(_cuts, {coarse} * {_STRIDE} + 1, {_STRIDE}), c -> c <= {order}))"
+    )
 
 
 def running_totals(
@@ -56,68 +53,54 @@ def running_totals(
     """Add ``cum_<s>`` (inclusive running sum) and ``all_<s>`` (group total) for every ``s`` in ``sums``.
 
     ``df`` holds few groups ``by`` (audited columns, classes) and at most a handful of rows per
-    (by, order); ``order`` is not null.
+    (by, order); ``order`` is not null. Column names are plain identifiers.
     """
     buckets = buckets or bucket_count(df)
+    keys = ", ".join(by)
     # keeping the sums in the sampled branch lets Catalyst reuse the exchange that feeds all branches
-    counted = df.where(F.greatest(*[F.col(s) for s in sums], F.lit(0)) >= 0)
+    counted = df.where(f"greatest({', '.join(sums)}, 0) >= 0")
     cuts = _splitters(counted, by, order, buckets)
     # broadcast: groups x buckets cut points
-    placed = counted.join(F.broadcast(cuts), by).withColumn(
-        "_bucket", _bucket(F.col("_cuts"), F.col(order), buckets)
-    ).drop("_cuts")
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    group = Window.partitionBy(*by)
-    bounds = placed.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    for s in sums:
-        bounds = bounds.withColumn(f"_before_{s}", F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)))
-        bounds = bounds.withColumn(f"all_{s}", F.sum(f"_t_{s}").over(group))
+    placed = counted.join(F.broadcast(cuts), by).selectExpr(*counted.columns, f"{_bucket(order, buckets)} AS _bucket")
+    before = f"OVER (PARTITION BY {keys} ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    totals = placed.groupBy(*by, "_bucket").agg(*[F.expr(f"sum({s}) AS _t_{s}") for s in sums])
     # broadcast: one row per (group, bucket)
-    bounds = bounds.drop(*[f"_t_{s}" for s in sums])
-    inside = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = placed.join(F.broadcast(bounds), by + ["_bucket"])
-    for s in sums:
-        joined = joined.withColumn(f"cum_{s}", F.sum(s).over(inside) + F.col(f"_before_{s}"))
-    return joined.drop("_bucket", *[f"_before_{s}" for s in sums])
-
-
-def at_position(position: Column, value: Column, n: Column, cum: Column) -> Column:
-    """Aggregate that returns the value at a zero-based position of the expanded sequence."""
-    return F.max(F.when((cum - n <= position) & (position < cum), value))
+    bounds = totals.selectExpr(
+        *by, "_bucket", *[f"coalesce(sum(_t_{s}) {before}, 0) AS _before_{s}" for s in sums],
+        *[f"sum(_t_{s}) OVER (PARTITION BY {keys}) AS all_{s}" for s in sums])
+    inside = f"OVER (PARTITION BY {keys}, _bucket ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return placed.join(F.broadcast(bounds), by + ["_bucket"]).selectExpr(
+        *df.columns, *[f"all_{s}" for s in sums],
+        *[f"sum({s}) {inside} + _before_{s} AS cum_{s}" for s in sums])
 
 
 def interpolated_quantiles(
     ordered: DataFrame, by: list[str], value: str, weight: str, probs: dict[str, float]
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles from the output of :func:`running_totals`."""
-    v, n = F.col(value).cast("double"), F.col(weight)
-    cum, total = F.col(f"cum_{weight}"), F.col(f"all_{weight}")
-    live = ordered.where(n > 0)
-    aggs = [F.max(total).alias("_n")]
-    for name, p in probs.items():
-        spot = (total - 1) * F.lit(float(p))
-        aggs.append(at_position(F.floor(spot), v, n, cum).alias(f"_lo_{name}"))
-        aggs.append(at_position(F.ceil(spot), v, n, cum).alias(f"_hi_{name}"))
-    wide = live.groupBy(*by).agg(*aggs)
-    out = []
+    """Exact linear-interpolated quantiles from the output of :func:`running_totals`.
+
+    A value sits at position k of the sorted rows when its running count first exceeds k.
+    """
+    cum, total = f"cum_{weight}", f"all_{weight}"
+    aggs = [F.expr(f"max({total}) AS _n")]
     for name, p in probs.items():
-        spot = (F.col("_n") - 1) * F.lit(float(p))
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((lo + (hi - lo) * (spot - F.floor(spot))).alias(name))
-    return wide.select(*by, *out)
+        for side, f in (("lo", "floor"), ("hi", "ceil")):
+            spot = f"{f}(({total} - 1) * {float(p)!r}D)"
+            aggs.append(F.expr(
+                f"max(CASE WHEN {cum} - {weight} <= {spot} AND {spot} < {cum} THEN CAST({value} AS double) END) AS _{side}_{name}"))
+    wide = ordered.where(f"{weight} > 0").groupBy(*by).agg(*aggs)
+    part = lambda p: f"((_n - 1) * {float(p)!r}D - floor((_n - 1) * {float(p)!r}D))"
+    return wide.selectExpr(
+        *by, *[f"_lo_{name} + (_hi_{name} - _lo_{name}) * {part(p)} AS {name}" for name, p in probs.items()])
 
 
 def _stacked(df: DataFrame, columns: dict[str, Column], keep: list[Column], value: str) -> DataFrame:
-    """Unpivot expressions of one type into (kept columns, column, value), nulls removed."""
+    """Unpivot expressions of one type into (kept columns ``_k0``.., value, column), nulls removed."""
     kept = [c.alias(f"_k{i}") for i, c in enumerate(keep)]
-    slots = [e.alias(f"_v{i}") for i, e in enumerate(columns.values())]
-    names = list(columns)
-    long = df.select(*kept, *slots).unpivot(
-        [f"_k{i}" for i in range(len(keep))], [f"_v{i}" for i in range(len(names))], "_slot", value
-    ).where(F.col(value).isNotNull())
-    # the slot name is turned back into the column name by a literal map, so any name is allowed
-    label = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(f"_v{i}"), F.lit(n))])
-    return long.withColumn("column", label[F.col("_slot")]).drop("_slot")
+    slots = [e.alias(name) for name, e in columns.items()]
+    return df.select(*kept, *slots).unpivot(
+        [f"_k{i}" for i in range(len(keep))], [quoted(name) for name in columns], "column", value
+    ).where(f"{value} IS NOT NULL")
 
 
 def value_counts(

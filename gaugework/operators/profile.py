@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugework.functions.columns import families, present, ref
-from gaugework.functions.numeric import rounded, sample_kurtosis, sample_skewness, share
+from gaugework.functions.columns import families, present, ref, text_literal
+from gaugework.functions.numeric import rounded, share
 from gaugework.operators.ordered import (
     _stacked, interpolated_quantiles, merged, running_totals, value_counts,
 )
@@ -27,49 +27,41 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return groups.agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("row_count"),
         F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"),
-    ).withColumn("duplicate_pct", share(F.col("duplicate_rows"), F.col("row_count")))
+    ).withColumn("duplicate_pct", share("duplicate_rows", "row_count"))
 
 
 def column_counts(df: DataFrame) -> DataFrame:
     """column, position, dtype, n_rows, missing_count: one pass, one output row per column."""
     kinds = families(df)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    aggs += [F.count(present(c, k)).alias(f"_c{i}") for i, (c, k) in enumerate(kinds.items())]
-    wide = df.agg(*aggs)
-    rows = [
-        F.struct(
-            F.lit(c).alias("column"), F.lit(i).alias("position"), F.lit(types[c]).alias("dtype"),
-            F.lit(k).alias("family"), F.col("_rows").alias("n_rows"),
-            (F.col("_rows") - F.col(f"_c{i}")).alias("missing_count"),
-        )
-        for i, (c, k) in enumerate(kinds.items())
-    ]
-    return wide.select(F.inline(F.array(*rows)))
+    wide = df.select(*[present(c, k).alias(f"x{i}") for i, (c, k) in enumerate(kinds.items())]).agg(
+        F.expr("count(1) AS _rows"), *[F.expr(f"count(x{i}) AS c{i}") for i in range(len(kinds))])
+    rows = ", ".join(
+        f"struct({text_literal(c)} AS column, {i} AS position, {text_literal(types[c])} AS dtype, "
+        f"{text_literal(k)} AS family, _rows AS n_rows, _rows - c{i} AS missing_count)"
+        for i, (c, k) in enumerate(kinds.items()))
+    return wide.selectExpr(f"inline(array({rows}))")
 
 
 def numeric_moments(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, n, min, max, mean, std, skewness, kurtosis in a single map-side combined aggregate."""
     kinds = families(df, columns)
     numeric = [c for c, k in kinds.items() if k in NUMERIC]
-    aggs = []
-    for i, c in enumerate(numeric):
-        x = present(c, kinds[c]).cast("double")
-        aggs += [
-            F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-            F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-            F.skewness(x).alias(f"g{i}"), F.kurtosis(x).alias(f"k{i}"),
-        ]
-    rows = [
-        F.struct(
-            F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"lo{i}").alias("min"),
-            F.col(f"hi{i}").alias("max"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"),
-            sample_skewness(F.col(f"g{i}"), F.col(f"n{i}")).alias("skewness"),
-            sample_kurtosis(F.col(f"k{i}"), F.col(f"n{i}")).alias("kurtosis"),
-        )
-        for i, c in enumerate(numeric)
+    slim = df.select(*[present(c, kinds[c]).cast("double").alias(f"x{i}") for i, c in enumerate(numeric)])
+    aggs = [
+        F.expr(f"{f}(x{i}) AS {a}{i}")
+        for i in range(len(numeric))
+        for f, a in (("count", "n"), ("min", "lo"), ("max", "hi"), ("avg", "m"), ("stddev_samp", "s"),
+                     ("skewness", "g"), ("kurtosis", "k"))
     ]
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    rows = ", ".join(
+        f"struct({text_literal(c)} AS column, n{i} AS n, lo{i} AS min, hi{i} AS max, m{i} AS mean, s{i} AS std, "
+        f"g{i} AS skewness, k{i} AS kurtosis)" for i, c in enumerate(numeric))
+    # population moments become bias-corrected ones
+    return slim.agg(*aggs).selectExpr(f"inline(array({rows}))").selectExpr(
+        "column", "n", "min", "max", "mean", "std",
+        "CASE WHEN n > 2 THEN skewness * sqrt(n * (n - 1)) / (n - 2) END AS skewness",
+        "CASE WHEN n > 3 THEN (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * kurtosis + 6) END AS kurtosis")
 
 
 def approximate_summary(df: DataFrame, accuracy: int = 10000) -> DataFrame:
@@ -113,7 +105,7 @@ def top_values(tables: dict[str, DataFrame], n_rows: DataFrame, k: int = 10) ->
     # broadcast: one row per audited column
     return ranked.join(F.broadcast(n_rows.select("column", "n_rows")), "column").select(
         "column", "rank", F.substring("value", 1, 100).alias("value"), F.col("n").alias("count"),
-        share(F.col("n"), F.col("n_rows")).alias("pct"),
+        share("n", "n_rows").alias("pct"),
     )
 
 
@@ -151,7 +143,7 @@ def histogram(tables: dict[str, DataFrame], moments: DataFrame, bins: int = HIST
         rounded(F.col("min") + F.col("bin") * width, 3).alias("bin_start"),
         rounded(F.col("min") + (F.col("bin") + 1) * width, 3).alias("bin_end"),
         F.coalesce("count", F.lit(0)).alias("count"),
-        share(F.coalesce("count", F.lit(0)), F.col("_n")).alias("pct"),
+        share("coalesce(`count`, 0)", "_n").alias("pct"),
     )
 
 
@@ -222,7 +214,7 @@ def profile_columns(
         )
         varied = ~F.col("is_constant")
         for c in ("min", "max", "mean", "median", "std", "p5", "p25", "p75", "p95", "skewness", "kurtosis"):
-            out = out.withColumn(c, F.when(varied, rounded(F.col(c))))
+            out = out.withColumn(c, F.when(varied, rounded(c)))
     else:
         for c in ("min", "max", "mean", "median", "std", "p5", "p25", "p75", "p95", "skewness", "kurtosis"):
             out = out.withColumn(c, F.lit(None).cast("double"))

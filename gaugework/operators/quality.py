@@ -30,7 +30,7 @@ def missingness_links(
     strong = F.abs("value") > limits.missing_target_link
     sure = F.coalesce(F.col("p_value") < limits.missing_p_value, F.col("stat_name") == "cramers_v")
     linked = target_links(df, gaps, target).select(
-        "column", F.lit(target).alias("other"), "n", "stat_name", rounded(F.col("value")).alias("value"), "p_value",
+        "column", F.lit(target).alias("other"), "n", "stat_name", rounded("value").alias("value"), "p_value",
         F.lit(True).alias("is_target"),
         F.coalesce(strong & sure & (F.col("n") > 20), F.lit(False)).alias("is_informative"),
     )
@@ -146,7 +146,7 @@ def quality_findings(
             evidence=fd.evidence(
                 missing_count=F.col("missing_count"), missing_pct=F.col("missing_pct"), is_informative=F.col("informative"),
                 target=F.col("target"), target_statistic=F.col("target_stat"), target_value=F.col("target_v"),
-                target_p_value=rounded(F.col("target_p")), feature=F.when(linked, F.col("feature")),
+                target_p_value=rounded("target_p"), feature=F.when(linked, F.col("feature")),
                 feature_cramers_v=F.when(linked, F.col("feature_v")),
             ),
             confidence=F.when(F.col("informative"), 0.90).otherwise(0.80),
@@ -165,10 +165,10 @@ def quality_findings(
             description=F.concat(F.col("extreme_count").cast("string"), F.lit(" values lie beyond three interquartile ranges ("),
                                  percent("extreme_pct", 2), F.lit(").")),
             evidence=fd.evidence(
-                extreme_outliers_count=F.col("extreme_count"), extreme_pct=rounded(F.col("extreme_pct")),
+                extreme_outliers_count=F.col("extreme_count"), extreme_pct=rounded("extreme_pct"),
                 mild_outliers_count=F.col("mild_count"), zscore_outliers_count=F.col("z_count"),
-                q25=rounded(F.col("q25")), q75=rounded(F.col("q75")), iqr=rounded(F.col("iqr")),
-                extreme_lower_bound=rounded(F.col("lower")), extreme_upper_bound=rounded(F.col("upper")),
+                q25=rounded("q25"), q75=rounded("q75"), iqr=rounded("iqr"),
+                extreme_lower_bound=rounded("lower"), extreme_upper_bound=rounded("upper"),
             ),
             confidence=0.85, recommendation="Decide whether extreme values are rare events or errors.",
             question=F.concat(F.lit("Does clipping "), name, F.lit(" steady the validation score?")), order=place("c"),

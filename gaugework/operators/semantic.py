@@ -159,8 +159,8 @@ def column_roles(profile: DataFrame, target: str | None = None) -> DataFrame:
     )
     return (
         profile.withColumn("_ratio", F.when(F.col("n_rows") > 0, F.col("unique_count") / F.col("n_rows")).otherwise(0.0))
-        .withColumn("missing_pct", share(F.col("missing_count"), F.col("n_rows")))
-        .withColumn("unique_ratio", share(F.col("unique_count"), F.col("n_rows")))
+        .withColumn("missing_pct", share("missing_count", "n_rows"))
+        .withColumn("unique_ratio", share("unique_count", "n_rows"))
         .withColumn("is_constant", F.col("unique_count") <= 1)
         .withColumn("role", role)
         .withColumn("is_id", F.col("role") == "id_candidate")

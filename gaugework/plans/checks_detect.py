@@ -63,7 +63,7 @@ _TARGET_LINK = (
 @register("missingness_target_links_orders", cte("orders_audit") + " " + union_sql(GAPS, _TARGET_LINK))
 def missingness_target_links_orders(spark, sf_dir):
     links = association.target_links(view(spark, sf_dir, "orders_audit"), GAPS, "urgent")
-    return links.select("column", "n", "stat_name", association.rounded(F.col("value")).alias("value"))
+    return links.select("column", "n", "stat_name", association.rounded("value").alias("value"))
 
 
 @register("missingness_target_p_values_orders")
@@ -196,7 +196,7 @@ def _spearman_sql(view_name: str, c: str, target: str) -> str:
 def spearman_with_binary_target_orders(spark, sf_dir):
     df = view(spark, sf_dir, "orders_audit")
     return leakage.spearman(df, FEATURES, "urgent", True).select(
-        "column", "n", leakage.rounded(F.col("spearman")).alias("spearman"))
+        "column", "n", leakage.rounded("spearman").alias("spearman"))
 
 
 LINE_FEATURES = ["quantity", "discount", "tax", "return_flag", "net_price"]
@@ -209,7 +209,7 @@ LINE_FEATURES = ["quantity", "discount", "tax", "return_flag", "net_price"]
 def spearman_with_numeric_target_lineitem(spark, sf_dir):
     df = view(spark, sf_dir, "lineitem_audit")
     return leakage.spearman(df, LINE_FEATURES, "extended_price", False).select(
-        "column", "n", leakage.rounded(F.col("spearman")).alias("spearman"))
+        "column", "n", leakage.rounded("spearman").alias("spearman"))
 
 
 @register(
@@ -223,7 +223,7 @@ def spearman_with_numeric_target_lineitem(spark, sf_dir):
 def single_feature_auc_flag_orders(spark, sf_dir):
     df = view(spark, sf_dir, "orders_audit")
     return leakage.single_feature_scores(df, ["refund_flag"], "urgent", True).select(
-        "column", "metric", leakage.rounded(F.col("score")).alias("score"))
+        "column", "metric", leakage.rounded("score").alias("score"))
 
 
 @register("single_feature_scores_orders")
@@ -397,7 +397,7 @@ def drift_numeric_bins_events(spark, sf_dir):
     counts = drift.paired_counts(df, {c: F.col(c).cast("double") for c in DRIFT_NUMERIC}, part)
     bins = drift.numeric_bins(counts)
     return bins.select("column", F.col("bin").cast("bigint").alias("bin"),
-                       *[drift.rounded(F.col(c)).alias(c) for c in ("expected", "actual", "contribution")])
+                       *[drift.rounded(c).alias(c) for c in ("expected", "actual", "contribution")])
 
 
 @register(
@@ -410,7 +410,7 @@ def drift_category_bins_events(spark, sf_dir):
     df, part = _events_parts(spark, sf_dir)
     bins = drift.categorical_bins(drift.paired_counts(df, {c: F.col(c) for c in DRIFT_TEXT}, part))
     return bins.select("column", F.col("value").alias("bin"),
-                       *[drift.rounded(F.col(c)).alias(c) for c in ("expected", "actual", "contribution")])
+                       *[drift.rounded(c).alias(c) for c in ("expected", "actual", "contribution")])
 
 
 @register("drift_ks_p_values_events")

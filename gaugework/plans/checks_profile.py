@@ -47,7 +47,7 @@ def numeric_profile_lineitem(spark, sf_dir):
     joined = moments.join(F.broadcast(points), "column")
     return joined.select(
         "column", "n",
-        *[profile.rounded(F.col(c)).alias(c) for c in (
+        *[profile.rounded(c).alias(c) for c in (
             "min", "max", "mean", "std", "skewness", "kurtosis", "p5", "p25", "median", "p75", "p95")],
     )
 

@@ -27,5 +27,6 @@ def load() -> None:
     """Import every module that registers queries."""
     from gaugework.plans import (  # noqa: F401
         checks_detect,
+        checks_feedback,
         checks_profile,
     )
