@@ -30,6 +30,15 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated once per row.
+
+    The one-element generator keeps the optimizer from copying a large expression into each of its
+    consumers; it neither shuffles nor buffers, so it also works on streams.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def text_literal(value: str) -> str:
     """A string as a SQL literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

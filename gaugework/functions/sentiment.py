@@ -110,12 +110,21 @@ def opposed(clause_polarities: Column) -> Column:
     return F.exists(clause_polarities, lambda v: v > MARGIN) & F.exists(clause_polarities, lambda v: v < -MARGIN)
 
 
-def sentiment(text: Column, lexicon: dict[str, tuple[float, float]] = LEXICON) -> Column:
-    """struct(label, confidence, polarity) of a text."""
-    parts = F.transform(clauses(text), lambda c: polarity(c, lexicon))
-    p = adjusted_polarity(text, polarity(text, lexicon))
-    mixed = (F.size(parts) > 1) & opposed(parts)
-    label = F.when(mixed, "Mixed").when(p > MARGIN, "Positive").when(p < -MARGIN, "Negative").otherwise("Neutral")
+def simple_label(p: Column) -> Column:
+    return F.when(p > MARGIN, "Positive").when(p < -MARGIN, "Negative").otherwise("Neutral")
+
+
+def judged_clauses(text: Column, lexicon: dict[str, tuple[float, float]] = LEXICON) -> Column:
+    """array<struct<clause, base, adjusted>>: each clause with its lexicon and its adjusted polarity."""
+    based = F.transform(clauses(text), lambda c: F.struct(c.alias("clause"), polarity(c, lexicon).alias("base")))
+    return F.transform(based, lambda m: F.struct(
+        m["clause"].alias("clause"), m["base"].alias("base"), adjusted_polarity(m["clause"], m["base"]).alias("adjusted")))
+
+
+def sentiment(text: Column, p: Column, clause_polarities: Column) -> Column:
+    """struct(label, confidence, polarity) from the adjusted polarity and those of the clauses."""
+    mixed = (F.size(clause_polarities) > 1) & opposed(clause_polarities)
+    label = F.when(mixed, "Mixed").otherwise(simple_label(p))
     confidence = F.least(F.lit(1.0), 0.5 + F.abs(p) * 0.5 + F.when(mixed, 0.08).otherwise(0.0))
     blank = F.trim(text) == ""
     return F.struct(
@@ -125,11 +134,11 @@ def sentiment(text: Column, lexicon: dict[str, tuple[float, float]] = LEXICON) -
 
 
 def corrected_sentiment(
-    text: Column, label: Column, confidence: Column, polarity_in: Column, margin: Column | None = None,
-    clause_polarities: Column | None = None,
+    text: Column, label: Column, confidence: Column, polarity_in: Column, clause_polarities: Column,
+    margin: Column | None = None,
 ) -> Column:
     """struct(label, confidence, polarity): model output corrected for problems, contrast and neutrality."""
-    parts = clause_polarities if clause_polarities is not None else F.transform(clauses(text), polarity)
+    parts = clause_polarities
     problem = any_match(text, PROBLEM_PATTERNS)
     not_good, not_bad = matches(text, NEGATED_POSITIVE), matches(text, NEGATED_NEGATIVE)
     positive = (matches(text, POSITIVE_EVIDENCE) | not_bad) & ~not_good

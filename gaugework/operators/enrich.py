@@ -4,28 +4,29 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugework.functions import sentiment as st
 from gaugework.functions import terms as tm
-from gaugework.functions.columns import ref
+from gaugework.functions.columns import once, ref
 from gaugework.operators.feedback_clean import block_pairs
 from gaugework.operators.lineage import settled
 
 MAX_TERMS, MAX_KEYWORDS, MAX_TOPICS = 4000, 5, 2
 MERGE_COSINE = 0.84
+SENTIMENT_COLUMNS = ("sentiment", "sentiment_score", "sentiment_confidence", "emotion", "aspect_sentiments")
 VECTOR_BLOCK = 2048
 
 
 def sentiment_columns(df: DataFrame, text: str = "cleaned_text", lexicon: dict | None = None) -> DataFrame:
     """Add sentiment, sentiment_score, sentiment_confidence, emotion and aspect_sentiments, row by row."""
     words = lexicon or st.LEXICON
-    body = F.coalesce(ref(text), F.lit(""))
-    staged = df.withColumn("_body", body).withColumn("_s", st.sentiment(F.col("_body"), words)).withColumn(
-        "_subjective", st.subjectivity(F.col("_body"), words))
-    return _finish(staged, df, words)
+    staged = once(df, _body=F.coalesce(ref(text), F.lit("")))
+    body = F.col("_body")
+    staged = once(staged, _parts=st.judged_clauses(body, words), _p=st.adjusted_polarity(body, st.polarity(body, words)))
+    return _finish(once(staged, _s=st.sentiment(body, F.col("_p"), F.col("_parts.base"))), df, words)
 
 
 def corrected_sentiment_columns(
@@ -34,27 +35,37 @@ def corrected_sentiment_columns(
 ) -> DataFrame:
     """The same columns from the output columns of any upstream model, after contextual correction."""
     words = lexicon or st.LEXICON
-    body = F.coalesce(ref(text), F.lit(""))
-    parts = F.transform(st.clauses(F.col("_body")), lambda c: st.polarity(c, words))
+    staged = once(df, _body=F.coalesce(ref(text), F.lit("")))
+    body = F.col("_body")
+    staged = once(staged, _parts=st.judged_clauses(body, words))
     fixed = st.corrected_sentiment(
-        F.col("_body"), ref(label), ref(confidence), ref(polarity), ref(margin) if margin else None, parts)
-    staged = df.withColumn("_body", body).withColumn("_s", fixed).withColumn(
-        "_subjective", st.subjectivity(F.col("_body"), words))
-    return _finish(staged, df, words)
+        body, ref(label), ref(confidence), ref(polarity), F.col("_parts.base"), ref(margin) if margin else None)
+    return _finish(once(staged, _s=fixed), df, words)
 
 
 def _finish(staged: DataFrame, df: DataFrame, words: dict) -> DataFrame:
-    made = ("sentiment", "sentiment_score", "sentiment_confidence", "emotion", "aspect_sentiments")
     score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_s.confidence"))), 4)
     mentions = F.filter(
-        F.transform(st.clauses(F.col("_body")), lambda c: F.struct(
-            tm.aspect(c).alias("aspect"), st.sentiment(c, words)["label"].alias("sentiment"))),
+        F.transform("_parts", lambda m: F.struct(
+            tm.aspect(m["clause"]).alias("aspect"), st.simple_label(m["adjusted"]).alias("sentiment"))),
         lambda m: m["aspect"] != "")
-    return staged.select(
-        *[ref(c) for c in df.columns if c not in made], F.col("_s.label").alias("sentiment"),
-        score.alias("sentiment_score"), score.alias("sentiment_confidence"),
-        st.emotion(F.col("_s.label"), F.col("_s.polarity"), F.col("_subjective"), F.col("_body")).alias("emotion"),
-        mentions.alias("aspect_sentiments"))
+    mood = st.emotion(F.col("_s.label"), F.col("_s.polarity"), st.subjectivity(F.col("_body"), words), F.col("_body"))
+    kept = [ref(c) for c in df.columns if c not in SENTIMENT_COLUMNS]
+    added = once(
+        staged.select(*kept, "_body", "_parts", "_s"),
+        sentiment=F.col("_s.label"), sentiment_score=score, emotion=mood, aspect_sentiments=mentions)
+    return added.select(
+        *kept, "sentiment", "sentiment_score", F.col("sentiment_score").alias("sentiment_confidence"), "emotion", "aspect_sentiments")
+
+
+def sentiment_once_per_text(df: DataFrame, text: str = "cleaned_text", lexicon: dict | None = None) -> DataFrame:
+    """The sentiment columns, worked out once per distinct text and joined back by a key of the whole text."""
+    body = F.coalesce(ref(text), F.lit(""))
+    keyed = df.withColumn("_text_key", F.sha2(body, 256))
+    distinct = keyed.select("_text_key", body.alias("_t")).dropDuplicates(["_text_key"])
+    per_text = sentiment_columns(distinct, "_t", lexicon).drop("_t")
+    kept = [ref(c) for c in df.columns if c not in SENTIMENT_COLUMNS]
+    return keyed.join(per_text, "_text_key").select(*kept, *SENTIMENT_COLUMNS)
 
 
 def lexicon_polarity(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
@@ -192,15 +203,10 @@ def enrich_feedback(
     model outputs are given per row in ``scores`` (label, confidence, polarity, optional margin);
     topics use all rows. ``key`` is a unique row key.
     """
-    made = ("sentiment", "sentiment_score", "sentiment_confidence", "emotion", "aspect_sentiments")
     if scores:
         judged = corrected_sentiment_columns(
             df, text, scores["label"], scores["confidence"], scores["polarity"], scores.get("margin"), lexicon)
     else:
-        body = F.coalesce(ref(text), F.lit(""))
-        keyed = df.withColumn("_text_key", F.sha2(body, 256))
-        distinct = keyed.select("_text_key", body.alias("_t")).dropDuplicates(["_text_key"])
-        per_text = sentiment_columns(distinct, "_t", lexicon).drop("_t")
-        judged = keyed.join(per_text, "_text_key").select(*[ref(c) for c in df.columns if c not in made], *made)
+        judged = sentiment_once_per_text(df, text, lexicon)
     phrases = keywords_and_topics(df, key, text)
     return judged.join(phrases, judged[key] == phrases["key"]).drop(phrases["key"])

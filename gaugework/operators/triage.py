@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions.columns import ref
+from gaugework.functions.columns import once, ref
 
 # Term patterns and required fields.
 SAFETY = r"(?i)\b(emergency|danger|unsafe|fire|medical|injur|security threat)\b"
@@ -84,10 +84,18 @@ def triage(df: DataFrame, profile: RoutingProfile = COLLEGE) -> DataFrame:
         " ", _text(df, "feedback"), _text(df, "cleaned_text"), _listed(df, "topics"), _listed(df, "keywords")))
     routing_text = F.lower(F.concat_ws(" ", _text(df, "feedback"), _listed(df, "topics"), _listed(df, "keywords")))
     mood = F.coalesce(ref("sentiment"), F.lit("Neutral")) if "sentiment" in df.columns else F.lit("Neutral")
-    staged = checked.withColumn("_valid", valid).withColumn("_t", context).withColumn("_r", routing_text).withColumn("_mood", mood)
+    made = (
+        "severity", "severity_reason", "priority", "priority_score", "priority_reason", "department", "department_reason",
+        "category", "category_reason", "impact_level", "impact_reason", "action", "action_reason",
+        "recommendation", "recommendation_reason", "suggested_next_step", "recommendation_status",
+    )
+    given_impact = ref("impact_level") if "impact_level" in df.columns else F.lit(None).cast("string")
+    field = profile.category_field
+    given_category = ref(field).cast("string") if field and field in df.columns else F.lit(None).cast("string")
+    staged = once(checked, _valid=valid, _t=context, _r=routing_text, _mood=mood, _given_impact=given_impact, _given_category=given_category)
+    staged = staged.select(*[ref(c) for c in staged.columns if c not in made])
     upset = F.col("_mood").isin("Negative", "Mixed")
-    staged = staged.withColumn("_safety", F.col("_t").rlike(SAFETY)).withColumn("_wide", F.col("_t").rlike(WIDE)).withColumn(
-        "_urgent", F.col("_t").rlike(URGENT))
+    staged = once(staged, _safety=F.col("_t").rlike(SAFETY), _wide=F.col("_t").rlike(WIDE), _urgent=F.col("_t").rlike(URGENT))
     safety, wide, urgent = F.col("_safety"), F.col("_wide"), F.col("_urgent")
 
     def chosen(rules: list[tuple[Column | None, str, str]]) -> Column:
@@ -108,36 +116,28 @@ def triage(df: DataFrame, profile: RoutingProfile = COLLEGE) -> DataFrame:
         (F.col("_mood") == "Mixed", "MEDIUM", "Mixed feedback with a concern."),
         (None, "LOW", "No sign of danger or disruption."),
     ])
-    staged = staged.withColumn("_sev", severity).withColumn("severity", F.col("_sev.value")).withColumn("severity_reason", F.col("_sev.reason"))
-    score = F.element_at(F.create_map(*[F.lit(x) for kv in SEVERITY_SCORES.items() for x in kv]), F.col("severity"))
-    if "impact_level" in df.columns:
-        bonus = F.coalesce(ref("impact_level").isin("DEPARTMENT_WIDE", "CAMPUS_WIDE"), F.lit(False))
-        score = F.least(F.lit(1.0), score + F.when(bonus, 0.1).otherwise(0.0))
-    staged = staged.withColumn("priority_score", F.round(score, 2)).withColumn(
-        "priority", F.when(score >= 0.9, "P1").when(score >= 0.65, "P2").when(score >= 0.4, "P3").otherwise("P4")
-    ).withColumn("priority_reason", F.concat(F.lit("Follows from severity "), F.col("severity"), F.lit(".")))
-
-    route = None
-    if profile.category_field and profile.category_field in df.columns:
-        given = ref(profile.category_field).cast("string")
-        route = F.when(F.coalesce(given, F.lit("")) != "", F.struct(
-            given.alias("value"), F.lit(f"Taken from column {profile.category_field}.").alias("reason")))
+    route = F.when(F.coalesce("_given_category", F.lit("")) != "", F.struct(
+        F.col("_given_category").alias("value"), F.lit(f"Taken from column {field}.").alias("reason")))
     for term, category in profile.terms:
-        pair = F.struct(F.lit(category).alias("value"), F.lit(f"Contains the term {term}.").alias("reason"))
-        hit = F.contains(F.col("_r"), F.lit(term.lower()))
-        route = F.when(hit, pair) if route is None else route.when(hit, pair)
-    general = F.struct(F.lit("General").alias("value"), F.lit("No routing term matched.").alias("reason"))
-    staged = staged.withColumn("_route", general if route is None else route.otherwise(general))
-    staged = staged.withColumn("department", F.col("_route.value")).withColumn("department_reason", F.col("_route.reason"))
-    staged = staged.withColumn("category", F.col("department")).withColumn("category_reason", F.col("department_reason"))
+        route = route.when(F.contains(F.col("_r"), F.lit(term.lower())), F.struct(
+            F.lit(category).alias("value"), F.lit(f"Contains the term {term}.").alias("reason")))
+    route = route.otherwise(F.struct(F.lit("General").alias("value"), F.lit("No routing term matched.").alias("reason")))
+    staged = once(staged, _sev=severity, _route=route)
+    staged = staged.select(
+        "*", F.col("_sev.value").alias("severity"), F.col("_sev.reason").alias("severity_reason"),
+        F.col("_route.value").alias("department"), F.col("_route.reason").alias("department_reason"))
 
+    score = F.element_at(F.create_map(*[F.lit(x) for kv in SEVERITY_SCORES.items() for x in kv]), F.col("severity"))
+    bonus = F.coalesce(F.col("_given_impact").isin("DEPARTMENT_WIDE", "CAMPUS_WIDE"), F.lit(False))
     impact = chosen([
         (wide & upset, "CAMPUS_WIDE", "Everybody is concerned."),
         (F.col("_t").rlike(GROUP), "SMALL_GROUP", "Several people are concerned."),
         (F.col("department").isin("IT", "Facilities") & urgent, "DEPARTMENT_WIDE", "An urgent service issue."),
         (None, "INDIVIDUAL", "One person or nobody in particular is concerned."),
     ])
-    staged = staged.withColumn("_imp", impact).withColumn("impact_level", F.col("_imp.value")).withColumn("impact_reason", F.col("_imp.reason"))
+    staged = once(
+        staged, priority_score=F.round(F.least(F.lit(1.0), score + F.when(bonus, 0.1).otherwise(0.0)), 2), _imp=impact)
+    staged = staged.select("*", F.col("_imp.value").alias("impact_level"), F.col("_imp.reason").alias("impact_reason"))
     action = chosen([
         ((F.col("severity") == "CRITICAL") & (F.col("impact_level") == "CAMPUS_WIDE"), "IMMEDIATE_ESCALATION", "Critical and wide."),
         (F.col("severity") == "HIGH", "ESCALATE", "High severity goes to the department."),
@@ -145,22 +145,25 @@ def triage(df: DataFrame, profile: RoutingProfile = COLLEGE) -> DataFrame:
         (upset, "RESPOND", "A reply suits the concern."),
         (None, "MONITOR", "Low risk is watched."),
     ])
-    staged = staged.withColumn("_act", action).withColumn("action", F.col("_act.value")).withColumn("action_reason", F.col("_act.reason"))
-    words = F.lower(F.replace(F.col("action"), F.lit("_"), F.lit(" ")))
-    staged = staged.withColumn("recommendation", F.concat(
-        F.initcap(words), F.lit(": "), F.lower("severity"), F.lit("-severity issue for "), F.col("department"), F.lit("."))
-    ).withColumn("recommendation_reason", F.concat(F.lit("Severity "), F.col("severity"), F.lit(", priority "), F.col("priority"), F.lit("."))
-    ).withColumn("suggested_next_step", F.concat(F.col("department"), F.lit(" reviews the feedback: "), words, F.lit("."))
-    ).withColumn("recommendation_status", F.lit("FALLBACK"))
-
-    decided = [
-        "severity", "severity_reason", "priority", "priority_score", "priority_reason", "department", "department_reason",
-        "category", "category_reason", "impact_level", "impact_reason", "action", "action_reason",
-        "recommendation", "recommendation_reason", "suggested_next_step", "recommendation_status",
-    ]
-    kept = [ref(c) for c in df.columns if c not in decided]
-    shaped = staged.select(*kept, "validation_errors", *[F.expr(f"CASE WHEN _valid THEN {c} END AS {c}") for c in decided])
-    return validate_decision(shaped)
+    points = F.col("priority_score")
+    staged = once(
+        staged, _act=action,
+        priority=F.when(points >= 0.9, "P1").when(points >= 0.65, "P2").when(points >= 0.4, "P3").otherwise("P4"))
+    words = "lower(replace(_act.value, '_', ' '))"
+    decided = {
+        "severity": "severity", "severity_reason": "severity_reason", "priority": "priority", "priority_score": "priority_score",
+        "priority_reason": "concat('Follows from severity ', severity, '.')", "department": "department",
+        "department_reason": "department_reason", "category": "department", "category_reason": "department_reason",
+        "impact_level": "impact_level", "impact_reason": "impact_reason", "action": "_act.value", "action_reason": "_act.reason",
+        "recommendation": f"concat(initcap({words}), ': ', lower(severity), '-severity issue for ', department, '.')",
+        "recommendation_reason": "concat('Severity ', severity, ', priority ', priority, '.')",
+        "suggested_next_step": f"concat(department, ' reviews the feedback: ', {words}, '.')",
+        "recommendation_status": "'FALLBACK'",
+    }
+    kept = staged.select(*[ref(c) for c in df.columns if c not in made], "validation_errors", F.struct(
+        *[F.expr(f"CASE WHEN _valid THEN {e} END").alias(c) for c, e in decided.items()]).alias("_d"))
+    whole = kept.select("*", F.inline(F.array("_d"))).drop("_d")
+    return validate_decision(whole)
 
 
 def validate_decision(df: DataFrame) -> DataFrame:
@@ -180,8 +183,10 @@ def validate_decision(df: DataFrame) -> DataFrame:
         "A critical decision must escalate"))
     checks.append(F.when((F.col("impact_level") == "CAMPUS_WIDE") & (F.col("action") == "MONITOR"), "A campus-wide decision must not be MONITOR"))
     found = F.when(F.size(before) > 0, before).otherwise(F.array_compact(F.array(*checks)))
-    return df.withColumn("validation_errors", found).withColumn(
-        "validation_status", F.when(F.size("validation_errors") > 0, "INVALID").otherwise("VALID"))
+    plain = df.select(*[ref(c) for c in df.columns if c not in ("validation_errors", "validation_status")], found.alias("_found"))
+    return once(plain, validation_errors=F.col("_found")).select(
+        *[ref(c) for c in plain.columns if c != "_found"], "validation_errors",
+        F.when(F.size("validation_errors") > 0, "INVALID").otherwise("VALID").alias("validation_status"))
 
 
 def final_decisions(triaged: DataFrame) -> DataFrame:

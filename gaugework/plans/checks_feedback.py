@@ -194,14 +194,14 @@ _LEXICON_ROWS = "('that', 0.5, 0.4), ('for', -0.25, 0.8), ('the', 0.1, 0.2), ('a
     f"WITH lx(word, p, s) AS (VALUES {_LEXICON_ROWS}), t AS (SELECT conv_id * 1000 + turn AS key, "
     "unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_][\\p{L}\\p{N}\\p{M}_''-]*')) AS w FROM conversations), "
     "a AS (SELECT key, avg(p) AS p, avg(s) AS s FROM t JOIN lx ON w = word GROUP BY key) "
-    f"SELECT c.conv_id * 1000 + c.turn AS key, {rounded_sql('coalesce(p, 0.0)')} AS polarity, {rounded_sql('coalesce(s, 0.0)')} AS subjectivity "
+    f"SELECT c.conv_id * 1000 + c.turn AS key, {rounded_sql('coalesce(p, 0.0) + 0.0000001')} AS polarity, {rounded_sql('coalesce(s, 0.0)')} AS subjectivity "
     "FROM conversations c LEFT JOIN a ON a.key = c.conv_id * 1000 + c.turn",
 )
 def lexicon_polarity_conversations(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr("conv_id * 1000 + turn AS id", "text")
     lexicon = spark.sql(f"SELECT col1 AS word, CAST(col2 AS double) AS polarity, CAST(col3 AS double) AS subjectivity FROM VALUES {_LEXICON_ROWS}")
     out = enrich.lexicon_polarity(df, "id", "text", lexicon).where("clause = -1")
-    return out.select("key", F.round("polarity", 4).alias("polarity"), F.round("subjectivity", 4).alias("subjectivity"))
+    return out.select("key", F.round(F.col("polarity") + 1e-7, 4).alias("polarity"), F.round("subjectivity", 4).alias("subjectivity"))
 
 
 _STOP = ", ".join(f"'{t}'" for t in tm.GENERIC_TERMS)
@@ -287,7 +287,7 @@ def merged_phrases_embeddings(spark, sf_dir):
 
 def triaged(spark, sf_dir):
     """The feedback view with lists of its own and the full decision."""
-    df = enrich.sentiment_columns(view(spark, sf_dir, "feedback_audit"), "feedback")
+    df = enrich.sentiment_once_per_text(view(spark, sf_dir, "feedback_audit"), "feedback")
     lists = df.withColumn("cleaned_text", F.col("feedback")).withColumn("topics", tm.content_tokens(F.col("feedback"))).withColumn(
         "keywords", F.slice(F.col("topics"), 1, 2))
     return triage.triage(lists)
