@@ -3,23 +3,34 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder from ``spark.checkpoint.dir``; a local session without one gets its own."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="gaugework-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder of the cluster and read it from there.
+    """Write ``df`` to the reliable checkpoint folder and read it from there.
 
     Stages that feed several later plans are stored once, so a lost executor re-reads files instead
-    of recomputing the stages before. The folder comes from ``spark.checkpoint.dir``; only a local
-    session without one gets a folder of its own.
+    of recomputing the stages before.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="gaugework-checkpoint-")
-        context.setCheckpointDir(folder)
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -28,5 +28,6 @@ def load() -> None:
     from gaugework.plans import (  # noqa: F401
         checks_detect,
         checks_feedback,
+        checks_model,
         checks_profile,
     )
