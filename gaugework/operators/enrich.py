@@ -93,8 +93,10 @@ def term_weights(df: DataFrame, key: str, text: str, max_terms: int = MAX_TERMS)
     Term counts combine within each input partition. The vocabulary is at most ``max_terms`` rows, so
     it is broadcast, and terms outside it are dropped before the per-document norm.
     """
-    counted = df.select(ref(key).alias("key"), F.explode(tm.vocabulary_ngrams(F.coalesce(ref(text), F.lit("")))).alias("term")).groupBy(
-        "key", "term").agg(F.expr("count(1) AS tf"))
+    # the words are evaluated once per row before n-grams refer to them
+    words = once(df.select(ref(key).alias("key"), ref(text).alias("text")), words=tm.vocabulary_words(F.coalesce("text", F.lit(""))))
+    grams = F.concat(*[tm.ngrams(F.col("words"), size) for size in (1, 2, 3)])
+    counted = words.select("key", F.explode(grams).alias("term")).groupBy("key", "term").agg(F.expr("count(1) AS tf"))
     documents = df.agg(F.expr("count(1) AS documents")).withColumn("_one", F.lit(1))
     vocabulary = counted.groupBy("term").agg(F.expr("sum(tf) AS total"), F.expr("count(1) AS df")).orderBy(
         F.desc("total"), "term").limit(max_terms).withColumn("_one", F.lit(1))
