@@ -66,6 +66,13 @@ def read_table(
     return df.limit(max_rows) if max_rows else df
 
 
+def _western(column):
+    """Text read as ISO-8859-1 turned into cp1252: only the range 0x80-0x9F differs."""
+    codes = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    pairs = [(a, b) for a, b in codes if b]
+    return F.translate(column, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+
+
 def read_feedback_csv(spark: SparkSession, path: str) -> DataFrame:
     """Feedback CSV as text columns: UTF-8 with or without byte order mark, else cp1252.
 
@@ -81,5 +88,6 @@ def read_feedback_csv(spark: SparkSession, path: str) -> DataFrame:
     utf = load("UTF-8")
     # undecodable bytes show up as replacement characters
     broken = utf.where(" OR ".join(f"contains(`{c}`, '�')" for c in utf.columns)).limit(1).count() > 0
-    df = load("windows-1252") if broken else utf
-    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
+    df = load("ISO-8859-1") if broken else utf
+    value = _western if broken else (lambda column: column)
+    return df.select(*[F.coalesce(value(F.col(f"`{c}`")), F.lit("")).alias(c) for c in df.columns])
