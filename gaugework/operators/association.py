@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions.columns import families, present, ref, text_key
+from gaugework.functions.columns import families, present, text_key
 from gaugework.functions.numeric import correlation_p_value, cramers_v, rounded, yates_chi2
 from gaugework.operators.ordered import value_counts
 

@@ -166,8 +166,7 @@ def apply_decisions(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
         F.struct("selected_strategy_id", "decision_rationale", "decided_at", "custom_method_notes"),
         F.struct("decided_at", "selected_strategy_id"),
     ).alias("user_decision"))
-    # candidates are at most four rows
-    return F.broadcast(candidates).join(chosen, "decision_id", "left").withColumn(
+    return candidates.join(chosen, "decision_id", "left").withColumn(
         "status", F.when(F.col("user_decision").isNotNull(), "USER_DECISION").otherwise(F.col("status")))
 
 

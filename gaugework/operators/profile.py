@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugework.functions.columns import families, present, ref, text_literal
 from gaugework.functions.numeric import rounded, share
 from gaugework.operators.ordered import (
-    _stacked, interpolated_quantiles, merged, running_totals, value_counts,
+    interpolated_quantiles, merged, running_totals, value_counts,
 )
 
 QUANTILES = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}

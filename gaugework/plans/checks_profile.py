@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gaugework.operators import profile, semantic
 from gaugework.operators.ordered import value_counts
 from gaugework.plans.registry import register
-from gaugework.plans.views import LINEITEM, ORDERS, cte, view
+from gaugework.plans.views import ORDERS, cte, view
 
 LINE_NUMERIC = ["quantity", "extended_price", "discount", "tax", "net_price"]
 ORDER_COLUMNS = [n for n, _ in ORDERS]

@@ -72,8 +72,6 @@ def compare(spark, con, sf_dir, run, sql):
 
 
 def main() -> None:
-    import tempfile
-
     from pyspark.sql import SparkSession
 
     import __spark_entry__ as e
