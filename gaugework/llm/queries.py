@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugework.llm import decontaminate
+from gaugework.llm import decontaminate, language_id
 
 QUERIES: dict = {}
 CHECK_SQL: dict[str, str] = {}
@@ -54,3 +54,8 @@ FROM words LEFT JOIN hit ON words.doc_id = hit.doc_id LEFT JOIN ids ON words.doc
 def op9_benchmark_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.hit_report(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
+
+
+@register("op10_language_id")
+def op10_language_id(spark, sf_dir):
+    return language_id.language_report(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
