@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugework.llm import decontaminate, language_id
+from gaugework.llm import decontaminate, language_id, line_dedup
 
 QUERIES: dict = {}
 CHECK_SQL: dict[str, str] = {}
@@ -59,3 +59,35 @@ def op9_benchmark_decontamination(spark, sf_dir):
 @register("op10_language_id")
 def op10_language_id(spark, sf_dir):
     return language_id.language_report(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+@register("op2_line_dedup", r"""
+WITH lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+line AS (
+  SELECT doc_id, len(l) AS n, i, l[i] AS body,
+    CAST(concat('0x', substr(md5(l[i]), 1, 12)) AS BIGINT) % 2147483647 AS h
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM lines)),
+rolled AS (
+  SELECT *, (h * 65599 + coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 2147483647 AS r FROM line),
+marked AS (
+  SELECT *, CASE WHEN i = 1 OR (r < lag(r) OVER w AND r < lead(r) OVER w) THEN 1 ELSE 0 END AS s
+  FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+placed AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM marked),
+chunks AS (
+  SELECT doc_id, c, min(i) AS first, count(*) AS lines_in, string_agg(body, chr(10) ORDER BY i) AS body
+  FROM placed GROUP BY doc_id, c),
+again AS (
+  SELECT doc_id, c, lines_in FROM (
+    SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) AS place FROM chunks
+    WHERE lines_in >= 2 AND regexp_matches(body, '\S')) WHERE place > 1),
+kept AS (
+  SELECT p.doc_id, string_agg(p.body, chr(10) ORDER BY i) AS body
+  FROM placed p LEFT JOIN again a ON p.doc_id = a.doc_id AND p.c = a.c WHERE a.c IS NULL GROUP BY p.doc_id),
+gone AS (SELECT doc_id, sum(lines_in) AS n, count(*) AS chunks FROM again GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed_lines,
+  CAST(coalesce(g.chunks, 0) AS BIGINT) AS n_removed_chunks, coalesce(g.n, 0) = len(l) AS emptied,
+  CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(k.body, '')) END AS kept_sha256
+FROM lines d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN gone g ON d.doc_id = g.doc_id
+""")
+def op2_line_dedup(spark, sf_dir):
+    return line_dedup.removal_report(table(spark, sf_dir, "documents"))
