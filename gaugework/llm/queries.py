@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugework.llm import decontaminate, language_id, line_dedup
+from gaugework.llm import decontaminate, language_id, line_dedup, mixing
 
 QUERIES: dict = {}
 CHECK_SQL: dict[str, str] = {}
@@ -91,3 +91,8 @@ FROM lines d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN gone g ON d.doc_i
 """)
 def op2_line_dedup(spark, sf_dir):
     return line_dedup.removal_report(table(spark, sf_dir, "documents"))
+
+
+@register("op3_source_mix")
+def op3_source_mix(spark, sf_dir):
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
