@@ -3,7 +3,8 @@
 Every source has a target in words. The ratio target / size of the source is split into whole copies of each document
 and a fraction; the fraction is each document's inclusion probability for one more copy. The flight phase moves the
 probabilities inside the null space of two constraints, the source's words and its documents, until they are zero or
-one; what cannot move any more is a landing problem of a few documents per source.
+one. What cannot move any more, with ``LANDING`` documents that wait for it, is the landing problem of each source: of
+all roundings of these few documents, the one nearest to the totals is taken.
 
 The flight runs in blocks of about ``BLOCK`` documents of one source, dealt by a hash, so a source of any size is many
 blocks. Each block leaves at most three undecided documents; these form the blocks of the next round, until one block
@@ -23,6 +24,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,7 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 BLOCK = 5_000
 MAX_SOURCES = 100_000
+LANDING = 14
 WORD = r"[^\x20\x09-\x0D]+"
 _EVEN = 1e-9
 
@@ -56,29 +59,23 @@ def target_words(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHT
     return target | fixed
 
 
-def flight(x: list[float], count: list[int], words: list[int], draw: random.Random, land: bool) -> None:
+def flight(x: list[float], count: list[int], words: list[int], draw: random.Random) -> None:
     """Move ``x`` (in place) to zeros and ones, keeping sum(count * x) and sum(words * x); at most three values stay
-    between, none with ``land``, which gives up the document total first and then rounds the last value."""
-    open_ = [i for i, v in enumerate(x) if _EVEN < v < 1 - _EVEN]
+    between."""
+    open_ = []
     for i, v in enumerate(x):
-        if v <= _EVEN:
-            x[i] = 0.0
-        elif v >= 1 - _EVEN:
-            x[i] = 1.0
+        if _EVEN < v < 1 - _EVEN:
+            open_.append(i)
+        else:
+            x[i] = float(round(v))
     open_.reverse()
     held: list[int] = []
     while True:
         while len(held) < 3 and open_:
             held.append(open_.pop())
-        if not held:
-            return
-        u = _direction(held, count, words, land)
+        u = _direction(held, count, words)
         if u is None:
-            if not land:
-                return
-            i = held.pop()
-            x[i] = 1.0 if draw.random() < x[i] else 0.0
-            continue
+            return
         up = min(((1 - x[i]) / d if d > 0 else -x[i] / d) for i, d in zip(held, u) if d)
         down = min((x[i] / d if d > 0 else (x[i] - 1) / d) for i, d in zip(held, u) if d)
         step = up if draw.random() * (up + down) < down else -down
@@ -99,7 +96,21 @@ def flight(x: list[float], count: list[int], words: list[int], draw: random.Rand
         held = still
 
 
-def _direction(held: list[int], count: list[int], words: list[int], land: bool) -> tuple[float, ...] | None:
+def landing(x: list[float], count: list[int], words: list[int]) -> None:
+    """Round the values still between (in place) so that the words, and less strictly the documents, stay nearest to
+    what they sum to; every rounding of this small set is looked at."""
+    left = [i for i, v in enumerate(x) if 0 < v < 1]
+    if not left:
+        return
+    choice = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+    w, n, at = (np.array([v[i] for i in left], float) for v in (words, count, x))
+    off = np.abs(choice @ w - at @ w) + 0.05 * w.mean() * np.abs(choice @ n - at @ n)
+    best = choice[int(off.argmin())]
+    for i, v in zip(left, best):
+        x[i] = float(v)
+
+
+def _direction(held: list[int], count: list[int], words: list[int]) -> tuple[float, ...] | None:
     if len(held) == 3:
         (a, b, c), (p, q, r) = (count[i] for i in held), (words[i] for i in held)
         u = (b * r - c * q, c * p - a * r, a * q - b * p)
@@ -111,9 +122,6 @@ def _direction(held: list[int], count: list[int], words: list[int], land: bool)
         (a, b), (p, q) = (count[i] for i in held), (words[i] for i in held)
         if a * q == b * p:
             return (float(b), float(-a))
-        if land:
-            top = max(p, q)
-            return (q / top, -p / top)
     return None
 
 
@@ -168,7 +176,18 @@ def _flown(placed: DataFrame, turn: int, land: bool, seed: int) -> DataFrame:
         table = table.sort_by([("size", "descending"), ("n", "descending"), ("order", "ascending")])
         x, n = table["x"].to_pylist(), table["n"].to_pylist()
         words = [a * b for a, b in zip(n, table["size"].to_pylist())]
-        flight(x, n, words, random.Random(f"{seed}/{turn}/{source is None}/{source}/{block}"), land)
+        draw = random.Random(f"{seed}/{turn}/{source is None}/{source}/{block}")
+        if land:  # a few documents, chosen by hash, wait for the landing
+            waiting = sorted((o, i) for i, o in enumerate(table["order"].to_pylist()) if _EVEN < x[i] < 1 - _EVEN)[:LANDING]
+            rest = {i for _, i in waiting}
+            flying = [i for i in range(len(x)) if i not in rest]
+            part = [x[i] for i in flying]
+            flight(part, [n[i] for i in flying], [words[i] for i in flying], draw)
+            for i, v in zip(flying, part):
+                x[i] = v
+            landing(x, n, words)
+        else:
+            flight(x, n, words, draw)
         return table.set_column(table.schema.get_field_index("x"), "x", pa.array(x, pa.float64())).drop_columns(["order"])
 
     schema = placed.schema
