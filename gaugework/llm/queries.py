@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugework.llm import decontaminate, language_id, line_dedup, mixing
+from gaugework.llm import decontaminate, language_id, line_dedup, mixing, simhash
 
 QUERIES: dict = {}
 CHECK_SQL: dict[str, str] = {}
@@ -96,3 +96,8 @@ def op2_line_dedup(spark, sf_dir):
 @register("op3_source_mix")
 def op3_source_mix(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+@register("op6_simhash_near_duplicates")
+def op6_simhash_near_duplicates(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
