@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugework.llm import decontaminate, language_id, line_dedup, mixing, simhash
+from gaugework.llm import decontaminate, language_id, line_dedup, mixing, pii, simhash
 
 QUERIES: dict = {}
 CHECK_SQL: dict[str, str] = {}
@@ -101,3 +101,8 @@ def op3_source_mix(spark, sf_dir):
 @register("op6_simhash_near_duplicates")
 def op6_simhash_near_duplicates(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op1_pii")
+def op1_pii(spark, sf_dir):
+    return pii.pii_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
