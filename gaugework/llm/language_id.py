@@ -148,19 +148,25 @@ def document_frequencies(docs: DataFrame, text: str, bits: int) -> tuple[np.ndar
 def training_sample(docs: DataFrame, key: str, text: str, lang: str, options: LanguageOptions) -> list[tuple]:
     """(language, buckets, counts) of the sampled documents, in a fixed order.
 
-    The sample takes the smallest hashes of (key, text) per language; the row limit is applied in each task before
-    the shuffle, so a language of a third of all rows sends no more than any other.
+    The sample takes the smallest hashes of (key, text) per language. Only hashes below a share that follows the
+    language's row count are ranked, so a language of a third of all rows ranks no more rows than any other.
     """
     bits = options.bits
     named = docs.select(ref(lang).cast("string").alias("lang"), ref(text).cast("string").alias("text"), ref(key).cast("string").alias("key"))
     named = named.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = named.select("lang").distinct().limit(options.max_languages + 1).count()
-    if langs > options.max_languages:
+    counts = named.groupBy("lang").count().limit(options.max_languages + 1).collect()
+    if len(counts) > options.max_languages:
         raise ValueError(f"more than {options.max_languages} languages to learn")
-    each = max(1, min(options.sample_per_language, options.sample_rows // max(langs, 1)))
+    each = max(1, min(options.sample_per_language, options.sample_rows // max(len(counts), 1)))
+    # hashes below a share that holds some times the sample; the window then sees no more than that, at any input size
+    shares = named.sparkSession.createDataFrame(
+        [(r["lang"], min(1.0, (4 * each + 1000) / r["count"])) for r in counts], "of string, share double"
+    )
     marked = named.withColumn("h", F.xxhash64("key", "text"))
-    order = Window.partitionBy("lang").orderBy("h")
-    chosen = marked.select("lang", "h").withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).select("lang", "h").distinct()
+    few = marked.select("lang", "h").join(F.broadcast(shares), F.col("lang") == F.col("of"))
+    few = few.where(F.pmod("h", F.lit(1 << 40)) < F.col("share") * float(1 << 40)).select("lang", "h").distinct()
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h")
+    chosen = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).select("lang", "h")
     sample = marked.join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("lang", "h", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
