@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugework.llm import decontaminate, language_id, line_dedup, mixing, pii, simhash
+from gaugework.llm import decontaminate, language_id, line_dedup, mixing, pii, quality, simhash
 
 QUERIES: dict = {}
 CHECK_SQL: dict[str, str] = {}
@@ -106,3 +106,8 @@ def op6_simhash_near_duplicates(spark, sf_dir):
 @register("op1_pii")
 def op1_pii(spark, sf_dir):
     return pii.pii_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op7_quality_rules")
+def op7_quality_rules(spark, sf_dir):
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
