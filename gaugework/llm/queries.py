@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugework.llm import decontaminate, language_id, line_dedup, mixing, pii, quality, simhash
+from gaugework.llm import decontaminate, language_id, licenses, line_dedup, mixing, pii, quality, simhash
 
 QUERIES: dict = {}
 CHECK_SQL: dict[str, str] = {}
@@ -111,3 +111,8 @@ def op1_pii(spark, sf_dir):
 @register("op7_quality_rules")
 def op7_quality_rules(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op4_license_scan", licenses.check_sql())
+def op4_license_scan(spark, sf_dir):
+    return licenses.license_report(table(spark, sf_dir, "documents"))
