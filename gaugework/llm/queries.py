@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugework.llm import decontaminate, language_id, licenses, line_dedup, mixing, pii, quality, simhash
+from gaugework.llm import decontaminate, html_extract, language_id, licenses, line_dedup, mixing, pii, quality, simhash
 
 QUERIES: dict = {}
 CHECK_SQL: dict[str, str] = {}
@@ -116,3 +116,8 @@ def op7_quality_rules(spark, sf_dir):
 @register("op4_license_scan", licenses.check_sql())
 def op4_license_scan(spark, sf_dir):
     return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
+@register("op8_html_extraction")
+def op8_html_extraction(spark, sf_dir):
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
