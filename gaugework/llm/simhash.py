@@ -7,9 +7,9 @@ Embedding: the 64 bits are 32 segments of two bits, and a fingerprint maps to it
 Manhattan distance of two embeddings never exceeds the number of differing bits. Counts are kept in unary (00, 01,
 11), so that distance is the bit count of an exclusive or.
 
-Grid: the 32 coordinates form seven groups. Two embeddings within Manhattan distance four differ in four groups at
-most, so they agree on three whole groups: each choice of three groups is one grid, and a fingerprint has one cell in
-each of the 35 grids. Members of a cell are compared in one task: first the Manhattan bound, then the differing bits.
+Grid: the 32 coordinates form eight groups. Two embeddings within Manhattan distance four differ in four groups at
+most, so they agree on four whole groups: each choice of four groups is one grid, and a fingerprint has one cell in
+each of the 70 grids. Members of a cell are compared in one task: first the Manhattan bound, then the differing bits.
 A task writes a spanning forest of the links it finds, never all pairs; a cell above ``CELL`` members is dealt as
 pairs of blocks to several tasks, so every pair still meets.
 
@@ -42,7 +42,7 @@ SEED = 42
 DISTANCE = 4
 CELL = 4096
 _LOW = 0x5555555555555555
-_GROUP_SEGMENTS = (5, 5, 5, 5, 4, 4, 4)
+_GROUP_SEGMENTS = (4,) * 8
 _ROWS = 16_384  # shingles whose bits are added at once
 
 
@@ -161,7 +161,8 @@ def _cell_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(nodes: DataFrame, cell: int = CELL) -> DataFrame:
     """Edges (a, b) that connect the same fingerprints as all links of ``nodes`` (fp: distinct) do."""
-    placed = cells(nodes)
+    width = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cells(nodes.repartition(width, "fp"))
     counts = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(counts.select(F.col("cell").alias("c"), F.ceil(F.col("n") / cell).cast("int").alias("blocks")), "grid-cells")
     members = placed.join(shared, F.col("cell") == F.col("c")).select("cell", "blocks", "fp")
@@ -172,7 +173,6 @@ def links(nodes: DataFrame, cell: int = CELL) -> DataFrame:
         lambda j: F.least(own, j).cast("long") * F.col("blocks") + F.greatest(own, j),
     ))
     dealt = members.select("cell", F.explode(part).alias("part"), "fp")
-    width = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = dealt.repartition(width, "cell", "part").sortWithinPartitions("cell", "part")
     return runs.mapInArrow(_cell_edges, "a long, b long").distinct()
 
