@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugework.llm import decontaminate, html_extract, language_id, licenses, line_dedup, mixing, pii, quality, simhash
+from gaugework.llm import (
+    decontaminate, html_extract, language_id, licenses, line_dedup, mixing, pii, quality, simhash, substring_dedup,
+)
 
 QUERIES: dict = {}
 CHECK_SQL: dict[str, str] = {}
@@ -121,3 +123,25 @@ def op4_license_scan(spark, sf_dir):
 @register("op8_html_extraction")
 def op8_html_extraction(spark, sf_dir):
     return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
+@register("op5_substring_dedup", r"""
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS t
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35)),
+again AS (SELECT t FROM windows GROUP BY t HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM windows JOIN again ON windows.t = again.t),
+lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT w.doc_id, string_agg(x, ' ' ORDER BY i) AS body FROM (
+    SELECT doc_id, w[i] AS x, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words)) w
+  LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.p WHERE g.p IS NULL GROUP BY w.doc_id)
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(body, '')) AS kept_sha256
+FROM words LEFT JOIN lists ON words.doc_id = lists.doc_id LEFT JOIN kept ON words.doc_id = kept.doc_id
+""")
+def op5_substring_dedup(spark, sf_dir):
+    return substring_dedup.removal_report(table(spark, sf_dir, "documents"))
