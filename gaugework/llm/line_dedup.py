@@ -84,11 +84,13 @@ def repeated_chunks(rows: DataFrame) -> DataFrame:
     places = chunks.select("k", "m", "first", "count", "c")
     sure = groups.where("equal").select(F.col("c").alias("gc"), "origin")
     again = places.join(sure, places["c"] == sure["gc"]).where(F.struct("k", "m", "first") != F.col("origin"))
+    columns = ["k", "m", "first", "count"]
+    if not groups.where(~F.col("equal")).limit(1).count():
+        return again.select(*columns).distinct()
     # collisions: the few groups with different texts, by whole text
     mixed = chunks.join(groups.where(~F.col("equal")).select("c"), "c", "left_semi")
     firsts = mixed.groupBy(F.col("body").alias("gb")).agg(F.count("*").alias("n"), F.min(place).alias("origin")).where(F.col("n") > 1)
     apart = mixed.join(firsts, F.col("body") == F.col("gb")).where(F.struct("k", "m", "first") != F.col("origin"))
-    columns = ["k", "m", "first", "count"]
     return again.select(*columns).unionByName(apart.select(*columns)).distinct()
 
 
