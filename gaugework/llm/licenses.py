@@ -48,7 +48,6 @@ SENTENCES = {
     "cc-by-sa-4": "Licensed under CC BY-SA 4.0.",
     "cc-by-sa-4-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc0-name": "Licensed under CC0 1.0.",
-    "gpl-copy": "You should have received a copy of the GNU General Public License along with this program.",
     "gpl-no-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "gpl2-grant": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl2-name": "This work is licensed under the GNU General Public License, version 2.",
