@@ -177,17 +177,41 @@ def audit_without_models_orders(spark, sf_dir):
 
 # --- sources ----------------------------------------------------------------------------------------
 
-@register("csv_round_trip_supplier", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+@register("csv_round_trip_supplier", """
+SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier
+UNION ALL SELECT s_suppkey, NULL, NULL, NULL FROM supplier WHERE s_suppkey % 7 = 0
+""")
 def csv_round_trip_supplier(spark, sf_dir):
+    """Suppliers as delimited text, with short lines (kept, filled with nulls) and overlong ones (skipped)."""
     from gaugework.sources.readers import read_table
 
     folder = scratch_path(spark, "csv") + "/supplier.csv"
-    spark.read.parquet(f"{sf_dir}/supplier.parquet").write.option("header", True).option("sep", ";").csv(folder)
+    header = "s_suppkey;s_name;s_nationkey;s_acctbal"
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    whole = F.concat_ws(";", *[F.col(c).cast("string") for c in header.split(";")])
+    lines = F.array(
+        whole, F.when(F.col("s_suppkey") % 7 == 0, F.col("s_suppkey").cast("string")),
+        F.when(F.col("s_suppkey") % 5 == 0, F.concat(whole, F.lit(";one;more"))), F.when(F.col("s_suppkey") % 6 == 0, F.concat(whole, F.lit(";"))),
+    )
+    suppliers.select(F.explode(F.array_compact(lines)).alias(header)).write.option("header", True).option("quote", "").csv(folder)
     return read_table(spark, folder).select(
         F.col("s_suppkey").cast("bigint").alias("s_suppkey"), "s_name", F.col("s_nationkey").cast("int").alias("s_nationkey"),
         F.col("s_acctbal").cast("double").alias("s_acctbal"))
 
 
+@register("json_lines_with_bad_records_nation", "SELECT n_name, n_nationkey, n_regionkey FROM nation")
+def json_lines_with_bad_records_nation(spark, sf_dir):
+    """Every nation as a JSON line, each followed by a broken line."""
+    from gaugework.sources.readers import read_table
+
+    folder = scratch_path(spark, "json") + "/nation.json"
+    line = F.to_json(F.struct("n_name", "n_nationkey", "n_regionkey"))
+    spark.read.parquet(f"{sf_dir}/nation.parquet").select(
+        F.explode(F.array(line, F.concat(F.substring(line, 1, 12), F.lit(" broken")))).alias("value")).write.text(folder)
+    return read_table(spark, folder).select(
+        "n_name", F.col("n_nationkey").cast("int").alias("n_nationkey"), F.col("n_regionkey").cast("int").alias("n_regionkey"))
+
+
 @register("json_round_trip_nation", "SELECT n_name, n_nationkey, n_regionkey FROM nation")
 def json_round_trip_nation(spark, sf_dir):
     from gaugework.sources.readers import read_table

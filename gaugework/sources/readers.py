@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Separators besides the comma in the order in which they are tried, and the look-ahead.
 SEPARATORS = ("\t", ";", "|")
 SNIFF_CHARS = 4096
+_BAD = "_corrupt_record"
 
 
 class UnsupportedFormat(ValueError):
@@ -24,21 +32,67 @@ def clean_names(names: list[str]) -> list[str]:
     return out
 
 
+def _first_file(spark: SparkSession, path: str) -> str:
+    files = sorted(spark.read.text(path).inputFiles())
+    return files[0] if files else path
+
+
 def sniff_separator(spark: SparkSession, path: str) -> str:
-    """Separator that outnumbers the comma in the first characters of the file."""
-    # only the head of the file matters here, so a few lines are enough
-    lines = [r["value"] for r in spark.read.text(path).limit(64).collect()]
-    head = "\n".join(lines)[:SNIFF_CHARS]
+    """Separator that outnumbers the comma in the first ``SNIFF_CHARS`` characters of the (first) file."""
+    # every line has one character at least, its end, so this many lines always reach far enough
+    lines = spark.read.text(_first_file(spark, path)).limit(SNIFF_CHARS).select(F.substring("value", 1, SNIFF_CHARS)).collect()
+    head = "\n".join(r[0] for r in lines)[:SNIFF_CHARS]
     return next((s for s in SEPARATORS if head.count(s) > head.count(",")), ",")
 
 
 def read_csv(spark: SparkSession, path: str, separator: str | None = None, schema=None) -> DataFrame:
-    """Delimited text with a header; lines that do not fit are skipped.
+    """Delimited text with a header: short lines are filled with nulls, lines with too many fields are skipped.
 
     Give ``schema`` for large inputs: without one Spark reads the files once more to infer types.
     """
-    reader = spark.read.option("header", True).option("mode", "DROPMALFORMED").option("sep", separator or sniff_separator(spark, path))
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+    sep = separator or sniff_separator(spark, path)
+    reader = spark.read.option("header", True).option("sep", sep).option("columnPruning", False)
+    if schema is None:
+        schema = reader.option("inferSchema", True).csv(path).schema
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    marked = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
+    rows = reader.schema(marked).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).csv(path)
+    # a marked line is short, long, or has a value of another type; separators outside quotes tell which
+    bare = F.regexp_replace(F.col(_BAD), r'"(?:[^"\\\\]|\\\\.)*"', "")
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+    return rows.where(F.col(_BAD).isNull() | (fields <= len(schema.fields))).drop(_BAD)
+
+
+def _json_document(spark: SparkSession, path: str) -> bool:
+    """True if the (first) file is one document, judged by its first line with text; a bad record never decides."""
+    first = spark.read.text(_first_file(spark, path)).where(F.trim("value") != "").select(F.trim("value")).head()
+    line = first[0].lstrip("\ufeff") if first else ""
+    return line.startswith("[") or (line.startswith("{") and not line.rstrip().endswith("}"))
+
+
+def read_json(spark: SparkSession, path: str, lines: bool, schema=None) -> DataFrame:
+    """A JSON document (an array of records or one record) or one record per line; bad lines are left out.
+
+    ``bad_json_lines`` lists what was left out.
+    """
+    reader = spark.read.option("columnNameOfCorruptRecord", _BAD)
+    if not lines:
+        return (reader.schema(schema) if schema else reader).option("multiLine", True).json(path)
+    if schema is None:
+        # inferring adds the column of bad records only where there are any
+        schema = T.StructType([f for f in reader.json(path).schema.fields if f.name != _BAD])
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    rows = reader.schema(T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])).json(path)
+    return rows.where(F.col(_BAD).isNull()).drop(_BAD)
+
+
+def bad_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line): the lines with text of a JSON lines source that hold no record."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line"))
+    parsed = F.from_json("line", f"`{_BAD}` string, ok int", {"columnNameOfCorruptRecord": _BAD})
+    return lines.where((F.trim("line") != "") & parsed[_BAD].isNotNull())
 
 
 def read_table(
@@ -55,39 +109,86 @@ def read_table(
     if kind == "parquet":
         df = spark.read.parquet(path)
     elif kind in ("json", "jsonl"):
-        reader = spark.read.schema(schema) if schema else spark.read
-        df = reader.json(path)
-        if kind == "json" and (not df.columns or df.columns == ["_corrupt_record"] or "_corrupt_record" in df.columns):
-            # one document over several lines
-            df = reader.option("multiLine", True).json(path)
+        df = read_json(spark, path, kind == "jsonl" or not _json_document(spark, path), schema)
     else:
         df = read_csv(spark, path, schema=schema)
     df = df.toDF(*clean_names(df.columns))
     return df.limit(max_rows) if max_rows else df
 
 
-def _western(column):
-    """Text read as ISO-8859-1 turned into cp1252: only the range 0x80-0x9F differs."""
-    codes = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
-    pairs = [(a, b) for a, b in codes if b]
-    return F.translate(column, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+def _records(content: bytes, encoding: str) -> Iterator[list[str]]:
+    # newline="": quoted line breaks stay as they are
+    return csv.reader(io.TextIOWrapper(io.BytesIO(content), encoding=encoding, newline=""))
+
+
+def _encoding(content: bytes) -> str:
+    """UTF-8 (with or without byte order mark) if the bytes are that, else cp1252."""
+    try:
+        content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return "cp1252"
+    return "utf-8-sig"
 
 
-def read_feedback_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Feedback CSV as text columns: UTF-8 with or without byte order mark, else cp1252.
+def read_feedback_csv(spark: SparkSession, path: str, quoted_newlines: bool = True) -> DataFrame:
+    """Feedback CSV as text columns: each file UTF-8 with or without byte order mark, else cp1252.
 
-    Empty fields stay empty strings and quoted line breaks are kept.
+    Empty fields are empty strings, a blank line is a row of empty fields, short lines are filled up, and lines with
+    too many fields are skipped. With ``quoted_newlines`` a record may span lines, so a file is one task; without it
+    files are split by lines and may be of any size.
     """
-    def load(encoding: str) -> DataFrame:
-        df = (
-            spark.read.option("header", True).option("encoding", encoding).option("multiLine", True)
-            .option("emptyValue", "").option("nullValue", "\u0000absent").option("escape", '"').csv(path)
-        )
-        return df.toDF(*[c.lstrip("﻿") for c in df.columns])
-
-    utf = load("UTF-8")
-    # undecodable bytes show up as replacement characters
-    broken = utf.where(" OR ".join(f"contains(`{c}`, '�')" for c in utf.columns)).limit(1).count() > 0
-    df = load("ISO-8859-1") if broken else utf
-    value = _western if broken else (lambda column: column)
-    return df.select(*[F.coalesce(value(F.col(f"`{c}`")), F.lit("")).alias(c) for c in df.columns])
+    names = _feedback_header(spark, path)
+    width = len(names)
+    fields = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    if not quoted_newlines:
+        return _split_feedback(spark, path, names)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0):
+                content = value.as_py()
+                records = _records(content, _encoding(content))
+                next(records, None)
+                fitting = (r + [""] * (width - len(r)) for r in records if len(r) <= width)
+                while piece := list(islice(fitting, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*piece)], names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, fields)
+
+
+def _feedback_header(spark: SparkSession, path: str) -> list[str]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0):
+                content = value.as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([next(_records(content, _encoding(content)), [])], pa.list_(pa.string()))], ["names"])
+
+    head = spark.read.format("binaryFile").load(_first_file(spark, path)).select("content").mapInArrow(first, "names array<string>").head()
+    if head is None or not head["names"]:
+        raise UnsupportedFormat(f"{path} has no header line")
+    return head["names"]
+
+
+def _split_feedback(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """Line by line, files of any size: blank lines are rows, and each file's first record, its header, is left out."""
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"))
+    bad = [r["file"] for r in lines.where(~F.is_valid_utf8("value")).select("file").distinct().collect()]
+    text = lines.where(~F.col("file").isin(bad)).select("value") if bad else lines.select("value")
+    if bad:
+        # ISO-8859-1 lines, with the range 0x80-0x9F as cp1252 has it
+        codes = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+        pairs = [(a, b) for a, b in codes if b]
+        raw = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+        text = text.unionByName(spark.read.text(bad).select(
+            F.translate(raw, "".join(a for a, _ in pairs), "".join(b for _, b in pairs)).alias("value")))
+    width = len(names)
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    bare = F.regexp_replace("value", "^\ufeff", "")
+    parsed = text.select(F.from_csv(bare, schema, {"nullValue": "\u0000absent", "emptyValue": "", "escape": '"'}).alias("r"), bare.alias("line"))
+    is_header = F.lit(True)
+    for i, n in enumerate(names):
+        is_header = is_header & F.col(f"r.c{i}").eqNullSafe(F.lit(n))
+    outside = F.regexp_replace("line", '"[^"]*"', "")
+    fits = F.length(outside) - F.length(F.replace(outside, F.lit(","), F.lit(""))) < width
+    return parsed.where(fits & ~is_header).select(
+        *[F.coalesce(F.col(f"r.c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)])
