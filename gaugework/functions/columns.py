@@ -84,7 +84,7 @@ def present(name: str, kind: str) -> Column:
 
 
 def text_key(name: str, kind: str) -> Column:
-    """Grouping key of a value as text.
+    """Grouping key of a value as text; for an order by whole texts see ``whole_text``.
 
     Short values are their own key. Long values keep their first characters for display and add a
     SHA-256 of the whole value, so that shuffles carry short keys and still tell whole texts apart.
@@ -95,3 +95,8 @@ def text_key(name: str, kind: str) -> Column:
     return F.when(F.length(text) <= KEY_HEAD, text).otherwise(
         F.concat(F.substring(text, 1, KEY_HEAD), F.sha2(text, 256))
     )
+
+
+def whole_text(name: str, kind: str) -> Column:
+    """A value as text in full: what orders and ranks compare."""
+    return present(name, kind).cast("string")

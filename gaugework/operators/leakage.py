@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions.columns import families, present, ref, text_key
+from gaugework.functions.columns import families, present, ref, text_key, whole_text
 from gaugework.functions.numeric import rounded
 from gaugework.operators import findings as fd
+from gaugework.operators.lineage import settled
 from gaugework.operators.ordered import _stacked, running_totals
 from gaugework.options import Thresholds
 
@@ -21,7 +22,6 @@ POST_EVENT_NAME = (
 # Names of split columns.
 SPLIT_NAMES = ("split", "dataset_split", "is_train", "partition", "fold")
 TREE_DEPTH = 3
-TREE_BINS = 256
 LEAST_ROWS = 20
 
 
@@ -29,26 +29,7 @@ def _target_value(df: DataFrame, target: str):
     kind = families(df, [target])[target]
     if kind in ("integer", "float", "boolean"):
         return present(target, kind).cast("double"), True
-    return text_key(target, kind), False
-
-
-def joint_counts(df: DataFrame, features: list[str], target: str) -> tuple[DataFrame | None, DataFrame | None]:
-    """(column, x, y, n) of features against the target, numeric and text features apart.
-
-    Only rows where both sides are present count, so every later rank is pairwise complete.
-    """
-    kinds = families(df, features)
-    y, _ = _target_value(df, target)
-    numeric = {c: present(c, k).cast("double") for c, k in kinds.items() if k in ("integer", "float")}
-    text = {c: text_key(c, k) for c, k in kinds.items() if k not in ("integer", "float")}
-    tables = []
-    for exprs in (numeric, text):
-        if not exprs:
-            tables.append(None)
-            continue
-        long = _stacked(df, exprs, [y], "x").where(F.col("_k0").isNotNull()).withColumnRenamed("_k0", "y")
-        tables.append(long.groupBy("column", "x", "y").agg(F.count(F.lit(1)).alias("n")))
-    return tables[0], tables[1]
+    return whole_text(target, kind), False
 
 
 def _midranks(counts: DataFrame, value: str, out: str) -> DataFrame:
@@ -58,30 +39,35 @@ def _midranks(counts: DataFrame, value: str, out: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, features: list[str], target: str, binary: bool) -> DataFrame:
-    """column, n, spearman with average-rank ties; text values rank in byte order.
+    """column, n, spearman with average-rank ties; texts rank in byte order of the whole text.
 
-    Ranks come from distinct-value counts and go back to the joint counts by equi-join. A binary
-    target has two ranks per column, which are broadcast; otherwise the join strategy follows the
-    measured size, and adaptive skew handling splits a hot target value.
+    The target is ranked once per column over its distinct values; its rank then goes to the rows, which are summed
+    per feature value (count, sum and sum of squares of the target's rank). The features are ranked on that table, so
+    no table of value pairs is joined to the features. A binary target has two ranks per column, which are broadcast.
     """
+    kinds = families(df, features)
+    y, _ = _target_value(df, target)
     parts = []
-    for cells in joint_counts(df, features, target):
-        if cells is None:
+    for numeric in (True, False):
+        exprs = {
+            c: present(c, k).cast("double") if numeric else whole_text(c, k)
+            for c, k in kinds.items() if (k in ("integer", "float")) == numeric
+        }
+        if not exprs:
             continue
-        rank_x = _midranks(cells.groupBy("column", "x").agg(F.sum("n").alias("n")), "x", "rx")
-        y_counts = cells.groupBy("column", "y").agg(F.sum("n").alias("n"))
-        rank_y = _midranks(y_counts, "y", "ry")
-        joined = cells.join(rank_x, ["column", "x"]).join(F.broadcast(rank_y) if binary else rank_y, ["column", "y"])
-        w, a, b = F.col("n").cast("double"), F.col("rx"), F.col("ry")
-        # centred on the mean rank (N+1)/2, which keeps the sums well conditioned
+        long = _stacked(df, exprs, [y], "x").where(F.col("_k0").isNotNull()).withColumnRenamed("_k0", "y")
+        cells = long.groupBy("column", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+        rank_y = _midranks(cells.groupBy("column", "y").agg(F.sum("n").alias("n")), "y", "ry")
+        w, b = F.col("n").cast("double"), F.col("ry")
         totals = cells.groupBy("column").agg(F.sum("n").alias("rows"))
         mid = (F.col("rows") + 1) / 2.0
-        # broadcast: one row per feature
-        sums = joined.join(F.broadcast(totals), "column").groupBy("column", "rows").agg(
-            F.sum(w * (a - mid) * (b - mid)).alias("xy"),
-            F.sum(w * (a - mid) * (a - mid)).alias("xx"),
-            F.sum(w * (b - mid) * (b - mid)).alias("yy"),
-        )
+        # centred on the mean rank (N+1)/2, which keeps the sums well conditioned; broadcast: one row per feature
+        per_value = cells.join(F.broadcast(rank_y) if binary else rank_y, ["column", "y"]).join(F.broadcast(totals), "column").groupBy(
+            "column", "x").agg(F.sum("n").alias("n"), F.sum(w * (b - mid)).alias("sy"), F.sum(w * (b - mid) * (b - mid)).alias("yy"))
+        ranked = running_totals(per_value, ["column"], "x", ["n"])
+        a = F.col("cum_n") - (F.col("n") - 1) / 2.0 - (F.col("all_n") + 1) / 2.0
+        sums = ranked.groupBy("column").agg(
+            F.max("all_n").alias("rows"), F.sum(a * F.col("sy")).alias("xy"), F.sum(w * a * a).alias("xx"), F.sum("yy").alias("yy"))
         norm = F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))
         parts.append(sums.where(F.col("rows") >= LEAST_ROWS).select(
             "column", F.col("rows").alias("n"), F.when(norm > 0, F.col("xy") / norm).otherwise(F.lit(0.0)).alias("spearman")
@@ -89,31 +75,47 @@ def spearman(df: DataFrame, features: list[str], target: str, binary: bool) -> D
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def _grow(values: np.ndarray, w: np.ndarray, s: np.ndarray, q: np.ndarray, depth: int, out: list) -> None:
-    """Leaves (weight, sum, sum of squares) of the best variance-reducing splits of ordered bins."""
-    impure = q.sum() - s.sum() ** 2 / w.sum()
-    if depth == 0 or len(w) < 2 or impure <= 1e-12 * max(1.0, q.sum()):
-        out.append((w.sum(), s.sum(), q.sum()))
-        return
-    cw, cs = np.cumsum(w)[:-1], np.cumsum(s)[:-1]
-    gain = cs ** 2 / cw + (s.sum() - cs) ** 2 / (w.sum() - cw)
-    cut = int(np.argmax(gain)) + 1
-    _grow(values[:cut], w[:cut], s[:cut], q[:cut], depth - 1, out)
-    _grow(values[cut:], w[cut:], s[cut:], q[cut:], depth - 1, out)
-
-
-def _score_tree(pdf: pd.DataFrame, binary: bool) -> float | None:
-    """AUC (binary target) or R-squared of a shallow tree over the ordered bins of one feature."""
-    pdf = pdf.sort_values("bin")
-    leaves: list = []
-    arrays = [pdf[c].to_numpy(float) for c in ("bin", "w", "s", "q")]
-    _grow(*arrays, TREE_DEPTH, leaves)
-    w, s, q = (np.array(x) for x in zip(*leaves))
+def _with_leaves(placed: DataFrame) -> DataFrame:
+    """One row per (column, leaf) of the best depth-``TREE_DEPTH`` tree over all thresholds: w, s, q.
+
+    ``placed`` has the running sums of each distinct value. Within a node, which is a run of values, running sums are
+    those of the column less what lies before the node; the best threshold is a grouped maximum of the gain, the first
+    of equals. Nodes are pure or deep enough, or they are split; there are at most 2**TREE_DEPTH per column.
+    """
+    whole = placed.groupBy("column").agg(F.max("all_w").alias("w"), F.max("all_s").alias("s"), F.max("all_q").alias("q"))
+    nodes = whole.select(
+        "column", F.lit(0).cast("long").alias("low"), F.col("w").cast("long").alias("high"), F.lit(0.0).alias("s0"), F.lit(0.0).alias("q0"), "s", "q"
+    )
+    for _ in range(TREE_DEPTH):
+        # broadcast: a few rows per column
+        inside = placed.join(F.broadcast(nodes.select("column", "low", "high", "s0", F.col("s").alias("ns"), F.col("q").alias("nq"))), "column").where(
+            (F.col("cum_w") > F.col("low")) & (F.col("cum_w") < F.col("high")))
+        cw, nw = F.col("cum_w") - F.col("low"), F.col("high") - F.col("low")
+        cs = F.col("cum_s") - F.col("s0")
+        impure = F.col("nq") - F.col("ns") * F.col("ns") / nw
+        gain = cs * cs / cw + (F.col("ns") - cs) * (F.col("ns") - cs) / (nw - cw)
+        cuts = inside.where(impure > 1e-12 * F.greatest(F.lit(1.0), F.col("nq"))).groupBy("column", "low").agg(
+            F.max_by(F.struct(F.col("cum_w").alias("at"), F.col("cum_s").alias("s"), F.col("cum_q").alias("q")),
+                     F.struct(F.round(gain, 9), -F.col("cum_w"))).alias("cut"))
+        split = nodes.join(F.broadcast(cuts), ["column", "low"], "left")
+        left = F.struct(
+            F.col("low").alias("low"), F.coalesce("cut.at", "high").cast("long").alias("high"), F.col("s0").alias("s0"), F.col("q0").alias("q0"),
+            F.coalesce(F.col("cut.s") - F.col("s0"), "s").alias("s"), F.coalesce(F.col("cut.q") - F.col("q0"), "q").alias("q"))
+        right = F.when(F.col("cut").isNotNull(), F.struct(
+            F.col("cut.at").cast("long").alias("low"), F.col("high").alias("high"), F.col("cut.s").alias("s0"), F.col("cut.q").alias("q0"),
+            (F.col("s") + F.col("s0") - F.col("cut.s")).alias("s"), (F.col("q") + F.col("q0") - F.col("cut.q")).alias("q")))
+        nodes = settled(split.select("column", F.explode(F.array_compact(F.array(left, right))).alias("n")).select("column", "n.*"))
+    return nodes.select("column", (F.col("high") - F.col("low")).cast("double").alias("w"), "s", "q")
+
+
+def _score_leaves(leaves: pd.DataFrame, binary: bool) -> float | None:
+    """AUC (binary target) or R-squared of a tree from its leaves."""
+    w, s, q = (leaves[c].to_numpy(float) for c in ("w", "s", "q"))
     if binary:
         pos, neg = s, w - s
         if pos.sum() == 0 or neg.sum() == 0:
             return None
-        rate = np.round(s / w, 15)
+        rate = np.round(s / w, 12)
         order = np.unique(rate, return_inverse=True)[1]
         p, n = np.bincount(order, pos), np.bincount(order, neg)
         auc = float((p * (np.cumsum(n) - n / 2)).sum() / (p.sum() * n.sum()))
@@ -134,47 +136,41 @@ def _coded_target(df: DataFrame, target: str, binary: bool) -> Column:
 def single_feature_scores(df: DataFrame, features: list[str], target: str, binary: bool) -> DataFrame:
     """column, metric, score of a depth-3 tree on each feature alone; for a binary target also spearman.
 
-    Features are reduced to at most ``TREE_BINS`` ordered bins (one per distinct value when there are
-    no more than that), so each Python group is a bounded table. A binary target has only two ranks,
-    so its rank correlation follows from the feature ranks and the same bins.
+    Every threshold between distinct values is tried, at any number of values. What reaches Python is a tree's leaves,
+    eight rows per feature at most. A binary target has only two ranks, so its rank correlation follows from the
+    feature's ranks.
     """
     metric = "AUC" if binary else "R2"
-    y = _coded_target(df, target, binary)
+    y = _coded_target(df, target, binary).cast("double")
     kinds = families(df, features)
     parts = []
     for numeric in (True, False):
         exprs = {
-            c: present(c, k).cast("double") if numeric else text_key(c, k)
+            c: present(c, k).cast("double") if numeric else whole_text(c, k)
             for c, k in kinds.items() if (k in ("integer", "float")) == numeric
         }
         if not exprs:
             continue
         long = _stacked(df, exprs, [y], "x").where(F.col("_k0").isNotNull())
         per_value = long.groupBy("column", "x").agg(
-            F.count(F.lit(1)).alias("w"), F.sum("_k0").alias("s"), F.sum(F.col("_k0") * F.col("_k0")).alias("q")
-        ).withColumn("one", F.lit(1))
-        placed = running_totals(per_value, ["column"], "x", ["one", "w"])
-        few = F.col("all_one") <= TREE_BINS
-        by_value = F.col("cum_one") - 1
-        by_weight = F.floor((F.col("cum_w") - F.col("w") / 2.0) * TREE_BINS / F.col("all_w"))
-        # average rank of the value, centred on the mean rank
+            F.count(F.lit(1)).alias("w"), F.sum("_k0").alias("s"), F.sum(F.col("_k0") * F.col("_k0")).alias("q"))
+        totals = running_totals(per_value, ["column"], "x", ["w", "s", "q"])
+        # the tree reads this table once per level, without the values
+        placed = settled(totals.where(F.col("all_w") >= LEAST_ROWS).drop("x"))
         rank = F.col("cum_w") - (F.col("w") - 1) / 2.0 - (F.col("all_w") + 1) / 2.0
-        binned = (
-            placed.where(F.col("all_w") >= LEAST_ROWS)
-            .withColumn("bin", F.when(few, by_value).otherwise(by_weight).cast("bigint")).withColumn("rank", rank)
-            .groupBy("column", "bin").agg(
-                F.sum("w").alias("w"), F.sum("s").alias("s"), F.sum("q").alias("q"),
-                F.sum(F.col("rank") * F.col("s")).alias("xy"), F.sum(F.col("w") * F.col("rank") * F.col("rank")).alias("xx"))
-        )
+        sums = placed.groupBy("column").agg(
+            F.sum(rank * F.col("s")).alias("xy"), F.sum(F.col("w") * rank * rank).alias("xx"), F.max("all_w").alias("tw"),
+            F.max("all_s").alias("ts"), F.max("all_q").alias("tq"))
 
         def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            total = pdf[["w", "s", "q", "xy", "xx"]].astype(float).sum()
-            norm = np.sqrt(total["xx"] * max(total["q"] - total["s"] ** 2 / total["w"], 0.0))
-            rho = (total["xy"] / norm if norm > 0 else 0.0) if binary else None
+            t = pdf.iloc[0]
+            norm = np.sqrt(t["xx"] * max(t["tq"] - t["ts"] ** 2 / t["tw"], 0.0))
+            rho = (t["xy"] / norm if norm > 0 else 0.0) if binary else None
             return pd.DataFrame({
-                "column": [key[0]], "metric": [metric], "score": [_score_tree(pdf, binary)], "spearman": [rho]})
+                "column": [key[0]], "metric": [metric], "score": [_score_leaves(pdf, binary)], "spearman": [rho]})
 
-        parts.append(binned.groupBy("column").applyInPandas(
+        # broadcast: one row per feature
+        parts.append(_with_leaves(placed).join(F.broadcast(sums), "column").groupBy("column").applyInPandas(
             score, "column string, metric string, score double, spearman double"))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 

@@ -13,10 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions.columns import families, present, quoted, ref, text_key
+from gaugework.functions.columns import families, once, present, quoted, ref, text_key
 
 _OVERSAMPLE = 8
-_STRIDE = 32
+# A cut point only separates, so the head of a text does: buckets stay in order whatever the cut points are.
+_CUT_HEAD = 100
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -30,21 +31,27 @@ def _splitters(df: DataFrame, by: list[str], order: str, buckets: int) -> DataFr
     One member of each hash class is picked by a second hash, so the sample is a pure function of
     the data: recomputing it after a lost executor or in another branch gives the same buckets.
     """
+    member = f"substring({order}, 1, {_CUT_HEAD})" if df.schema[order].dataType.typeName() == "string" else order
     picked = df.groupBy(*by, F.expr(f"pmod(xxhash64('class', {order}), {buckets * _OVERSAMPLE}) AS _class")).agg(
-        F.expr(f"min_by({order}, xxhash64('pick', {order})) AS _member"))
+        F.expr(f"min_by({member}, xxhash64('pick', {order})) AS _member"))
     # at most buckets * _OVERSAMPLE members per group: bounded by the partition setting
     return picked.groupBy(*by).agg(F.expr(
         f"filter(sort_array(collect_list(_member)), (x, i) -> i % {_OVERSAMPLE} = {_OVERSAMPLE - 1}) AS _cuts"))
 
 
-def _bucket(order: str, buckets: int) -> str:
-    """Number of cut points not above the value, in two steps when there are many."""
-    if buckets <= 2 * _STRIDE:
-        return f"size(filter(_cuts, c -> c <= {order}))"
-    coarse = f"size(filter(filter(_cuts, (c, i) -> i % {_STRIDE} = {_STRIDE - 1}), c -> c <= {order}))"
-    return (
-        f"{coarse} * {_STRIDE} + size(filter(slice(_cuts, {coarse} * {_STRIDE} + 1, {_STRIDE}), c -> c <= {order}))"
-    )
+def _with_bucket(df: DataFrame, order: str, buckets: int) -> DataFrame:
+    """Add ``_bucket``, the number of cut points not above the value, found by halving.
+
+    The halving takes one step for each bit of the number of buckets; every step is evaluated once per row.
+    """
+    place, step = "0", 1 << max(0, buckets.bit_length() - 1)
+    while step:
+        # places beyond the last cut point are never reached, and element_at sees only those that exist
+        further = f"IF({place} + {step} <= size(_cuts), element_at(_cuts, greatest(1, least({place} + {step}, size(_cuts)))) <= {order}, false)"
+        name = f"_place{step}"
+        df = once(df, **{name: F.expr(f"{place} + IF({further}, {step}, 0)")})
+        place, step = name, step // 2
+    return df.withColumnRenamed(place, "_bucket")
 
 
 def running_totals(
@@ -61,7 +68,7 @@ def running_totals(
     counted = df.where(f"greatest({', '.join(sums)}, 0) >= 0")
     cuts = _splitters(counted, by, order, buckets)
     # broadcast: groups x buckets cut points
-    placed = counted.join(F.broadcast(cuts), by).selectExpr(*counted.columns, f"{_bucket(order, buckets)} AS _bucket")
+    placed = _with_bucket(counted.join(F.broadcast(cuts), by), order, buckets).select(*counted.columns, "_bucket")
     before = f"OVER (PARTITION BY {keys} ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     totals = placed.groupBy(*by, "_bucket").agg(*[F.expr(f"sum({s}) AS _t_{s}") for s in sums])
     # broadcast: one row per (group, bucket)
