@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugework.functions.columns import families, ref
+from gaugework.functions.columns import families, once, ref
+from gaugework.operators.lineage import settled
 from gaugework.operators.ordered import running_totals
 from gaugework.operators.semantic import parsed_datetime
 
@@ -113,6 +114,29 @@ def cleaned_text(df: DataFrame, text: str) -> DataFrame:
         "_raw", "_u", "_no_nul", "_visible", "_clean")
 
 
+def _fold_rules() -> tuple[dict[str, str], dict[str, str]]:
+    """What case folding changes in lower-case text: single characters, and those that become several."""
+    one: dict[str, str] = {}
+    many: dict[str, str] = {}
+    for code in range(0x110000):
+        low, folded = chr(code).lower(), chr(code).casefold()
+        if folded != low and len(low) == 1:
+            (one if len(folded) == 1 else many)[low] = folded
+    return one, many
+
+
+_FOLD_ONE, _FOLD_MANY = _fold_rules()
+
+
+def case_folded(text: Column) -> Column:
+    """Full case folding with built-ins: lower case, then the characters that folding treats otherwise."""
+    low = F.translate(F.lower(text), "".join(_FOLD_ONE), "".join(_FOLD_ONE.values()))
+    spread = low
+    for a, b in _FOLD_MANY.items():
+        spread = F.replace(spread, F.lit(a), F.lit(b))
+    return F.when(low.rlike("[" + "".join(_FOLD_MANY) + "]"), spread).otherwise(low)
+
+
 def is_placeholder(text: Column) -> Column:
     return F.trim(F.lower(text)).isin(*PLACEHOLDERS)
 
@@ -135,10 +159,10 @@ def normalized_number(value: Column) -> Column:
     return F.trim(bare).try_cast("double")
 
 
-def _row_position(df: DataFrame, value: str) -> DataFrame:
-    """value, position: 1-based place of each distinct value in sorted order."""
-    one = df.selectExpr("'all' AS g", value, "1L AS one")
-    return running_totals(one, ["g"], value, ["one"]).selectExpr(value, "cum_one AS position")
+def _row_position(df: DataFrame, key: str, value: str) -> DataFrame:
+    """key, position: 1-based place of each distinct value in sorted order."""
+    one = df.selectExpr("'all' AS g", key, value, "1L AS one")
+    return running_totals(one, ["g"], value, ["one"]).selectExpr(key, "cum_one AS position")
 
 
 def _best_ratios(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.Series:
@@ -204,27 +228,28 @@ def near_duplicate_ratios(texts: DataFrame, block: int = GROUP_BLOCK) -> DataFra
 def duplicate_columns(df: DataFrame) -> DataFrame:
     """Add is_duplicate, duplicate_group_id, duplicate_type and duplicate_similarity.
 
-    Texts are grouped by a short key of the whole folded text (itself, or its head and digest), and
-    copies are counted on the map side first. Only keys with copies or near copies take part in the
-    join back, where adaptive execution splits a hot key. Near duplicates share all word characters
-    and are looked for among texts that are not exact copies.
+    Texts are grouped by a short key of the whole case-folded text (itself, or its head and digest), and copies are
+    counted on the map side first. Group numbers follow the order of whole texts, which are carried once per group.
+    The folded rows are stored once; only keys with copies or near copies take part in the join back, where adaptive
+    execution splits a hot key. Near duplicates share all word characters and are looked for among texts that are
+    not exact copies.
     """
-    staged = df.withColumn("_folded", F.lower("cleaned_text")).withColumn(
-        "_bare", F.regexp_replace("_folded", r"(?U)[^\w]+", ""))
+    folded = once(df, _folded=case_folded(F.col("cleaned_text")))
+    staged = once(folded, _bare=F.regexp_replace("_folded", r"[^\p{L}\p{N}_]+", ""))
     short = "CASE WHEN {c} = '' THEN NULL WHEN length({c}) <= 100 THEN {c} ELSE concat(substring({c}, 1, 100), sha2({c}, 256)) END"
-    keyed = staged.withColumn("_key", F.expr(short.format(c="_folded"))).withColumn("_near", F.expr(short.format(c="_bare")))
-    texts = keyed.where("_key IS NOT NULL").groupBy("_key", "_near").agg(F.expr("count(1) AS copies"))
-    exact = texts.where("copies > 1").select("_key")
-    exact_ids = _row_position(exact, "_key").selectExpr(
+    keyed = settled(staged.withColumn("_key", F.expr(short.format(c="_folded"))).withColumn("_near", F.expr(short.format(c="_bare"))))
+    texts = settled(keyed.where("_key IS NOT NULL").groupBy("_key", "_near").agg(
+        F.expr("count(1) AS copies"), F.min("_folded").alias("_folded"), F.min("_bare").alias("_bare")))
+    exact = texts.where("copies > 1").select("_key", "_folded")
+    exact_ids = _row_position(exact, "_key", "_folded").selectExpr(
         "_key", "'exact' AS kind", "position AS number", "1.0D AS similarity")
     single = texts.where("copies = 1 AND _near IS NOT NULL")
-    groups = single.groupBy("_near").agg(F.expr("count(1) AS members")).where("members > 1").select("_near")
+    groups = single.groupBy("_near").agg(F.expr("count(1) AS members"), F.min("_bare").alias("_bare")).where("members > 1").select("_near", "_bare")
     # one row: how many numbers the exact groups have used
     used = exact.agg(F.expr("count(1) AS used")).withColumn("_one", F.lit(1))
-    numbers = _row_position(groups, "_near").withColumn("_one", F.lit(1)).join(F.broadcast(used), "_one").selectExpr(
+    numbers = _row_position(groups, "_near", "_bare").withColumn("_one", F.lit(1)).join(F.broadcast(used), "_one").selectExpr(
         "_near", "position + used AS number")
-    wanted = single.join(groups, "_near").select("_key", "_near")
-    members = keyed.select("_key", "_folded").join(wanted, "_key").selectExpr("_near AS group", "_key AS digest", "_folded AS text")
+    members = single.join(groups.select("_near"), "_near").selectExpr("_near AS group", "_key AS digest", "_folded AS text")
     near_ids = near_duplicate_ratios(members).withColumnRenamed("group", "_near").join(numbers, "_near").selectExpr(
         "digest AS _key", "'near_duplicate' AS kind", "number", "similarity")
     marks = exact_ids.unionByName(near_ids)

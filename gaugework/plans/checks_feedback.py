@@ -20,10 +20,10 @@ _CLEAN = (
     "nullif(trim(regexp_replace(category, '\\s+', ' ', 'g')), '') AS cat, "
     "try_cast(regexp_replace(regexp_replace(replace(rating, ',', ''), '^\\s*[$%]', ''), '[$%]\\s*$', '') AS DOUBLE) AS num FROM reviews_audit"
 )
-_SHORT = "CASE WHEN {c} = '' THEN NULL WHEN length({c}) <= 100 THEN {c} ELSE concat(left({c}, 100), sha256({c})) END"
+# case folding of the letters that the documents have: lower case, and sharp s as two letters
+_FOLDED = "replace(lower(cleaned), 'ß', 'ss')"
 _KEYED = (
-    f"SELECT *, {_SHORT.format(c='lower(cleaned)')} AS k, "
-    + _SHORT.format(c="regexp_replace(lower(cleaned), '[^\\p{L}\\p{N}\\p{M}_]+', '', 'g')") + " AS nk FROM cl"
+    f"SELECT *, nullif({_FOLDED}, '') AS k, nullif(regexp_replace({_FOLDED}, '[^\\p{{L}}\\p{{N}}_]+', '', 'g'), '') AS nk FROM cl"
 )
 _DUPLICATES = (
     "kc AS (SELECT k, min(nk) AS nk, count(*) AS copies FROM ky WHERE k IS NOT NULL GROUP BY k), "
@@ -192,7 +192,7 @@ _LEXICON_ROWS = "('that', 0.5, 0.4), ('for', -0.25, 0.8), ('the', 0.1, 0.2), ('a
 @register(
     "lexicon_polarity_conversations",
     f"WITH lx(word, p, s) AS (VALUES {_LEXICON_ROWS}), t AS (SELECT conv_id * 1000 + turn AS key, "
-    "unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_][\\p{L}\\p{N}\\p{M}_''-]*')) AS w FROM conversations), "
+    "unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_][\\p{L}\\p{N}_''-]*')) AS w FROM conversations), "
     "a AS (SELECT key, avg(p) AS p, avg(s) AS s FROM t JOIN lx ON w = word GROUP BY key) "
     f"SELECT c.conv_id * 1000 + c.turn AS key, {rounded_sql('coalesce(p, 0.0) + 0.0000001')} AS polarity, {rounded_sql('coalesce(s, 0.0)')} AS subjectivity "
     "FROM conversations c LEFT JOIN a ON a.key = c.conv_id * 1000 + c.turn",
@@ -208,7 +208,7 @@ _STOP = ", ".join(f"'{t}'" for t in tm.GENERIC_TERMS)
 _GRAMS = (
     "g AS (SELECT key, unnest(list_concat(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), "
     "list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS term FROM ("
-    "SELECT conv_id * 1000 + turn AS key, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]([\\p{L}\\p{N}\\p{M}_''-]*[\\p{L}\\p{N}\\p{M}_])?'), "
+    "SELECT conv_id * 1000 + turn AS key, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]([\\p{L}\\p{N}_''-]*[\\p{L}\\p{N}_])?'), "
     f"lambda t: NOT list_contains([{_STOP}], t)) AS w FROM conversations)), "
     "tf AS (SELECT key, term, count(*) AS tf FROM g GROUP BY key, term), "
     "v AS (SELECT term, count(*) AS df FROM tf GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 300), "
