@@ -29,17 +29,17 @@ def _empty(df: DataFrame, schema: str) -> DataFrame:
 def dataset_summary(df: DataFrame) -> DataFrame:
     """One row: rows, valid rows and the date range."""
     valid = F.count_if(F.col("validation_status") == "VALID") if "validation_status" in df.columns else F.count(F.lit(1))
-    field = next((f for f in DATE_FIELDS if f in df.columns), None)
-    when = ref(field).try_cast("timestamp") if field else F.lit(None).cast("timestamp")
+    # the first date field that has any readable date gives the range
+    dates = [ref(f).try_cast("timestamp") for f in DATE_FIELDS if f in df.columns] or [F.lit(None).cast("timestamp")]
     return df.agg(
         F.count(F.lit(1)).alias("row_count"), valid.alias("valid_rows"),
-        F.min(when).alias("start"), F.max(when).alias("end"))
+        F.coalesce(*[F.min(d) for d in dates]).alias("start"), F.coalesce(*[F.max(d) for d in dates]).alias("end"))
 
 
 def dimensions(df: DataFrame) -> DataFrame:
     """column, distinct_count of columns with at most min(50, rows) distinct values.
 
-    A bounded sketch settles clearly high-cardinality columns cheaply; the rest is counted exactly.
+    A sketch with 5 % error sets columns of clearly more values aside; only the rest is counted exactly.
     """
     from gaugework.operators.ordered import value_counts
     from gaugework.operators.profile import column_counts, distinct_counts
@@ -50,7 +50,12 @@ def dimensions(df: DataFrame) -> DataFrame:
     ]
     slim = df.select(*[ref(c) for c in plain])
     counts = column_counts(slim).select("column", "n_rows")
-    distinct = distinct_counts(value_counts(slim, plain))
+    sketch = slim.agg(*[F.approx_count_distinct(ref(c), 0.05).alias(f"s{i}") for i, c in enumerate(plain)]).first()
+    low = [c for i, c in enumerate(plain) if sketch[f"s{i}"] <= 2 * MAX_DIMENSION]
+    if not low:
+        return _empty(df, "column string, distinct_count long")
+    distinct = distinct_counts(value_counts(slim.select(*[ref(c) for c in low]), low))
+    counts = counts.where(F.col("column").isin(low))
     # one row per column
     return counts.join(F.broadcast(distinct), "column", "left").select(
         "column", F.coalesce("unique_count", F.lit(0)).alias("distinct_count"), "n_rows"

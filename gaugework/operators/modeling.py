@@ -11,11 +11,12 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugework.functions.columns import KEY_HEAD, families, present, ref
+from gaugework.functions.columns import KEY_HEAD, families, present, quoted, ref
 from gaugework.functions.numeric import rounded
 from gaugework.operators.drift import partition_by_position
 from gaugework.operators.lineage import settled
 from gaugework.operators.ordered import running_totals, value_counts
+from gaugework.operators.semantic import parsed_datetime
 from gaugework.operators.profile import NUMERIC, quantiles
 
 # The model, the seed, the fold limit and the clipping percentiles.
@@ -61,14 +62,16 @@ def chronological_folds(df: DataFrame, time: str, key: str, k: int) -> DataFrame
     Fold i is validated by a model fitted on all rows before it. Block boundaries are found by exact
     selection and become literal comparisons.
     """
+    moment = "_moment"
+    timed = df.withColumn(moment, parsed_datetime(ref(time)) if families(df, [time])[time] == "string" else ref(time))
     n = df.count()
     block = n // (k + 1)
     fold = F.lit(-1)
     for i in range(k):
         start = n - (k - i) * block
-        part = partition_by_position(df, [time, key], start / n + 0.5 / n)
+        part = partition_by_position(timed, [moment, key], start / n + 0.5 / n)
         fold = F.when(part.current, F.lit(i)).otherwise(fold)
-    return df.withColumn("fold", fold)
+    return timed.withColumn("fold", fold).drop(moment)
 
 
 @dataclass(frozen=True)
@@ -139,8 +142,10 @@ def category_codes(train: DataFrame, columns: list[str]) -> DataFrame | None:
     if not columns:
         return None
     filled = train.select(*[F.coalesce(ref(c).cast("string"), F.lit(MISSING)).alias(c) for c in columns])
-    seen = value_counts(filled, columns)["text"].selectExpr("column", "value", "1L AS one")
-    return settled(running_totals(seen, ["column"], "value", ["one"]).selectExpr(
+    long = filled.unpivot([], [quoted(c) for c in columns], "column", "whole")
+    # counted by a short key; the order is that of whole texts, carried once per category
+    seen = long.groupBy("column", _short_key(F.col("whole")).alias("value")).agg(F.min("whole").alias("whole")).withColumn("one", F.lit(1).cast("long"))
+    return settled(running_totals(seen, ["column"], "whole", ["one"]).selectExpr(
         "column", "value", "CAST(cum_one - 1 AS double) AS code"))
 
 
@@ -164,7 +169,10 @@ def _vectors(rows: DataFrame, made: Prepared, text: list[str], codes: DataFrame
 
 def text_key_or_missing(name: str) -> Column:
     """Category as the short key of its whole text; a missing value is a category of its own."""
-    text = F.coalesce(ref(name).cast("string"), F.lit(MISSING))
+    return _short_key(F.coalesce(ref(name).cast("string"), F.lit(MISSING)))
+
+
+def _short_key(text: Column) -> Column:
     return F.when(F.length(text) <= KEY_HEAD, text).otherwise(F.concat(F.substring(text, 1, KEY_HEAD), F.sha2(text, 256)))
 
 
@@ -184,19 +192,23 @@ def out_of_fold_predictions(
     shared = None if isolated else (fit_preparation(folded, features, recipe), category_codes(folded, text))
     keep = ["_key", "_label"]
     rows = folded.withColumn("_key", ref(key)).withColumn("_label", ref(label).cast("double"))
+    # without its number of classes a label counts as one of a hundred at most
+    classes = int(rows.agg(F.max("_label")).first()[0] or 0) + 1 if classification else 0
+    nominal = {"ml_attr": {"type": "nominal", "name": "_label", "num_vals": max(2, classes)}}
     for i in range(k):
         train = rows.where(F.col("fold") < i) if chronological else rows.where(F.col("fold") != i)
         made, codes = shared or (fit_preparation(train, features, recipe), category_codes(train, text))
         checks = [
             F.sum(((ref(c) < F.lit(lo)) | (ref(c) > F.lit(hi))).cast("bigint")) for c, (lo, hi) in made.bounds.items()
-        ] + [F.sum(ref(c).isNull().cast("bigint")) for c in recipe.flags if c in features]
+        ] + [F.sum(present(c, kinds[c]).isNull().cast("bigint")) for c in recipe.flags if c in features]
         if checks:
             touched = max(touched, sum(v or 0 for v in train.agg(*checks).first()))
         common = dict(featuresCol="features", labelCol="_label", numTrees=TREES, maxDepth=DEPTH,
                       minInstancesPerNode=LEAF, seed=seed)
         forest = RandomForestClassifier(**common) if classification else RandomForestRegressor(**common)
         # the trainer reads its input several times
-        model = forest.fit(settled(_vectors(train, made, text, codes, keep)))
+        table = settled(_vectors(train, made, text, codes, keep))
+        model = forest.fit(table.withMetadata("_label", nominal) if classification else table)
         scored = model.transform(_vectors(rows.where(F.col("fold") == i), made, text, codes, keep))
         p = F.get(vector_to_array("probability"), F.lit(1)) if classification else F.lit(None).cast("double")
         parts.append(settled(scored.select(
