@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gaugework.functions.columns import ref
 from gaugework.operators import association, decisions, drift, fairness, leakage, quality, semantic
 from gaugework.operators import findings as fd
 from gaugework.operators.lineage import settled
@@ -251,12 +252,15 @@ def leakage_findings_orders(spark, sf_dir):
 
 @register(
     "post_event_names_orders",
-    "SELECT name AS \"column\", name = 'refund_flag' AS post_event_name FROM (VALUES "
-    + ", ".join(f"('{c}')" for c in FEATURES) + ") t(name) WHERE (SELECT count(*) FROM orders) > 0",
+    cte("orders_audit") + " " + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", {str(c == 'refund_flag').lower()} AS post_event_name, count(\"{c}\") AS n_present FROM orders_audit" for c in FEATURES),
 )
 def post_event_names_orders(spark, sf_dir):
+    """Suspicious names beside the number of rows that have a value."""
     df = view(spark, sf_dir, "orders_audit")
-    return leakage.post_event_names(df, [c for c in df.columns if c in FEATURES])
+    names = [c for c in df.columns if c in FEATURES]
+    present_rows = df.select([F.count(ref(c)).alias(c) for c in names]).unpivot([], names, "column", "n_present")
+    return leakage.post_event_names(df, names).join(present_rows, "column")
 
 
 _IDS = "SELECT customer_id AS id, max(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS a, max(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS b FROM orders_audit GROUP BY customer_id"
@@ -558,7 +562,7 @@ def redundancy_and_outlier_candidates_orders(spark, sf_dir):
 
 def _event_findings(spark, sf_dir):
     """A findings table derived from the events: one row per event with varied severity and type."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").where("value > 200").selectExpr(
+    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
         "concat('F-', event_id) AS id",
         "CASE user_id % 4 WHEN 0 THEN 'missingness' WHEN 1 THEN 'target_leakage' WHEN 2 THEN 'distribution_drift' ELSE 'slice_bias' END AS type",
         "CASE user_id % 5 WHEN 0 THEN 'OBSERVED' ELSE 'SUSPECTED' END AS status",
@@ -572,33 +576,51 @@ _EVENT_FINDINGS = (
     "WHEN 2 THEN 'distribution_drift' ELSE 'slice_bias' END AS type, CASE user_id % 5 WHEN 0 THEN 'OBSERVED' ELSE 'SUSPECTED' END AS status, "
     "CASE WHEN value > 300 THEN 'CRITICAL' WHEN value > 250 THEN 'WARNING' ELSE 'INFO' END AS severity, "
     "concat('feature_', CAST(user_id % 7 AS VARCHAR)) AS \"column\", concat('Seen: ', event_type) AS title, "
-    "concat('value ', event_type, ' of user ', CAST(user_id AS VARCHAR)) AS description FROM events WHERE value > 200) "
+    "concat('value ', event_type, ' of user ', CAST(user_id AS VARCHAR)) AS description FROM events) "
 )
+# nine findings from all events: the severity follows the number of large values in each group of users
+_GROUP_FINDINGS = (
+    "WITH g AS (SELECT user_id % 9 AS g, sum(CASE WHEN value > 200 THEN 1 ELSE 0 END) AS n FROM events GROUP BY user_id % 9), "
+    "f AS (SELECT concat('F-', CAST(g AS VARCHAR)) AS id, CASE g % 4 WHEN 0 THEN 'missingness' WHEN 1 THEN 'target_leakage' "
+    "WHEN 2 THEN 'distribution_drift' ELSE 'slice_bias' END AS type, "
+    "CASE n % 3 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'WARNING' ELSE 'INFO' END AS severity FROM g) "
+)
+
+
+def _group_findings(spark, sf_dir):
+    groups = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.expr("user_id % 9 AS g")).agg(F.count_if(F.col("value") > 200).alias("n"))
+    return groups.selectExpr(
+        "concat('F-', g) AS id",
+        "CASE g % 4 WHEN 0 THEN 'missingness' WHEN 1 THEN 'target_leakage' WHEN 2 THEN 'distribution_drift' ELSE 'slice_bias' END AS type",
+        "'SUSPECTED' AS status", "CASE n % 3 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'WARNING' ELSE 'INFO' END AS severity",
+        "concat('feature_', g) AS column", "'' AS title", "'' AS description")
+
+
 _POINTS = "sum(CASE severity WHEN 'CRITICAL' THEN 15.0 WHEN 'WARNING' THEN 5.0 ELSE 1.0 END)"
 
 
-def _health_sql(where: str, supervised: bool) -> str:
+def _health_sql(supervised: bool) -> str:
     group = lambda t: f"greatest(0, 100 - coalesce({_POINTS} FILTER (WHERE type = '{t}'), 0))"
     parts = {"quality": group("missingness"), "drift": group("distribution_drift"),
              "leakage": group("target_leakage") if supervised else "0.0", "fairness": group("slice_bias") if supervised else "0.0"}
     overall = ("0.3 * q + 0.3 * l + 0.2 * d + 0.2 * s" if supervised else "(0.3 * q + 0.2 * d) / 0.5")
     return (
-        _EVENT_FINDINGS + f"SELECT overall_score, q AS quality_score, l AS leakage_score, d AS drift_score, s AS fairness_score, "
+        _GROUP_FINDINGS + f"SELECT overall_score, q AS quality_score, l AS leakage_score, d AS drift_score, s AS fairness_score, "
         "CASE WHEN overall_score >= 90 THEN 'A+' WHEN overall_score >= 80 THEN 'A' WHEN overall_score >= 70 THEN 'B' "
         "WHEN overall_score >= 55 THEN 'C' WHEN overall_score >= 40 THEN 'D' ELSE 'F' END AS grade FROM ("
         f"SELECT q, l, d, s, round({overall}, 1) AS overall_score FROM (SELECT CAST({parts['quality']} AS DOUBLE) AS q, CAST({parts['leakage']} AS DOUBLE) AS l, "
-        f"CAST({parts['drift']} AS DOUBLE) AS d, CAST({parts['fairness']} AS DOUBLE) AS s FROM f WHERE {where}))"
+        f"CAST({parts['drift']} AS DOUBLE) AS d, CAST({parts['fairness']} AS DOUBLE) AS s FROM f))"
     )
 
 
-@register("health_score_events", _health_sql("user_tag", True).replace("user_tag", "id LIKE '%7'"))
+@register("health_score_events", _health_sql(True))
 def health_score_events(spark, sf_dir):
-    return decisions.health_score(_event_findings(spark, sf_dir).where("id LIKE '%7'"))
+    return decisions.health_score(_group_findings(spark, sf_dir))
 
 
-@register("health_score_without_target_events", _health_sql("user_tag", False).replace("user_tag", "id LIKE '%3'"))
+@register("health_score_without_target_events", _health_sql(False))
 def health_score_without_target_events(spark, sf_dir):
-    return decisions.health_score(_event_findings(spark, sf_dir).where("id LIKE '%3'"), has_target=False)
+    return decisions.health_score(_group_findings(spark, sf_dir), has_target=False)
 
 
 @register(
@@ -631,16 +653,16 @@ def executive_summary_events(spark, sf_dir):
 
 @register(
     "recorded_decisions_events",
-    "WITH c AS (SELECT DISTINCT concat('DEC-', CAST(user_id AS VARCHAR)) AS decision_id FROM events WHERE user_id < 200), "
+    "WITH c AS (SELECT concat('DEC-', CAST(c_custkey AS VARCHAR)) AS decision_id FROM customer), "
     "d AS (SELECT concat('DEC-', CAST(user_id AS VARCHAR)) AS decision_id, event_type AS strategy, CAST(ts AS VARCHAR) AS at, "
-    "row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) AS r FROM events WHERE value > 100) "
+    "row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) AS r FROM events) "
     "SELECT c.decision_id, CASE WHEN d.strategy IS NULL THEN 'EXPERIMENT_READY' ELSE 'USER_DECISION' END AS status, d.strategy "
     "FROM c LEFT JOIN d ON c.decision_id = d.decision_id AND d.r = 1",
 )
 def recorded_decisions_events(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    candidates = events.where("user_id < 200").selectExpr("concat('DEC-', user_id) AS decision_id", "'EXPERIMENT_READY' AS status").distinct()
-    log = events.where("value > 100").selectExpr(
+    candidates = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("concat('DEC-', c_custkey) AS decision_id", "'EXPERIMENT_READY' AS status")
+    log = events.selectExpr(
         "concat('DEC-', user_id) AS decision_id", "event_type AS selected_strategy_id", "props AS decision_rationale",
         "ts AS decided_at", "CAST(NULL AS string) AS custom_method_notes")
     return decisions.apply_decisions(candidates, log).select(
