@@ -10,8 +10,8 @@ Manhattan distance of two embeddings never exceeds the number of differing bits.
 Grid: the 32 coordinates form eight groups. Two embeddings within Manhattan distance four differ in four groups at
 most, so they agree on four whole groups: each choice of four groups is one grid, and a fingerprint has one cell in
 each of the 70 grids. Members of a cell are compared in one task: first the Manhattan bound, then the differing bits.
-A task writes a spanning forest of the links it finds, never all pairs; a cell above ``CELL`` members is dealt as
-pairs of blocks to several tasks, so every pair still meets.
+A task writes a spanning forest of the links it finds, never all pairs. A cell above ``CELL`` members is only named
+there; its members are dealt as pairs of blocks to several tasks, so every pair still meets.
 
 Equal fingerprints are one node from the start; a group of copies of any size is one row. Components are found on
 the forest. Nothing but counts reaches the driver.
@@ -115,66 +115,92 @@ def forest(fps: np.ndarray, sides: np.ndarray | None = None) -> Iterator[tuple[i
                 front.extend(near.tolist())
 
 
-_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def _cell_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forest edges of each run of equal (cell, part); the rows come sorted by them."""
-    rest: list[np.ndarray] = [np.empty((0, 3), np.int64)]
-
-    def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(rows):
-            return
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
-        starts = np.append(new.nonzero()[0], len(rows))
-        a: list[np.ndarray] = []
-        b: list[np.ndarray] = []
-        sizes = np.diff(starts)
-        # cells of two members at once
-        two = starts[:-1][sizes == 2]
-        p, q = rows[two, 2], rows[two + 1, 2]
-        x, y = p.view(np.uint64), q.view(np.uint64)
-        link = np.bitwise_count(_embedded_array(x) ^ _embedded_array(y)) <= DISTANCE
-        link &= (np.bitwise_count(x ^ y) <= DISTANCE) & (p != q)
-        a.append(p[link])
-        b.append(q[link])
-        for s, n in zip(starts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            members = np.unique(rows[s:s + n, 2])
-            tree = list(forest(members.view(np.uint64)))
-            if tree:
-                a.append(members[[i for i, _ in tree]])
-                b.append(members[[j for _, j in tree]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=_EDGE)
-
-    for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
-        rows = np.concatenate([rest[0], rows]) if len(rest[0]) else rows
-        if not len(rows):
-            continue
-        # the last run may go on in the next batch
-        last = int(np.argmax((rows[:, :2] == rows[-1, :2]).all(axis=1)))
-        rest[0] = rows[last:]
-        yield from found(rows[:last])
-    yield from found(rest[0])
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("large", pa.int64())])
+
+
+def _edges(a: list[np.ndarray], b: list[np.ndarray], large: list[int]) -> pa.RecordBatch:
+    none = len(large)
+    left, right = (np.concatenate([*side, np.empty(0, np.int64)]) for side in (a, b))
+    return pa.RecordBatch.from_arrays([
+        pa.array(left.tolist() + [None] * none, pa.int64()), pa.array(right.tolist() + [None] * none, pa.int64()),
+        pa.array([None] * len(left) + large, pa.int64()),
+    ], schema=_EDGE)
+
+
+def _run_edges(rows: np.ndarray, cell: int) -> pa.RecordBatch:
+    """Forest edges of each run of equal cells in ``rows`` (cell, fp); runs above ``cell`` members are only named."""
+    starts = np.append(np.concatenate([[0], (rows[1:, 0] != rows[:-1, 0]).nonzero()[0] + 1]), len(rows))
+    sizes = np.diff(starts)
+    # cells of two members at once
+    two = starts[:-1][sizes == 2]
+    p, q = rows[two, 1], rows[two + 1, 1]
+    x, y = p.view(np.uint64), q.view(np.uint64)
+    link = np.bitwise_count(_embedded_array(x) ^ _embedded_array(y)) <= DISTANCE
+    link &= (np.bitwise_count(x ^ y) <= DISTANCE) & (p != q)
+    a, b, large = [p[link]], [q[link]], rows[starts[:-1][sizes > cell], 0].tolist()
+    middle = (sizes > 2) & (sizes <= cell)
+    for s, n in zip(starts[:-1][middle].tolist(), sizes[middle].tolist()):
+        members = np.unique(rows[s:s + n, 1])
+        tree = list(forest(members.view(np.uint64)))
+        if tree:
+            a.append(members[[i for i, _ in tree]])
+            b.append(members[[j for _, j in tree]])
+    return _edges(a, b, large)
+
+
+def _cell_edges(cell: int):
+    """The edges of sorted (cell, fp) rows; a run that outgrows ``cell`` is named and not held."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, skipped = np.empty((0, 2), np.int64), None
+        for batch in batches:
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)], axis=1)
+            if skipped is not None:
+                rows = rows[rows[:, 0] != skipped]
+            rows = np.concatenate([rest, rows]) if len(rest) else rows
+            if not len(rows):
+                continue
+            # the last run may go on in the next batch
+            last = int(np.argmax(rows[:, 0] == rows[-1, 0]))
+            rest = rows[last:]
+            if last:
+                yield _run_edges(rows[:last], cell)
+            if len(rest) > cell:
+                skipped = rest[0, 0]
+                yield _edges([], [], [int(skipped)])
+                rest = rest[:0]
+        if len(rest):
+            yield _run_edges(rest, cell)
+
+    return read
 
 
 def links(nodes: DataFrame, cell: int = CELL) -> DataFrame:
     """Edges (a, b) that connect the same fingerprints as all links of ``nodes`` (fp: distinct) do."""
     width = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = cells(nodes.repartition(width, "fp"))
-    counts = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(counts.select(F.col("cell").alias("c"), F.ceil(F.col("n") / cell).cast("int").alias("blocks")), "grid-cells")
-    members = placed.join(shared, F.col("cell") == F.col("c")).select("cell", "blocks", "fp")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    # a cell of one block is one part; of more, block i meets block j in part (min, max)
-    part = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda j: F.least(own, j).cast("long") * F.col("blocks") + F.greatest(own, j),
-    ))
-    dealt = members.select("cell", F.explode(part).alias("part"), "fp")
-    runs = dealt.repartition(width, "cell", "part").sortWithinPartitions("cell", "part")
-    return runs.mapInArrow(_cell_edges, "a long, b long").distinct()
+
+    def searched(rows: DataFrame, most: int) -> DataFrame:
+        runs = rows.repartition(width, "cell").sortWithinPartitions("cell")
+        return runs.mapInArrow(_cell_edges(most), "a long, b long, large long")
+
+    found = written(searched(placed, cell), "grid-edges")
+    edges = found.where("a IS NOT NULL").select("a", "b")
+    large = found.where("large IS NOT NULL").select(F.col("large").alias("c")).distinct()
+    if large.limit(1).count():
+        # members of the large cells are dealt in blocks, and block i meets block j in a cell of their own
+        members = written(placed.join(large, F.col("cell") == F.col("c"), "left_semi"), "large-cells")
+        counts = members.groupBy(F.col("cell").alias("c")).agg(F.ceil(F.count("*") / cell).cast("int").alias("blocks"))
+        sized = members.join(counts, F.col("cell") == F.col("c"))
+        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        pairs = F.transform(
+            F.sequence(F.lit(0), F.col("blocks") - 1),
+            lambda j: F.xxhash64("cell", F.least(own, j), F.greatest(own, j)),
+        )
+        dealt = sized.select(F.explode(pairs).alias("cell"), "fp")
+        # a pair of blocks has two blocks' members, give or take the hash; it is never named again
+        edges = edges.unionByName(searched(dealt, 1 << 62).select("a", "b"))
+    return edges.distinct()
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -47,7 +47,7 @@ def fingerprints(n=400, seed=2):
     return sorted(set(fps))
 
 
-@pytest.mark.parametrize("cell", [4096, 3])
+@pytest.mark.parametrize("cell", [4096, 3, 2])
 def test_links_connect_what_all_pairs_connect(spark, cell):
     fps = fingerprints()
     nodes = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
