@@ -154,25 +154,24 @@ def single_feature_scores(df: DataFrame, features: list[str], target: str, binar
         long = _stacked(df, exprs, [y], "x").where(F.col("_k0").isNotNull())
         per_value = long.groupBy("column", "x").agg(
             F.count(F.lit(1)).alias("w"), F.sum("_k0").alias("s"), F.sum(F.col("_k0") * F.col("_k0")).alias("q"))
-        totals = running_totals(per_value, ["column"], "x", ["w", "s", "q"])
-        # the tree reads this table once per level, without the values
-        placed = settled(totals.where(F.col("all_w") >= LEAST_ROWS).drop("x"))
-        rank = F.col("cum_w") - (F.col("w") - 1) / 2.0 - (F.col("all_w") + 1) / 2.0
-        sums = placed.groupBy("column").agg(
-            F.sum(rank * F.col("s")).alias("xy"), F.sum(F.col("w") * rank * rank).alias("xx"), F.max("all_w").alias("tw"),
-            F.max("all_s").alias("ts"), F.max("all_q").alias("tq"))
-
-        def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            t = pdf.iloc[0]
-            norm = np.sqrt(t["xx"] * max(t["tq"] - t["ts"] ** 2 / t["tw"], 0.0))
-            rho = (t["xy"] / norm if norm > 0 else 0.0) if binary else None
-            return pd.DataFrame({
-                "column": [key[0]], "metric": [metric], "score": [_score_leaves(pdf, binary)], "spearman": [rho]})
-
-        # broadcast: one row per feature
-        parts.append(_with_leaves(placed).join(F.broadcast(sums), "column").groupBy("column").applyInPandas(
-            score, "column string, metric string, score double, spearman double"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        parts.append(running_totals(per_value, ["column"], "x", ["w", "s", "q"]).where(F.col("all_w") >= LEAST_ROWS).drop("x"))
+    # the tree reads this table once per level, without the values
+    placed = settled(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+    rank = F.col("cum_w") - (F.col("w") - 1) / 2.0 - (F.col("all_w") + 1) / 2.0
+    sums = placed.groupBy("column").agg(
+        F.sum(rank * F.col("s")).alias("xy"), F.sum(F.col("w") * rank * rank).alias("xx"), F.max("all_w").alias("tw"),
+        F.max("all_s").alias("ts"), F.max("all_q").alias("tq"))
+
+    def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        t = pdf.iloc[0]
+        norm = np.sqrt(t["xx"] * max(t["tq"] - t["ts"] ** 2 / t["tw"], 0.0))
+        rho = (t["xy"] / norm if norm > 0 else 0.0) if binary else None
+        return pd.DataFrame({
+            "column": [key[0]], "metric": [metric], "score": [_score_leaves(pdf, binary)], "spearman": [rho]})
+
+    # broadcast: one row per feature
+    return _with_leaves(placed).join(F.broadcast(sums), "column").groupBy("column").applyInPandas(
+        score, "column string, metric string, score double, spearman double")
 
 
 def post_event_names(df: DataFrame, columns: list[str]) -> DataFrame:
