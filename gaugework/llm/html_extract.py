@@ -22,6 +22,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -35,6 +36,7 @@ from gaugework.functions.columns import ref
 from gaugework.llm.common import written
 
 PATHS = 5
+PATH_STEPS = 40  # deeper elements share the path of their ancestor at this depth
 _DECAY = (1.0, 0.5, 0.25, 0.1)
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -79,6 +81,10 @@ class Block:
     linked: int
 
 
+def _below(path: str, step: str) -> str:
+    return f"{path}>{step}" if path.count(">") < PATH_STEPS else path
+
+
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)} if text else {}
 
@@ -114,9 +120,12 @@ def read(html: str) -> tuple[list[Node], list[Block]]:
                 blocks.append(Block(text, stack[-1], len(text.split()), linked))
             parts.clear()
 
+    opened: Counter[str] = Counter()
+
     def close(index: int) -> None:
         if any(n.tag not in _INLINE for n in stack[index:]):
             flush()
+        opened.subtract(n.tag for n in stack[index:])
         del stack[index:]
 
     at = 0
@@ -132,7 +141,7 @@ def read(html: str) -> tuple[list[Node], list[Block]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0) if opened[tag] > 0 else 0
             if i and (tag not in _INLINE or all(n.tag in _INLINE for n in stack[i:])):
                 close(i)
             continue
@@ -160,11 +169,12 @@ def read(html: str) -> tuple[list[Node], list[Block]]:
         if tag in _INLINE:
             node = Node(tag, up.path, up, up.out or (tag == "span" and _unwanted(tag, attributes)), up.container, link=up.link or tag == "a")
         else:
-            node = Node(tag, f"{up.path}>{_step(tag, attributes)}", up, up.out or _unwanted(tag, attributes), up.container, link=up.link)
+            node = Node(tag, _below(up.path, _step(tag, attributes)), up, up.out or _unwanted(tag, attributes), up.container, link=up.link)
             if tag in _CONTAINERS and not node.out:
                 node.container = node
                 containers.append(node)
         stack.append(node)
+        opened[tag] += 1
     flush()
     return containers, blocks
 
@@ -182,10 +192,12 @@ def _scored(containers: list[Node], blocks: list[Block]) -> Node:
 
 
 def _inside(node: Node | None, chosen: set[int]) -> bool:
+    """Whether a chosen container holds the node; only containers are looked at on the way up."""
+    node = node.container if node is not None else None
     while node is not None:
         if id(node) in chosen:
             return True
-        node = node.parent
+        node = node.parent.container if node.parent is not None else None
     return False
 
 
