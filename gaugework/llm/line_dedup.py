@@ -9,6 +9,12 @@ occurrence (smallest key, then smallest text mark, then place). Occurrences are
 compared byte by byte: the smallest and the largest text of a group are equal only if all its texts are. A group whose
 texts differ (a hash collision) is taken apart by its whole texts.
 
+The chunk rule is that of the ``op2`` query. It leaves both ends of a repeat and most repeats of two to four lines, as a
+chunk must lie inside the repeat. ``whole=True`` takes every repeat of two or more whole lines instead, line by line:
+each two neighbouring lines with any word that occurred before go, with the empty lines between lines that go. They are
+told apart by the SHA-256 of both lines. The first occurrence of every line stays, and an occurrence that overlaps the
+first one of its own document loses the second line only. Repeats inside one line are not looked for.
+
 Sizes: counting combines in each task before the shuffle, so a chunk that fills a third of the corpus sends one row per
 task. The shuffled rows are the chunks, their places, and the documents once.
 
@@ -100,6 +106,44 @@ def removals(rows: DataFrame) -> DataFrame:
     return places.select("k", "m", F.struct("gone").alias("f"))
 
 
+def line_pairs(rows: DataFrame) -> DataFrame:
+    """One row per two neighbouring lines with any word: k, m, first (lines counted from 1), h (SHA-256 of both)."""
+    lines = once(rows, lines=F.split("text", "\n", -1)).where(F.size("lines") >= MIN_LINES)
+    bodies = F.zip_with(
+        F.slice("lines", 1, F.size("lines") - 1), F.slice("lines", 2, F.size("lines") - 1), lambda a, b: F.concat(a, F.lit("\n"), b),
+    )
+    exploded = lines.select("k", "m", F.posexplode(bodies).alias("at", "body")).where(F.col("body").rlike(r"\S"))
+    return exploded.select("k", "m", (F.col("at") + 1).alias("first"), F.unhex(F.sha2("body", 256)).alias("h"))
+
+
+def line_removals(rows: DataFrame) -> DataFrame:
+    """Per document with repeated lines: k, m and f, a struct with the sorted numbers of the lines that go."""
+    pairs = line_pairs(rows)
+    place = F.struct("k", "m", "first")
+    groups = written(
+        pairs.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("origin")).where("n > 1")
+        .select(F.col("h").alias("gh"), "origin"), "repeated-lines",
+    )
+    again = pairs.join(groups, F.col("h") == F.col("gh")).where(place != F.col("origin"))
+    overlaps = F.col("origin.k").eqNullSafe(F.col("k")) & (F.col("origin.m") == F.col("m")) & (F.col("origin.first") + 1 == F.col("first"))
+    second = F.col("first") + 1
+    lines = again.select("k", "m", F.explode(F.when(overlaps, F.array(second)).otherwise(F.array("first", second))).alias("line"))
+    gone = lines.distinct().groupBy("k", "m").agg(F.sort_array(F.collect_list("line")).alias("gone"))
+    return gone.select("k", "m", F.struct("gone").alias("f"))
+
+
+def _runs(lines: Column, gone: Column) -> Column:
+    """Sorted line numbers as (first, count); numbers with only empty lines between them are one run."""
+    beside = F.zip_with(F.slice(gone, 1, F.size(gone) - 1), F.slice(gone, 2, F.size(gone) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    breaks = F.filter(
+        beside,
+        lambda p: (p["b"] - p["a"] > 1) & F.exists(F.slice(lines, p["a"] + 1, p["b"] - p["a"] - 1), lambda x: x.rlike(r"\S")),
+    )
+    firsts = F.concat(F.slice(gone, 1, 1), F.transform(breaks, lambda p: p["b"]))
+    lasts = F.concat(F.transform(breaks, lambda p: p["a"]), F.slice(gone, -1, 1))
+    return F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("first"), (b - a + 1).alias("count")))
+
+
 def _kept_lines(lines: Column, gone: Column) -> Column:
     """The lines outside the removed chunks: the stretches between them, put together."""
     ends = F.concat(F.array(F.lit(1)), F.transform(gone, lambda g: g["first"] + g["count"]))
@@ -107,24 +151,31 @@ def _kept_lines(lines: Column, gone: Column) -> Column:
     return F.flatten(F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda p: F.slice(lines, p["a"], p["b"] - p["a"])))
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the repeated chunks taken out of their text, and a struct column with what was removed.
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """``docs`` with the repeated chunks (``whole``: all repeats of two or more lines) taken out of their text, and a
+    struct column with what was removed.
 
     The struct column is the last one; its fields are n_lines, n_removed_lines, n_removed_chunks and emptied (true
-    where every line was removed).
+    where every line was removed; ``whole``: where no word is left).
     """
     fact = fact_column(docs)
-    found = attached(docs, key, text, removals(keyed(docs, key, text)))
+    rows = keyed(docs, key, text)
+    found = attached(docs, key, text, line_removals(rows) if whole else removals(rows))
     staged = once(found, _gw_lines=F.split(ref(text).cast("string"), "\n", -1))
-    gone = F.coalesce(ref(fact)["gone"], F.array().cast("array<struct<first:int,count:int>>"))
+    gone = F.coalesce(
+        F.when(ref(fact).isNotNull(), _runs(F.col("_gw_lines"), ref(fact)["gone"])) if whole else ref(fact)["gone"],
+        F.array().cast("array<struct<first:int,count:int>>"),
+    )
     staged = once(staged, _gw_gone=gone)
     removed = F.aggregate("_gw_gone", F.lit(0), lambda a, g: a + g["count"])
     total = F.coalesce(F.size("_gw_lines"), F.lit(0))
-    kept = F.when(F.size("_gw_gone") == 0, ref(text)).otherwise(F.array_join(_kept_lines(F.col("_gw_lines"), F.col("_gw_gone")), "\n"))
+    left = _kept_lines(F.col("_gw_lines"), F.col("_gw_gone"))
+    kept = F.when(F.size("_gw_gone") == 0, ref(text)).otherwise(F.array_join(left, "\n"))
+    nothing = ~F.exists(left, lambda x: x.rlike(r"\S")) if whole else removed == total
     report = F.struct(
         F.when(ref(text).isNull(), 0).otherwise(total).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed_lines"),
         F.size("_gw_gone").cast("long").alias("n_removed_chunks"),
-        ((F.size("_gw_gone") > 0) & (removed == total)).alias("emptied"),
+        ((F.size("_gw_gone") > 0) & nothing).alias("emptied"),
     )
     return staged.select(
         *[kept.alias(c) if c == text else ref(c) for c in docs.columns], report.alias(fact)
@@ -137,6 +188,12 @@ def without_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "t
     return deduplicated(docs, key, text).where(~ref(fact)["emptied"]).drop(fact)
 
 
+def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with every repeat of two or more whole lines taken out; documents without a word left by that go."""
+    fact = fact_column(docs)
+    return deduplicated(docs, key, text, whole=True).where(~ref(fact)["emptied"]).drop(fact)
+
+
 def removal_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: counts of lines and chunks, and the digest of the text that is left (null: null)."""
     narrow = docs.select(ref(key).alias("doc_id"), ref(text).alias("text"))

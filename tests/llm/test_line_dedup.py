@@ -85,3 +85,48 @@ def test_null_keys_come_first_and_native_plan(documents):
     out = line_dedup.without_repeated_chunks(documents(rows))
     assert [r["doc_id"] for r in out.collect()] == [None]
     assert not any(w in out._jdf.queryExecution().executedPlan().toString() for w in ("Python", "Pandas", "Arrow"))
+
+
+def plain_whole(rows):
+    """Every two neighbouring lines that occurred before go, and the empty lines between lines that go."""
+    first, out = {}, {}
+    for key, text in sorted(rows):
+        lines, gone = text.split("\n"), set()
+        for i, pair in enumerate(zip(lines, lines[1:])):
+            if not "".join(pair).strip():
+                continue
+            origin = first.setdefault(pair, (key, i))
+            if origin != (key, i):
+                gone |= {i + 1} if origin == (key, i - 1) else {i, i + 1}
+        order = sorted(gone)
+        for a, b in zip(order, order[1:]):
+            if not "".join(lines[a + 1:b]).strip():
+                gone |= set(range(a, b))
+        left = [x for i, x in enumerate(lines) if i not in gone]
+        if not gone or "".join(left).strip():
+            out[key] = "\n".join(left)
+    return out
+
+
+def test_whole_repeats_go_with_both_ends(documents):
+    draw = random.Random(5)
+    shared = [[f"short {p} {i}" for i in range(2 + p % 3)] for p in range(9)]
+    rows = corpus() + [
+        (200 + d, "\n".join([f"head {d} {draw.random()}", *shared[d % 9], f"tail {d} {draw.random()}"])) for d in range(27)
+    ] + [(300, "x\nx\nx\nx\ny"), (301, "a\n\n\n\nb\nc"), (302, "a\n\n\n\nb\nc"), (303, "u\nv\nu\nv\nu\nv")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(documents(rows)).collect()}
+    assert got == plain_whole(rows)
+    assert all(got[200 + d].count("\n") == 1 for d in range(9, 27))  # two to four lines: nothing of the repeat stays
+    assert got[300] == "x\nx\ny" and 302 not in got and got[303] == "u\nv"
+    chunks = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_chunks(documents(rows)).collect()}
+    assert sum(len(t) for t in got.values()) < sum(len(t) for t in chunks.values())
+
+
+def test_whole_edges(documents, edge_rows):
+    kept = line_dedup.without_repeated_lines(documents(edge_rows))
+    assert kept.columns == documents([]).columns and kept.count() == len(edge_rows)
+    assert line_dedup.without_repeated_lines(documents([])).collect() == []
+    rows = [(5, "one\ntwo"), (None, "one\ntwo"), (7, "one\ntwo")]
+    out = line_dedup.without_repeated_lines(documents(rows))
+    assert [r["doc_id"] for r in out.collect()] == [None]
+    assert not any(w in out._jdf.queryExecution().executedPlan().toString() for w in ("Python", "Pandas", "Arrow"))
