@@ -8,7 +8,9 @@
    path that the page has are its article. A page with none of them uses its own best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out
-wherever they stand, by tag or by a word of their class, id or role.
+wherever they stand, by tag, by role or by a word of their class or id ("no-sidebar" names none). Words of class and id
+leave nothing out that holds a main element, the article with the most unlinked words (if that is half of the main
+element's at least), or most of the page's unlinked words (nine tenths for names of reader comments, which are often longer than the article).
 
 Sizes: votes are one short row per page and combine in each task before the shuffle. The table of winning paths has
 at most ``paths`` rows per host; Spark broadcasts it while it is small and else joins by host, splitting hot hosts.
@@ -52,6 +54,8 @@ _LEFT_OUT_WORDS = frozenset(
     "footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted "
     "related reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+_COMMENT_WORDS = frozenset("comment comments disqus reply respond".split())
+_WITHOUT = frozenset("has no not with without".split())  # "has-sidebar" says what stands elsewhere
 _LEFT_OUT_ROLES = frozenset("banner complementary contentinfo navigation search form dialog".split())
 
 _TAG = re.compile(
@@ -68,6 +72,11 @@ class Node:
     parent: Node | None
     out: bool
     container: Node | None  # the nearest container, itself included
+    named: Node | None = None  # the nearest element with a left-out word as its name, itself included
+    article: Node | None = None  # the nearest article or main without such a word, itself included
+    remarks: bool = False  # named as reader comments
+    unlinked: int = 0  # words outside links, of named elements and articles
+    dropped: bool = False
     score: float = 0.0
     link: bool = False
     blocks: list[int] = field(default_factory=list)
@@ -95,14 +104,49 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
 
 
 def _unwanted(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in _LEFT_OUT or "hidden" in attributes:
-        return True
-    if attributes.get("role", "").lower() in _LEFT_OUT_ROLES:
-        return True
-    if tag in ("body", "html", "article", "main"):
-        return False
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return any(p.lower() in _LEFT_OUT_WORDS for p in _PART.split(names))
+    return tag in _LEFT_OUT or "hidden" in attributes or attributes.get("role", "").lower() in _LEFT_OUT_ROLES
+
+
+def _left_out_words(attributes: dict[str, str]) -> set[str]:
+    found: set[str] = set()
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        parts = [p.lower() for p in _PART.split(name)]
+        if parts[0] not in _WITHOUT:
+            found |= _LEFT_OUT_WORDS.intersection(parts)
+    return found
+
+
+def _without_named(nodes: list[Node], containers: list[Node], blocks: list[Block]) -> tuple[list[Node], list[Block]]:
+    """Leaves out the named elements, but for those that hold the article. ``nodes``: named elements and articles."""
+    total = 0
+    for b in blocks:
+        free = max(0, b.words - b.linked)
+        total += free
+        for node in (b.node.named, b.node.article):
+            if node is not None:
+                node.unlinked += free
+    for node in reversed(nodes):  # children come after their parents; a node is either named or an article
+        up = node.parent.named if node.named is node else node.parent.article
+        if up is not None:
+            up.unlinked += node.unlinked
+    articles = [n for n in nodes if n.article is n]
+    mains = [n for n in articles if n.tag == "main"]
+    best = max((n for n in articles if n.tag == "article"), key=lambda n: n.unlinked, default=None)
+    if best is not None and 2 * best.unlinked > max((n.unlinked for n in mains), default=0):  # no teaser beside the text
+        mains.append(best)
+    held: set[int] = set()
+    for node in mains:
+        up = node.named
+        while up is not None and id(up) not in held:
+            held.add(id(up))
+            up = up.parent.named
+    for node in nodes:
+        if node.named is node:
+            most = node.unlinked > (0.9 if node.remarks else 0.5) * total
+            above = node.parent.named
+            node.dropped = not (most or id(node) in held) or (above is not None and above.dropped)
+    stays = lambda n: n.named is None or not n.named.dropped
+    return [n for n in containers if stays(n)], [b for b in blocks if stays(b.node)]
 
 
 def read(html: str) -> tuple[list[Node], list[Block]]:
@@ -110,6 +154,7 @@ def read(html: str) -> tuple[list[Node], list[Block]]:
     root = Node("", "", None, False, None)
     root.container = root
     containers, blocks, stack = [root], [], [root]
+    nodes: list[Node] = []  # named elements, articles and main elements
     parts: list[tuple[str, bool]] = []
 
     def flush() -> None:
@@ -167,16 +212,24 @@ def read(html: str) -> tuple[list[Node], list[Block]]:
         attributes = _attributes(m[3])
         up = stack[-1]
         if tag in _INLINE:
-            node = Node(tag, up.path, up, up.out or (tag == "span" and _unwanted(tag, attributes)), up.container, link=up.link or tag == "a")
+            node = Node(tag, up.path, up, up.out or (tag == "span" and (_unwanted(tag, attributes) or bool(_left_out_words(attributes)))), up.container, up.named, up.article, link=up.link or tag == "a")
         else:
-            node = Node(tag, _below(up.path, _step(tag, attributes)), up, up.out or _unwanted(tag, attributes), up.container, link=up.link)
+            node = Node(tag, _below(up.path, _step(tag, attributes)), up, up.out or _unwanted(tag, attributes), up.container, up.named, up.article, link=up.link)
+            words = _left_out_words(attributes) if attributes and not node.out else ()
+            if tag in ("article", "main"):
+                if not node.out and not words:
+                    node.article = node
+                    nodes.append(node)
+            elif words and tag not in ("body", "html"):
+                node.named, node.remarks = node, not _COMMENT_WORDS.isdisjoint(words)
+                nodes.append(node)
             if tag in _CONTAINERS and not node.out:
                 node.container = node
                 containers.append(node)
         stack.append(node)
         opened[tag] += 1
     flush()
-    return containers, blocks
+    return _without_named(nodes, containers, blocks)
 
 
 def _scored(containers: list[Node], blocks: list[Block]) -> Node:

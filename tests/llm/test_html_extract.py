@@ -51,3 +51,18 @@ def test_edges(spark):
     assert h.extracted(rows(spark, [])).collect() == []
     twice = h.extracted(rows(spark, [(1, "http://h/", "<p>a</p>")] * 2)).collect()
     assert [r["text"] for r in twice] == ["a", "a"]
+
+
+def test_a_wrapper_named_after_a_sidebar_keeps_its_article():
+    body = "<p>" + "word " * 30 + "</p>"
+    text = " ".join(["word"] * 30)
+    side = "<div class='sidebar'>side text</div>"
+    assert h.main_text(f"<div class='content-sidebar-wrap'><main>{body}</main>{side}</div>", []) == text
+    assert h.main_text(f"<div class='layout has-sidebar'><article>{body}</article>{side}</div>", []) == text
+    assert h.main_text(f"<div id='page' class='site no-sidebar'><div>{body}</div>{side}</div>", []) == text
+    assert h.main_text(f"<div class='widget-page'><div class='text'>{body}</div>{side}</div>", []) == text
+    # what is no wrapper of the article still goes, articles of its own or not
+    remark = "<article class='comment'><p>" + "remark " * 40 + "</p></article>"
+    assert h.main_text(f"<main>{body}<div id='comments'>{remark}</div></main>", []) == text
+    assert h.main_text(f"<main>{body}<div class='related'><article><p>teaser</p></article></div></main>", []) == text
+    assert h.main_text(f"<body><div>{body}</div><div id='comments'>{body}{body}</div></body>", []) == text
