@@ -1,7 +1,9 @@
 """Main text of web pages by consensus host paths.
 
 1. Every page's containers are scored by the words of the text blocks in them (links count against a block; a block
-   gives its whole score to the nearest container, half of it to the next one out, and so on).
+   gives its whole score to the nearest container, half of it to the next one out, and so on). The best one gives way to
+   the article around it, else to the main element around it, else to its parent below the body while that has text
+   of its own outside links, a sibling of the same path, or a fifth more words outside links.
 2. A container's path is its chain of tags with generalised classes (lower case, digits as ``#``). Each page votes for
    the path of its best container, and Spark counts the votes per host.
 3. Each page is read again: the host's paths are tried in the order of their votes, and the containers with the first
@@ -232,8 +234,38 @@ def read(html: str) -> tuple[list[Node], list[Block]]:
     return _without_named(nodes, containers, blocks)
 
 
+def _climbed(best: Node, containers: list[Node], blocks: list[Block]) -> Node:
+    """The container that holds the whole article of which ``best`` is a part."""
+    around, node = {}, best
+    while node is not None:
+        around[node.tag] = node  # the outermost of each tag
+        node = node.parent.container if node.parent is not None else None
+    if "article" in around or "main" in around:
+        return around.get("article") or around["main"]
+    direct: Counter[int] = Counter()
+    for b in blocks:
+        direct[id(b.node.container)] += max(0, b.words - b.linked)
+    inside = direct.copy()
+    paths: Counter[tuple[int, str]] = Counter()
+    for n in reversed(containers):  # children come after their parents
+        up = n.parent.container if n.parent is not None else None
+        if up is not None:
+            inside[id(up)] += inside[id(n)]
+            paths[id(up), n.path] += inside[id(n)] > 0
+    below = best
+    up = best.parent.container if best.parent is not None else None
+    while up is not None and up.tag not in ("", "body"):
+        more = inside[id(up)] - inside[id(best)]
+        if more:
+            if not direct[id(up)] and paths[id(up), below.path] < 2 and 5 * more < inside[id(best)]:
+                break
+            best = up
+        below, up = up, up.parent.container
+    return best
+
+
 def _scored(containers: list[Node], blocks: list[Block]) -> Node:
-    """The best container; the first of equals."""
+    """The best container and what belongs to it; the first of equals."""
     for b in blocks:
         value = b.words * (1.0 - min(1.0, b.linked / b.words))
         node, level = b.node.container, 0
@@ -241,7 +273,7 @@ def _scored(containers: list[Node], blocks: list[Block]) -> Node:
             node.score += value * _DECAY[level]
             node = node.parent.container if node.parent is not None else None
             level += 1
-    return max(containers, key=lambda n: n.score)
+    return _climbed(max(containers, key=lambda n: n.score), containers, blocks)
 
 
 def _inside(node: Node | None, chosen: set[int]) -> bool:

@@ -66,3 +66,17 @@ def test_a_wrapper_named_after_a_sidebar_keeps_its_article():
     assert h.main_text(f"<main>{body}<div id='comments'>{remark}</div></main>", []) == text
     assert h.main_text(f"<main>{body}<div class='related'><article><p>teaser</p></article></div></main>", []) == text
     assert h.main_text(f"<body><div>{body}</div><div id='comments'>{body}{body}</div></body>", []) == text
+
+
+def test_an_article_of_several_containers_is_whole(spark):
+    one, two = "one " * 60, "two " * 40
+    parts = f"<h1>Title</h1><p>lead</p><section><p>{one}</p></section><section class='b'><p>{two}</p></section>"
+    text = " ".join(["Title lead", one.strip(), two.strip()])
+    rail = "<div class='rail'><a href='/x'>linked words of a rail</a></div>"
+    assert h.main_text(f"<body><div><article>{parts}</article>{rail}</div></body>", []) == text
+    assert h.main_text(f"<body><main><div>{parts}</div></main>{rail}</body>", []) == text
+    assert h.main_text(f"<body><div class='story'>{parts}</div>{rail}</body>", []) == text
+    assert h.main_text(f"<div><div class='story'><div>{one}</div><div>{two}</div></div></div>", []) == f"{one}{two}".strip()
+    assert h.main_text(f"<body><div>{one}</div><div>{two}</div></body>", []) == one.strip()  # the body is no article
+    pages = [(i, f"http://h/{i}", f"<body><article>{parts}</article>{rail}</body>") for i in range(3)]
+    assert {r["text"] for r in h.extracted(rows(spark, pages)).collect()} == {text}
