@@ -5,8 +5,13 @@ sentences become identifiers. A rule is an ordered list of identifiers; it holds
 with at most ``GAP`` other sentences between two of them. Texts are read twice, once with each line end closing a
 sentence and once with only empty lines doing so (wrapped license texts); a rule may hold in either reading.
 
+That catalogue (``SENTENCES``, ``RULES``) and the two readings are those of the ``op4`` query, whose SQL fixes them. Sentences
+and rules are arguments; ``published_report`` takes the wider catalogue (``PUBLISHED``, ``PUBLISHED_RULES``) and a third reading
+for notices as they are published: empty lines are no ends, copyright lines, colons and addresses at a line's end are,
+and the organisation in "Neither the name of ..." is read as the copyright holder.
+
 Every step works inside a row, so nothing is shuffled and no row depends on another. A text without any of the words
-that every known sentence contains is left out of the cutting; that test is exact.
+that every known sentence contains is left out of the cutting; that test is exact, and not made for sentences without.
 
 Defined cases: a null or empty text has no sentences and no licenses; a rule that holds several times is named once;
 licenses are listed in code point order; rows with equal keys get results of their own; an empty table gives an empty
@@ -16,6 +21,8 @@ result; other columns are not read.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,10 +93,37 @@ RULES = {
     "all-rights-reserved": [["all-rights"]],
 }
 
+# Sentences and rules beside those of the query.
+PUBLISHED = SENTENCES | {
+    "cc-by-nc-sa-4": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-sa-4-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nd-4-work": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "epl1-grant": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "epl2-grant": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "lgpl2.1-grant": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl2.1-no-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl3-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+}
+PUBLISHED_RULES = RULES | {
+    "CC-BY-NC-SA-4.0": [["cc-by-nc-sa-4"], ["cc-by-nc-sa-4-work"]],
+    "CC-BY-ND-4.0": [["cc-by-nd-4"], ["cc-by-nd-4-work"]],
+    "EPL-1.0": [["epl1-grant"]],
+    "EPL-2.0": [["epl2-grant"]],
+    "LGPL-2.1": [["lgpl2.1-grant", "lgpl2.1-no-warranty"]],
+    "LGPL-3.0": [["lgpl3-grant", "gpl-no-warranty"]],
+    "Zlib": [["zlib-as-is", "zlib-grant"]],
+}
+
 # Every known sentence has one of these words.
 ANCHORS = ("licen", "copyright", "permission", "permitted", "warrant", "rights", "unencumbered", "redistribut", "mpl")
 
 _END = r"([.!?])[\x09\x0A\x0C\x0D\x20]+"
+_COPYRIGHT_LINE = r"(?m)^[^a-z0-9\x0A]*(?:copyright\b(?:[^\x0A]*(?:\(c\)|©|[0-9]{4})| (?:the|by)\b)|\(c\)|©)[^\x0A]*$"
+_LINE_END = r"(:|https?://[^\x09\x0A\x0C\x0D\x20]+)[\x09\x0D\x20]*(?:\x0A|\z)"
+_HOLDER = r"neither~the~names?~of~[^\x01]{1,150}?~nor~the~names~of~(?:(?:its|their|any)~)?contributors".replace("~", r"[^a-z0-9\x01]+")
+_ANY_HOLDER = "neither the name of the copyright holder nor the names of its contributors"
 _EMPTY_LINE = r"\x0A[\x09\x0C\x0D\x20]*\x0A"
 
 
@@ -105,16 +139,17 @@ def rule_pattern(rule: list[str], numbers: dict[str, str]) -> str:
     return "(^|;)" + between.join(f"{numbers[s]};" for s in rule)
 
 
-def _catalogue() -> tuple[dict[str, str], list[tuple[str, str]]]:
+def _catalogue(sentences: dict[str, str] = SENTENCES, licenses: dict[str, list[list[str]]] = RULES) -> tuple[dict[str, str], list[tuple[str, str]]]:
     """Reduced sentence -> number, and (license, pattern) of each rule. A sentence that is cut is a run of numbers."""
     numbers: dict[str, str] = {}
     runs: dict[str, str] = {}
-    for name, text in SENTENCES.items():
-        parts = [p for p in cut(text) if re.search("|".join(ANCHORS), p)]  # "v. 2.0" leaves a rest that says nothing
+    for name, text in sentences.items():
+        # "v. 2.0" leaves a rest that says nothing
+        parts = [p for p in cut(text) if re.search("|".join(ANCHORS), p)] or cut(text)
         for p in parts:
             numbers.setdefault(p, str(len(numbers) + 1))
         runs[name] = ";".join(numbers[p] for p in parts)
-    rules = [(name, rule_pattern(rule, runs)) for name, all_ in RULES.items() for rule in all_]
+    rules = [(name, rule_pattern(rule, runs)) for name, all_ in licenses.items() for rule in all_]
     return numbers, rules
 
 
@@ -123,39 +158,58 @@ def _sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(marked, "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def scanned(docs: DataFrame, text: str = "text", column: str = "licenses") -> DataFrame:
+def _joined(text: Column) -> Column:
+    """The text of the third reading: a line for each stretch without an end."""
+    ended = F.regexp_replace(F.regexp_replace(F.lower(text), _COPYRIGHT_LINE, "\x01"), _LINE_END, "$1\x01")
+    return F.translate(F.regexp_replace(ended, _HOLDER, _ANY_HOLDER), "\n\x01", " \n")
+
+
+def scanned(
+    docs: DataFrame, text: str = "text", column: str = "licenses", sentences: dict[str, str] = SENTENCES,
+    rules: dict[str, list[list[str]]] = RULES, joined: bool = False,
+) -> DataFrame:
     """``docs`` with a struct column: licenses (sorted), known (number of known sentences), lines and wrapped (the
-    sequences of sentence numbers in both readings)."""
-    numbers, rules = _catalogue()
+    sequences of sentence numbers in both readings); with the third reading (``joined``) also joined."""
+    numbers, rules = _catalogue(sentences, rules)
     known = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
     body = ref(text).cast("string")
-    may = F.coalesce(F.lower(body).rlike("|".join(ANCHORS)), F.lit(False))
+    anchored = all(re.search("|".join(ANCHORS), s) for s in numbers)
+    may = F.coalesce(F.lower(body).rlike("|".join(ANCHORS)), F.lit(False)) if anchored else body.isNotNull()
     none = F.array().cast("array<string>")
     wrapped = F.translate(F.regexp_replace(body, _EMPTY_LINE, "\x01"), "\n\x01", " \n")
     cut_ = once(docs, _gw_lines=F.when(may, _sentences(body)).otherwise(none))
     cut_ = once(cut_, _gw_wrapped=F.when(may, _sentences(wrapped)).otherwise(none))
 
+    readings = {"lines": "_gw_a", "wrapped": "_gw_b"}
+    if joined:
+        cut_ = once(cut_, _gw_joined=F.when(may, _sentences(_joined(body))).otherwise(none))
+        readings["joined"] = "_gw_c"
+
     def sequence(sentences: str) -> Column:
         return F.array_join(F.transform(sentences, lambda s: F.concat(F.coalesce(F.try_element_at(known, s), F.lit("-")), F.lit(";"))), "")
 
-    coded = once(cut_, _gw_a=sequence("_gw_lines"), _gw_b=sequence("_gw_wrapped"))
+    coded = once(cut_, **{c: sequence(f"_gw_{r}") for r, c in readings.items()})
+    codes = list(readings.values())
     held: dict[str, Column] = {}
     for name, pattern in rules:
-        holds = F.col("_gw_a").rlike(pattern) | F.col("_gw_b").rlike(pattern)
+        holds = reduce(or_, [F.col(c).rlike(pattern) for c in codes])
         held[name] = held[name] | holds if name in held else holds
     names = F.array_compact(F.array(*[F.when(held[n], F.lit(n)) for n in sorted(held)]))
-    any_known = F.col("_gw_a").rlike("[0-9]") | F.col("_gw_b").rlike("[0-9]")
+    any_known = reduce(or_, [F.col(c).rlike("[0-9]") for c in codes])
     result = F.struct(
         F.when(any_known, names).otherwise(none).alias("licenses"),
-        F.greatest(*[F.regexp_count(c, F.lit("[0-9]+;")) for c in ("_gw_a", "_gw_b")]).cast("long").alias("known"),
-        F.col("_gw_a").alias("lines"), F.col("_gw_b").alias("wrapped"),
+        F.greatest(*[F.regexp_count(c, F.lit("[0-9]+;")) for c in codes]).cast("long").alias("known"),
+        *[F.col(c).alias(r) for r, c in readings.items()],
     )
-    return coded.withColumn(column, result).drop("_gw_lines", "_gw_wrapped", "_gw_a", "_gw_b")
+    return coded.withColumn(column, result).drop(*[f"_gw_{r}" for r in readings], *codes)
 
 
-def license_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def license_report(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: dict[str, str] = SENTENCES,
+    rules: dict[str, list[list[str]]] = RULES, joined: bool = False,
+) -> DataFrame:
     """Per document: number of known sentences, number of licenses, and the licenses, joined by commas."""
-    rows = scanned(docs.select(ref(key).alias("doc_id"), ref(text).alias("text")))
+    rows = scanned(docs.select(ref(key).alias("doc_id"), ref(text).alias("text")), sentences=sentences, rules=rules, joined=joined)
     found = F.col("licenses.licenses")
     return rows.select(
         "doc_id", F.col("licenses.known").alias("n_known"), F.size(found).cast("long").alias("n_licenses"),
@@ -163,6 +217,11 @@ def license_report(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
+def published_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The report with the wider catalogue and the third reading."""
+    return license_report(docs, key, text, PUBLISHED, PUBLISHED_RULES, joined=True)
+
+
 def check_sql() -> str:
     """The report in SQL: sentences as rows, rules over their numbers."""
     numbers, rules = _catalogue()
