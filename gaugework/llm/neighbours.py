@@ -15,7 +15,8 @@ separates the neighbours the budget grows to all rows, so recall is kept at the
 Reranking: a leaf and the queries that chose it meet in cells of at most ``CELL_ROWS`` rows and ``CELL_QUERIES``
 queries, so a leaf that holds a third of all rows, or that a third of all queries choose, is many tasks. A cell
 holds its vectors, and queries stream past. Candidates are picked by matrix products and scored again term by term
-in double precision, so equal vectors have equal scores. Each (query, cell) gives at most ``k`` rows.
+in double precision, so equal vectors have equal scores. Each task gives at most ``k`` rows for a query, or for each of
+its cells where it meets more than ``COMBINED`` queries.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part; shorter vectors count as padded
 with zeros; rows that share id and vector are one row, and of several vectors under one id each is a query and
@@ -36,10 +37,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.functions.columns import ref
-from gaugework.llm.common import written
+from gaugework.llm.common import in_pieces, written
 
 CELL_ROWS = 2048
 CELL_QUERIES = 1024
+COMBINED = 20_000
 _DIRECTIONS = 8
 _SLACK = 1e-9
 
@@ -143,15 +145,17 @@ def products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.cumsum(rows * query, axis=1)[:, -1]
 
 
-def nearest(ids: np.ndarray, rows: np.ndarray, rough: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and scores of the ``k`` first rows by (score falling, id); ``rough`` are the products up to rounding."""
-    rough = np.where(ids == own, -np.inf, rough)
-    if len(rough) > k:
-        least = np.partition(rough, len(rough) - k)[len(rough) - k]
-        slack = _SLACK * (np.abs(rows).max() * np.abs(query).sum() + 1e-300)
-        near = np.flatnonzero((rough >= least - slack) & (rough > -np.inf))
-    else:
-        near = np.flatnonzero(rough > -np.inf)
+def nearest(ids: np.ndarray, rows: np.ndarray, rough: np.ndarray, query: np.ndarray, own: int, k: int,
+            least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the ``k`` first rows by (score falling, id); ``rough`` are the products up to rounding.
+
+    Rows below ``least`` may be left out.
+    """
+    slack = _SLACK * (np.abs(query).sum() * np.abs(rows).max(initial=0) + 1e-300)
+    near = np.flatnonzero((rough >= least - slack) & (ids != own))
+    if len(near) > k:
+        bar = np.partition(rough[near], len(near) - k)[len(near) - k]
+        near = near[rough[near] >= bar - slack]
     scores = products(rows[near], query)
     first = np.lexsort((ids[near], -scores))[:k]
     return near[first], scores[first]
@@ -237,15 +241,22 @@ def _walked(forest: Forest, sizes: np.ndarray, budget: int, dim: int):
 
 
 def _reranked(dim: int, k: int):
-    """Rows sorted by (cell, kind): a cell's vectors (kind 0) are held, its queries (kind 1) stream past."""
+    """Rows sorted by (cell, kind): a cell's vectors (kind 0) are held, its queries (kind 1) stream past.
+
+    A task meets a query in several cells and combines what it finds, for up to ``COMBINED`` queries at a time.
+    """
+
+    def told(best: dict) -> Iterator[pa.RecordBatch]:
+        rows = ((own, mark, i, -falling) for (own, mark), found in best.items() for falling, i in found)
+        return in_pieces(rows, _FOUND)
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, ids, rows = None, [np.empty(0, np.int64)], [np.empty((0, dim))]
+        cell, ids, rows = None, [], []
+        best: dict[tuple[int, int], list[tuple[float, int]]] = {}
         for batch in batches:
             cells, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             of, seen = batch.column(2).to_numpy(), vectors_of(batch.column(3), dim)
             cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(kinds) != 0)) + 1
-            out = []
             for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells)]):
                 if start == end:
                     continue
@@ -264,16 +275,23 @@ def _reranked(dim: int, k: int):
                     rough = block @ rows[0].T
                     for i, query in enumerate(block):
                         own = int(of[at + i])
-                        near, scores = nearest(ids[0], rows[0], rough[i], query, own, k)
-                        out.append((np.full(len(near), own), np.full(len(near), _mark(query)), ids[0][near], scores))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(part)) for part in zip(*out)], names=["query_id", "mark", "vec_id", "score"]
-                )
+                        key = own, _mark(query)
+                        found = best.get(key, [])
+                        near, scores = nearest(ids[0], rows[0], rough[i], query, own, k, -found[-1][0] if len(found) == k else -np.inf)
+                        if len(near):
+                            # trees share candidates: equal pairs are one
+                            best[key] = sorted({*found, *zip((-scores).tolist(), ids[0][near].tolist())})[:k]
+                if len(best) >= COMBINED:
+                    yield from told(best)
+                    best = {}
+        yield from told(best)
 
     return rerank
 
 
+_FOUND = pa.schema([("query_id", pa.int64()), ("mark", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
 def _mark(query: np.ndarray) -> int:
     """Tells vectors under one id apart."""
     return int(np.uint64(xxhash.xxh64_intdigest(query.tobytes())).view(np.int64))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugework.llm import (
-    decontaminate, hard_negatives, html_extract, language_id, licenses, line_dedup, mixing, neighbours, pii, quality, simhash,
-    substring_dedup,
+    decontaminate, hard_negatives, html_extract, language_id, licenses, line_dedup, mixing, neighbours, pii, prefix_trie, quality,
+    simhash, substring_dedup,
 )
 
 QUERIES: dict = {}
@@ -180,3 +180,48 @@ def op11_hard_negatives(spark, sf_dir):
 @register("op13_nearest_neighbours")
 def op13_nearest_neighbours(spark, sf_dir):
     return neighbours.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@register("op12_conversation_trie", r"""
+WITH t AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, h) AS pos, count(*) OVER (PARTITION BY c) AS n FROM (
+    SELECT conv_id AS c, turn, coalesce(text, '') AS text,
+      sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS h
+    FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (
+  SELECT c, c - c % 20 AS b, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(c AS VARCHAR)[i]) AS BIGINT))),
+    lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)),
+      lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END))) % 4 AS f
+  FROM (SELECT DISTINCT c FROM t)),
+built AS (
+  SELECT v.c, t.pos AS d, t.h, t.text FROM convs v JOIN t ON t.c = v.b AND t.pos <= v.f
+  UNION ALL
+  SELECT v.c, least(f, coalesce(s.n, 0)) + t.pos - f AS d, t.h, t.text
+  FROM convs v JOIN t ON t.c = v.c AND t.pos > v.f LEFT JOIN (SELECT DISTINCT c, n FROM t) s ON s.c = v.b),
+keys AS (
+  SELECT c, 0 AS d, '' AS k, NULL AS above, 0 AS w FROM convs
+  UNION ALL
+  SELECT c, d, k, coalesce(lag(k) OVER (PARTITION BY c ORDER BY d), '') AS above, w FROM (
+    SELECT c, d, string_agg(h, ',') OVER (PARTITION BY c ORDER BY d) AS k,
+      len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM built)),
+nodes AS (
+  SELECT k, min(c) AS c, min(d) AS d, count(*) AS n, min(w) AS w, min(above) AS above FROM keys GROUP BY k),
+children AS (SELECT above, count(*) AS n FROM nodes WHERE d > 0 GROUP BY above),
+sums AS (
+  SELECT l.k, sum(CASE WHEN ch.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((x.n - 1) * x.w) AS saved
+  FROM nodes x LEFT JOIN children ch ON ch.above = x.k JOIN keys l ON l.c = x.c AND l.d <= x.d GROUP BY l.k),
+ends AS (
+  SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS sha
+  FROM (SELECT *, max(d) OVER (PARTITION BY c) AS last FROM keys) WHERE d = last GROUP BY k)
+SELECT x.c AS conv_id, CAST(x.d AS BIGINT) AS depth, p.c AS parent_conv_id, x.n AS n_convs, coalesce(ch.n, 0) AS n_children,
+  CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, coalesce(e.sha, sha256('')) AS ends_sha256
+FROM nodes x JOIN sums s ON s.k = x.k LEFT JOIN nodes p ON p.k = x.above LEFT JOIN children ch ON ch.above = x.k
+LEFT JOIN ends e ON e.k = x.k
+""")
+def op12_conversation_trie(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    c = F.col("conv_id")
+    forks = turns.where(c.isNotNull()).select(c.alias("c")).distinct().select(
+        "c", (F.col("c") - F.col("c") % 20).alias("source"), (F.crc32(F.col("c").cast("string")) % 4).alias("h"))
+    return prefix_trie.conversation_trie(turns, forks).drop("digest", "parent_digest")
