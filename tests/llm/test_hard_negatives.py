@@ -54,7 +54,7 @@ def test_scores_of_zero_below_zero_and_beyond_doubles(spark):
     large = float(1 << 40)
     rows = [(0, 1, [large, 1.0]), (1, 1, [large, 3.0]), (2, 2, [large, 2.0]), (3, 2, [large, 4.0])]
     assert result(hn.hard_negatives(frame(spark, rows), F.col("vec_id") == 0, low=0)) != []
-    assert hn.scores(np.array([[large, 1.0]]), np.array([[8.0 * (1 << 20), 3.0]]))[0, 0] == (1 << 40) * (8 << 20) + 3
+    assert hn.scores(np.array([[large, 1.0]]), np.array([[4.0 * (1 << 20), 3.0]]))[0, 0] == (1 << 40) * (4 << 20) + 3
     assert hn.scores(np.array([[1e300]]), np.array([[1e300]]))[0, 0] == np.iinfo(np.int64).max
     rows = [(0, 1, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (2, 1, [-2.0, 0.0]), (3, 2, [0.0, 5.0]), (4, 2, [-2.0, 1.0])]
     assert result(hn.hard_negatives(frame(spark, rows), F.col("vec_id") == 0)) == [(0, 1, 1, 3, 0, 0)]
