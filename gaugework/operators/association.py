@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,25 +117,49 @@ def target_links(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     )
 
 
-def pearson_pairs(df: DataFrame, columns: list[str], pairs_per_scan: int = 500) -> DataFrame:
-    """c1, c2, i, j, n, r: pairwise-complete Pearson correlation of all numeric column pairs.
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+_ROWS = 4096
+_CONSTANT = 1e-12  # share of the squares below which a variance is rounding
 
-    Pairs are sums in one aggregate; very wide tables are split into several scans.
+
+def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """c1, c2, i, j, n, r: pairwise-complete Pearson correlation of all numeric column pairs, in one scan.
+
+    A task adds up the masked Gram matrices of its rows: counts, sums, squares and products of each pair over the rows
+    that have both values. They merge by addition, one row for each task and pair. Values are taken relative to a
+    value of their column, so a large common offset costs no digits. r is null where a column is constant on the pair's rows.
     """
+    result = "c1 string, c2 string, i int, j int, n bigint, r double"
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], result)
     kinds = families(df, columns)
-    values = {c: present(c, kinds[c]).cast("double") for c in columns}
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    parts = []
-    for start in range(0, len(pairs), pairs_per_scan):
-        aggs, rows = [], []
-        for k, (i, j) in enumerate(pairs[start:start + pairs_per_scan]):
-            a, b = values[columns[i]], values[columns[j]]
-            aggs += [F.corr(a, b).alias(f"r{k}"), F.count(F.when(a.isNotNull() & b.isNotNull(), 1)).alias(f"n{k}")]
-            rows.append(F.struct(
-                F.lit(columns[i]).alias("c1"), F.lit(columns[j]).alias("c2"), F.lit(i).alias("i"),
-                F.lit(j).alias("j"), F.col(f"n{k}").alias("n"), F.col(f"r{k}").alias("r"),
-            ))
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*rows))))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "c1 string, c2 string, i int, j int, n bigint, r double")
-    return reduce(DataFrame.unionByName, parts)
+    values = df.select(*[present(c, kinds[c]).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    some = values.limit(1000).agg(*[F.first(c, ignorenulls=True).alias(c) for c in values.columns]).first()
+    pivots = np.array([v if v is not None and np.isfinite(v) else 0.0 for v in some])
+    left, right = np.triu_indices(len(columns), 1)
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(pivots)
+        sums = np.zeros((4, k, k))
+        for batch in batches:
+            # nulls read as NaN; NaN itself counts as missing before this point
+            made = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(k)], axis=1) - pivots
+            for at in range(0, len(made), _ROWS):
+                x = made[at:at + _ROWS]
+                there = ~np.isnan(x)
+                x, mask = np.where(there, x, 0.0), there.astype(float)
+                sums += np.stack([mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x])
+        n, s, q, p = sums
+        found = (n[left, right].astype(np.int64), s[left, right], s[right, left], q[left, right], q[right, left], p[left, right])
+        if n.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), *map(pa.array, found)], names=["i", "j", *_SUMS])
+
+    parts = values.mapInArrow(gram, "i int, j int, n bigint, sx double, sy double, sxx double, syy double, sxy double")
+    total = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    n = F.col("n").cast("double")
+    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
+    varied = (vx > _CONSTANT * F.col("sxx")) & (vy > _CONSTANT * F.col("syy"))
+    r = F.when((n > 0) & varied, (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy))
+    names = F.array(*map(F.lit, columns))
+    return total.select(F.element_at(names, F.col("i") + 1).alias("c1"), F.element_at(names, F.col("j") + 1).alias("c2"), "i", "j", "n", r.alias("r"))

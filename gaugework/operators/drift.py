@@ -12,6 +12,7 @@ from gaugework.functions.columns import families, present, ref, text_key
 from gaugework.functions.numeric import ks_p_value, rounded
 from gaugework.operators import findings as fd
 from gaugework.operators.leakage import first_two_values
+from gaugework.operators.lineage import stored
 from gaugework.operators.ordered import (
     _stacked, interpolated_quantiles, running_totals,
 )
@@ -139,13 +140,18 @@ def paired_counts(df: DataFrame, columns: dict[str, Column], part: Partition) ->
     return long.groupBy("column", "value").agg(F.sum("_k0").alias("nb"), F.sum("_k1").alias("nc"))
 
 
-def numeric_bins(counts: DataFrame, bins: int = 10) -> DataFrame:
+def ordered_counts(counts: DataFrame) -> DataFrame:
+    """The output of :func:`paired_counts` with running sums over the values, stored: bins, PSI and KS all read it."""
+    return stored(running_totals(counts, ["column"], "value", ["nb", "nc"]), "ordered-counts")
+
+
+def numeric_bins(ordered: DataFrame, bins: int = 10) -> DataFrame:
     """column, bin, low, high, expected, actual, contribution over baseline-decile bins.
 
-    ``counts`` is the output of :func:`paired_counts`. Edges are baseline quantiles without repeats,
+    ``ordered`` is the output of :func:`ordered_counts`. Edges are baseline quantiles without repeats,
     the outer ones moved just past the overall extremes; shares are floored and rescaled.
     """
-    ordered = running_totals(counts, ["column"], "value", ["nb"])
+    counts = ordered.select("column", "value", "nb", "nc")
     probs = {f"e{i}": i / bins for i in range(bins + 1)}
     edges = interpolated_quantiles(ordered, ["column"], "value", "nb", probs).selectExpr(
         "column", f"array_distinct(array({', '.join(probs)})) AS edges")
@@ -179,9 +185,9 @@ def categorical_bins(counts: DataFrame) -> DataFrame:
     ).withColumn("contribution", F.expr(PSI_TERM))
 
 
-def ks_statistics(counts: DataFrame) -> DataFrame:
+def ks_statistics(ordered: DataFrame) -> DataFrame:
     """column, nb, nc, ks_stat, ks_p from running counts of both parts over the ordered values."""
-    found = running_totals(counts, ["column"], "value", ["nb", "nc"]).groupBy("column").agg(
+    found = ordered.groupBy("column").agg(
         F.expr("max(all_nb) AS nb"), F.expr("max(all_nc) AS nc"),
         F.expr("max(abs(cum_nb / all_nb - cum_nc / all_nc)) AS ks_stat"))
     return found.withColumn("ks_p", ks_p_value("ks_stat", "nb", "nc"))
@@ -197,11 +203,11 @@ def drift_tables(
     text = {c: text_key(c, kinds[c]) for c in columns if not as_number[c]}
     metrics, details = [], []
     if numeric:
-        counts = paired_counts(df, numeric, part)
-        bins = numeric_bins(counts, limits.psi_bins)
+        ordered = ordered_counts(paired_counts(df, numeric, part))
+        bins = numeric_bins(ordered, limits.psi_bins)
         psi = bins.groupBy("column").agg(F.sum("contribution").alias("psi"))
         real = [c for c in numeric if kinds[c] in ("integer", "float")]
-        ks = ks_statistics(counts)
+        ks = ks_statistics(ordered)
         shown = F.col("column").isin(real) if real else F.lit(False)
         metrics.append(
             ks.join(F.broadcast(psi), "column", "left").select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gaugework.functions.columns import families, present, ref, text_key, whole_text
 from gaugework.functions.numeric import rounded
 from gaugework.operators import findings as fd
-from gaugework.operators.lineage import settled
+from gaugework.operators.lineage import settled, stored
 from gaugework.operators.ordered import _stacked, running_totals
 from gaugework.options import Thresholds
 
@@ -32,41 +32,39 @@ def _target_value(df: DataFrame, target: str):
     return whole_text(target, kind), False
 
 
-def _midranks(counts: DataFrame, value: str, out: str) -> DataFrame:
-    """Average rank of each distinct value: rows below it plus half of its own ties."""
-    ordered = running_totals(counts, ["column"], value, ["n"])
-    return ordered.select("column", value, (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias(out))
-
-
 def spearman(df: DataFrame, features: list[str], target: str, binary: bool) -> DataFrame:
     """column, n, spearman with average-rank ties; texts rank in byte order of the whole text.
 
-    The target is ranked once per column over its distinct values; its rank then goes to the rows, which are summed
-    per feature value (count, sum and sum of squares of the target's rank). The features are ranked on that table, so
-    no table of value pairs is joined to the features. A binary target has two ranks per column, which are broadcast.
+    Ranks of the target hold for the rows that have the feature. One ordered pass over the target's distinct values with one
+    count per feature gives them all; rows take them by one join on the target, before they are unpivoted, and are summed
+    per feature value (count, sum and sum of squares of the target's rank). The features are ranked on that table. So
+    no table of value pairs exists. Ranks are centred on the mean rank, which keeps the sums well conditioned.
     """
     kinds = families(df, features)
     y, _ = _target_value(df, target)
+    numeric = [k in ("integer", "float") for k in kinds.values()]
+    values = [present(c, k).cast("double") if n else whole_text(c, k) for (c, k), n in zip(kinds.items(), numeric)]
+    narrow = df.select(y.alias("y"), *[v.alias(f"x{i}") for i, v in enumerate(values)]).where("y IS NOT NULL")
+    counts = narrow.groupBy("y").agg(*[F.count(f"x{i}").alias(f"n{i}") for i in range(len(values))])
+    placed = running_totals(counts.withColumn("_one", F.lit(1)), ["_one"], "y", [f"n{i}" for i in range(len(values))])
+    ranks = placed.selectExpr("y AS at", *[f"cum_n{i} - (n{i} - 1) / 2.0D - (all_n{i} + 1) / 2.0D AS r{i}" for i in range(len(values))])
+    # two rows where the target is binary
+    ranked = narrow.join(F.broadcast(ranks) if binary else ranks, F.col("y") == F.col("at"))
+    none = {True: F.lit(None).cast("string"), False: F.lit(None).cast("double")}
+    slots = [
+        F.struct(F.lit(c).alias("column"), *(a.alias(name) for a, name in zip((F.col(f"x{i}"), none[n]) if n else (none[n], F.col(f"x{i}")), ("number", "text"))),
+                 F.col(f"r{i}").alias("r"))
+        for i, (c, n) in enumerate(zip(kinds, numeric))
+    ]
+    long = ranked.select(F.inline(F.array(*slots))).where("number IS NOT NULL OR text IS NOT NULL")
+    per_value = stored(long.groupBy("column", "number", "text").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("r").alias("sy"), F.sum(F.col("r") * F.col("r")).alias("yy")), "ranks-per-value")
     parts = []
-    for numeric in (True, False):
-        exprs = {
-            c: present(c, k).cast("double") if numeric else whole_text(c, k)
-            for c, k in kinds.items() if (k in ("integer", "float")) == numeric
-        }
-        if not exprs:
-            continue
-        long = _stacked(df, exprs, [y], "x").where(F.col("_k0").isNotNull()).withColumnRenamed("_k0", "y")
-        cells = long.groupBy("column", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-        rank_y = _midranks(cells.groupBy("column", "y").agg(F.sum("n").alias("n")), "y", "ry")
-        w, b = F.col("n").cast("double"), F.col("ry")
-        totals = cells.groupBy("column").agg(F.sum("n").alias("rows"))
-        mid = (F.col("rows") + 1) / 2.0
-        # centred on the mean rank (N+1)/2, which keeps the sums well conditioned; broadcast: one row per feature
-        per_value = cells.join(F.broadcast(rank_y) if binary else rank_y, ["column", "y"]).join(F.broadcast(totals), "column").groupBy(
-            "column", "x").agg(F.sum("n").alias("n"), F.sum(w * (b - mid)).alias("sy"), F.sum(w * (b - mid) * (b - mid)).alias("yy"))
-        ranked = running_totals(per_value, ["column"], "x", ["n"])
-        a = F.col("cum_n") - (F.col("n") - 1) / 2.0 - (F.col("all_n") + 1) / 2.0
-        sums = ranked.groupBy("column").agg(
+    for kind in {"number" if n else "text" for n in numeric}:
+        own = per_value.where(f"{kind} IS NOT NULL").select("column", F.col(kind).alias("x"), "n", "sy", "yy")
+        ordered = running_totals(own, ["column"], "x", ["n"])
+        w, a = F.col("n").cast("double"), F.col("cum_n") - (F.col("n") - 1) / 2.0 - (F.col("all_n") + 1) / 2.0
+        sums = ordered.groupBy("column").agg(
             F.max("all_n").alias("rows"), F.sum(a * F.col("sy")).alias("xy"), F.sum(w * a * a).alias("xx"), F.sum("yy").alias("yy"))
         norm = F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))
         parts.append(sums.where(F.col("rows") >= LEAST_ROWS).select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -13,9 +14,8 @@ from pyspark.sql import functions as F
 
 from gaugework.functions.columns import KEY_HEAD, families, present, quoted, ref
 from gaugework.functions.numeric import rounded
-from gaugework.operators.drift import partition_by_position
-from gaugework.operators.lineage import settled
-from gaugework.operators.ordered import running_totals, value_counts
+from gaugework.operators.lineage import settled, stored
+from gaugework.operators.ordered import interpolated_quantiles, running_totals, value_counts
 from gaugework.operators.semantic import parsed_datetime
 from gaugework.operators.profile import NUMERIC, quantiles
 
@@ -59,21 +59,54 @@ def plain_folds(df: DataFrame, key: str, k: int, seed: int = SEED) -> DataFrame:
 def chronological_folds(df: DataFrame, time: str, key: str, k: int) -> DataFrame:
     """Add ``fold``: -1 for the first rows in time, then k consecutive test blocks of n // (k + 1) rows.
 
-    Fold i is validated by a model fitted on all rows before it. Block boundaries are found by exact
-    selection and become literal comparisons.
+    Fold i is validated by a model fitted on all rows before it. All block boundaries are found by one exact selection and
+    become literal comparisons; unknown times come last.
     """
     moment = "_moment"
     timed = df.withColumn(moment, parsed_datetime(ref(time)) if families(df, [time])[time] == "string" else ref(time))
     n = df.count()
     block = n // (k + 1)
     fold = F.lit(-1)
-    for i in range(k):
-        start = n - (k - i) * block
-        part = partition_by_position(timed, [moment, key], start / n + 0.5 / n)
-        fold = F.when(part.current, F.lit(i)).otherwise(fold)
+    if not block:  # fewer rows than blocks: nothing to validate on
+        return timed.withColumn("fold", fold).drop(moment)
+    for i, begins in enumerate(rows_from(timed, moment, key, [n - (k - i) * block for i in range(k)])):
+        fold = F.when(begins, F.lit(i)).otherwise(fold)
     return timed.withColumn("fold", fold).drop(moment)
 
 
+def rows_from(df: DataFrame, order: str, key: str, positions: list[int]) -> list[Column]:
+    """For each position (from 0) a condition that holds from the row there on, by (``order`` with nulls last, ``key``).
+
+    One ordered table of the distinct values says in which value each position lies; a second one, over the keys of those values'
+    rows alone, tells the row.
+    """
+    value = F.col(order)
+    counts = df.where(value.isNotNull()).groupBy(value.alias("value")).agg(F.expr("count(1) AS n")).selectExpr("'all' AS g", "value", "n")
+    ordered = stored(running_totals(counts, ["g"], "value", ["n"]), "ordered-times")
+    spots = ", ".join(map(str, positions))
+    hits = ordered.selectExpr("value", "cum_n - n AS below", "cum_n", f"explode(array({spots})) AS at").where("below <= at AND at < cum_n").collect()
+    found = {r["at"]: (r["value"], r["below"]) for r in hits}
+    known = ordered.agg(F.coalesce(F.max("all_n"), F.lit(0))).first()[0]
+    # the groups of equal times in which a boundary lies, -1 for rows without a time
+    groups = list(dict.fromkeys(v for v, _ in found.values()))
+    of = F.when(value.isNull(), F.lit(-1))
+    for i, v in enumerate(groups):
+        of = of.when(value == F.lit(v), F.lit(i))
+    tied = df.select(of.alias("g"), ref(key).alias("key")).where("g IS NOT NULL").groupBy("g", "key").agg(F.expr("count(1) AS n"))
+    wanted = [(groups.index(found[p][0]), p - found[p][1], p) if p in found else (-1, p - known, p) for p in positions]
+    spots = ", ".join(f"named_struct('h', {g}, 'at', {a}L, 'p', {p}L)" for g, a, p in wanted)
+    places = running_totals(tied, ["g"], "key", ["n"]).selectExpr("g", "key", "cum_n - n AS below", "cum_n", f"explode(array({spots})) AS w")
+    edge = {r["p"]: r["key"] for r in places.where("g = w.h AND below <= w.at AND w.at < cum_n").select("w.p", "key").collect()}
+    out = []
+    for p in positions:
+        if p in found:
+            v = F.lit(found[p][0])
+            out.append(value.isNull() | (value > v) | ((value == v) & (ref(key) >= F.lit(edge[p]))))
+        else:
+            out.append(value.isNull() & (ref(key) >= F.lit(edge[p])))
+    return out
+
+
 @dataclass(frozen=True)
 class Recipe:
     """What preparation does to the features."""
@@ -137,36 +170,6 @@ def fit_preparation(train: DataFrame, features: list[str], recipe: Recipe = Reci
     return made
 
 
-def category_codes(train: DataFrame, columns: list[str]) -> DataFrame | None:
-    """column, value, code: the rank of each training value of each text column, stored once per fit."""
-    if not columns:
-        return None
-    filled = train.select(*[F.coalesce(ref(c).cast("string"), F.lit(MISSING)).alias(c) for c in columns])
-    long = filled.unpivot([], [quoted(c) for c in columns], "column", "whole")
-    # counted by a short key; the order is that of whole texts, carried once per category
-    seen = long.groupBy("column", _short_key(F.col("whole")).alias("value")).agg(F.min("whole").alias("whole")).withColumn("one", F.lit(1).cast("long"))
-    return settled(running_totals(seen, ["column"], "whole", ["one"]).selectExpr(
-        "column", "value", "CAST(cum_one - 1 AS double) AS code"))
-
-
-def _vectors(rows: DataFrame, made: Prepared, text: list[str], codes: DataFrame | None, keep: list[str]) -> DataFrame:
-    """Assemble the features; unseen categories become -1.
-
-    Codes are joined by value, so even columns with very many categories never pass the driver; a small
-    code table is broadcast by its measured size and a hot value is split by adaptive execution.
-    """
-    slots = {f"_x{i}": e for i, e in enumerate(made.columns.values())}
-    flat = rows.select(
-        *keep, *[e.alias(n) for n, e in slots.items()],
-        *[text_key_or_missing(c).alias(f"_t{i}") for i, c in enumerate(text)])
-    for i, c in enumerate(text):
-        table = codes.where(F.col("column") == c).select(F.col("value").alias(f"_t{i}"), F.col("code").alias(f"_code{i}"))
-        flat = flat.join(table, f"_t{i}", "left")
-    names = list(slots) + [f"_code{i}" for i in range(len(text))]
-    numbers = flat.select(*keep, *slots, *[F.coalesce(f"_code{i}", F.lit(-1.0)).alias(f"_code{i}") for i in range(len(text))])
-    return VectorAssembler(inputCols=names, outputCol="features").transform(numbers).select(*keep, "features")
-
-
 def text_key_or_missing(name: str) -> Column:
     """Category as the short key of its whole text; a missing value is a category of its own."""
     return _short_key(F.coalesce(ref(name).cast("string"), F.lit(MISSING)))
@@ -176,6 +179,99 @@ def _short_key(text: Column) -> Column:
     return F.when(F.length(text) <= KEY_HEAD, text).otherwise(F.concat(F.substring(text, 1, KEY_HEAD), F.sha2(text, 256)))
 
 
+def _trained_on(k: int, chronological: bool) -> list[list[int]]:
+    """For each validated fold the folds that its model is fitted on; -1 holds the rows before all blocks."""
+    every = range(-1, k)
+    return [[f for f in every if (f < i if chronological else f != i)] for i in range(k)]
+
+
+def fold_preparations(rows: DataFrame, features: list[str], recipe: Recipe, trains: list[list[int]]) -> tuple[list[Prepared], int]:
+    """The preparation of numeric features fitted on each list of folds, and the most rows that the recipe touches in one.
+
+    ``rows`` has ``fold``. Values are counted per fold once; a list's quantiles are those of its folds' summed counts, and one
+    ordered pass carries the sums of all lists. Fills, means and scales of all lists are aggregates of one scan.
+    """
+    kinds = families(rows, features)
+    numeric = [c for c in features if kinds[c] in NUMERIC]
+    made = [Prepared() for _ in trains]
+    inside = [F.col("fold").isin(t) for t in trains]
+    if numeric:
+        folds = sorted({f for t in trains for f in t})
+        names = {f: f"n_{i}" for i, f in enumerate(folds)}
+        sums = {f"w{i}": " + ".join(names[f] for f in t) for i, t in enumerate(trains)}
+        points: list[dict] = [{} for _ in trains]
+        for counts in value_counts(rows, numeric, measures={n: (F.col("fold") == f).cast("bigint") for f, n in names.items()}).values():
+            weighted = counts.selectExpr("column", "value", *[f"{e} AS {w}" for w, e in sums.items()])
+            ordered = stored(running_totals(weighted, ["column"], "value", list(sums)), "fold-counts")
+            probs = {"low": CLIP[0], "mid": 0.5, "high": CLIP[1]}
+            parts = [interpolated_quantiles(ordered, ["column"], "value", w, probs).withColumn("i", F.lit(i)) for i, w in enumerate(sums)]
+            for r in reduce(DataFrame.unionByName, parts).collect():
+                points[r["i"]][r["column"]] = r
+        values = [{} for _ in trains]
+        for i, at in enumerate(points):
+            for c in numeric:
+                x = present(c, kinds[c]).cast("double")
+                if c in recipe.clip and c in at:
+                    low, high = made[i].bounds[c] = at[c]["low"], at[c]["high"]
+                    x = F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
+                values[i][c] = x
+        fills = [{c: at[c]["mid"] if c in at else None for c in numeric} for at in points]
+        if recipe.impute == "mean":
+            fills = _aggregated(rows, {(i, c): F.avg(F.when(inside[i], values[i][c])) for i in range(len(trains)) for c in numeric}, len(trains))
+        for i, of in enumerate(fills):
+            for c in numeric:
+                fill = of[c]
+                if c in made[i].bounds and recipe.impute != "mean" and fill is not None:
+                    fill = max(made[i].bounds[c][0], min(made[i].bounds[c][1], fill))
+                values[i][c] = F.coalesce(values[i][c], F.lit(float(fill if fill is not None else 0.0)))
+        pairs = [(i, c) for i in range(len(trains)) for c in numeric]
+        means = _aggregated(rows, {(i, c): F.avg(F.when(inside[i], values[i][c])) for i, c in pairs}, len(trains))
+        scales = _aggregated(rows, {(i, c): F.stddev_pop(F.when(inside[i], values[i][c])) for i, c in pairs}, len(trains))
+        for i, c in pairs:
+            made[i].columns[c] = (values[i][c] - F.lit(means[i][c] or 0.0)) / F.lit(scales[i][c] or 1.0)
+    for one in made:
+        for c in recipe.flags:
+            if c in features:
+                one.columns[f"{c}_is_missing"] = present(c, kinds[c]).isNull().cast("double")
+    checks = [
+        F.coalesce(F.sum(F.when(inside[i], hit.cast("bigint"))), F.lit(0))
+        for i, one in enumerate(made)
+        for hit in [sum(((F.coalesce((ref(c) < F.lit(lo)) | (ref(c) > F.lit(hi)), F.lit(False))).cast("int") for c, (lo, hi) in one.bounds.items()), F.lit(0))
+                    + sum((present(c, kinds[c]).isNull().cast("int") for c in recipe.flags if c in features), F.lit(0))]
+    ] if recipe.flags or any(one.bounds for one in made) else []
+    touched = max(rows.agg(*[e.alias(f"t{i}") for i, e in enumerate(checks)]).first()) if checks else 0
+    return made, int(touched)
+
+
+_WIDTH = 200  # aggregates in one scan
+
+
+def _aggregated(rows: DataFrame, wanted: dict[tuple[int, str], Column], n: int) -> list[dict]:
+    """One value per list of folds and column; very many take several scans."""
+    found: list[dict] = [{} for _ in range(n)]
+    keys = list(wanted)
+    for start in range(0, len(keys), _WIDTH):
+        some = keys[start:start + _WIDTH]
+        row = rows.agg(*[wanted[k].alias(f"a{j}") for j, k in enumerate(some)]).first()
+        for j, (i, c) in enumerate(some):
+            found[i][c] = row[f"a{j}"]
+    return found
+
+
+def fold_codes(rows: DataFrame, text: list[str], trains: list[list[int]]) -> DataFrame | None:
+    """column, value, codes: for each list of folds the rank of the value among those of its rows, -1 where it has none."""
+    if not text:
+        return None
+    filled = rows.select("fold", *[F.coalesce(ref(c).cast("string"), F.lit(MISSING)).alias(c) for c in text])
+    long = filled.unpivot(["fold"], [quoted(c) for c in text], "column", "whole")
+    ones = [f"one{i}" for i in range(len(trains))]
+    # counted by a short key; the order is that of whole texts, carried once per category
+    seen = long.groupBy("column", _short_key(F.col("whole")).alias("value")).agg(
+        F.min("whole").alias("whole"), *[F.max(F.col("fold").isin(t).cast("bigint")).alias(o) for o, t in zip(ones, trains)])
+    codes = ", ".join(f"IF({o} = 1, CAST(cum_{o} - 1 AS double), -1D)" for o in ones)
+    return stored(running_totals(seen, ["column"], "whole", ones).selectExpr("column", "value", f"array({codes}) AS codes"), "category-codes")
+
+
 def out_of_fold_predictions(
     folded: DataFrame, label: str, features: list[str], key: str, k: int, classification: bool,
     recipe: Recipe = Recipe(), isolated: bool = True, chronological: bool = False, seed: int = SEED,
@@ -183,40 +279,45 @@ def out_of_fold_predictions(
     """(key, y, prediction, probability of validated rows; rows touched by the recipe in a fold).
 
     ``label`` is numeric (class codes for classification). With ``isolated`` all preparation is fitted
-    on the training rows of each fold; otherwise once on all rows. Every model is stored before the
-    next starts, so a lost executor never retrains earlier folds.
+    on the training rows of each fold; otherwise once on all rows. The features are stored once, with their fold and the
+    category codes of all folds; a fold's preparation is an expression over that table. Every fold's predictions are
+    stored before the next starts, so a lost executor never retrains earlier folds.
     """
     kinds = families(folded, features)
     text = [c for c in features if kinds[c] not in NUMERIC]
-    parts, touched = [], 0
-    shared = None if isolated else (fit_preparation(folded, features, recipe), category_codes(folded, text))
-    keep = ["_key", "_label"]
-    rows = folded.withColumn("_key", ref(key)).withColumn("_label", ref(label).cast("double"))
+    numbers = [c for c in features if kinds[c] in NUMERIC]
+    trains = _trained_on(k, chronological)
+    fits = trains if isolated else [sorted({f for t in trains for f in t} | set(range(k)))]
+    flagged = [c for c in recipe.flags if c in features]
+    made, touched = fold_preparations(folded, features, recipe, fits)
+    codes = fold_codes(folded, text, fits)
+    keys = [text_key_or_missing(c).alias(f"_t{i}") for i, c in enumerate(text)]
+    gaps = [ref(c) for c in flagged if c not in numbers]
+    matrix = folded.select(ref(key).alias("_key"), ref(label).cast("double").alias("_label"), "fold", *[ref(c) for c in numbers], *gaps, *keys)
+    for i, c in enumerate(text):
+        # a small table is broadcast by its measured size; a hot value is split by adaptive execution
+        table = codes.where(F.col("column") == c).select(F.col("value").alias(f"_t{i}"), F.col("codes").alias(f"_codes{i}"))
+        matrix = matrix.join(table, f"_t{i}", "left").drop(f"_t{i}")
+    matrix = stored(matrix, "model-matrix")
     # without its number of classes a label counts as one of a hundred at most
-    classes = int(rows.agg(F.max("_label")).first()[0] or 0) + 1 if classification else 0
+    classes = int(matrix.agg(F.max("_label")).first()[0] or 0) + 1 if classification else 0
     nominal = {"ml_attr": {"type": "nominal", "name": "_label", "num_vals": max(2, classes)}}
-    for i in range(k):
-        train = rows.where(F.col("fold") < i) if chronological else rows.where(F.col("fold") != i)
-        made, codes = shared or (fit_preparation(train, features, recipe), category_codes(train, text))
-        checks = [
-            F.sum(((ref(c) < F.lit(lo)) | (ref(c) > F.lit(hi))).cast("bigint")) for c, (lo, hi) in made.bounds.items()
-        ] + [F.sum(present(c, kinds[c]).isNull().cast("bigint")) for c in recipe.flags if c in features]
-        if checks:
-            touched = max(touched, sum(v or 0 for v in train.agg(*checks).first()))
+    parts = []
+    for i, train in enumerate(trains):
+        at = i if isolated else 0
+        slots = list(made[at].columns.values()) + [F.coalesce(F.element_at(f"_codes{j}", at + 1), F.lit(-1.0)) for j in range(len(text))]
+        shaped = matrix.select("_key", "_label", "fold", *[e.alias(f"_x{j}") for j, e in enumerate(slots)])
+        table = VectorAssembler(inputCols=[f"_x{j}" for j in range(len(slots))], outputCol="features").transform(shaped)
         common = dict(featuresCol="features", labelCol="_label", numTrees=TREES, maxDepth=DEPTH,
                       minInstancesPerNode=LEAF, seed=seed)
         forest = RandomForestClassifier(**common) if classification else RandomForestRegressor(**common)
-        # the trainer reads its input several times
-        table = settled(_vectors(train, made, text, codes, keep))
-        model = forest.fit(table.withMetadata("_label", nominal) if classification else table)
-        scored = model.transform(_vectors(rows.where(F.col("fold") == i), made, text, codes, keep))
+        known = table.where(F.col("fold").isin(train))
+        model = forest.fit(known.withMetadata("_label", nominal) if classification else known)
+        scored = model.transform(table.where(F.col("fold") == i))
         p = F.get(vector_to_array("probability"), F.lit(1)) if classification else F.lit(None).cast("double")
-        parts.append(settled(scored.select(
-            F.col("_key").alias("key"), F.col("_label").alias("y"), "prediction", p.alias("probability"), F.lit(i).alias("fold"))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, int(touched)
+        parts.append(stored(scored.select(
+            F.col("_key").alias("key"), F.col("_label").alias("y"), "prediction", p.alias("probability"), F.lit(i).alias("fold")), "fold-predictions"))
+    return reduce(DataFrame.unionByName, parts), touched
 
 
 def auc(scored: DataFrame, label: str = "y", score: str = "probability") -> DataFrame:

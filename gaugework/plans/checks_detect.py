@@ -399,7 +399,7 @@ def drift_detected_time_orders(spark, sf_dir):
 def drift_numeric_bins_events(spark, sf_dir):
     df, part = _events_parts(spark, sf_dir)
     counts = drift.paired_counts(df, {c: F.col(c).cast("double") for c in DRIFT_NUMERIC}, part)
-    bins = drift.numeric_bins(counts)
+    bins = drift.numeric_bins(drift.ordered_counts(counts))
     return bins.select("column", F.col("bin").cast("bigint").alias("bin"),
                        *[drift.rounded(c).alias(c) for c in ("expected", "actual", "contribution")])
 
@@ -420,7 +420,8 @@ def drift_category_bins_events(spark, sf_dir):
 @register("drift_ks_p_values_events")
 def drift_ks_p_values_events(spark, sf_dir):
     df, part = _events_parts(spark, sf_dir)
-    return drift.ks_statistics(drift.paired_counts(df, {c: F.col(c).cast("double") for c in DRIFT_NUMERIC}, part))
+    counts = drift.paired_counts(df, {c: F.col(c).cast("double") for c in DRIFT_NUMERIC}, part)
+    return drift.ks_statistics(drift.ordered_counts(counts))
 
 
 @register(

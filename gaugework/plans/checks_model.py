@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.operators import drift, experiments, fairness, faults, leakage, modeling, quality
+from gaugework.operators import decisions, drift, experiments, fairness, faults, leakage, modeling, quality
 from gaugework.operators import findings as fd
 from gaugework.operators.lineage import scratch_path, settled
 from gaugework.operators.profile import profile_columns
@@ -83,6 +86,19 @@ def chronological_folds_events(spark, sf_dir):
     return folded.groupBy(F.col("fold").cast("bigint").alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
 
+@register(
+    "chronological_folds_by_text_times_events",
+    "SELECT CAST(CASE WHEN r <= n - 5 * b THEN -1 ELSE floor((r - (n - 5 * b) - 1) / b) END AS BIGINT) AS fold, count(*) AS n, min(event_id) AS first_id FROM "
+    "(SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 50 = 0 THEN NULL ELSE date_trunc('minute', ts) END NULLS LAST, event_id) AS r, "
+    "count(*) OVER () AS n, count(*) OVER () // 6 AS b FROM events) GROUP BY 1",
+)
+def chronological_folds_by_text_times_events(spark, sf_dir):
+    """Times are texts of whole minutes, so many rows are tied, and one in fifty has none."""
+    moment = F.when(F.col("event_id") % 50 != 0, F.date_format(F.date_trunc("minute", "ts"), "yyyy-MM-dd HH:mm:ss"))
+    folded = modeling.chronological_folds(view(spark, sf_dir, "events_audit").withColumn("ts", moment), "ts", "event_id", 5)
+    return folded.groupBy(F.col("fold").cast("bigint").alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+
+
 @register(
     "prepared_features_orders",
     f"{cte('orders_audit')}, b AS (SELECT quantile_cont(tail_amount, 0.01) AS lo, quantile_cont(tail_amount, 0.99) AS hi, quantile_cont(total_price, 0.5) AS mid FROM orders_audit), "
@@ -105,14 +121,14 @@ def _model_view(spark, sf_dir):
 
 @register("cross_validated_forest_orders")
 def cross_validated_forest_orders(spark, sf_dir):
-    result = modeling.cross_validate(_model_view(spark, sf_dir), ROLES, "urgent", "binary_classification", "order_id", k=2)
+    result = modeling.cross_validate(_model_view(spark, sf_dir), ROLES, "urgent", "binary_classification", "order_id")
     return result["predictions"]
 
 
 @register("cross_validated_regression_lineitem")
 def cross_validated_regression_lineitem(spark, sf_dir):
     df = view(spark, sf_dir, "lineitem_audit").select("line_key", "quantity", "discount", "tax", "return_flag", "extended_price")
-    result = modeling.cross_validate(df, [], "extended_price", "regression", "line_key", k=2)
+    result = modeling.cross_validate(df, [], "extended_price", "regression", "line_key")
     return modeling.regression_metrics(result["predictions"])
 
 
@@ -121,15 +137,70 @@ def missingness_strategies_orders(spark, sf_dir):
     df = _model_view(spark, sf_dir).drop("refund_flag")
     return experiments.investigate(
         df, ROLES, "urgent", "binary_classification", "order_id", "missingness_strategy", ["income_score"],
-        ["DROP_FEATURE", "MEDIAN_IMPUTATION", "MISSING_INDICATOR"], k=2)[0]
+        ["DROP_FEATURE", "MEDIAN_IMPUTATION", "MISSING_INDICATOR"])[0]
 
 
 @register("leakage_ablation_by_time_orders")
 def leakage_ablation_by_time_orders(spark, sf_dir):
-    df = view(spark, sf_dir, "orders_audit").select("order_id", "balance", "refund_flag", "order_date", "urgent")
+    df = view(spark, sf_dir, "orders_audit")
     return experiments.investigate(
         df, ROLES, "urgent", "binary_classification", "order_id", "suspected_leakage", ["refund_flag"],
-        ["BASELINE_WITH_FEATURE", "REMOVE_SUSPECT_FEATURE"], time="order_date", k=2)[0]
+        ["BASELINE_WITH_FEATURE", "REMOVE_SUSPECT_FEATURE"], time="order_date")[0]
+
+
+def _profile_roles(df, target, key):
+    return settled(profile_columns(df, target, key)).select("name", "family", "unique_count", "missing_count", "is_constant", "is_id").collect()
+
+
+# Bounds: refund_flag differs from the target in one row of fifty, so models with it separate nearly all rows and models without it
+# have the gaps of income_score alone to go by, which hold half of the urgent rows.
+@register("all_strategies_orders", f"""
+{cte('orders_audit')}, g AS (SELECT count(*) AS n, count(*) - count(income_score) AS gaps FROM orders_audit),
+s AS (SELECT * FROM (VALUES ('suspected_leakage', 'BASELINE_WITH_FEATURE', 0), ('suspected_leakage', 'REMOVE_SUSPECT_FEATURE', 1),
+  ('missingness_strategy', 'DROP_FEATURE', 2), ('missingness_strategy', 'MEDIAN_IMPUTATION', 0), ('missingness_strategy', 'MISSING_INDICATOR', 3),
+  ('feature_redundancy', 'KEEP_ALL_CORRELATED', 0), ('feature_redundancy', 'PRUNE_CORRELATED_GROUP', 1),
+  ('outlier_treatment', 'RAW_FEATURES', 0), ('outlier_treatment', 'WINSORIZE_OUTLIERS', 4)) t(category, strategy_id, touches))
+SELECT category, strategy_id, 5 AS folds, 'ROC-AUC' AS metric,
+  CASE touches WHEN 1 THEN n WHEN 2 THEN gaps ELSE 0 END AS rows_affected, true AS some_touched, true AS within
+FROM s, g
+""")
+def all_strategies_orders(spark, sf_dir):
+    """Every strategy on five folds; scores are held against bounds, touched rows of whole columns against counts."""
+    df = settled(view(spark, sf_dir, "orders_audit").drop("order_date", "customer_id"))
+    roles = _profile_roles(df, "urgent", "order_id")
+    cases = [
+        ("suspected_leakage", ["refund_flag"], df), ("missingness_strategy", ["income_score"], df.drop("refund_flag")),
+        ("feature_redundancy", ["total_price", "tail_amount"], df), ("outlier_treatment", ["tail_amount"], df.drop("refund_flag")),
+    ]
+    parts = [
+        experiments.investigate(rows, roles, "urgent", "binary_classification", "order_id", category, affected, decisions.STRATEGIES[category])[0]
+        .withColumn("category", F.lit(category)) for category, affected, rows in cases
+    ]
+    made = reduce(DataFrame.unionByName, parts)
+    leaky = F.col("category").isin("feature_redundancy") | (F.col("strategy_id") == "BASELINE_WITH_FEATURE")
+    counted = F.col("strategy_id").isin("REMOVE_SUSPECT_FEATURE", "DROP_FEATURE", "PRUNE_CORRELATED_GROUP")
+    # each fold's training rows are four fifths of all, and so about are the gaps and the tails among them
+    touched = F.col("strategy_id").isin("MISSING_INDICATOR", "WINSORIZE_OUTLIERS")
+    return made.select(
+        "category", "strategy_id", "folds", F.col("primary_metric_name").alias("metric"),
+        F.when(counted, F.col("rows_affected")).otherwise(0).alias("rows_affected"), (~touched | (F.col("rows_affected") > 0)).alias("some_touched"),
+        F.when(leaky, F.col("primary_score").between(0.95, 1.0)).otherwise(F.col("primary_score").between(0.5, 0.95)).alias("within"))
+
+
+@register("automatic_experiments_orders", """
+SELECT name, category, status, true AS within FROM (VALUES ('baseline', 'baseline', 'baseline'),
+  ('without leaky features', 'target_leakage', 'leakage_confirmed'), ('clipped at p1 and p99', 'outliers', 'neutral'),
+  ('mean instead of median imputation', 'missingness', '')) t(name, category, status) WHERE (SELECT count(*) FROM orders) > 0
+""")
+def automatic_experiments_orders(spark, sf_dir):
+    """The experiments that the findings of the leak, the gaps and the tails call for, on five folds."""
+    df = settled(view(spark, sf_dir, "orders_audit").drop("order_date", "customer_id"))
+    roles = _profile_roles(df, "urgent", "order_id")
+    found = [{"type": "target_leakage", "column": "refund_flag"}, {"type": "missingness", "column": "income_score"}, {"type": "outliers", "column": "tail_amount"}]
+    rows = experiments.run_experiments(df, roles, "urgent", "binary_classification", "order_id", found)
+    status = F.when(F.col("category") == "missingness", F.lit("")).otherwise(F.col("status"))
+    within = F.when(F.col("category") == "baseline", F.col("modified_score") > 0.95).otherwise(F.col("modified_score").between(0.5, 0.95))
+    return rows.select("name", "category", status.alias("status"), within.alias("within"))
 
 
 # --- fault injection over customers -----------------------------------------------------------------
@@ -232,6 +303,40 @@ def csv_round_trip_supplier(spark, sf_dir):
         F.col("s_acctbal").cast("double").alias("s_acctbal"))
 
 
+_LONG_TEXT = "CASE WHEN doc_id % 100 = 0 THEN repeat(concat(text, ', \"again\"\n'), 1 + CAST(floor(1000000 / (1 + length(text))) AS INT)) ELSE text END"
+
+
+@register("csv_quoted_round_trip_documents", f"""
+SELECT doc_id, sha256(nullif(body, '')) AS text_sha256, CAST(length(nullif(body, '')) AS INTEGER) AS n_chars, lang, source
+FROM (SELECT *, {_LONG_TEXT} AS body FROM documents)
+""")
+def csv_quoted_round_trip_documents(spark, sf_dir):
+    """Documents as delimited text: quotes, separators and line breaks inside fields, some of them over a million characters."""
+    from gaugework.sources.readers import read_csv
+
+    folder = scratch_path(spark, "csv") + "/documents.csv"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", f"{_LONG_TEXT} AS body", "lang", "source")
+    exact = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs.write.options(**exact).csv(folder)
+    got = read_csv(spark, folder, ",", "doc_id bigint, body string, lang string, source string")
+    return got.select("doc_id", F.sha2("body", 256).alias("text_sha256"), F.length("body").alias("n_chars"), "lang", "source")
+
+
+@register("csv_feedback_round_trip_conversations", """
+SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, coalesce(role, '') AS role,
+  sha256(coalesce(text, '')) AS text_sha256 FROM conversations
+""")
+def csv_feedback_round_trip_conversations(spark, sf_dir):
+    """Turns as feedback files: text columns, records over several lines."""
+    from gaugework.sources.readers import read_feedback_csv
+
+    folder = scratch_path(spark, "csv") + "/turns.csv"
+    exact = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").write.options(**exact).csv(folder)
+    got = read_feedback_csv(spark, folder)
+    return got.select("conv_id", "turn", "role", F.sha2("text", 256).alias("text_sha256"))
+
+
 @register("json_lines_with_bad_records_nation", "SELECT n_name, n_nationkey, n_regionkey FROM nation")
 def json_lines_with_bad_records_nation(spark, sf_dir):
     """Every nation as a JSON line, each followed by a broken line."""

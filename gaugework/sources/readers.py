@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import csv
-import io
-from collections.abc import Iterator
-from itertools import islice
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaugework.sources import quoted_csv
+
 # Separators besides the comma in the order in which they are tried, and the look-ahead.
 SEPARATORS = ("\t", ";", "|")
 SNIFF_CHARS = 4096
@@ -46,22 +42,26 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, separator: str | None = None, schema=None) -> DataFrame:
-    """Delimited text with a header: short lines are filled with nulls, lines with too many fields are skipped.
+    """Delimited text with a header: short lines are filled with nulls, lines with too many fields and blank ones are skipped.
 
-    Give ``schema`` for large inputs: without one Spark reads the files once more to infer types.
+    Quoted fields may hold separators, doubled quotes and line breaks, and files are split all the same. A ``schema``
+    gives the names and types of the columns in their order; without one types are inferred in one more pass over all rows.
     """
     sep = separator or sniff_separator(spark, path)
-    reader = spark.read.option("header", True).option("sep", sep).option("columnPruning", False)
-    if schema is None:
-        schema = reader.option("inferSchema", True).csv(path).schema
-    elif isinstance(schema, str):
+    names = quoted_csv.header(spark, _first_file(spark, path), sep)
+    if not names:
+        raise UnsupportedFormat(f"{path} has no header line")
+    if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    marked = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    rows = reader.schema(marked).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).csv(path)
-    # a marked line is short, long, or has a value of another type; separators outside quotes tell which
-    bare = F.regexp_replace(F.col(_BAD), r'"(?:[^"\\\\]|\\\\.)*"', "")
-    fields = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
-    return rows.where(F.col(_BAD).isNull() | (fields <= len(schema.fields))).drop(_BAD)
+    # rows are judged by the header's width, or the schema's where it is wider
+    width = max(len(names), len(schema.fields) if schema else 0)
+    rows = quoted_csv.read_quoted(spark, path, sep, [f"c{i}" for i in range(width)], blank_lines=False)
+    if schema is None:
+        kinds = quoted_csv.inferred(rows)
+        schema = T.StructType([
+            T.StructField(f"c{i}", T.StructType.fromDDL(f"x {kind}").fields[0].dataType) for i, kind in enumerate(kinds)])
+        return quoted_csv.typed(rows, schema).toDF(*names)
+    return quoted_csv.typed(rows, schema)
 
 
 def _json_document(spark: SparkSession, path: str) -> bool:
@@ -116,79 +116,15 @@ def read_table(
     return df.limit(max_rows) if max_rows else df
 
 
-def _records(content: bytes, encoding: str) -> Iterator[list[str]]:
-    # newline="": quoted line breaks stay as they are
-    return csv.reader(io.TextIOWrapper(io.BytesIO(content), encoding=encoding, newline=""))
-
-
-def _encoding(content: bytes) -> str:
-    """UTF-8 (with or without byte order mark) if the bytes are that, else cp1252."""
-    try:
-        content.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        return "cp1252"
-    return "utf-8-sig"
-
-
-def read_feedback_csv(spark: SparkSession, path: str, quoted_newlines: bool = True) -> DataFrame:
+def read_feedback_csv(spark: SparkSession, path: str) -> DataFrame:
     """Feedback CSV as text columns: each file UTF-8 with or without byte order mark, else cp1252.
 
     Empty fields are empty strings, a blank line is a row of empty fields, short lines are filled up, and lines with
-    too many fields are skipped. With ``quoted_newlines`` a record may span lines, so a file is one task; without it
-    files are split by lines and may be of any size.
+    too many fields are skipped. Records may span lines; files may be of any size and are split.
     """
-    names = _feedback_header(spark, path)
-    width = len(names)
-    fields = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    if not quoted_newlines:
-        return _split_feedback(spark, path, names)
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for value in batch.column(0):
-                content = value.as_py()
-                records = _records(content, _encoding(content))
-                next(records, None)
-                fitting = (r + [""] * (width - len(r)) for r in records if len(r) <= width)
-                while piece := list(islice(fitting, 10_000)):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*piece)], names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, fields)
-
-
-def _feedback_header(spark: SparkSession, path: str) -> list[str]:
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for value in batch.column(0):
-                content = value.as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([next(_records(content, _encoding(content)), [])], pa.list_(pa.string()))], ["names"])
-
-    head = spark.read.format("binaryFile").load(_first_file(spark, path)).select("content").mapInArrow(first, "names array<string>").head()
-    if head is None or not head["names"]:
+    names = quoted_csv.header(spark, _first_file(spark, path), ",", "cp1252")
+    if not names:
         raise UnsupportedFormat(f"{path} has no header line")
-    return head["names"]
-
-
-def _split_feedback(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """Line by line, files of any size: blank lines are rows, and each file's first record, its header, is left out."""
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"))
-    bad = [r["file"] for r in lines.where(~F.is_valid_utf8("value")).select("file").distinct().collect()]
-    text = lines.where(~F.col("file").isin(bad)).select("value") if bad else lines.select("value")
-    if bad:
-        # ISO-8859-1 lines, with the range 0x80-0x9F as cp1252 has it
-        codes = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
-        pairs = [(a, b) for a, b in codes if b]
-        raw = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-        text = text.unionByName(spark.read.text(bad).select(
-            F.translate(raw, "".join(a for a, _ in pairs), "".join(b for _, b in pairs)).alias("value")))
-    width = len(names)
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    bare = F.regexp_replace("value", "^\ufeff", "")
-    parsed = text.select(F.from_csv(bare, schema, {"nullValue": "\u0000absent", "emptyValue": "", "escape": '"'}).alias("r"), bare.alias("line"))
-    is_header = F.lit(True)
-    for i, n in enumerate(names):
-        is_header = is_header & F.col(f"r.c{i}").eqNullSafe(F.lit(n))
-    outside = F.regexp_replace("line", '"[^"]*"', "")
-    fits = F.length(outside) - F.length(F.replace(outside, F.lit(","), F.lit(""))) < width
-    return parsed.where(fits & ~is_header).select(
-        *[F.coalesce(F.col(f"r.c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)])
+    numbered = [f"c{i}" for i in range(len(names))]
+    rows = quoted_csv.read_quoted(spark, path, ",", numbered, blank_lines=True, legacy="cp1252")
+    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in numbered]).toDF(*names)
