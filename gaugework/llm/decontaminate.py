@@ -4,18 +4,21 @@ Words are the runs of ASCII letters and digits and of all characters beyond ASCI
 windows are its runs of ``n`` words; an item of fewer words is one window of its own length. A document word is hit
 if it lies inside any occurrence of a window. Set membership compares the whole window, so a hash match is verified.
 
-The set is built from the benchmark alone. It is broadcast in blocks of at most ``block_windows`` windows, cut by a
-hash of the window; a benchmark beyond one block costs one more scan per block and nothing else changes.
+The set is built from the benchmark alone. It is broadcast in blocks of at most ``block_bytes``. One block is read with
+the documents; each block of a larger benchmark is a pass of its own, which stores the hits of the texts that have any
+and frees its set before the next one is sent. Those hits meet the documents by the digests of their texts. An item
+larger than a block is dealt over several, its windows overlapping.
 
 Defined cases: a null or empty text has no words and no hits; an item without words has no window; items with the
 same id count once, a null id counts as the item named by the empty string; repeated rows each get their own result;
-an empty benchmark hits nothing; other columns are not read.
+an empty benchmark hits nothing; other columns are carried along unread.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugework.functions.columns import ref
+from gaugework.llm.common import free_name, written
 
 WINDOW = 10
-BLOCK_WINDOWS = 2_000_000
+BLOCK_BYTES = 64 << 20
+_ENTRY = 300  # bytes that a window takes in the set besides its text
 
 # ASCII to its word form: lower case for letters, digits as they are, a space for all else. Other bytes stay.
 _FOLD = bytes(
@@ -99,52 +104,75 @@ _HITS_ARROW = pa.struct([
 ])
 
 
-def benchmark_blocks(benchmark: DataFrame, item: str, text: str, n: int, block_windows: int) -> Iterator[list]:
-    """Items in blocks whose windows are at most about ``block_windows``, read one after the other from Spark."""
+def benchmark_blocks(benchmark: DataFrame, item: str, text: str, n: int, block_bytes: int) -> Iterator[list]:
+    """Items (id, words) in blocks whose windows take at most about ``block_bytes``, read one after the other from Spark."""
     block: list[tuple[str, str]] = []
     size = 0
     rows = benchmark.select(
         F.coalesce(ref(item).cast("string"), F.lit("")).alias("item"), F.coalesce(ref(text).cast("string"), F.lit("")).alias("text"),
     ).distinct()
     for row in rows.toLocalIterator():
-        count = len(words_of(row["text"]))
-        if block and size + count > block_windows:
-            yield block
-            block, size = [], 0
-        block.append((row["item"], row["text"]))
-        size += count
+        words = words_of(row["text"])
+        cost = [_ENTRY + min(n, len(words)) * (len(w) + 1) for w in words]
+        at = 0
+        while at < len(words):
+            end, more = at, 0
+            while end < len(words) and (end == at or size + more + cost[end] <= block_bytes):
+                more += cost[end]
+                end += 1
+            if block and size + more > block_bytes:
+                yield block
+                block, size = [], 0
+                continue
+            # the windows that start in this stretch
+            block.append((row["item"], b" ".join(words[at:end + n - 1]).decode("utf-8", "surrogatepass")))
+            size += more
+            at = len(words) if end + n > len(words) else end
+            if size >= block_bytes:
+                yield block
+                block, size = [], 0
     if block:
         yield block
 
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-    n: int = WINDOW, block_windows: int = BLOCK_WINDOWS, column: str = "hits",
+    n: int = WINDOW, block_bytes: int = BLOCK_BYTES, column: str = "hits",
 ) -> DataFrame:
     """``docs`` with a struct column: number of words, covered word spans (disjoint, sorted) and item ids (sorted)."""
-    if column in docs.columns:
+    if column.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"documents already have a column {column!r}")
-    spark = docs.sparkSession
-    out = docs
-    names: list[str] = []
-    for i, block in enumerate(benchmark_blocks(benchmark, item, item_text, n, block_windows)):
-        names.append(f"_gw_block{i}")
-        out = out.withColumn(names[-1], _scanner(spark, block, n)(ref(text).cast("string")))
-    if not names:
-        names.append("_gw_block0")
-        out = out.withColumn(names[-1], _scanner(spark, [], n)(ref(text).cast("string")))
-    hits = F.col(names[0]) if len(names) == 1 else _joined()(*[F.col(x) for x in names])
-    return out.withColumn(column, hits).drop(*names)
-
-
-def _scanner(spark, block: list[tuple[str, str]], n: int) -> Callable:
+    spark, body = docs.sparkSession, ref(text).cast("string")
+    blocks = benchmark_blocks(benchmark, item, item_text, n, block_bytes)
+    block, following = next(blocks, []), next(blocks, None)
+    if following is None:
+        return docs.withColumn(column, _scanner(_shared(spark, block, n))(body))
+    texts = docs.where(body.isNotNull()).select(F.sha2(body, 256).alias("mark"), body.alias("text"))
+    passes = []
+    while block is not None:
+        shared = _shared(spark, block, n)
+        found = texts.select("mark", _scanner(shared)("text").alias("h")).where(F.size("h.starts") > 0)
+        passes.append(written(found.dropDuplicates(["mark"]), "benchmark-hits"))
+        shared.destroy()
+        block, following = following, next(blocks, None)
+    mark, words, hit, hit_mark = (free_name(docs, f"_gw_{x}") for x in ("text_mark", "words", "hit", "hit_mark"))
+    every = reduce(DataFrame.unionByName, passes).groupBy("mark").agg(F.collect_list("h").alias("parts"))
+    every = every.select(F.col("mark").alias(hit_mark), _joined()("parts").alias(hit))
+    rows = docs.withColumn(mark, F.sha2(body, 256)).withColumn(words, _scanner(_shared(spark, [], n))(body))
+    joined = rows.join(every, F.col(mark) == F.col(hit_mark), "left")
+    return joined.withColumn(column, F.coalesce(hit, words)).drop(hit_mark, hit, mark, words)
+
+
+def _shared(spark, block: list[tuple[str, str]], n: int):
     windows = _windows(block, n)
     heads = {size: {w.split(b" ", 1)[0] for w in known} for size, known in windows.items()}
-    shared = spark.sparkContext.broadcast((windows, heads))
+    return spark.sparkContext.broadcast((windows, heads, n))
 
+
+def _scanner(shared) -> Callable:
     @F.arrow_udf(_HITS)
     def find(texts: pa.Array) -> pa.Array:
-        known, first = shared.value
+        known, first, n = shared.value
         out = []
         for text in texts:
             words = words_of(text.as_py())
@@ -158,9 +186,9 @@ def _scanner(spark, block: list[tuple[str, str]], n: int) -> Callable:
 
 def _joined() -> Callable:
     @F.arrow_udf(_HITS)
-    def join(*blocks: pa.Array) -> pa.Array:
+    def join(found: pa.Array) -> pa.Array:
         out = []
-        for parts in zip(*(b.to_pylist() for b in blocks)):
+        for parts in found.to_pylist():
             spans = covered([x for p in parts for x in zip(p["starts"], p["ends"])])
             out.append((
                 parts[0]["n_words"], [s for s, _ in spans], [e for _, e in spans], sorted({i for p in parts for i in p["items"]}),
@@ -201,8 +229,9 @@ def decontaminated(
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    found = contamination(docs, benchmark, text, item, item_text, n, column="_gw_hits")
-    h = F.col("_gw_hits")
+    column = free_name(docs, "_gw_hits")
+    found = contamination(docs, benchmark, text, item, item_text, n, column=column)
+    h = ref(column)
     if remove == "spans":
         return found.withColumn(text, _cut()(ref(text).cast("string"), h["starts"], h["ends"])).select(*[ref(c) for c in docs.columns])
     n_hit = F.aggregate(F.zip_with(h["starts"], h["ends"], lambda s, e: e - s), F.lit(0), lambda a, x: a + x)

@@ -10,7 +10,8 @@
    path that the page has are its article. A page with none of them uses its own best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out
-wherever they stand, by tag, by role or by a word of their class or id ("no-sidebar" names none). Words of class and id
+wherever they stand, by tag, by role or by a word of their class or id ("no-sidebar" names none; inside an article the whole
+name has to say so, as "share-buttons" does and "share-price" does not). Words of class and id
 leave nothing out that holds a main element, the article with the most unlinked words (if that is half of the main
 element's at least), or most of the page's unlinked words (nine tenths for names of reader comments, which are often longer than the article).
 
@@ -19,7 +20,7 @@ at most ``paths`` rows per host; Spark broadcasts it while it is small and else
 
 Defined cases: a null or empty page has the empty text; pages with a null or unreadable url form one host; ties in
 votes go to the path that comes first by code point; broken markup never fails: unclosed elements end with their
-parent, a "<" that opens no tag is text; rows with equal ids get results of their own; an empty table gives an empty
+parent (a list of options with the next block; of scripts and styles nothing tells the end), a "<" that opens no tag is text; rows with equal ids get results of their own; an empty table gives an empty
 result; other columns are not read.
 """
 
@@ -44,11 +45,14 @@ PATH_STEPS = 40  # deeper elements share the path of their ancestor at this dept
 _DECAY = (1.0, 0.5, 0.25, 0.1)
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript textarea title template iframe svg math object select option button canvas audio video".split())
+_RAW = frozenset("script style noscript textarea title template iframe svg canvas audio video".split())
+_TO_THE_END = frozenset("script style".split())  # without an end tag all that follows is code
+_CONTROLS = frozenset("button datalist optgroup option select".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var".split()
+    "strike strong sub sup time tt u var math mi mn mo mrow ms mtext msup msub mfrac msqrt object".split()
 )
+_FLOWING = _INLINE | _CONTROLS
 _CONTAINERS = frozenset("article body center div main section td".split())
 _LEFT_OUT = frozenset("aside dialog fieldset footer form head header menu nav".split()) | _RAW
 _LEFT_OUT_WORDS = frozenset(
@@ -56,6 +60,11 @@ _LEFT_OUT_WORDS = frozenset(
     "footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted "
     "related reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+# inside an article a class or id has to consist of left-out words and of these
+_PLACES = frozenset(
+    "area bar block bottom box button buttons container form icons inner item items left link links list main page panel post posts right "
+    "section sections site story stories top wrap wrapper".split()
+)
 _COMMENT_WORDS = frozenset("comment comments disqus reply respond".split())
 _WITHOUT = frozenset("has no not with without".split())  # "has-sidebar" says what stands elsewhere
 _LEFT_OUT_ROLES = frozenset("banner complementary contentinfo navigation search form dialog".split())
@@ -109,11 +118,12 @@ def _unwanted(tag: str, attributes: dict[str, str]) -> bool:
     return tag in _LEFT_OUT or "hidden" in attributes or attributes.get("role", "").lower() in _LEFT_OUT_ROLES
 
 
-def _left_out_words(attributes: dict[str, str]) -> set[str]:
+def _left_out_words(attributes: dict[str, str], inside: bool) -> set[str]:
+    """Left-out words of class and id; ``inside`` an article, of names that say nothing else ("share-price" says more)."""
     found: set[str] = set()
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         parts = [p.lower() for p in _PART.split(name)]
-        if parts[0] not in _WITHOUT:
+        if parts[0] not in _WITHOUT and (not inside or _LEFT_OUT_WORDS.union(_PLACES).issuperset(filter(None, parts))):
             found |= _LEFT_OUT_WORDS.intersection(parts)
     return found
 
@@ -170,7 +180,7 @@ def read(html: str) -> tuple[list[Node], list[Block]]:
     opened: Counter[str] = Counter()
 
     def close(index: int) -> None:
-        if any(n.tag not in _INLINE for n in stack[index:]):
+        if any(n.tag not in _FLOWING for n in stack[index:]):
             flush()
         opened.subtract(n.tag for n in stack[index:])
         del stack[index:]
@@ -198,12 +208,23 @@ def read(html: str) -> tuple[list[Node], list[Block]]:
             continue
         if tag in _RAW:  # no markup inside: on to the end tag
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, at) if not m[0].endswith("/>") else None
-            at = end.end() if end else at if m[0].endswith("/>") else len(html)
+            at = end.end() if end else len(html) if tag in _TO_THE_END and not m[0].endswith("/>") else at
+            parts.append((" ", False))
+            continue
+        if tag in _CONTROLS:  # left out, within the text around it; options need no end tag
+            if tag in ("option", "optgroup") and stack[-1].tag == "option":
+                close(len(stack) - 1)
+            up = stack[-1]
             parts.append((" ", False))
+            stack.append(Node(tag, up.path, up, True, up.container, up.named, up.article, link=up.link))
+            opened[tag] += 1
             continue
         if tag not in _INLINE:
+            # a list of options holds no blocks: it ends, whatever its end tag
+            while stack[-1].tag in _CONTROLS and stack[-1].tag != "button":
+                close(len(stack) - 1)
             # a new block ends an open paragraph, a new item or cell its open sibling
-            ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ("p",))
+            ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ("p",))
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in ends:
                     close(i)
@@ -214,10 +235,10 @@ def read(html: str) -> tuple[list[Node], list[Block]]:
         attributes = _attributes(m[3])
         up = stack[-1]
         if tag in _INLINE:
-            node = Node(tag, up.path, up, up.out or (tag == "span" and (_unwanted(tag, attributes) or bool(_left_out_words(attributes)))), up.container, up.named, up.article, link=up.link or tag == "a")
+            node = Node(tag, up.path, up, up.out or (tag == "span" and (_unwanted(tag, attributes) or bool(_left_out_words(attributes, up.article is not None)))), up.container, up.named, up.article, link=up.link or tag == "a")
         else:
             node = Node(tag, _below(up.path, _step(tag, attributes)), up, up.out or _unwanted(tag, attributes), up.container, up.named, up.article, link=up.link)
-            words = _left_out_words(attributes) if attributes and not node.out else ()
+            words = _left_out_words(attributes, up.article is not None) if attributes and not node.out else ()
             if tag in ("article", "main"):
                 if not node.out and not words:
                     node.article = node

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugework.functions.columns import ref
+from gaugework.llm.common import free_name
 
 UNKNOWN = "und"
 FOLDS = 5
@@ -271,7 +272,7 @@ def judge(text: str | None, model: LanguageModel | None) -> tuple[str, float]:
 
 
 def predicted(docs: DataFrame, model: LanguageModel | None, text: str = "text", column: str = "verdict") -> DataFrame:
-    """``docs`` with a struct column (lang_pred, score)."""
+    """``docs`` with a struct column (lang_pred, score): ``column``, or its first free form."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(_VERDICT)
@@ -281,7 +282,7 @@ def predicted(docs: DataFrame, model: LanguageModel | None, text: str = "text",
             [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], ["lang_pred", "score"]
         )
 
-    return docs.withColumn(column, decide(ref(text).cast("string")))
+    return docs.withColumn(free_name(docs, column), decide(ref(text).cast("string")))
 
 
 def language_report(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", options: LanguageOptions = LanguageOptions()) -> DataFrame:
@@ -292,7 +293,7 @@ def language_report(docs: DataFrame, key: str = "doc_id", text: str = "text", la
 
 def in_known_language(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", min_score: float = 0.3, options: LanguageOptions = LanguageOptions()) -> DataFrame:
     """The documents whose language is recognised with at least ``min_score``; the others go."""
-    column = "_gw_verdict"
+    column = free_name(docs, "_gw_verdict")
     rows = predicted(docs, learn(docs, key, text, lang, options), text, column)
     v = ref(column)
     return rows.where((v["lang_pred"] != UNKNOWN) & (v["score"] >= min_score)).drop(column)

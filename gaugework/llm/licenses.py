@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.columns import once, ref
+from gaugework.llm.common import free_name
 
 GAP = 2
 
@@ -168,7 +169,7 @@ def scanned(
     docs: DataFrame, text: str = "text", column: str = "licenses", sentences: dict[str, str] = SENTENCES,
     rules: dict[str, list[list[str]]] = RULES, joined: bool = False,
 ) -> DataFrame:
-    """``docs`` with a struct column: licenses (sorted), known (number of known sentences), lines and wrapped (the
+    """``docs`` with a struct column, ``column`` or its first free form: licenses (sorted), known (number of known sentences), lines and wrapped (the
     sequences of sentence numbers in both readings); with the third reading (``joined``) also joined."""
     numbers, rules = _catalogue(sentences, rules)
     known = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
@@ -201,7 +202,7 @@ def scanned(
         F.greatest(*[F.regexp_count(c, F.lit("[0-9]+;")) for c in codes]).cast("long").alias("known"),
         *[F.col(c).alias(r) for r, c in readings.items()],
     )
-    return coded.withColumn(column, result).drop(*[f"_gw_{r}" for r in readings], *codes)
+    return coded.withColumn(free_name(docs, column), result).drop(*[f"_gw_{r}" for r in readings], *codes)
 
 
 def license_report(

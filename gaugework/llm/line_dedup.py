@@ -11,8 +11,8 @@ texts differ (a hash collision) is taken apart by its whole texts.
 
 The chunk rule is that of the ``op2`` query. It leaves both ends of a repeat and most repeats of two to four lines, as a
 chunk must lie inside the repeat. ``whole=True`` takes every repeat of two or more whole lines instead, line by line:
-each two neighbouring lines with any word that occurred before go, with the empty lines between lines that go. They are
-told apart by the SHA-256 of both lines. The first occurrence of every line stays, and an occurrence that overlaps the
+each two neighbouring lines with words, ``PAIR_WORDS`` or more in both, that occurred before go, with the empty lines between
+lines that go; lines without a word never make a pair, so headings and braces stay. They are told apart by the SHA-256 of both lines. The first occurrence of every line stays, and an occurrence that overlaps the
 first one of its own document loses the second line only. Repeats inside one line are not looked for.
 
 Sizes: counting combines in each task before the shuffle, so a chunk that fills a third of the corpus sends one row per
@@ -32,6 +32,7 @@ from gaugework.functions.columns import once, ref
 from gaugework.llm.common import attached, fact_column, keyed, written
 
 MIN_LINES = 2
+PAIR_WORDS = 8
 _HASH_MODULUS = 2147483647
 _ROLL = 65599
 
@@ -107,27 +108,33 @@ def removals(rows: DataFrame) -> DataFrame:
 
 
 def line_pairs(rows: DataFrame) -> DataFrame:
-    """One row per two neighbouring lines with any word: k, m, first (lines counted from 1), h (SHA-256 of both)."""
-    lines = once(rows, lines=F.split("text", "\n", -1)).where(F.size("lines") >= MIN_LINES)
-    bodies = F.zip_with(
-        F.slice("lines", 1, F.size("lines") - 1), F.slice("lines", 2, F.size("lines") - 1), lambda a, b: F.concat(a, F.lit("\n"), b),
+    """One row per two neighbouring lines with words: k, m, first, second (lines counted from 1), h (SHA-256 of both).
+
+    Lines without a word between the two don't count. Pairs of fewer than ``PAIR_WORDS`` words are left out: a heading over
+    another text, a closing brace or an item of a list is no passage.
+    """
+    staged = once(rows, lines=F.split("text", "\n", -1)).where(F.size("lines") >= MIN_LINES)
+    numbered = F.transform("lines", lambda x, i: F.struct((i + 1).alias("at"), x.alias("body")))
+    worded = once(staged.select("k", "m", numbered.alias("lines")), said=F.filter("lines", lambda x: x["body"].rlike(r"\S")))
+    pairs = F.zip_with(
+        F.slice("said", 1, F.greatest(F.size("said") - 1, F.lit(0))), F.slice("said", 2, F.greatest(F.size("said") - 1, F.lit(0))),
+        lambda a, b: F.struct(a["at"].alias("first"), b["at"].alias("second"), F.concat(a["body"], F.lit("\n"), b["body"]).alias("body")),
     )
-    exploded = lines.select("k", "m", F.posexplode(bodies).alias("at", "body")).where(F.col("body").rlike(r"\S"))
-    return exploded.select("k", "m", (F.col("at") + 1).alias("first"), F.unhex(F.sha2("body", 256)).alias("h"))
+    exploded = worded.select("k", "m", F.explode(pairs).alias("p")).where(F.regexp_count("p.body", F.lit(r"\S+")) >= PAIR_WORDS)
+    return exploded.select("k", "m", "p.first", "p.second", F.unhex(F.sha2("p.body", 256)).alias("h"))
 
 
 def line_removals(rows: DataFrame) -> DataFrame:
     """Per document with repeated lines: k, m and f, a struct with the sorted numbers of the lines that go."""
     pairs = line_pairs(rows)
-    place = F.struct("k", "m", "first")
+    place = F.struct("k", "m", "first", "second")
     groups = written(
         pairs.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("origin")).where("n > 1")
         .select(F.col("h").alias("gh"), "origin"), "repeated-lines",
     )
     again = pairs.join(groups, F.col("h") == F.col("gh")).where(place != F.col("origin"))
-    overlaps = F.col("origin.k").eqNullSafe(F.col("k")) & (F.col("origin.m") == F.col("m")) & (F.col("origin.first") + 1 == F.col("first"))
-    second = F.col("first") + 1
-    lines = again.select("k", "m", F.explode(F.when(overlaps, F.array(second)).otherwise(F.array("first", second))).alias("line"))
+    overlaps = F.col("origin.k").eqNullSafe(F.col("k")) & (F.col("origin.m") == F.col("m")) & (F.col("origin.second") == F.col("first"))
+    lines = again.select("k", "m", F.explode(F.when(overlaps, F.array("second")).otherwise(F.array("first", "second"))).alias("line"))
     gone = lines.distinct().groupBy("k", "m").agg(F.sort_array(F.collect_list("line")).alias("gone"))
     return gone.select("k", "m", F.struct("gone").alias("f"))
 

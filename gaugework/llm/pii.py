@@ -1,16 +1,22 @@
 r"""Personal data: fixed patterns, and terms of which the corpus shows that they disclose a protected entity.
 
 Patterns. Emails, IP addresses, card numbers (Luhn) and phone numbers, leftmost and non-overlapping per kind; a match
-that fails its test is dropped without a retry. Their values are the protected entities.
+that fails its test is dropped without a retry. Secrets are strings in which letters and digits take turns and whose own
+information (length times the entropy of their characters) reaches ``secret_bits``, as keys and access tokens have.
+
+Entities. A find protects three: its value, its owner (the domain of an address) and its kind.
 
 Disclosure. p(c) is the share of documents with entity c, p(t) that with term t, p(c, t) that with t within ``reach``
-words of a mention of c on the same line. A term discloses log(p(c,t) / (p(c) p(t))) of the entity's information
--log p(c). Where that share reaches ``generalise`` the term is a disclosing one in every document that mentions c:
-it is generalised to its class, or removed from ``remove`` on. Shares are believed only from ``support`` different
-contexts on (contexts that read the same count once, so copies of a document prove nothing).
+words of a mention of c, whatever lines lie between. A term discloses log(p(c,t) / (p(c) p(t))) of the entity's
+information -log p(c). Where that share reaches ``generalise`` the term is a disclosing one in every document in which
+it stands near c, at all its places: it is generalised to its class, or removed from ``remove`` on. Shares are
+believed only from ``support`` different contexts on (contexts that read the same count once, so copies of a document
+prove nothing).
 
-Sizes: pairs are at most 2 * reach per mention, they combine in each task before the shuffle, and the documents
-themselves are not shuffled unless the table of disclosing terms is too large for Spark to broadcast.
+Sizes: a document is swept once, pairs are at most 6 * reach per mention, they combine in each task before the
+shuffle, and the documents themselves are not shuffled unless the table of disclosing terms is too large for Spark to
+broadcast. An entity that a third of all documents mention (a kind, a large domain) is only ever joined together with
+a term.
 
 Defined cases: a null text is empty; a text without finds has no spans; rows with equal key and text are one document
 for the statistics only once per row; null keys are fine; an empty table gives an empty result; other columns are
@@ -20,9 +26,13 @@ not read. Offsets are code points, ends exclusive.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,17 +43,19 @@ from gaugework.functions.columns import ref
 from gaugework.llm.common import in_pieces, keyed, same_document, written
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = "secret"
 TERM = "term"
 
 
 @dataclass(frozen=True)
 class PiiOptions:
-    reach: int = 5
+    reach: int = 10
     support: int = 3
     generalise: float = 0.8
     remove: float = 0.95
     min_term: int = 3
-    broadcast_terms: int = 200_000  # terms counted by a broadcast set; more are counted by a shuffle
+    secret_bits: float = 64.0
+    broadcast_chars: int = 4_000_000  # characters of terms counted by a broadcast set; more are counted by a shuffle
 
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -53,6 +65,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_STRING = re.compile(r"(?<![A-Za-z0-9_+/=-])(?=[^0-9\s]*[0-9])[A-Za-z0-9_+/=-]{16,}+(?![@.][A-Za-z0-9])")
+_TURN = re.compile(r"(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 
 
@@ -100,43 +114,81 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def entity(text: str, span: tuple[int, int, str]) -> str:
-    """A value as one name: emails in lower case, numbers as their digits."""
-    start, end, kind = span
-    value = text[start:end]
-    return f"{kind}:{value.lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', value)}"
+def bits(value: str) -> float:
+    """Length times the entropy of the characters."""
+    n = len(value)
+    return sum(-c * math.log2(c / n) for c in Counter(value).values())
+
+
+def secret_spans(text: str, spans: list[tuple[int, int, str]], options: PiiOptions) -> list[tuple[int, int, str]]:
+    """Secrets that lie outside the base spans."""
+    found = []
+    ends = list(accumulate((e for _, e, _ in spans), max))
+    starts = [s for s, _, _ in spans]
+    for m in _STRING.finditer(text):
+        value = m[0]
+        # letters and digits take turns in a drawn string, not in words joined by hyphens or in numbered names
+        if len(_TURN.findall(value)) < max(4, len(value) // 8) or bits(value) < options.secret_bits:
+            continue
+        i = bisect_right(starts, m.end() - 1)
+        if not i or ends[i - 1] <= m.start():
+            found.append((*m.span(), SECRET))
+    return found
+
+
+def found_spans(text: str, options: PiiOptions) -> list[tuple[int, int, str]]:
+    """Base spans and secrets, by start, then kind."""
+    base = base_spans(text)
+    secrets = secret_spans(text, base, options) if len(text) >= 16 else []
+    return sorted(base + secrets, key=_by_place) if secrets else base
 
 
-def _terms(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
-    return [(start + m.start(), start + m.end(), m[0].casefold()) for m in _WORD.finditer(text[start:end])]
+_ORDER = {k: i for i, k in enumerate((*KINDS, SECRET, TERM))}
 
 
-def _line(text: str, start: int, end: int) -> tuple[int, int]:
-    a, b = text.rfind("\n", 0, start) + 1, text.find("\n", end)
-    return a, len(text) if b < 0 else b
+def _by_place(span: tuple[int, int, str]) -> tuple[int, int]:
+    return span[0], _ORDER[span[2]]
+
+
+def entities(text: str, span: tuple[int, int, str]) -> list[str]:
+    """What a find protects: its value as one name (emails in lower case, numbers as their digits), its owner, its kind."""
+    start, end, kind = span
+    value = text[start:end]
+    if kind == "email":
+        value = value.lower()
+        return [f"email:{value}", f"owner:{value.rpartition('@')[2]}", "kind:email"]
+    return [f"{kind}:{value if kind in ('ip', SECRET) else re.sub('[^0-9]', '', value)}", f"kind:{kind}"]
+
+
+def _terms(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), m[0].casefold()) for m in _WORD.finditer(text)]
 
 
 def _is_term(term: str, options: PiiOptions) -> bool:
     return len(term) >= options.min_term and not term.isdigit()
 
 
-def contexts(text: str, options: PiiOptions) -> Iterator[tuple[str, str, int]]:
-    """(entity, term, hash of the context) around each mention; terms inside any find are left out."""
-    spans = base_spans(text)
-    lines: dict[tuple[int, int], list] = {}
+def contexts(text: str, options: PiiOptions) -> Iterator[tuple[str, str | None, int]]:
+    """(entity, term, hash of the context) around each mention, and (entity, null, 0) for the mention itself.
+
+    One sweep: both words and finds are in order. Terms inside any find are left out.
+    """
+    spans = found_spans(text, options)
+    if not spans:
+        return
+    words = _outside(_terms(text), spans)
+    at = 0
     for span in spans:
-        bounds = _line(text, span[0], span[1])
-        if bounds not in lines:
-            inside = [s for s in spans if bounds[0] <= s[0] and s[1] <= bounds[1]]
-            words = _terms(text, *bounds)
-            lines[bounds] = _outside(words, inside)
-        before = [w for w in lines[bounds] if w[1] <= span[0]][-options.reach:]
-        after = [w for w in lines[bounds] if w[0] >= span[1]][:options.reach]
-        around = before + after
-        name = entity(text, span)
-        mark = hashlib.blake2b(" ".join(w[2] for w in around).encode(), digest_size=7).digest()
-        for term in {w[2] for w in around if _is_term(w[2], options)}:
-            yield name, term, int.from_bytes(mark, "big")
+        while at < len(words) and words[at][0] < span[0]:
+            at += 1
+        behind = at  # no word reaches into a find, so the next word starts behind it
+        around = [w[2] for w in words[max(0, at - options.reach):behind + options.reach]]
+        mark = int.from_bytes(hashlib.blake2b(" ".join(around).encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big")
+        near = {w for w in around if _is_term(w, options)}
+        for name in entities(text, span):
+            yield name, None, 0
+            for term in near:
+                yield name, term, mark
 
 
 def _outside(words: list[tuple[int, int, str]], spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -159,7 +211,7 @@ def _outside(words: list[tuple[int, int, str]], spans: list[tuple[int, int, str]
 
 
 def mentions(rows: DataFrame, options: PiiOptions) -> DataFrame:
-    """Per document and entity the terms near it: k, m, entity, term (null once per entity), context."""
+    """Per mention and entity the terms near it: k, m, entity, term (null for the mention itself), context."""
     key_type = rows.schema["k"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -172,13 +224,9 @@ def mentions(rows: DataFrame, options: PiiOptions) -> DataFrame:
             for batch in batches:
                 keys, marks = batch.column(0), batch.column(1)
                 for i, value in enumerate(batch.column(2)):
-                    text = value.as_py()
-                    found = sorted(set(contexts(text, options)))
-                    names = {entity(text, s) for s in base_spans(text)} if found or "@" in text or _DIGIT.search(text) else ()
-                    for name in sorted(names):
-                        yield keys[i].as_py(), marks[i].as_py(), name, None, 0
-                    for name, term, context in found:
-                        yield keys[i].as_py(), marks[i].as_py(), name, term, context
+                    key, mark = keys[i].as_py(), marks[i].as_py()
+                    for name, term, context in contexts(value.as_py(), options):
+                        yield key, mark, name, term, context
 
         yield from in_pieces(made(), schema)
 
@@ -191,12 +239,12 @@ def mentions(rows: DataFrame, options: PiiOptions) -> DataFrame:
 
 def term_documents(rows: DataFrame, terms: DataFrame, options: PiiOptions) -> DataFrame:
     """(term, df): in how many documents each of ``terms`` (term: distinct) occurs as a word."""
-    n = terms.limit(options.broadcast_terms + 1).count()
+    n, chars = terms.agg(F.count("*"), F.coalesce(F.sum(F.length("term") + 60), F.lit(0))).first()
     wanted = None
-    if n <= options.broadcast_terms:
+    if not n:
+        return terms.select("term", F.lit(0).cast("long").alias("df"))
+    if chars <= options.broadcast_chars:
         wanted = rows.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect()))
-        if not n:
-            return terms.select("term", F.lit(0).cast("long").alias("df"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = wanted.value if wanted is not None else None
@@ -217,12 +265,12 @@ def term_documents(rows: DataFrame, terms: DataFrame, options: PiiOptions) -> Da
 def disclosures(rows: DataFrame, near: DataFrame, options: PiiOptions) -> DataFrame:
     """(entity, term, share): terms that disclose at least ``generalise`` of an entity's information."""
     total = rows.count()
-    entities = near.where("term IS NULL").groupBy("entity").agg(F.count("*").alias("n_entity"))
+    mentioned = near.where("term IS NULL").select("entity", "k", "m").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     by_context = near.where("term IS NOT NULL").groupBy("entity", "term", "context").agg(F.count_distinct("k", "m").alias("n"))
     pairs = by_context.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts"))
     pairs = written(pairs.where(F.col("contexts") >= options.support), "pii-pairs")
     df = term_documents(rows, pairs.select("term").distinct(), options)
-    joined = pairs.join(df, "term").join(entities, "entity")
+    joined = pairs.join(df, "term").join(mentioned, "entity")
     both = F.least("n_both", "df", "n_entity").cast("double")
     share = F.log(both * total / (F.col("n_entity") * F.col("df"))) / F.log(total / F.col("n_entity"))
     scored = joined.where(F.col("n_entity") < total).select("entity", "term", share.alias("share"))
@@ -242,14 +290,13 @@ def general_form(term: str) -> str:
     return "[NAME]" if term[:1].isupper() else "[TERM]"
 
 
-def spans_of(text: str, terms: dict[str, float]) -> list[tuple[int, int, str]]:
-    """Base spans and those of disclosing terms, by start, then kind (terms last)."""
-    spans = base_spans(text)
+def spans_of(text: str, terms: dict[str, float], options: PiiOptions) -> list[tuple[int, int, str]]:
+    """Finds and disclosing terms, by start, then kind (terms last)."""
+    spans = found_spans(text, options)
     if terms:
-        words = _outside(_terms(text, 0, len(text)), spans)
-        spans = spans + [(s, e, TERM) for s, e, w in words if w in terms]
-    order = {k: i for i, k in enumerate((*KINDS, TERM))}
-    return sorted(spans, key=lambda s: (s[0], order[s[2]]))
+        words = _outside(_terms(text), spans)
+        spans = sorted(spans + [(s, e, TERM) for s, e, w in words if w in terms], key=_by_place)
+    return spans
 
 
 def sanitised(text: str, spans: list[tuple[int, int, str]], terms: dict[str, float], remove: float) -> str:
@@ -273,7 +320,7 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", options:
     rows = keyed(docs, key, text)
     near = written(mentions(rows, options), "pii-mentions")
     bad = written(disclosures(rows, near, options), "pii-disclosures")
-    told = near.where("term IS NULL").select("k", "m", "entity").distinct().join(bad, "entity")
+    told = near.where("term IS NOT NULL").select("k", "m", "entity", "term").distinct().join(bad, ["entity", "term"])
     terms = written(
         told.groupBy("k", "m", "term").agg(F.max("share").alias("share")).groupBy("k", "m")
         .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "share")))).alias("terms")), "pii-document-terms",
@@ -286,7 +333,7 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", options:
         out = []
         for value, pairs in zip(texts, of):
             body, known = value.as_py(), dict(pairs.as_py() or ())
-            spans = spans_of(body, known)
+            spans = spans_of(body, known, options)
             out.append((
                 [s for s, _, _ in spans], [e for _, e, _ in spans], [k for _, _, k in spans],
                 sanitised(body, spans, known, remove) if spans else body,
@@ -300,7 +347,7 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", options:
 
 
 def pii_report(docs: DataFrame, key: str = "doc_id", text: str = "text", options: PiiOptions = PiiOptions()) -> DataFrame:
-    """Counts per kind, the digest of the base spans, all spans, and the digest of the sanitised text."""
+    """Counts per kind, the digest of the base spans, all spans, whether there are any, and the digest of the sanitised text."""
     found = sanitise(docs, key, text, options)
     spans = F.arrays_zip(F.col("found.kinds").alias("kind"), F.col("found.starts").alias("a"), F.col("found.ends").alias("b"))
 
@@ -312,6 +359,7 @@ def pii_report(docs: DataFrame, key: str = "doc_id", text: str = "text", options
 
     return found.select(
         F.col("k").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in KINDS],
-        F.sha2(said(F.filter(spans, lambda x: x["kind"] != TERM)), 256).alias("base_sha256"), said(spans).alias("spans"),
-        count(TERM).alias("n_term"), F.sha2("found.clean", 256).alias("clean_sha256"),
+        F.sha2(said(F.filter(spans, lambda x: x["kind"].isin(*KINDS))), 256).alias("base_sha256"), said(spans).alias("spans"),
+        count(SECRET).alias("n_secret"), count(TERM).alias("n_term"), (F.size("found.kinds") > 0).alias("private"),
+        F.sha2("found.clean", 256).alias("clean_sha256"),
     )

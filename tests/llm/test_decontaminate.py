@@ -31,14 +31,31 @@ def corpus():
     return rows, items
 
 
-@pytest.mark.parametrize("block", [2_000_000, 15])
+@pytest.mark.parametrize("block", [64 << 20, 5_000])
 def test_equals_a_plain_search(spark, documents, block):
     rows, items = corpus()
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = d.hit_report(d.contamination(documents(rows), bench, block_windows=block)).collect()
+    got = d.hit_report(d.contamination(documents(rows), bench, block_bytes=block)).collect()
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == plain(rows, items)
 
 
+def test_blocks_hold_every_window_once(spark):
+    words = [f"w{i}" for i in range(200)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "too short"), (3, " ".join(words[:11]))], "item_id long, text string")
+    blocks = list(d.benchmark_blocks(bench, "item_id", "text", 10, 4_000))
+    assert len(blocks) > 10
+    seen = [w for b in blocks for size, known in d._windows(b, 10).items() for w, ids in known.items() for i in ids if i == "1"]
+    assert sorted(seen) == sorted(" ".join(words[i:i + 10]).encode() for i in range(191))
+    assert all(len(d._windows(b, 10).get(10, {})) <= 12 for b in blocks)
+
+
+def test_clashing_names(spark, documents):
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    docs = documents([(1, "one two three"), (2, "four")]).withColumnRenamed("source", "_gw_hits").withColumnRenamed("copies", "_GW_Words")
+    out = d.decontaminated(docs, bench)
+    assert out.columns == docs.columns and [r["doc_id"] for r in out.collect()] == [2]
+
+
 def test_removal_of_documents_and_spans(spark, documents):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
     rows = [(1, "Before: ONE two three four five, six seven eight nine ten eleven; after."), (2, "nothing of it"), (3, None)]

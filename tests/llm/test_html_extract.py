@@ -80,3 +80,19 @@ def test_an_article_of_several_containers_is_whole(spark):
     assert h.main_text(f"<body><div>{one}</div><div>{two}</div></body>", []) == one.strip()  # the body is no article
     pages = [(i, f"http://h/{i}", f"<body><article>{parts}</article>{rail}</body>") for i in range(3)]
     assert {r["text"] for r in h.extracted(rows(spark, pages)).collect()} == {text}
+
+
+def test_nothing_of_the_article_is_lost_behind_open_elements():
+    assert h.main_text("<article><p>one</p><datalist><option value=a><option>b</datalist><p>second part</p></article>", []) == "one second part"
+    assert h.main_text("<article><p>one <select><option>x<option>y</select> two</p><select><option>z<p>three</p></article>", []) == "one two three"
+    assert h.main_text("<article><p>one <button><b>press</b></button> two</p><canvas><p>three</p></article>", []) == "one two three"
+    assert h.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p><object>shown instead</object></article>", []) == "Let x=2 hold. shown instead"
+    assert h.main_text("<article><iframe>frame</iframe><p>one</p><textarea>typed</article>", []) == "one typed"
+
+
+def test_names_inside_an_article_have_to_say_nothing_else():
+    words = " ".join(["word"] * 40)
+    for name in ("related-work", "comment-analysis", "share-price", "page-header-title"):
+        assert h.main_text(f"<article><p>{words}</p><div class='{name}'><p>kept</p></div></article>", []) == f"{words} kept", name
+    for name in ("share-buttons", "related-posts", "ad", "social_links", "newsletterSignup"):
+        assert h.main_text(f"<article><p>{words}</p><div class='{name}'><p>gone</p></div></article>", []) == words, name

@@ -81,23 +81,25 @@ def test_edges(documents, edge_rows):
 
 
 def test_null_keys_come_first_and_native_plan(documents):
-    rows = [(5, "one\ntwo"), (None, "one\ntwo"), (7, "one\ntwo")]
+    rows = [(5, f"{A}\n{B}"), (None, f"{A}\n{B}"), (7, f"{A}\n{B}")]
     out = line_dedup.without_repeated_chunks(documents(rows))
     assert [r["doc_id"] for r in out.collect()] == [None]
     assert not any(w in out._jdf.queryExecution().executedPlan().toString() for w in ("Python", "Pandas", "Arrow"))
 
 
 def plain_whole(rows):
-    """Every two neighbouring lines that occurred before go, and the empty lines between lines that go."""
+    """Every two neighbouring lines of eight words or more that occurred before go, and the empty lines between lines that go."""
     first, out = {}, {}
     for key, text in sorted(rows):
         lines, gone = text.split("\n"), set()
-        for i, pair in enumerate(zip(lines, lines[1:])):
-            if not "".join(pair).strip():
+        worded = [i for i, x in enumerate(lines) if x.strip()]
+        for i, j in zip(worded, worded[1:]):
+            pair = lines[i], lines[j]
+            if len(" ".join(pair).split()) < line_dedup.PAIR_WORDS:
                 continue
-            origin = first.setdefault(pair, (key, i))
-            if origin != (key, i):
-                gone |= {i + 1} if origin == (key, i - 1) else {i, i + 1}
+            origin = first.setdefault(pair, (key, i, j))
+            if origin != (key, i, j):
+                gone |= {j} if origin[0] == key and origin[2] == i else {i, j}
         order = sorted(gone)
         for a, b in zip(order, order[1:]):
             if not "".join(lines[a + 1:b]).strip():
@@ -108,16 +110,26 @@ def plain_whole(rows):
     return out
 
 
+X, A, B, U, V = (f"{c} line of five words" for c in "xabuv")
+
+
+def test_headings_braces_and_short_items_stay(documents):
+    rows = [(1, "Introduction\n\nalpha beta gamma"), (2, "Introduction\n\ndelta epsilon"), (3, "f {\n  a\n}\n\n"), (4, "g {\n  b\n}\n\n"),
+            (5, "- one\n- two\n- three"), (6, "- one\n- two\n- four")]
+    assert {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(documents(rows)).collect()} == dict(rows)
+
+
 def test_whole_repeats_go_with_both_ends(documents):
     draw = random.Random(5)
-    shared = [[f"short {p} {i}" for i in range(2 + p % 3)] for p in range(9)]
+    shared = [[f"a short line {p} {i}" for i in range(2 + p % 3)] for p in range(9)]
     rows = corpus() + [
         (200 + d, "\n".join([f"head {d} {draw.random()}", *shared[d % 9], f"tail {d} {draw.random()}"])) for d in range(27)
-    ] + [(300, "x\nx\nx\nx\ny"), (301, "a\n\n\n\nb\nc"), (302, "a\n\n\n\nb\nc"), (303, "u\nv\nu\nv\nu\nv")]
+    ] + [
+        (300, "\n".join([X, X, X, X, "y"])), (301, f"{A}\n\n\n\n{B}\nc"), (302, f"{A}\n\n\n\n{B}\nc"), (303, f"{U}\n{V}\n{U}\n{V}\n{U}\n{V}")]
     got = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(documents(rows)).collect()}
     assert got == plain_whole(rows)
     assert all(got[200 + d].count("\n") == 1 for d in range(9, 27))  # two to four lines: nothing of the repeat stays
-    assert got[300] == "x\nx\ny" and 302 not in got and got[303] == "u\nv"
+    assert got[300] == f"{X}\n{X}\ny" and got[302] == "c" and got[303] == f"{U}\n{V}"
     chunks = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_chunks(documents(rows)).collect()}
     assert sum(len(t) for t in got.values()) < sum(len(t) for t in chunks.values())
 
@@ -126,7 +138,7 @@ def test_whole_edges(documents, edge_rows):
     kept = line_dedup.without_repeated_lines(documents(edge_rows))
     assert kept.columns == documents([]).columns and kept.count() == len(edge_rows)
     assert line_dedup.without_repeated_lines(documents([])).collect() == []
-    rows = [(5, "one\ntwo"), (None, "one\ntwo"), (7, "one\ntwo")]
+    rows = [(5, f"{A}\n{B}"), (None, f"{A}\n{B}"), (7, f"{A}\n{B}")]
     out = line_dedup.without_repeated_lines(documents(rows))
     assert [r["doc_id"] for r in out.collect()] == [None]
     assert not any(w in out._jdf.queryExecution().executedPlan().toString() for w in ("Python", "Pandas", "Arrow"))

@@ -68,12 +68,19 @@ def test_viterbi_equals_all_labellings():
 
 
 def test_gradient_equals_differences():
+    """Against the likelihood of all labellings; a wanted labelling of chance one is a plain one."""
     rng = np.random.default_rng(2)
     data, mask = rng.normal(size=(4, 5, q.N_FEATURES)), np.ones((4, 5), bool)
     mask[1, 3:] = False
     mask[2, 1:] = False
     data[~mask] = 0
-    labels, weight = np.array([0, 1, 1, 0]), np.array([0.2, 0.3, 0.1, 0.4])
+    chosen, weight = rng.integers(0, 2, (4, 5)), np.array([0.2, 0.3, 0.1, 0.4])
+    single = np.stack([(1 - chosen) * mask, chosen * mask], axis=2).astype(float)
+    pair = np.zeros((4, 2, 2))
+    for d in range(4):
+        n = int(mask[d].sum())
+        for a, b in zip(chosen[d, :n], chosen[d, 1:n]):
+            pair[d, a, b] += 1
 
     def likelihood(theta):
         total = 0.0
@@ -82,17 +89,50 @@ def test_gradient_equals_differences():
             n = int(mask[d].sum())
             e = data[d, :n] @ w
             s = {y: first[y[0]] + sum(e[i] for i in range(n) if y[i]) + sum(change[a, b] for a, b in zip(y, y[1:])) for y in product((0, 1), repeat=n)}
-            total += weight[d] * (s[(labels[d],) * n] - np.logaddexp.reduce(list(s.values())))
+            total += weight[d] * (s[tuple(chosen[d, :n].tolist())] - np.logaddexp.reduce(list(s.values())))
         return total
 
     theta = rng.normal(size=q.N_FEATURES + 6) * 0.3
-    got = q._gradient(theta, data, mask, labels, weight)
+    got = q._gradient(theta, data, mask, (single, pair), weight)
     for i in range(len(theta)):
         step = np.zeros_like(theta)
         step[i] = 1e-5
         assert got[i] == pytest.approx((likelihood(theta + step) - likelihood(theta - step)) / 2e-5, abs=1e-6)
 
 
+def test_expected_labels_keep_the_shares():
+    rng = np.random.default_rng(6)
+    data, words, mask = rng.normal(size=(30, 8, q.N_FEATURES)), rng.integers(1, 20, (30, 8)).astype(float), np.ones((30, 8), bool)
+    words /= words.sum(axis=1, keepdims=True)
+    good = np.arange(30) % 2 == 0
+    single, pair = q.expected_labels(rng.normal(size=q.N_FEATURES + 6), data, words, mask, good, q.QualityOptions())
+    share = (single[:, :, 1] * words).sum(axis=1)
+    assert (share[good] >= 0.7 - 1e-9).all() and (share[~good] <= 0.3 + 1e-9).all()
+    assert np.allclose(single.sum(axis=2), 1) and np.allclose(pair.sum(axis=(1, 2)), 7)
+
+
+def test_footer_lines_of_good_documents_are_marked(spark, documents):
+    """No line label is given: good documents carry footers that read like the lines of bad ones, at the end of long texts too."""
+    draw = random.Random(9)
+    rows = [(i, prose(draw, 90 if i % 10 == 1 else 6) + "\n" + junk(draw, 1)) if i % 4 else (i, junk(draw, 5) + "\n" + prose(draw, 1)) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    field = q.learn(documents(rows), labels)
+    for i, text in rows[200:]:
+        features, _, lines, _ = q.line_features(text)
+        want = [1] * (len(lines) - 1) + [0] if i % 4 else [0] * 5 + [1]
+        assert q.best_labels(features, field).tolist() == want
+    got = q.judged(documents(rows[200:]).withColumnRenamed("source", "quality"), field).collect()
+    assert all(0 < r["quality1"]["content_share"] < 1 and r["quality"] is None for r in got)
+    assert all(r["quality1"]["boilerplate"] == ([6] if len(r["text"].split("\n")) == 7 else [90]) for r in got if r["doc_id"] % 4)
+
+
+def test_stretches_come_from_anywhere():
+    options = q.QualityOptions()
+    x = np.arange(3200.0)[:, None] * np.ones(q.N_FEATURES)
+    starts = {int(f[0, 0]) for mark in range(300) for f, _ in q.stretches(x, [1] * 3200, mark, options)}
+    assert len(starts) > 80 and min(starts) == 0 and max(starts) == 3168
+
+
 def test_edges(spark, documents, edge_rows):
     labels = spark.createDataFrame([(None, 1, 0), (1, None, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
     rows = q.quality_report(documents(edge_rows), labels).collect()
