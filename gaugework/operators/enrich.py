@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gaugework.functions import sentiment as st
 from gaugework.functions import terms as tm
@@ -107,30 +106,28 @@ def term_weights(df: DataFrame, key: str, text: str, max_terms: int = MAX_TERMS)
     return weighted.selectExpr("key", "term", "tf", "raw / sqrt(sum(raw * raw) OVER (PARTITION BY key)) AS weight")
 
 
-@F.pandas_udf(T.StructType([
-    T.StructField("keywords", T.ArrayType(T.StringType())), T.StructField("topics", T.ArrayType(T.StringType()))]))
-def pick_phrases(candidates: pd.Series, terms: pd.Series, weights: pd.Series) -> pd.DataFrame:
-    """Best non-overlapping phrases of one document, given its term weights."""
-    banned = set(tm.NON_TOPIC_TERMS)
-
-    def greedy(phrases: list[str], limit: int) -> list[str]:
-        kept: list[str] = []
-        for p in phrases:
-            if not any(p in k or k in p for k in kept):
-                kept.append(p)
-                if len(kept) == limit:
-                    break
-        return kept
-
-    out = []
-    for found, names, values in zip(candidates, terms, weights):
-        table = dict(zip(names, values)) if names is not None else {}
-        known = [p for p in found if p in table or any(w in table for w in p.split())]
-        # a stable sort keeps the order of appearance among equals
-        ranked = sorted(known, key=lambda p: -max(table.get(w, 0.0) for w in p.split()) * len(p.split()))
-        topical = [p for p in ranked if p.split()[-1] not in banned]
-        out.append((greedy(ranked, MAX_KEYWORDS), greedy(topical, MAX_TOPICS)))
-    return pd.DataFrame(out, columns=["keywords", "topics"])
+def pick_phrases(candidates: Column, weights: Column) -> tuple[Column, Column]:
+    """Best non-overlapping keywords and topics of one document, given its candidate phrases and its term weights (a map).
+
+    Phrases with a known term are sorted once by falling weight, equals in order of appearance. A phrase is taken unless it
+    contains one that is taken or lies in one.
+    """
+    words = lambda p: F.split(p, r"\s+")
+    known = F.filter(candidates, lambda p: F.map_contains_key(weights, p) | F.exists(words(p), lambda w: F.map_contains_key(weights, w)))
+    best = lambda p: F.array_max(F.transform(words(p), lambda w: F.coalesce(F.try_element_at(weights, w), F.lit(0.0))))
+    ranked = F.transform(
+        F.sort_array(F.transform(known, lambda p, i: F.struct((-best(p) * F.size(words(p))).alias("falling"), i.alias("at"), p.alias("p")))),
+        lambda x: x["p"])
+    topical = F.filter(ranked, lambda p: ~F.element_at(words(p), -1).isin(*tm.NON_TOPIC_TERMS))
+
+    def greedy(phrases: Column, limit: int) -> Column:
+        def taken(kept: Column, p: Column) -> Column:
+            overlaps = F.exists(kept, lambda k: F.contains(k, p) | F.contains(p, k))
+            return F.when((F.size(kept) < limit) & ~overlaps, F.array_append(kept, p)).otherwise(kept)
+
+        return F.aggregate(phrases, F.array().cast("array<string>"), taken)
+
+    return greedy(ranked, MAX_KEYWORDS), greedy(topical, MAX_TOPICS)
 
 
 def keywords_and_topics(df: DataFrame, key: str, text: str, max_terms: int = MAX_TERMS) -> DataFrame:
@@ -139,11 +136,13 @@ def keywords_and_topics(df: DataFrame, key: str, text: str, max_terms: int = MAX
     Document frequencies count every row, repeated texts included.
     """
     per_document = term_weights(df, key, text, max_terms).groupBy("key").agg(
-        F.collect_list(F.struct("term", "weight")).alias("_w"))
+        F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("_w"))
     candidates = df.select(ref(key).alias("key"), tm.candidate_phrases(F.coalesce(ref(text), F.lit(""))).alias("_c"))
-    picked = candidates.join(per_document, "key", "left").select(
-        "key", pick_phrases("_c", F.col("_w.term"), F.col("_w.weight")).alias("_p"))
-    return picked.select("key", F.col("_p.keywords").alias("keywords"), F.transform("_p.topics", lambda t: tm.title(t)).alias("topics"))
+    # candidates and weights are evaluated once per row before the choice refers to them
+    joined = once(candidates.join(per_document, "key", "left"), _found=F.col("_c"), _known=F.coalesce("_w", F.map_from_arrays(
+        F.array().cast("array<string>"), F.array().cast("array<double>"))))
+    keywords, topics = pick_phrases(F.col("_found"), F.col("_known"))
+    return joined.select("key", keywords.alias("keywords"), F.transform(topics, lambda t: tm.title(t)).alias("topics"))
 
 
 def merge_phrases(phrases: DataFrame, block: int = VECTOR_BLOCK) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import unicodedata
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugework.functions.columns import families, once, ref
-from gaugework.operators.lineage import settled
+from gaugework.operators.lineage import stored
 from gaugework.operators.ordered import running_totals
 from gaugework.operators.semantic import parsed_datetime
 
@@ -114,6 +115,7 @@ def cleaned_text(df: DataFrame, text: str) -> DataFrame:
         "_raw", "_u", "_no_nul", "_visible", "_clean")
 
 
+@lru_cache
 def _fold_rules() -> tuple[dict[str, str], dict[str, str]]:
     """What case folding changes in lower-case text: single characters, and those that become several."""
     one: dict[str, str] = {}
@@ -125,16 +127,14 @@ def _fold_rules() -> tuple[dict[str, str], dict[str, str]]:
     return one, many
 
 
-_FOLD_ONE, _FOLD_MANY = _fold_rules()
-
-
 def case_folded(text: Column) -> Column:
     """Full case folding with built-ins: lower case, then the characters that folding treats otherwise."""
-    low = F.translate(F.lower(text), "".join(_FOLD_ONE), "".join(_FOLD_ONE.values()))
+    one, many = _fold_rules()
+    low = F.translate(F.lower(text), "".join(one), "".join(one.values()))
     spread = low
-    for a, b in _FOLD_MANY.items():
+    for a, b in many.items():
         spread = F.replace(spread, F.lit(a), F.lit(b))
-    return F.when(low.rlike("[" + "".join(_FOLD_MANY) + "]"), spread).otherwise(low)
+    return F.when(low.rlike("[" + "".join(many) + "]"), spread).otherwise(low)
 
 
 def is_placeholder(text: Column) -> Column:
@@ -230,16 +230,17 @@ def duplicate_columns(df: DataFrame) -> DataFrame:
 
     Texts are grouped by a short key of the whole case-folded text (itself, or its head and digest), and copies are
     counted on the map side first. Group numbers follow the order of whole texts, which are carried once per group.
-    The folded rows are stored once; only keys with copies or near copies take part in the join back, where adaptive
+    The rows are stored once with their keys, and the marks of keys with copies or near copies are joined back: rows
+    without a key stay out of that join, a small table of marks is broadcast by its measured size, and adaptive
     execution splits a hot key. Near duplicates share all word characters and are looked for among texts that are
     not exact copies.
     """
     folded = once(df, _folded=case_folded(F.col("cleaned_text")))
     staged = once(folded, _bare=F.regexp_replace("_folded", r"[^\p{L}\p{N}_]+", ""))
     short = "CASE WHEN {c} = '' THEN NULL WHEN length({c}) <= 100 THEN {c} ELSE concat(substring({c}, 1, 100), sha2({c}, 256)) END"
-    keyed = settled(staged.withColumn("_key", F.expr(short.format(c="_folded"))).withColumn("_near", F.expr(short.format(c="_bare"))))
-    texts = settled(keyed.where("_key IS NOT NULL").groupBy("_key", "_near").agg(
-        F.expr("count(1) AS copies"), F.min("_folded").alias("_folded"), F.min("_bare").alias("_bare")))
+    keyed = stored(staged.withColumn("_key", F.expr(short.format(c="_folded"))).withColumn("_near", F.expr(short.format(c="_bare"))), "feedback-keys")
+    texts = stored(keyed.where("_key IS NOT NULL").groupBy("_key", "_near").agg(
+        F.expr("count(1) AS copies"), F.min("_folded").alias("_folded"), F.min("_bare").alias("_bare")), "feedback-texts")
     exact = texts.where("copies > 1").select("_key", "_folded")
     exact_ids = _row_position(exact, "_key", "_folded").selectExpr(
         "_key", "'exact' AS kind", "position AS number", "1.0D AS similarity")
@@ -252,8 +253,11 @@ def duplicate_columns(df: DataFrame) -> DataFrame:
     members = single.join(groups.select("_near"), "_near").selectExpr("_near AS group", "_key AS digest", "_folded AS text")
     near_ids = near_duplicate_ratios(members).withColumnRenamed("group", "_near").join(numbers, "_near").selectExpr(
         "digest AS _key", "'near_duplicate' AS kind", "number", "similarity")
-    marks = exact_ids.unionByName(near_ids)
-    return keyed.join(marks, "_key", "left").select(
+    marks = stored(exact_ids.unionByName(near_ids), "feedback-marks")
+    rows = keyed.drop("_folded", "_bare", "_near")
+    given = rows.where("_key IS NOT NULL").join(marks, "_key", "left")
+    absent = rows.where("_key IS NULL").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in marks.schema.fields if f.name != "_key"])
+    return given.unionByName(absent).select(
         *[ref(c) for c in df.columns], F.expr("kind IS NOT NULL AS is_duplicate"),
         F.expr("concat('duplicate-', number) AS duplicate_group_id"),
         F.col("kind").alias("duplicate_type"), F.col("similarity").alias("duplicate_similarity"))

@@ -174,7 +174,7 @@ _WORDS = {
     "CAST((feedback_id % 50) + 50 AS DOUBLE) / 100 AS c FROM feedback_audit), p AS (SELECT *, "
     f"regexp_matches(lower(feedback), '{_WORDS['problem']}') AS pr, regexp_matches(lower(feedback), '{_WORDS['positive']}') AS po, "
     f"regexp_matches(lower(feedback), '{_WORDS['negative']}') AS ne, contains(feedback, 'great but') AS mx, "
-    "feedback IN ('okay', 'Classes are scheduled from 10 to 4.') AS pl FROM m) "
+    "feedback IN ('okay', 'Yoga runs from 9 to 11 on weekdays.') AS pl FROM m) "
     "SELECT feedback_id, CASE WHEN NOT po AND NOT ne AND NOT pr AND (pl OR c < 0.78) THEN 'Neutral' WHEN mx THEN 'Mixed' WHEN pr THEN 'Negative' ELSE l END AS sentiment, "
     "round(CASE WHEN NOT po AND NOT ne AND NOT pr AND (pl OR c < 0.78) THEN 0.8 WHEN pr OR mx THEN greatest(c, 0.78) ELSE c END, 4) AS sentiment_score FROM p",
 )
@@ -247,7 +247,7 @@ def feedback_candidate_phrases_conversations(spark, sf_dir):
     return df.select("conv_id", "turn", F.size(tm.candidate_phrases(F.col("text"))).alias("phrases"))
 
 
-ASPECTS = ["Wifi Down", "Teaching Quality", "Library", "Washrooms", "Classes Scheduled", "Prices", "Projector", "", "Emergency Exit", "",
+ASPECTS = ["Wifi Down", "Teaching Quality", "Library", "Pool Area", "Yoga Runs", "Rents", "Old Projector", "", "Emergency Exit", "",
            "Many Students", "Placement Team"]
 _ASPECT = "CASE feedback " + " ".join(f"WHEN '{s}' THEN '{v}'" for s, v in zip(FEEDBACK_SENTENCES, ASPECTS)) + " END"
 

@@ -45,15 +45,15 @@ EVENTS = [
     ("shifted", "CASE WHEN ts >= TIMESTAMP '2024-01-20 00:00:00' THEN value * 2 + 15 ELSE value END"),
     ("channel", "CASE WHEN ts >= TIMESTAMP '2024-01-15 00:00:00' AND event_id % 3 <> 0 THEN 'app' WHEN event_id % 2 = 0 THEN 'web' ELSE 'store' END"),
 ]
-# Sentences of the templated feedback view.
+# Sentences of the templated feedback view.
 FEEDBACK_SENTENCES = [
     "The wifi is down in the library and nobody can study",
     "teaching quality is actually great",
     "The library is great but the food is terrible.",
-    "washrooms need better maintenance",
-    "Classes are scheduled from 10 to 4.",
-    "prices are too high",
-    "The projector wasnt working in class",
+    "the pool area needs maintenance",
+    "Yoga runs from 9 to 11 on weekdays.",
+    "rents are too high",
+    "The old projector isnt working again",
     "not bad",
     "Emergency exit blocked, this is unsafe for everyone",
     "okay",
