@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.columns import families, present
-from gaugework.operators.modeling import Recipe, cross_validate
+from gaugework.operators.modeling import Folds, Recipe, cross_validate, model_features
 from gaugework.operators.profile import NUMERIC
 
 # The registered strategies and their complexity.
@@ -44,12 +44,12 @@ def _treatment(strategy: str, affected: list[str]) -> tuple[set[str], Recipe]:
 
 def evaluate_strategy(
     df: DataFrame, roles: list, target: str, target_type: str, key: str, strategy: str, affected: list[str],
-    baseline: float | None = None, is_baseline: bool = False, time: str | None = None, k: int | None = None,
+    baseline: float | None = None, is_baseline: bool = False, time: str | None = None, k: int | None = None, folds: Folds | None = None,
 ) -> dict:
     """One variant row; all preparation is fitted inside the training folds."""
     time = time if time in df.columns else None
     exclude, recipe = _treatment(strategy, affected)
-    result = cross_validate(df, roles, target, target_type, key, exclude, recipe, True, time, k)
+    result = cross_validate(df, roles, target, target_type, key, exclude, recipe, True, time, k, folds)
     if strategy == "DROP_FEATURE":
         kinds = families(df, [c for c in affected if c in df.columns])
         gaps = [F.sum(present(c, t).isNull().cast("bigint")) for c, t in kinds.items()]
@@ -99,16 +99,24 @@ def interpretation(category: str, variants: list[dict], affected: list[str]) ->
     return f"{len(variants)} variants compared."
 
 
+def shared_folds(
+    df: DataFrame, roles: list, target: str, target_type: str, key: str, time: str | None = None, k: int | None = None,
+) -> Folds:
+    """The folds of all variants of ``df``: every feature that one of them may use is in."""
+    time = time if time in df.columns else None
+    return Folds(df, target, target_type, key, model_features(df, roles, target, key, time), time, k)
+
+
 def investigate(
     df: DataFrame, roles: list, target: str, target_type: str, key: str, category: str, affected: list[str],
     strategies: list[str], time: str | None = None, k: int | None = None,
 ) -> tuple[DataFrame, str]:
-    """(one row per strategy with its difference to the first one, interpretation)."""
-    first = evaluate_strategy(df, roles, target, target_type, key, strategies[0], affected, None, True, time, k)
-    rows = [first] + [
-        evaluate_strategy(df, roles, target, target_type, key, s, affected, first["primary_score"], False, time, k)
-        for s in strategies[1:]
-    ]
+    """(one row per strategy with its difference to the first one, interpretation). All strategies share the folds."""
+    folds = shared_folds(df, roles, target, target_type, key, time, k)
+    rows: list[dict] = []
+    for s in strategies:
+        first = rows[0]["primary_score"] if rows else None
+        rows.append(evaluate_strategy(df, roles, target, target_type, key, s, affected, first, not rows, time, k, folds))
     return df.sparkSession.createDataFrame(rows, VARIANT_SCHEMA), interpretation(category, rows, affected)
 
 
@@ -121,7 +129,8 @@ def run_experiments(
     ``findings`` are collected rows with type and column. Preparation is fitted on all rows here;
     :func:`evaluate_strategy` is the fold-isolated form.
     """
-    base = baseline or cross_validate(df, roles, target, target_type, key, isolated=False, k=k)
+    folds = shared_folds(df, roles, target, target_type, key, k=k)
+    base = baseline or cross_validate(df, roles, target, target_type, key, isolated=False, k=k, folds=folds)
     named = lambda kind: [f["column"] for f in findings if f["type"] == kind and f["column"]]
     leaks, gaps, tails = named("target_leakage"), named("missingness"), named("outliers")
     rows: list[dict] = []
@@ -139,7 +148,7 @@ def run_experiments(
 
     start = add("baseline", "baseline", base, round(base["score"], 4), lambda d: "baseline")
     reference = start
-    run = lambda recipe: cross_validate(df, roles, target, target_type, key, set(leaks), recipe, False, k=k)
+    run = lambda recipe: cross_validate(df, roles, target, target_type, key, set(leaks), recipe, False, k=k, folds=folds)
     if leaks:
         reference = add(
             "without leaky features", "target_leakage", run(Recipe()), start,

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions.columns import KEY_HEAD, families, present, quoted, ref
 from gaugework.functions.numeric import rounded
-from gaugework.operators.lineage import settled, stored
+from gaugework.operators.lineage import stored
 from gaugework.operators.ordered import interpolated_quantiles, running_totals, value_counts
 from gaugework.operators.semantic import parsed_datetime
 from gaugework.operators.profile import NUMERIC, quantiles
@@ -23,6 +25,8 @@ from gaugework.operators.profile import NUMERIC, quantiles
 TREES, DEPTH, LEAF, SEED, FOLDS = 50, 6, 2, 42, 5
 CLIP = (0.01, 0.99)
 MISSING = "MISSING"
+# Rows of all folds that are fitted at the same time; beyond it one fold follows the other.
+ROWS_AT_ONCE = 20_000_000
 
 
 def fold_count(rows: int, wanted: int = FOLDS) -> int:
@@ -185,28 +189,42 @@ def _trained_on(k: int, chronological: bool) -> list[list[int]]:
     return [[f for f in every if (f < i if chronological else f != i)] for i in range(k)]
 
 
-def fold_preparations(rows: DataFrame, features: list[str], recipe: Recipe, trains: list[list[int]]) -> tuple[list[Prepared], int]:
+def fold_points(rows: DataFrame, columns: list[str], trains: list[list[int]]) -> list[dict]:
+    """For each list of folds the clipping percentiles and the median of each numeric column, over the list's rows.
+
+    Values are counted per fold once; a list's quantiles are those of its folds' summed counts, and one ordered pass carries
+    the sums of all lists.
+    """
+    points: list[dict] = [{} for _ in trains]
+    folds = sorted({f for t in trains for f in t})
+    names = {f: f"n_{i}" for i, f in enumerate(folds)}
+    sums = {f"w{i}": " + ".join(names[f] for f in t) for i, t in enumerate(trains)}
+    probs = {"low": CLIP[0], "mid": 0.5, "high": CLIP[1]}
+    for counts in value_counts(rows, columns, measures={n: (F.col("fold") == f).cast("bigint") for f, n in names.items()}).values():
+        weighted = counts.selectExpr("column", "value", *[f"{e} AS {w}" for w, e in sums.items()])
+        ordered = stored(running_totals(weighted, ["column"], "value", list(sums)), "fold-counts")
+        parts = [interpolated_quantiles(ordered, ["column"], "value", w, probs).withColumn("i", F.lit(i)) for i, w in enumerate(sums)]
+        for r in reduce(DataFrame.unionByName, parts).collect():
+            points[r["i"]][r["column"]] = r
+    return points
+
+
+def fold_preparations(
+    rows: DataFrame, features: list[str], recipe: Recipe, trains: list[list[int]],
+    points: list[dict] | None = None, known: dict | None = None,
+) -> tuple[list[Prepared], int]:
     """The preparation of numeric features fitted on each list of folds, and the most rows that the recipe touches in one.
 
-    ``rows`` has ``fold``. Values are counted per fold once; a list's quantiles are those of its folds' summed counts, and one
-    ordered pass carries the sums of all lists. Fills, means and scales of all lists are aggregates of one scan.
+    ``rows`` has ``fold``. Fills, means and scales of all lists are aggregates of one scan. Variants on the same rows and lists
+    share ``points`` (:func:`fold_points`) and ``known``, which keeps the means and scales by column and treatment.
     """
     kinds = families(rows, features)
     numeric = [c for c in features if kinds[c] in NUMERIC]
     made = [Prepared() for _ in trains]
     inside = [F.col("fold").isin(t) for t in trains]
+    known = {} if known is None else known
     if numeric:
-        folds = sorted({f for t in trains for f in t})
-        names = {f: f"n_{i}" for i, f in enumerate(folds)}
-        sums = {f"w{i}": " + ".join(names[f] for f in t) for i, t in enumerate(trains)}
-        points: list[dict] = [{} for _ in trains]
-        for counts in value_counts(rows, numeric, measures={n: (F.col("fold") == f).cast("bigint") for f, n in names.items()}).values():
-            weighted = counts.selectExpr("column", "value", *[f"{e} AS {w}" for w, e in sums.items()])
-            ordered = stored(running_totals(weighted, ["column"], "value", list(sums)), "fold-counts")
-            probs = {"low": CLIP[0], "mid": 0.5, "high": CLIP[1]}
-            parts = [interpolated_quantiles(ordered, ["column"], "value", w, probs).withColumn("i", F.lit(i)) for i, w in enumerate(sums)]
-            for r in reduce(DataFrame.unionByName, parts).collect():
-                points[r["i"]][r["column"]] = r
+        points = fold_points(rows, numeric, trains) if points is None else points
         values = [{} for _ in trains]
         for i, at in enumerate(points):
             for c in numeric:
@@ -215,20 +233,24 @@ def fold_preparations(rows: DataFrame, features: list[str], recipe: Recipe, trai
                     low, high = made[i].bounds[c] = at[c]["low"], at[c]["high"]
                     x = F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
                 values[i][c] = x
-        fills = [{c: at[c]["mid"] if c in at else None for c in numeric} for at in points]
-        if recipe.impute == "mean":
-            fills = _aggregated(rows, {(i, c): F.avg(F.when(inside[i], values[i][c])) for i in range(len(trains)) for c in numeric}, len(trains))
-        for i, of in enumerate(fills):
-            for c in numeric:
-                fill = of[c]
-                if c in made[i].bounds and recipe.impute != "mean" and fill is not None:
-                    fill = max(made[i].bounds[c][0], min(made[i].bounds[c][1], fill))
-                values[i][c] = F.coalesce(values[i][c], F.lit(float(fill if fill is not None else 0.0)))
         pairs = [(i, c) for i in range(len(trains)) for c in numeric]
-        means = _aggregated(rows, {(i, c): F.avg(F.when(inside[i], values[i][c])) for i, c in pairs}, len(trains))
-        scales = _aggregated(rows, {(i, c): F.stddev_pop(F.when(inside[i], values[i][c])) for i, c in pairs}, len(trains))
+        fills = {(i, c): points[i][c]["mid"] if c in points[i] else None for i, c in pairs}
+        if recipe.impute == "mean":
+            means = {("fill", i, c, c in made[i].bounds): F.avg(F.when(inside[i], values[i][c])) for i, c in pairs}
+            _aggregated(rows, means, known)
+            fills = {(i, c): known["fill", i, c, c in made[i].bounds] for i, c in pairs}
+        for i, c in pairs:
+            fill = fills[i, c]
+            if c in made[i].bounds and recipe.impute != "mean" and fill is not None:
+                fill = max(made[i].bounds[c][0], min(made[i].bounds[c][1], fill))
+            values[i][c] = F.coalesce(values[i][c], F.lit(float(fill if fill is not None else 0.0)))
+        treated = {(i, c): (i, c, c in made[i].bounds, recipe.impute) for i, c in pairs}
+        _aggregated(rows, {
+            (name, *treated[i, c]): f(F.when(inside[i], values[i][c])) for i, c in pairs for name, f in (("mean", F.avg), ("scale", F.stddev_pop))
+        }, known)
         for i, c in pairs:
-            made[i].columns[c] = (values[i][c] - F.lit(means[i][c] or 0.0)) / F.lit(scales[i][c] or 1.0)
+            mean, scale = known["mean", *treated[i, c]], known["scale", *treated[i, c]]
+            made[i].columns[c] = (values[i][c] - F.lit(mean or 0.0)) / F.lit(scale or 1.0)
     for one in made:
         for c in recipe.flags:
             if c in features:
@@ -246,16 +268,13 @@ def fold_preparations(rows: DataFrame, features: list[str], recipe: Recipe, trai
 _WIDTH = 200  # aggregates in one scan
 
 
-def _aggregated(rows: DataFrame, wanted: dict[tuple[int, str], Column], n: int) -> list[dict]:
-    """One value per list of folds and column; very many take several scans."""
-    found: list[dict] = [{} for _ in range(n)]
-    keys = list(wanted)
+def _aggregated(rows: DataFrame, wanted: dict[tuple, Column], known: dict) -> None:
+    """Add to ``known`` what it lacks of ``wanted``; very many aggregates take several scans."""
+    keys = [k for k in wanted if k not in known]
     for start in range(0, len(keys), _WIDTH):
         some = keys[start:start + _WIDTH]
         row = rows.agg(*[wanted[k].alias(f"a{j}") for j, k in enumerate(some)]).first()
-        for j, (i, c) in enumerate(some):
-            found[i][c] = row[f"a{j}"]
-    return found
+        known.update({k: row[f"a{j}"] for j, k in enumerate(some)})
 
 
 def fold_codes(rows: DataFrame, text: list[str], trains: list[list[int]]) -> DataFrame | None:
@@ -272,51 +291,90 @@ def fold_codes(rows: DataFrame, text: list[str], trains: list[list[int]]) -> Dat
     return stored(running_totals(seen, ["column"], "whole", ones).selectExpr("column", "value", f"array({codes}) AS codes"), "category-codes")
 
 
-def out_of_fold_predictions(
-    folded: DataFrame, label: str, features: list[str], key: str, k: int, classification: bool,
-    recipe: Recipe = Recipe(), isolated: bool = True, chronological: bool = False, seed: int = SEED,
-) -> tuple[DataFrame, int]:
+class Folds:
+    """Labelled rows dealt to folds, with what all variants of a comparison share.
+
+    The rows are stored once with their fold; the quantiles and category codes of all lists of training folds, and the table of
+    features that the models read, are made at their first use and serve every variant after it.
+    """
+
+    def __init__(
+        self, df: DataFrame, target: str, target_type: str, key: str, features: list[str], time: str | None = None, k: int | None = None,
+    ):
+        self.key, self.chronological, self.classification = key, bool(time), target_type != "regression"
+        # a column without a type has no Parquet form
+        typed = [ref(f.name).cast("string").alias(f.name) if f.dataType.typeName() == "void" else ref(f.name) for f in df.schema.fields]
+        rows = stored(labelled(df.select(*typed), target, target_type), "labelled-rows")
+        self.n = rows.count()
+        self.k = k or fold_count(self.n)
+        if time:
+            folded = chronological_folds(rows, time, key, self.k)
+        elif self.classification:
+            folded = stratified_folds(rows, "_label", key, self.k)
+        else:
+            folded = plain_folds(rows, key, self.k)
+        self.rows = stored(folded, "folded-rows")
+        self.kinds = families(self.rows, features)
+        self.text = [c for c in features if self.kinds[c] not in NUMERIC]
+        self.numbers = [c for c in features if self.kinds[c] in NUMERIC]
+        self._fitted: dict[bool, tuple] = {}
+
+    def fitted(self, isolated: bool) -> tuple[list[list[int]], list[dict], dict, DataFrame, int]:
+        """(lists of folds that preparation is fitted on, their quantiles, means and scales so far, model matrix, classes)."""
+        if isolated not in self._fitted:
+            trains = _trained_on(self.k, self.chronological)
+            fits = trains if isolated else [sorted({f for t in trains for f in t} | set(range(self.k)))]
+            points = fold_points(self.rows, self.numbers, fits) if self.numbers else []
+            matrix = self._matrix(fold_codes(self.rows, self.text, fits))
+            # without its number of classes a label counts as one of a hundred at most
+            classes = int(matrix.agg(F.max("_label")).first()[0] or 0) + 1 if self.classification else 0
+            self._fitted[isolated] = fits, points, {}, matrix, classes
+        return self._fitted[isolated]
+
+    def _matrix(self, codes: DataFrame | None) -> DataFrame:
+        """_key, _label, fold, the numeric features, whether a text is there (empty or null), and the codes of its category."""
+        keys = [text_key_or_missing(c).alias(f"_t{i}") for i, c in enumerate(self.text)]
+        there = [F.when(ref(c).isNotNull(), F.lit("")).alias(c) for c in self.text]
+        matrix = self.rows.select(
+            ref(self.key).alias("_key"), F.col("_label").cast("double").alias("_label"), "fold", *[ref(c) for c in self.numbers], *there, *keys)
+        for i, c in enumerate(self.text):
+            # a small table is broadcast by its measured size; a hot value is split by adaptive execution
+            table = codes.where(F.col("column") == c).select(F.col("value").alias(f"_t{i}"), F.col("codes").alias(f"_codes{i}"))
+            matrix = matrix.join(table, f"_t{i}", "left").drop(f"_t{i}")
+        return stored(matrix, "model-matrix")
+
+
+def out_of_fold_predictions(folds: Folds, features: list[str], recipe: Recipe = Recipe(), isolated: bool = True, seed: int = SEED) -> tuple[DataFrame, int]:
     """(key, y, prediction, probability of validated rows; rows touched by the recipe in a fold).
 
-    ``label`` is numeric (class codes for classification). With ``isolated`` all preparation is fitted
-    on the training rows of each fold; otherwise once on all rows. The features are stored once, with their fold and the
-    category codes of all folds; a fold's preparation is an expression over that table. Every fold's predictions are
-    stored before the next starts, so a lost executor never retrains earlier folds.
+    The label is numeric (class codes for classification). With ``isolated`` all preparation is fitted on the training rows of
+    each fold; otherwise once on all rows. A fold's preparation is an expression over the stored features, and its
+    predictions are stored, so a lost executor never retrains a fold. Folds are fitted side by side as far as
+    their rows stay under ``ROWS_AT_ONCE``, which keeps all cores at work between the levels of small forests.
     """
-    kinds = families(folded, features)
-    text = [c for c in features if kinds[c] not in NUMERIC]
-    numbers = [c for c in features if kinds[c] in NUMERIC]
-    trains = _trained_on(k, chronological)
-    fits = trains if isolated else [sorted({f for t in trains for f in t} | set(range(k)))]
-    flagged = [c for c in recipe.flags if c in features]
-    made, touched = fold_preparations(folded, features, recipe, fits)
-    codes = fold_codes(folded, text, fits)
-    keys = [text_key_or_missing(c).alias(f"_t{i}") for i, c in enumerate(text)]
-    gaps = [ref(c) for c in flagged if c not in numbers]
-    matrix = folded.select(ref(key).alias("_key"), ref(label).cast("double").alias("_label"), "fold", *[ref(c) for c in numbers], *gaps, *keys)
-    for i, c in enumerate(text):
-        # a small table is broadcast by its measured size; a hot value is split by adaptive execution
-        table = codes.where(F.col("column") == c).select(F.col("value").alias(f"_t{i}"), F.col("codes").alias(f"_codes{i}"))
-        matrix = matrix.join(table, f"_t{i}", "left").drop(f"_t{i}")
-    matrix = stored(matrix, "model-matrix")
-    # without its number of classes a label counts as one of a hundred at most
-    classes = int(matrix.agg(F.max("_label")).first()[0] or 0) + 1 if classification else 0
+    fits, points, known, matrix, classes = folds.fitted(isolated)
+    text = [c for c in features if c in folds.text]
+    made, touched = fold_preparations(folds.rows, features, recipe, fits, points, known)
     nominal = {"ml_attr": {"type": "nominal", "name": "_label", "num_vals": max(2, classes)}}
-    parts = []
-    for i, train in enumerate(trains):
+
+    def fold(i: int, train: list[int]) -> DataFrame:
         at = i if isolated else 0
-        slots = list(made[at].columns.values()) + [F.coalesce(F.element_at(f"_codes{j}", at + 1), F.lit(-1.0)) for j in range(len(text))]
+        slots = list(made[at].columns.values()) + [F.coalesce(F.element_at(f"_codes{folds.text.index(c)}", at + 1), F.lit(-1.0)) for c in text]
         shaped = matrix.select("_key", "_label", "fold", *[e.alias(f"_x{j}") for j, e in enumerate(slots)])
         table = VectorAssembler(inputCols=[f"_x{j}" for j in range(len(slots))], outputCol="features").transform(shaped)
         common = dict(featuresCol="features", labelCol="_label", numTrees=TREES, maxDepth=DEPTH,
                       minInstancesPerNode=LEAF, seed=seed)
-        forest = RandomForestClassifier(**common) if classification else RandomForestRegressor(**common)
-        known = table.where(F.col("fold").isin(train))
-        model = forest.fit(known.withMetadata("_label", nominal) if classification else known)
-        scored = model.transform(table.where(F.col("fold") == i))
-        p = F.get(vector_to_array("probability"), F.lit(1)) if classification else F.lit(None).cast("double")
-        parts.append(stored(scored.select(
-            F.col("_key").alias("key"), F.col("_label").alias("y"), "prediction", p.alias("probability"), F.lit(i).alias("fold")), "fold-predictions"))
+        forest = RandomForestClassifier(**common) if folds.classification else RandomForestRegressor(**common)
+        training = table.where(F.col("fold").isin(train)).select("_label", "features")
+        model = forest.fit(training.withMetadata("_label", nominal) if folds.classification else training)
+        scored = model.transform(table.where(F.col("fold") == i).select("_key", "_label", "features"))
+        p = F.get(vector_to_array("probability"), F.lit(1)) if folds.classification else F.lit(None).cast("double")
+        return stored(scored.select(
+            F.col("_key").alias("key"), F.col("_label").alias("y"), "prediction", p.alias("probability"), F.lit(i).alias("fold")), "fold-predictions")
+
+    trains = _trained_on(folds.k, folds.chronological)
+    with ThreadPool(max(1, min(folds.k, ROWS_AT_ONCE // max(1, folds.n)))) as pool:
+        parts = pool.starmap(inheritable_thread_target(matrix.sparkSession)(fold), enumerate(trains))
     return reduce(DataFrame.unionByName, parts), touched
 
 
@@ -369,37 +427,33 @@ def labelled(df: DataFrame, target: str, target_type: str) -> DataFrame:
     return known.join(codes, ref(target) == F.col("_c")).drop("_c")
 
 
+def model_features(df: DataFrame, roles: list, target: str, key: str, time: str | None = None, exclude: set[str] = frozenset()) -> list[str]:
+    """The features of a model: see :func:`feature_columns`; the row key and the time column are none."""
+    return [c for c in feature_columns(df, roles, target, set(exclude) | ({time} if time else set())) if c != key]
+
+
 def cross_validate(
     df: DataFrame, roles: list, target: str, target_type: str, key: str, exclude: set[str] = frozenset(),
-    recipe: Recipe = Recipe(), isolated: bool = True, time: str | None = None, k: int | None = None,
+    recipe: Recipe = Recipe(), isolated: bool = True, time: str | None = None, k: int | None = None, folds: Folds | None = None,
 ) -> dict:
-    """Out-of-fold predictions and metrics of one variant; the prediction table stays distributed."""
-    skip = set(exclude) | ({time} if time else set())
-    features = [c for c in feature_columns(df, roles, target, skip) if c != key]
+    """Out-of-fold predictions and metrics of one variant; the prediction table stays distributed.
+
+    Variants of the same rows, label and split may share ``folds``, made with the features of all of them.
+    """
+    features = model_features(df, roles, target, key, time, exclude)
     if not features:
         raise ValueError("no predictive features are left")
-    classification = target_type != "regression"
-    rows = settled(labelled(df, target, target_type))
-    n = rows.count()
-    k = k or fold_count(n)
-    if time:
-        folded = chronological_folds(rows, time, key, k)
-    elif classification:
-        folded = stratified_folds(rows, "_label", key, k)
-    else:
-        folded = plain_folds(rows, key, k)
-    folded = settled(folded)
-    scored, touched = out_of_fold_predictions(
-        folded, "_label", features, key, k, classification, recipe, isolated, chronological=bool(time))
-    metrics = (classification_metrics if classification else regression_metrics)(scored).first().asDict()
+    folds = folds or Folds(df, target, target_type, key, features, time, k)
+    scored, touched = out_of_fold_predictions(folds, features, recipe, isolated)
+    metrics = (classification_metrics if folds.classification else regression_metrics)(scored).first().asDict()
     name, score = "R2", metrics.get("r2")
-    if classification:
+    if folds.classification:
         name, score = "F1-Score", metrics["f1_weighted"]
         if target_type == "binary_classification":
             metrics["roc_auc"] = auc(scored).select(rounded("roc_auc").alias("a")).first()["a"]
             if metrics["roc_auc"] is not None:
                 name, score = "ROC-AUC", metrics["roc_auc"]
     return {
-        "predictions": scored, "metrics": metrics, "metric_name": name, "score": float(score or 0.0), "rows": n,
-        "rows_touched": touched, "folds": k, "feature_count": len(features) + len([c for c in recipe.flags if c in features]),
+        "predictions": scored, "metrics": metrics, "metric_name": name, "score": float(score or 0.0), "rows": folds.n,
+        "rows_touched": touched, "folds": folds.k, "feature_count": len(features) + len([c for c in recipe.flags if c in features]),
     }
