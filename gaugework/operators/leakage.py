@@ -154,7 +154,7 @@ def single_feature_scores(df: DataFrame, features: list[str], target: str, binar
             F.count(F.lit(1)).alias("w"), F.sum("_k0").alias("s"), F.sum(F.col("_k0") * F.col("_k0")).alias("q"))
         parts.append(running_totals(per_value, ["column"], "x", ["w", "s", "q"]).where(F.col("all_w") >= LEAST_ROWS).drop("x"))
     # the tree reads this table once per level, without the values
-    placed = settled(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+    placed = stored(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), "placed-values")
     rank = F.col("cum_w") - (F.col("w") - 1) / 2.0 - (F.col("all_w") + 1) / 2.0
     sums = placed.groupBy("column").agg(
         F.sum(rank * F.col("s")).alias("xy"), F.sum(F.col("w") * rank * rank).alias("xx"), F.max("all_w").alias("tw"),

@@ -37,7 +37,12 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it from there: like ``settled``, at one evaluation."""
+    """Write ``df`` as Parquet below the shared folder and read it from there: like ``settled``, and readers take the columns they need.
+
+    A column without a type has no Parquet form; such a table goes to the checkpoint folder.
+    """
+    if any(f.dataType.typeName() == "void" for f in df.schema.fields):
+        return settled(df)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions.columns import families, present, ref, text_literal
 from gaugework.functions.numeric import rounded, share
+from gaugework.operators.lineage import stored
 from gaugework.operators.ordered import (
     interpolated_quantiles, merged, running_totals, value_counts,
 )
@@ -170,7 +171,8 @@ def profile_columns(
     from gaugework.operators.semantic import column_roles, semantic_types
 
     counts = column_counts(df)
-    tables = value_counts(df, df.columns, order_by=order_by)
+    # stored: each consumer needs other columns of it, so none of them would share the scan and the shuffle of another
+    tables = {kind: stored(t, "profile-values") for kind, t in value_counts(df, df.columns, order_by=order_by).items()}
     has_numeric = any(k in NUMERIC for k in families(df).values())
     moments = numeric_moments(df) if has_numeric else None
     if approx:

@@ -9,6 +9,7 @@ from gaugework.functions.columns import families
 from gaugework.functions.numeric import rounded
 from gaugework.operators import findings as fd
 from gaugework.operators.association import indicator_links, target_links
+from gaugework.operators.lineage import stored
 from gaugework.operators.ordered import merged, value_counts
 from gaugework.operators.profile import NUMERIC, duplicate_rows, numeric_moments, quantiles
 from gaugework.options import Thresholds
@@ -45,7 +46,7 @@ def outlier_stats(df: DataFrame, columns: list[str] | None = None, limits: Thres
     """
     kinds = families(df, columns)
     numeric = [c for c, k in kinds.items() if k in NUMERIC]
-    tables = value_counts(df, numeric)
+    tables = {kind: stored(t, "outlier-values") for kind, t in value_counts(df, numeric).items()}
     quartiles = quantiles(tables, {"q25": 0.25, "q75": 0.75}).withColumn("iqr", F.col("q75") - F.col("q25"))
     moments = numeric_moments(df, numeric).select("column", F.col("n").alias("rows"), "mean", "std")
     mild, extreme = F.lit(limits.outlier_mild_iqr), F.lit(limits.outlier_extreme_iqr)

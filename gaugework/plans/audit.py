@@ -11,7 +11,7 @@ from gaugework.functions.columns import families
 from gaugework.operators import decisions, drift, fairness, leakage, quality
 from gaugework.operators import findings as fd
 from gaugework.operators.experiments import run_experiments
-from gaugework.operators.lineage import settled
+from gaugework.operators.lineage import settled, stored
 from gaugework.operators.modeling import cross_validate
 from gaugework.operators.profile import NUMERIC, dataset_profile, profile_columns
 from gaugework.options import AuditOptions
@@ -44,6 +44,7 @@ def audit(df: DataFrame, options: AuditOptions) -> AuditResult:
     key, limits = options.order_by, options.thresholds
     if key is None:
         raise ValueError("order_by must name a unique row key")
+    df = stored(df, "audited-rows")  # every stage reads them, most of them several times
     dataset = settled(dataset_profile(df, options.target))
     size = dataset.first()
     target, task = size["target"], size["target_type"]

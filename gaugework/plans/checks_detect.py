@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gaugework.functions.columns import ref
 from gaugework.operators import association, decisions, drift, fairness, leakage, quality, semantic
 from gaugework.operators import findings as fd
-from gaugework.operators.lineage import settled
+from gaugework.operators.lineage import settled, stored
 from gaugework.operators.profile import column_counts, distinct_counts, profile_columns
 from gaugework.operators.ordered import value_counts
 from gaugework.plans.checks_profile import rounded_sql, union_sql
@@ -138,7 +138,8 @@ def outlier_rule_orders(spark, sf_dir):
 
 
 def _orders_findings(spark, sf_dir):
-    df = view(spark, sf_dir, "orders_audit")
+    # the detectors read the view some ten times; its join is done once
+    df = stored(view(spark, sf_dir, "orders_audit"), "orders-audit")
     prof = settled(profile_columns(df, "urgent", "order_id"))
     roles = prof.select("name", "family", "missing_count", "is_constant", "is_id", "unique_count").collect()
     return df, prof, roles

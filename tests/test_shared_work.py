@@ -38,3 +38,23 @@ def test_experiments_share_folds(spark, monkeypatch):
     rows = experiments.run_experiments(_rows(spark), [], "y", "binary_classification", "id", found, k=3).collect()
     assert [r["category"] for r in rows] == ["baseline", "target_leakage", "outliers", "missingness"]
     assert names.count("model-matrix") == names.count("fold-counts") / 2 == 1  # one table of counts each for whole and broken numbers
+
+
+def test_profile_counts_values_once(spark, monkeypatch):
+    """Each value table is stored, and its many readers read the stored one."""
+    from gaugework.operators import profile
+
+    names = []
+    write = profile.stored
+    monkeypatch.setattr(profile, "stored", lambda df, name: names.append(name) or write(df, name))
+    made = profile.profile_columns(_rows(spark), "y", "id")
+    assert names == ["profile-values"] * 3  # whole numbers, broken numbers, texts
+    assert any("profile-values" in f for f in made.inputFiles())
+    unique = {r["name"]: r["unique_count"] for r in made.collect()}
+    assert unique == {"id": 400, "x": 101, "z": 50, "word": 4, "y": 2}
+
+
+def test_tables_with_an_untyped_column_are_stored(spark):
+    from gaugework.operators.lineage import stored
+
+    assert stored(spark.range(2).select("id", F.lit(None).alias("nothing")), "untyped").where("nothing IS NULL").count() == 2
