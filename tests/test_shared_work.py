@@ -58,3 +58,30 @@ def test_tables_with_an_untyped_column_are_stored(spark):
     from gaugework.operators.lineage import stored
 
     assert stored(spark.range(2).select("id", F.lit(None).alias("nothing")), "untyped").where("nothing IS NULL").count() == 2
+
+
+def test_phrases_are_sent_to_a_fixed_number_of_blocks(monkeypatch):
+    """Ten times the phrases are sent ten times as often, until a block is as large as a task may hold."""
+    from gaugework.operators import enrich
+
+    sent = lambda n: n * -(-n // enrich._vector_block(n))
+    assert sent(500_000) == 10 * sent(50_000) == 50 * sent(10_000)
+    assert enrich._vector_block(10_000_000) == enrich.MOST_BLOCK and enrich._vector_block(10) == enrich.LEAST_BLOCK
+
+
+def test_phrases_merge_as_one_by_one_in_blocks_and_parts(spark, monkeypatch):
+    import numpy as np
+
+    from gaugework.operators import enrich
+
+    monkeypatch.setattr(enrich, "VECTOR_BLOCK", 7)  # rows compared at a time, fewer than a block has
+    v = np.random.default_rng(3).normal(size=(90, 3))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    near, chosen = v @ v.T >= enrich.MERGE_COSINE, []
+    for i in range(len(v)):
+        if not any(near[i, j] for j in chosen):
+            chosen.append(i)
+    want = {i: i if i in chosen else max(j for j in chosen if near[i, j]) for i in range(len(v))}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "position long, vector array<double>")
+    for block in (None, 40):
+        assert {r["position"]: r["representative"] for r in enrich.merge_phrases(df, block).collect()} == want
