@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,26 +119,10 @@ def cleaned_text(df: DataFrame, text: str) -> DataFrame:
         "_raw", "_u", "_no_nul", "_visible", "_clean")
 
 
-@lru_cache
-def _fold_rules() -> tuple[dict[str, str], dict[str, str]]:
-    """What case folding changes in lower-case text: single characters, and those that become several."""
-    one: dict[str, str] = {}
-    many: dict[str, str] = {}
-    for code in range(0x110000):
-        low, folded = chr(code).lower(), chr(code).casefold()
-        if folded != low and len(low) == 1:
-            (one if len(folded) == 1 else many)[low] = folded
-    return one, many
-
-
-def case_folded(text: Column) -> Column:
-    """Full case folding with built-ins: lower case, then the characters that folding treats otherwise."""
-    one, many = _fold_rules()
-    low = F.translate(F.lower(text), "".join(one), "".join(one.values()))
-    spread = low
-    for a, b in many.items():
-        spread = F.replace(spread, F.lit(a), F.lit(b))
-    return F.when(low.rlike("[" + "".join(many) + "]"), spread).otherwise(low)
+@F.pandas_udf(T.StringType())
+def case_folded(values: pd.Series) -> pd.Series:
+    """Full case folding, which has no built-in counterpart: a regular expression of all special letters costs ten times as much."""
+    return values.map(str.casefold, na_action="ignore")
 
 
 def is_placeholder(text: Column) -> Column:
@@ -165,44 +153,153 @@ def _row_position(df: DataFrame, key: str, value: str) -> DataFrame:
     return running_totals(one, ["g"], value, ["one"]).selectExpr(key, "cum_one AS position")
 
 
-def _best_ratios(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.Series:
-    """For each text of ``a`` the best similarity ratio with a text of ``b``.
+# Pairs of texts up to this product of lengths go to difflib itself; multiplier of the window hashes.
+_PLAIN_PAIR = 250_000
+_BASE = 0x9E3779B97F4A7C15
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+@dataclass(frozen=True)
+class _Hashed:
+    """Code points of a text with what gives the hash of any stretch of it."""
+
+    codes: np.ndarray
+    sums: np.ndarray
+    unshift: np.ndarray
+
+    @classmethod
+    def of(cls, text: str) -> _Hashed:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        mixed = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE)
+        mixed ^= mixed >> np.uint64(29)
+        shift = np.cumprod(np.full(len(codes), _BASE, dtype=np.uint64))
+        unshift = np.cumprod(np.full(len(codes), _BASE_INVERSE, dtype=np.uint64))
+        return cls(codes, np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * shift)]), unshift)
+
+    def windows(self, starts: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of the stretches of ``size`` characters: equal stretches have equal hashes wherever they stand."""
+        return (self.sums[starts + size] - self.sums[starts]) * self.unshift[starts]
+
+
+def _runs(rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of rare characters and, for each, the end of its unbroken run."""
+    at = np.flatnonzero(rare)
+    last = np.append(np.diff(at) != 1, True)[: len(at)]
+    ends = np.flatnonzero(last)
+    return at, at[ends[np.searchsorted(ends, np.arange(len(at)))]] + 1 if len(at) else at
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common beginning."""
+    n = min(len(a), len(b))
+    differ = a[:n] != b[:n]
+    return int(differ.argmax()) if differ.any() else n
+
+
+def _longest_match(a: _Hashed, b: _Hashed, runs_a, runs_b, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int] | None:
+    """What ``SequenceMatcher.find_longest_match`` returns; None if two different stretches share a hash.
+
+    The longest common stretch of rare characters (the first in ``a``, then the first in ``b``) is found by halving
+    its length, then lengthened to both sides by any equal characters.
+    """
+    sides = []
+    for (at, ends), low, high in ((runs_a, alo, ahi), (runs_b, blo, bhi)):
+        part = slice(*np.searchsorted(at, (low, high)))
+        sides.append((at[part], np.minimum(ends[part], high) - at[part]))
+    (at_a, room_a), (at_b, room_b) = sides
+    i, j, size = alo, blo, 0
+    low, high = 0, int(min(room_a.max(initial=0), room_b.max(initial=0)))
+    tried = high
+    while low < high:
+        mine, other = at_a[room_a >= tried], at_b[room_b >= tried]
+        keys, others = a.windows(mine, tried), b.windows(other, tried)
+        shared = np.isin(keys, others)
+        if shared.any():
+            first = int(shared.argmax())
+            i, j, size = int(mine[first]), int(other[int((others == keys[first]).argmax())]), tried
+            if not np.array_equal(a.codes[i:i + size], b.codes[j:j + size]):
+                return None
+            low = tried
+        else:
+            high = tried - 1
+        tried = (low + high + 1) // 2
+    back = _agreeing(a.codes[alo:i][::-1], b.codes[blo:j][::-1])
+    ahead = _agreeing(a.codes[i + size:ahi], b.codes[j + size:bhi])
+    return i - back, j - back, back + size + ahead
+
+
+def sequence_ratio(text: str, other: str, hashed: Callable[[str], _Hashed] = _Hashed.of) -> float:
+    """``SequenceMatcher(None, text, other).ratio()``, the same number.
+
+    difflib tries every two places of a character that is not frequent, so its time grows with the square of long
+    texts; here each matching block costs a few passes over the hashes of its range. A text that begins the other is
+    matched whole: the first place of the longest stretch in one is its first place in the other, and it lengthens
+    to the start and to the end of the shorter text.
+    """
+    if text.startswith(other) or other.startswith(text):
+        return 2.0 * min(len(text), len(other)) / (len(text) + len(other)) if text or other else 1.0
+    if len(text) * len(other) <= _PLAIN_PAIR:
+        return SequenceMatcher(None, text, other).ratio()
+    a, b = hashed(text), hashed(other)
+    seen, counts = np.unique(b.codes, return_counts=True)
+    rare = seen[counts <= len(other) // 100 + 1] if len(other) >= 200 else seen
+    runs_a, runs_b = _runs(np.isin(a.codes, rare)), _runs(np.isin(b.codes, rare))
+    matched, ranges = 0, [(0, len(text), 0, len(other))]
+    while ranges:
+        alo, ahi, blo, bhi = ranges.pop()
+        block = _longest_match(a, b, runs_a, runs_b, alo, ahi, blo, bhi)
+        if block is None:
+            return SequenceMatcher(None, text, other).ratio()
+        i, j, size = block
+        if size:
+            matched += size
+            if alo < i and blo < j:
+                ranges.append((alo, i, blo, j))
+            if i + size < ahi and j + size < bhi:
+                ranges.append((i + size, ahi, j + size, bhi))
+    return 2.0 * matched / (len(text) + len(other))
+
+
+def _best_ratios(asking: list[tuple[str, str]], answering: list[tuple[str, str]]) -> list[float]:
+    """For each (digest, text) that asks, the best similarity ratio with the text of another digest that answers.
 
     A pair cannot score above twice its shared characters over its total length, so partners are tried
     in falling order of that bound until it drops to the best ratio found.
     """
-    from collections import Counter
-
-    bags = [Counter(t) for t in b["text"]]
+    hashed = lru_cache(maxsize=8)(_Hashed.of)
+    bag = lru_cache(maxsize=None)(Counter)
     out = []
-    for i, text in enumerate(a["text"]):
-        bag = Counter(text)
-        bounds = sorted(
-            ((2.0 * sum((bag & other).values()) / max(1, len(text) + len(b["text"].iat[j])), j)
-             for j, other in enumerate(bags) if not (same and i == j)), reverse=True)
+    for digest, text in asking:
+        partners = [other for key, other in answering if key != digest]
+        if len(partners) > 1:
+            bounds = sorted(((2.0 * sum((bag(text) & bag(t)).values()) / max(1, len(text) + len(t)), t) for t in partners), reverse=True)
+        else:
+            bounds = [(1.0, t) for t in partners]
         best = 0.0
-        for bound, j in bounds:
+        for bound, other in bounds:
             if bound <= best:
                 break
-            best = max(best, SequenceMatcher(None, text, b["text"].iat[j]).ratio())
+            best = max(best, sequence_ratio(text, other, hashed))
         out.append(best)
-    return pd.Series(out, index=a.index)
+    return out
 
 
 def block_pairs(df: DataFrame, group: str | None, key: str, block: int) -> DataFrame:
     """Replicate rows so that every two blocks of a group meet in one bounded (mine, other) group.
 
-    Groups are cut into blocks of about ``block`` rows. Each row is sent once per block of its own
-    group, as a question (``asks``) and as an answer; no pair of rows is ever written out.
+    Groups are cut into blocks of about ``block`` rows. Each row is sent once per other block of its own
+    group as a question (``asks``), once as an answer (``answers``), and once as both to its own block;
+    no pair of rows is ever written out.
     """
     by = [group] if group else ["_all"]
     rows = df if group else df.withColumn("_all", F.lit("all"))
     sizes = rows.groupBy(*by).agg(F.expr(f"CAST(ceil(count(1) / {block}) AS int) AS _blocks"))
     placed = rows.join(sizes, by).withColumn("_part", F.expr(f"CAST(pmod(xxhash64({key}, 'part'), _blocks) AS int)"))
     met = placed.withColumn("_with", F.explode(F.expr("sequence(0, _blocks - 1)")))
-    side = F.explode(F.array(
-        F.struct(F.col("_part").alias("mine"), F.col("_with").alias("other"), F.lit(True).alias("asks")),
-        F.struct(F.col("_with").alias("mine"), F.col("_part").alias("other"), F.lit(False).alias("asks"))))
+    side = F.explode(F.expr(
+        "CASE WHEN _part = _with THEN array(struct(_part AS mine, _part AS other, true AS asks, true AS answers)) "
+        "ELSE array(struct(_part AS mine, _with AS other, true AS asks, false AS answers), "
+        "struct(_with AS mine, _part AS other, false AS asks, true AS answers)) END"))
     return met.withColumn("_side", side).select(*by, *[c for c in df.columns if c not in by], "_side.*")
 
 
@@ -210,17 +307,26 @@ def near_duplicate_ratios(texts: DataFrame, block: int = GROUP_BLOCK) -> DataFra
     """group, digest, similarity: best pair ratio of each distinct text within its group.
 
     ``texts`` has one row per (group, digest) with the folded text. Every pair is covered exactly,
-    only the best ratio per text leaves a task.
+    only the best ratio per text leaves a task. A task streams its (mine, other) cells in order, as most are
+    pairs and a call per cell would cost more than the comparison.
     """
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = (pdf[pdf["asks"] == side].sort_values("digest", ignore_index=True) for side in (True, False))
-        if a.empty or b.empty:
-            return pd.DataFrame({"group": [], "digest": [], "similarity": []})
-        same = bool(a["mine"].iat[0] == a["other"].iat[0])
-        return pd.DataFrame({"group": a["group"], "digest": a["digest"], "similarity": _best_ratios(a, b, same)})
-
-    return block_pairs(texts, "group", "digest", block).groupBy("group", "mine", "other").applyInPandas(
+    cell = ["group", "mine", "other"]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (row for pdf in batches for row in zip(*(pdf[c] for c in (*cell, "digest", "text", "asks", "answers"))))
+        found: list[tuple[str, str, float]] = []
+        for key, members in groupby(rows, key=lambda row: row[:3]):
+            members = list(members)
+            asking = [(r[3], r[4]) for r in members if r[5]]
+            ratios = _best_ratios(asking, [(r[3], r[4]) for r in members if r[6]])
+            found += [(key[0], digest, ratio) for (digest, _), ratio in zip(asking, ratios)]
+            if len(found) >= 1000:
+                yield pd.DataFrame(found, columns=["group", "digest", "similarity"])
+                found = []
+        yield pd.DataFrame(found, columns=["group", "digest", "similarity"])
+
+    met = block_pairs(texts, "group", "digest", block).select(*cell, "digest", "text", "asks", "answers")
+    return met.repartition(*cell).sortWithinPartitions(*cell).mapInPandas(
         compare, "group string, digest string, similarity double"
     ).groupBy("group", "digest").agg(F.round(F.max("similarity"), 4).alias("similarity"))
 
@@ -229,32 +335,37 @@ def duplicate_columns(df: DataFrame) -> DataFrame:
     """Add is_duplicate, duplicate_group_id, duplicate_type and duplicate_similarity.
 
     Texts are grouped by a short key of the whole case-folded text (itself, or its head and digest), and copies are
-    counted on the map side first. Group numbers follow the order of whole texts, which are carried once per group.
-    The rows are stored once with their keys, and the marks of keys with copies or near copies are joined back: rows
-    without a key stay out of that join, a small table of marks is broadcast by its measured size, and adaptive
-    execution splits a hot key. Near duplicates share all word characters and are looked for among texts that are
-    not exact copies.
+    counted by these keys alone. Whole texts are fetched only for keys with copies or near copies, once per key: group
+    numbers follow their order. The rows are stored once with their keys, and the marks of keys with copies or near
+    copies are joined back: rows without a key stay out of that join, a small table of marks is broadcast by its
+    measured size, and adaptive execution splits a hot key. Near duplicates share all word characters and are looked
+    for among texts that are not exact copies.
     """
-    folded = once(df, _folded=case_folded(F.col("cleaned_text")))
-    staged = once(folded, _bare=F.regexp_replace("_folded", r"[^\p{L}\p{N}_]+", ""))
+    bare = r"[^\p{L}\p{N}_]+"
+    staged = once(df.withColumn("_folded", case_folded("cleaned_text")), _bare=F.regexp_replace("_folded", bare, ""))
     short = "CASE WHEN {c} = '' THEN NULL WHEN length({c}) <= 100 THEN {c} ELSE concat(substring({c}, 1, 100), sha2({c}, 256)) END"
-    keyed = stored(staged.withColumn("_key", F.expr(short.format(c="_folded"))).withColumn("_near", F.expr(short.format(c="_bare"))), "feedback-keys")
-    texts = stored(keyed.where("_key IS NOT NULL").groupBy("_key", "_near").agg(
-        F.expr("count(1) AS copies"), F.min("_folded").alias("_folded"), F.min("_bare").alias("_bare")), "feedback-texts")
+    keyed = stored(staged.withColumn("_key", F.expr(short.format(c="_folded"))).withColumn("_near", F.expr(short.format(c="_bare"))).drop("_bare"), "feedback-keys")
+    counted = stored(keyed.where("_key IS NOT NULL").groupBy("_key", "_near").agg(F.expr("count(1) AS copies")), "feedback-counts")
+    near = counted.where("copies = 1 AND _near IS NOT NULL")
+    shared = near.groupBy("_near").agg(F.expr("count(1) AS members")).where("members > 1").select("_near")
+    wanted = counted.where("copies > 1").unionByName(near.join(shared, "_near", "left_semi"))
+    texts = stored(keyed.select("_key", "_folded").join(wanted, "_key").groupBy("_key", "_near", "copies").agg(
+        F.min("_folded").alias("_folded")), "feedback-texts")
     exact = texts.where("copies > 1").select("_key", "_folded")
     exact_ids = _row_position(exact, "_key", "_folded").selectExpr(
         "_key", "'exact' AS kind", "position AS number", "1.0D AS similarity")
-    single = texts.where("copies = 1 AND _near IS NOT NULL")
-    groups = single.groupBy("_near").agg(F.expr("count(1) AS members"), F.min("_bare").alias("_bare")).where("members > 1").select("_near", "_bare")
+    single = texts.where("copies = 1")
+    groups = stored(single.groupBy("_near").agg(F.min("_folded").alias("_folded")).select(
+        "_near", F.regexp_replace("_folded", bare, "").alias("_bare")), "feedback-groups")
     # one row: how many numbers the exact groups have used
     used = exact.agg(F.expr("count(1) AS used")).withColumn("_one", F.lit(1))
     numbers = _row_position(groups, "_near", "_bare").withColumn("_one", F.lit(1)).join(F.broadcast(used), "_one").selectExpr(
         "_near", "position + used AS number")
-    members = single.join(groups.select("_near"), "_near").selectExpr("_near AS group", "_key AS digest", "_folded AS text")
+    members = single.selectExpr("_near AS group", "_key AS digest", "_folded AS text")
     near_ids = near_duplicate_ratios(members).withColumnRenamed("group", "_near").join(numbers, "_near").selectExpr(
         "digest AS _key", "'near_duplicate' AS kind", "number", "similarity")
     marks = stored(exact_ids.unionByName(near_ids), "feedback-marks")
-    rows = keyed.drop("_folded", "_bare", "_near")
+    rows = keyed.drop("_folded", "_near")
     given = rows.where("_key IS NOT NULL").join(marks, "_key", "left")
     absent = rows.where("_key IS NULL").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in marks.schema.fields if f.name != "_key"])
     return given.unionByName(absent).select(

@@ -46,6 +46,61 @@ def test_near_duplicates_match_brute_force_across_blocks(spark):
         assert got == want
 
 
+def test_ratio_equals_difflib(monkeypatch):
+    monkeypatch.setattr(feedback_clean, "_PLAIN_PAIR", 0)
+    draw = random.Random(8)
+    for _ in range(400):
+        letters = draw.choice(["ab", "etaoin shrdlu.,zqxj", "".join(chr(0x4E00 + i) for i in range(400)), "\U0001F600xyz "])
+        a = "".join(draw.choice(letters) for _ in range(draw.choice([0, 1, 50, 199, 200, 201, 600])))
+        b = list(a)
+        for _ in range(draw.choice([0, 1, 3, 30])):
+            at = draw.randrange(len(b) + 1)
+            b[at:at + draw.randrange(2)] = draw.choice(letters + "!?")
+        b = draw.choice(["".join(b), "".join(b[len(b) // 3:] + b[:len(b) // 3]), a + "".join(b[:5]), a[:-3]])
+        for x, y in ((a, b), (b, a)):
+            assert feedback_clean.sequence_ratio(x, y) == SequenceMatcher(None, x, y).ratio()
+
+
+def test_long_near_duplicates_do_not_take_the_square_of_their_length(spark, monkeypatch):
+    draw = random.Random(9)
+    half = ["".join(chr(0x4E00 + draw.randrange(500)) for _ in range(40000)) for _ in range(2)]
+
+    def refuse(*_):
+        raise AssertionError("every two places of a character are compared")
+
+    monkeypatch.setattr(feedback_clean, "SequenceMatcher", refuse)
+    assert feedback_clean.sequence_ratio(half[0] + "," + half[1], half[0] + "; " + half[1]) == 2.0 * 80000 / 160003
+    # a stretch with the hash of another one is found out, and difflib decides
+    monkeypatch.setattr(feedback_clean._Hashed, "windows", lambda self, starts, size: np.zeros(len(starts), np.uint64))
+    with pytest.raises(AssertionError):
+        feedback_clean.sequence_ratio("x" + half[0], half[0][::-1])
+
+
+def test_case_folding_is_that_of_python(spark):
+    letters = [chr(c) for c in range(0x250)] + [chr(c) for c in range(0x110000) if chr(c).lower() != chr(c).casefold()] + ["\u0130\u03a3", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(letters) if t != "\0"], "id int, t string")
+    got = df.select("id", feedback_clean.case_folded("t").alias("f")).collect()
+    assert all(r["f"] == (None if letters[r["id"]] is None else letters[r["id"]].casefold()) for r in got)
+
+
+def test_only_texts_with_copies_are_fetched(spark, monkeypatch):
+    kept = {}
+    write = feedback_clean.stored
+
+    def recorded(df, name):
+        kept[name] = write(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(feedback_clean, "stored", recorded)
+    texts = [f"{i} alone " + "long " * 40 for i in range(50)] + ["Twice", "twice", "Near!", "near", "...", "!!!", "...", None, ""]
+    out = feedback_clean.duplicate_columns(spark.createDataFrame([(t,) for t in texts], "cleaned_text string")).collect()
+    assert sorted((r["cleaned_text"], r["duplicate_type"], r["duplicate_group_id"]) for r in out if r["is_duplicate"]) == [
+        ("...", "exact", "duplicate-1"), ("...", "exact", "duplicate-1"), ("Near!", "near_duplicate", "duplicate-3"),
+        ("Twice", "exact", "duplicate-2"), ("near", "near_duplicate", "duplicate-3"), ("twice", "exact", "duplicate-2")]
+    assert len(out) == len(texts) and sorted(r["_folded"] for r in kept["feedback-texts"].collect()) == ["...", "near", "near!", "twice"]
+    assert "_folded" not in kept["feedback-counts"].columns
+
+
 def test_near_duplicates_are_flagged_without_deletion(spark):
     out = _clean(spark, [("The ramp is steep",), ("The ramp is steep!",), ("The ramp is icy",)], "feedback string")
     assert out.count() == 3 and out.where("duplicate_type = 'near_duplicate'").count() == 2
