@@ -104,10 +104,11 @@ def unicode_text(values: pd.Series) -> pd.DataFrame:
 def cleaned_text(df: DataFrame, text: str) -> DataFrame:
     """Add cleaned_text and the array ``_warnings`` (in the order in which the steps run)."""
     staged = df.withColumn("_raw", ref(text).cast("string")).withColumn("_u", unicode_text("_raw"))
-    staged = staged.withColumn("_no_nul", F.expr("replace(_u.text, '\\0', '')"))
-    staged = staged.withColumn("_visible", F.regexp_replace("_no_nul", r"[\x01-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", ""))
+    # each step once per row: inlined into each other, the steps and warnings would repeat the expressions of all steps before
+    staged = once(staged, _no_nul=F.expr("replace(_u.text, '\\0', '')"))
+    staged = once(staged, _visible=F.regexp_replace("_no_nul", r"[\x01-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", ""))
     collapsed = F.regexp_replace(F.regexp_replace("_visible", r"[ \t\r]+", " "), r"\n +", "\n")
-    staged = staged.withColumn("_clean", F.regexp_replace(collapsed, r"(?U)^\s+|\s+\z", ""))
+    staged = once(staged, _clean=F.regexp_replace(collapsed, r"(?U)^\s+|\s+\z", ""))
     warnings = F.expr(
         "CASE WHEN _raw IS NULL THEN array('missing_text') ELSE array_compact(array("
         "CASE WHEN _u.repaired THEN 'encoding_repaired' END, "

@@ -83,6 +83,15 @@ def test_case_folding_is_that_of_python(spark):
     assert all(r["f"] == (None if letters[r["id"]] is None else letters[r["id"]].casefold()) for r in got)
 
 
+def test_cleaning_steps_are_evaluated_once(spark):
+    df = spark.createDataFrame([(1, "  Fine \t place\n  here \x02 ", "bad")], "id int, review_text string, rating string")
+    rows = feedback_clean.clean_rows(df, feedback_clean.detect_mapping(df.columns)).withColumn("f", feedback_clean.case_folded("cleaned_text"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[ \\t\\r]+") == 1 and plan.count("\\s+\\z") == 1
+    row = rows.first()
+    assert row["f"] == "fine place\nhere" and row["_warnings"] == ["invisible_control_characters_removed", "whitespace_normalized", "invalid_numeric:rating"]
+
+
 def test_only_texts_with_copies_are_fetched(spark, monkeypatch):
     kept = {}
     write = feedback_clean.stored
