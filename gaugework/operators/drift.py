@@ -43,36 +43,44 @@ def _value_at(df: DataFrame, order: Column, position: int):
         "value", "cum_n - n AS below", "n").first()
 
 
-def partition_by_position(df: DataFrame, order: list[str], share: float = BASE_SHARE) -> Partition:
-    """First ``share`` of the rows in ``order`` (nulls last) against the rest.
+def before_position(df: DataFrame, order: list[str], share: float = BASE_SHARE, rows: int | None = None) -> Column:
+    """Whether a row is among the first ``rows`` (else that ``share`` of all) in ``order``, nulls last.
 
     Only the boundary row is looked for, by exact selection on the value counts of each order column
-    in turn; the parts are then plain comparisons that push down to the scan. Later columns matter
+    in turn; the result is then plain comparisons that push down to the scan. Later columns matter
     only among ties at the boundary; the last one must be a unique row key.
     """
-    below, boundary, rows = F.lit(False), F.lit(True), df
-    left: int | None = None
+    below, boundary, found = F.lit(False), F.lit(True), df
+    left = rows
     for name in order:
         column = ref(name)
-        size = rows.agg(F.count(F.lit(1)).alias("n"), F.count(column).alias("known")).first()
+        size = found.agg(F.count(F.lit(1)).alias("n"), F.count(column).alias("known")).first()
         if left is None:
             left = int(size["n"] * share)
+        if left >= size["n"]:
+            below = below | boundary
+            break
         if left < size["known"]:
-            hit = _value_at(rows, column, left)
+            hit = _value_at(found, column, left)
             edge = F.lit(hit["value"])
             below = below | (boundary & column.isNotNull() & (column < edge))
-            boundary, rows = boundary & (column == edge), rows.where(column == edge)
+            boundary, found = boundary & (column == edge), found.where(column == edge)
             left -= hit["below"]
             ties = hit["n"]
         else:
             below = below | (boundary & column.isNotNull())
-            boundary, rows = boundary & column.isNull(), rows.where(column.isNull())
+            boundary, found = boundary & column.isNull(), found.where(column.isNull())
             left -= size["known"]
             ties = size["n"] - size["known"]
         if left == 0 or ties <= 1:
             break
+    return F.coalesce(below, F.lit(False))
+
+
+def partition_by_position(df: DataFrame, order: list[str], share: float = BASE_SHARE) -> Partition:
+    """First ``share`` of the rows in ``order`` (nulls last) against the rest; see :func:`before_position`."""
     # the current part begins at the boundary row itself
-    base = F.coalesce(below, F.lit(False))
+    base = before_position(df, order, share)
     percent = round(share * 100)
     return Partition(base, ~base, f"ordered by {', '.join(order)} ({percent}/{100 - percent})")
 

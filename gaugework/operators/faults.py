@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.columns import ref
-from gaugework.operators.drift import partition_by_position
+from gaugework.operators.drift import before_position, partition_by_position
 
 
 @dataclass(frozen=True)
@@ -52,8 +52,8 @@ def leaky_feature(df: DataFrame, target: str, key: str, name: str = "account_can
 
 
 def repeated_rows(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """The first ``rows`` rows by key once more."""
-    return df.unionByName(df.orderBy(ref(key)).limit(rows))
+    """The first ``rows`` rows by their unique key once more; they are found by the boundary key, not gathered."""
+    return df.unionByName(df.where(before_position(df, [key], rows=rows)))
 
 
 def shifted_half(df: DataFrame, column: str, key: str, shift: float) -> DataFrame:
@@ -69,11 +69,11 @@ def informative_gaps(df: DataFrame, column: str, target: str, key: str, positive
 
 
 def extreme_values(df: DataFrame, column: str, key: str, rows: int, low: float = 90000.0, high: float = 250000.0) -> DataFrame:
-    """``rows`` values (lowest in hash order) replaced by huge ones."""
-    chosen = df.select(ref(key).alias("_k")).orderBy(F.xxhash64(F.lit("extreme"), F.col("_k")), "_k").limit(rows).withColumn("_hit", F.lit(True))
-    marked = df.join(chosen, ref(key) == F.col("_k"), "left")
+    """``rows`` values (lowest in hash order of the unique key) replaced by huge ones."""
+    marked = df.withColumn("_hash", F.xxhash64(F.lit("extreme"), ref(key)))
+    chosen = before_position(marked, ["_hash", key], rows=rows)
     huge = F.lit(low) + uniform(key, "huge") * (high - low)
-    return marked.withColumn(column, F.when(F.col("_hit"), huge).otherwise(ref(column))).drop("_k", "_hit")
+    return marked.withColumn(column, F.when(chosen, huge).otherwise(ref(column))).drop("_hash")
 
 
 def inverted_slice(df: DataFrame, target: str, key: str, name: str = "service_region", share: float = 0.2) -> DataFrame:

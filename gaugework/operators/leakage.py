@@ -91,10 +91,15 @@ def _with_leaves(placed: DataFrame) -> DataFrame:
         cw, nw = F.col("cum_w") - F.col("low"), F.col("high") - F.col("low")
         cs = F.col("cum_s") - F.col("s0")
         impure = F.col("nq") - F.col("ns") * F.col("ns") / nw
-        gain = cs * cs / cw + (F.col("ns") - cs) * (F.col("ns") - cs) / (nw - cw)
-        cuts = inside.where(impure > 1e-12 * F.greatest(F.lit(1.0), F.col("nq"))).groupBy("column", "low").agg(
-            F.max_by(F.struct(F.col("cum_w").alias("at"), F.col("cum_s").alias("s"), F.col("cum_q").alias("q")),
-                     F.struct(F.round(gain, 9), -F.col("cum_w"))).alias("cut"))
+        # guarded, as a filter on the gain may be evaluated before the one on the place
+        gain = F.when((cw > 0) & (cw < nw), cs * cs / cw + (F.col("ns") - cs) * (F.col("ns") - cs) / (nw - cw))
+        tried = inside.where(impure > 1e-12 * F.greatest(F.lit(1.0), F.col("nq"))).withColumn("gain", gain)
+        # a plain maximum is hashed; only rows that round to the same gain as the best are then compared and sorted
+        best = tried.groupBy("column", "low").agg(F.max("gain").alias("best"))
+        equals = tried.join(F.broadcast(best), ["column", "low"]).where(
+            (F.col("gain") >= F.col("best") - 2e-9) & (F.round("gain", 9) == F.round("best", 9)))
+        cuts = equals.groupBy("column", "low").agg(
+            F.min_by(F.struct(F.col("cum_w").alias("at"), F.col("cum_s").alias("s"), F.col("cum_q").alias("q")), "cum_w").alias("cut"))
         split = nodes.join(F.broadcast(cuts), ["column", "low"], "left")
         left = F.struct(
             F.col("low").alias("low"), F.coalesce("cut.at", "high").cast("long").alias("high"), F.col("s0").alias("s0"), F.col("q0").alias("q0"),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.functions.columns import families, present, ref, text_literal
 from gaugework.functions.numeric import rounded, share
-from gaugework.operators.lineage import stored
+from gaugework.operators.lineage import settled, stored
 from gaugework.operators.ordered import (
     interpolated_quantiles, merged, running_totals, value_counts,
 )
@@ -45,24 +47,25 @@ def column_counts(df: DataFrame) -> DataFrame:
 
 
 def numeric_moments(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column, n, min, max, mean, std, skewness, kurtosis in a single map-side combined aggregate."""
+    """column, n, min, max, mean, std, skewness, kurtosis in a single map-side combined aggregate.
+
+    Rows are put in long form, so that the same few aggregates serve every column; aggregates of their own for each
+    column make a method too long to be compiled, and then every row is interpreted.
+    """
     kinds = families(df, columns)
     numeric = [c for c, k in kinds.items() if k in NUMERIC]
     slim = df.select(*[present(c, kinds[c]).cast("double").alias(f"x{i}") for i, c in enumerate(numeric)])
-    aggs = [
-        F.expr(f"{f}(x{i}) AS {a}{i}")
-        for i in range(len(numeric))
-        for f, a in (("count", "n"), ("min", "lo"), ("max", "hi"), ("avg", "m"), ("stddev_samp", "s"),
-                     ("skewness", "g"), ("kurtosis", "k"))
-    ]
-    rows = ", ".join(
-        f"struct({text_literal(c)} AS column, n{i} AS n, lo{i} AS min, hi{i} AS max, m{i} AS mean, s{i} AS std, "
-        f"g{i} AS skewness, k{i} AS kurtosis)" for i, c in enumerate(numeric))
+    found = slim.unpivot([], slim.columns, "place", "x").groupBy("place").agg(*[
+        F.expr(f"{f}(x) AS {a}")
+        for f, a in (("count", "n"), ("min", "lo"), ("max", "hi"), ("avg", "m"), ("stddev_samp", "s"), ("skewness", "g"), ("kurtosis", "k"))])
+    names = ", ".join(f"struct('x{i}' AS place, {text_literal(c)} AS column)" for i, c in enumerate(numeric))
+    # one row per column, also for a table without rows
+    listed = df.sparkSession.range(0, 1, 1, 1).selectExpr(f"inline(array({names}))")
     # population moments become bias-corrected ones
-    return slim.agg(*aggs).selectExpr(f"inline(array({rows}))").selectExpr(
-        "column", "n", "min", "max", "mean", "std",
-        "CASE WHEN n > 2 THEN skewness * sqrt(n * (n - 1)) / (n - 2) END AS skewness",
-        "CASE WHEN n > 3 THEN (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * kurtosis + 6) END AS kurtosis")
+    return listed.join(F.broadcast(found), "place", "left").selectExpr(
+        "column", "coalesce(n, 0L) AS n", "lo AS min", "hi AS max", "m AS mean", "s AS std",
+        "CASE WHEN n > 2 THEN g * sqrt(n * (n - 1)) / (n - 2) END AS skewness",
+        "CASE WHEN n > 3 THEN (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * k + 6) END AS kurtosis")
 
 
 def approximate_summary(df: DataFrame, accuracy: int = 10000) -> DataFrame:
@@ -158,30 +161,48 @@ def dataset_profile(df: DataFrame, target: str | None = None) -> DataFrame:
     return base.withColumn("_one", F.lit(1)).join(F.broadcast(task), "_one", "left").drop("_one")
 
 
+@dataclass(frozen=True)
+class Counted:
+    """Counts of the values of every column, with moments and quantiles: what the profile and the detectors both read."""
+
+    tables: dict[str, DataFrame]
+    moments: DataFrame | None
+    points: DataFrame | None
+
+
+def counted_values(df: DataFrame, order_by: str | None = None) -> Counted:
+    """Value tables, moments and quantiles, each worked out and stored once for ``profile_columns`` and ``quality_findings``."""
+    tables = {kind: stored(t, "profile-values") for kind, t in value_counts(df, df.columns, order_by=order_by).items()}
+    if not any(k in NUMERIC for k in families(df).values()):
+        return Counted(tables, None, None)
+    return Counted(tables, settled(numeric_moments(df)), settled(quantiles(tables)))
+
+
 def profile_columns(
     df: DataFrame, target: str | None = None, order_by: str | None = None, approx: bool = False,
-    sample: int | None = 100,
+    sample: int | None = 100, counted: Counted | None = None,
 ) -> DataFrame:
     """Full profile, one row per column.
 
     Exact mode shuffles one row per distinct value of each column and derives distinct counts, top
     values, samples, quantiles and histograms from it. ``approx`` replaces distinct counts and
-    quantiles by sketches.
+    quantiles by sketches. ``counted`` are the counts of ``df`` where other steps read them too.
     """
     from gaugework.operators.semantic import column_roles, semantic_types
 
     counts = column_counts(df)
     # stored: each consumer needs other columns of it, so none of them would share the scan and the shuffle of another
-    tables = {kind: stored(t, "profile-values") for kind, t in value_counts(df, df.columns, order_by=order_by).items()}
+    tables = counted.tables if counted else {
+        kind: stored(t, "profile-values") for kind, t in value_counts(df, df.columns, order_by=order_by).items()}
     has_numeric = any(k in NUMERIC for k in families(df).values())
-    moments = numeric_moments(df) if has_numeric else None
+    moments = (counted.moments if counted else numeric_moments(df)) if has_numeric else None
     if approx:
         sketch = approximate_summary(df)
         distinct = sketch.select("column", "unique_count")
         points = sketch.drop("unique_count")
     else:
         distinct = distinct_counts(tables)
-        points = quantiles(tables) if has_numeric else None
+        points = (counted.points if counted else quantiles(tables)) if has_numeric else None
     semantic = semantic_types(df, order_by, sample, distinct)
     base = counts.join(F.broadcast(distinct), "column", "left").withColumn(
         "unique_count", F.coalesce("unique_count", F.lit(0))

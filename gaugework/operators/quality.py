@@ -11,7 +11,7 @@ from gaugework.operators import findings as fd
 from gaugework.operators.association import indicator_links, target_links
 from gaugework.operators.lineage import stored
 from gaugework.operators.ordered import merged, value_counts
-from gaugework.operators.profile import NUMERIC, duplicate_rows, numeric_moments, quantiles
+from gaugework.operators.profile import NUMERIC, Counted, duplicate_rows, numeric_moments, quantiles
 from gaugework.options import Thresholds
 
 
@@ -38,17 +38,27 @@ def missingness_links(
     return feature.unionByName(linked)
 
 
-def outlier_stats(df: DataFrame, columns: list[str] | None = None, limits: Thresholds = Thresholds()) -> DataFrame:
+def outlier_stats(
+    df: DataFrame, columns: list[str] | None = None, limits: Thresholds = Thresholds(), counted: Counted | None = None
+) -> DataFrame:
     """column, n, q25, q75, iqr, bounds and counts of IQR and z-score outliers.
 
     Quartiles come from the ordered value table; counting then reads one row per distinct value with
-    the bounds of its column broadcast.
+    the bounds of its column broadcast. Where the profile has counted the values, nothing is counted or ordered again.
     """
     kinds = families(df, columns)
     numeric = [c for c, k in kinds.items() if k in NUMERIC]
-    tables = {kind: stored(t, "outlier-values") for kind, t in value_counts(df, numeric).items()}
-    quartiles = quantiles(tables, {"q25": 0.25, "q75": 0.75}).withColumn("iqr", F.col("q75") - F.col("q25"))
-    moments = numeric_moments(df, numeric).select("column", F.col("n").alias("rows"), "mean", "std")
+    if counted:
+        chosen = F.col("column").isin(numeric)
+        tables = {kind: t.where(chosen) for kind, t in counted.tables.items()}
+        quartiles = counted.points.where(chosen).select("column", F.col("p25").alias("q25"), F.col("p75").alias("q75"))
+        moments = counted.moments.where(chosen)
+    else:
+        tables = {kind: stored(t, "outlier-values") for kind, t in value_counts(df, numeric).items()}
+        quartiles = quantiles(tables, {"q25": 0.25, "q75": 0.75})
+        moments = numeric_moments(df, numeric)
+    quartiles = quartiles.withColumn("iqr", F.col("q75") - F.col("q25"))
+    moments = moments.select("column", F.col("n").alias("rows"), "mean", "std")
     mild, extreme = F.lit(limits.outlier_mild_iqr), F.lit(limits.outlier_extreme_iqr)
     bounds = (
         quartiles.join(F.broadcast(moments), "column").where((F.col("rows") >= 30) & (F.col("iqr") > 0))
@@ -62,12 +72,12 @@ def outlier_stats(df: DataFrame, columns: list[str] | None = None, limits: Thres
     z = F.when(F.col("std") > 0, F.abs((v - F.col("mean")) / F.col("std")))
     per_column = ["rows", "q25", "q75", "iqr", "lower", "upper"]
     # broadcast: one row per numeric column
-    counted = merged(tables, "double", NUMERIC).join(F.broadcast(bounds), "column").groupBy("column", *per_column).agg(
+    summed = merged(tables, "double", NUMERIC).join(F.broadcast(bounds), "column").groupBy("column", *per_column).agg(
         F.sum(F.when(outside("mild_lower", "mild_upper"), n).otherwise(0)).alias("mild_count"),
         F.sum(F.when(outside("lower", "upper"), n).otherwise(0)).alias("extreme_count"),
         F.sum(F.when(z > limits.outlier_z, n).otherwise(0)).alias("z_count"),
     )
-    return counted.select(
+    return summed.select(
         "column", F.col("rows").alias("n"), "q25", "q75", "iqr", "lower", "upper", "mild_count",
         "extreme_count", "z_count", (F.col("extreme_count") / F.col("rows")).alias("extreme_pct"),
         (F.col("mild_count") / F.col("rows")).alias("mild_pct"),
@@ -83,12 +93,12 @@ def flagged_outliers(stats: DataFrame, limits: Thresholds = Thresholds()) -> Dat
 
 def quality_findings(
     df: DataFrame, profile: DataFrame, target: str | None = None, limits: Thresholds = Thresholds(),
-    roles: list | None = None,
+    roles: list | None = None, counted: Counted | None = None,
 ) -> DataFrame:
     """Findings F-Q101... from the column profile and the detectors above.
 
     ``roles`` are the collected profile rows (name, missing_count, is_constant, is_id, family); they
-    decide which columns the later plans touch.
+    decide which columns the later plans touch. ``counted`` are the counts from which the profile was made.
     """
     roles = roles or profile.select("name", "family", "missing_count", "is_constant", "is_id").collect()
     prof = profile.select(
@@ -158,7 +168,7 @@ def quality_findings(
 
     numeric = [r["name"] for r in roles if r["family"] in NUMERIC and not r["is_id"] and not r["is_constant"]]
     if numeric:
-        stats = flagged_outliers(outlier_stats(df, numeric, limits), limits)
+        stats = flagged_outliers(outlier_stats(df, numeric, limits, counted), limits)
         rows = stats.join(F.broadcast(prof.select("column", "position")), "column")
         parts.append(fd.finding(
             rows, kind="outliers", status="OBSERVED", severity=F.col("severity"), column=name,

@@ -75,16 +75,16 @@ def semantic_types(
         keep = [ref(order_by)] if ordered else []
         long = _stacked(df, texts, keep, "value")
         text = F.trim(F.regexp_replace("value", r"(?U)^\s+|\s+$", ""))
-        long = long.withColumn("_text", text)
         if ordered:
             by_key = Window.partitionBy("column").orderBy("_k0")
             # at most ``sample`` rows per column survive the pushed-down rank filter
-            long = long.withColumn("_rank", F.row_number().over(by_key)).where(F.col("_rank") <= sample)
+            long = long.withColumn("_rank", F.row_number().over(by_key)).where(F.col("_rank") <= sample).withColumn("_text", text)
             filled = F.when(F.col("_text") != "", 1)
             nth = F.sum(filled).over(by_key.rowsBetween(Window.unboundedPreceding, 0))
             long = long.withColumn("_nth", F.when(F.col("_text") != "", nth))
             early, head = F.col("_nth") <= PARSE_SAMPLE, F.col("_rank") <= BOOLEAN_SAMPLE
         else:
+            long = long.withColumn("_text", text)
             early, head = F.col("_text") != "", F.lit(True)
         shown = F.col("_text") != ""
         aggs = [

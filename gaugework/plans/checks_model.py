@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.operators import decisions, drift, experiments, fairness, faults, leakage, modeling, quality
 from gaugework.operators import findings as fd
-from gaugework.operators.lineage import scratch_path, settled
-from gaugework.operators.profile import profile_columns
+from gaugework.operators.lineage import scratch_path, settled, stored
+from gaugework.operators.profile import counted_values, profile_columns
 from gaugework.options import AuditOptions
 from gaugework.plans.audit import audit
 from gaugework.plans.checks_profile import rounded_sql
@@ -208,9 +210,13 @@ def automatic_experiments_orders(spark, sf_dir):
 
 # --- fault injection over customers -----------------------------------------------------------------
 
+CASES_AT_ONCE = 3
+
+
 def fault_base(spark, sf_dir):
     """Customers in the shape of the fault suite: signal with realistic overlap."""
-    df = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("row_key"), "c_mktsegment")
+    # spread by key: customers are few bytes in one file, and all that follows would run in the one task that reads it
+    df = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("row_key"), "c_mktsegment").repartition("row_key")
     n = lambda salt: faults.normal("row_key", salt)
     age = F.greatest(F.lit(18.0), F.least(F.lit(80.0), 40 + n("age") * 10))
     monthly = F.greatest(F.lit(20.0), F.least(F.lit(150.0), 65 + n("month") * 15))
@@ -218,14 +224,15 @@ def fault_base(spark, sf_dir):
     base = df.select("row_key", F.concat(F.lit("CUST_"), F.col("row_key")).alias("customer_id"), age.alias("age"), tenure.alias("tenure"),
                      monthly.alias("monthly_charges"), F.col("c_mktsegment").alias("contract_type"))
     signal = (F.col("age") - 40) / 25 - (F.col("tenure") - 12) / 20 + n("noise") * 1.2
-    return settled(base.withColumn("churn", (signal > 0).cast("int")))
+    return stored(base.withColumn("churn", (signal > 0).cast("int")), "fault-base")
 
 
 def _case_findings(df, name: str):
     """What the detectors say about one case; drift only where it is what was injected."""
-    prof = settled(profile_columns(df, "churn", "row_key"))
+    counted = counted_values(df, "row_key")
+    prof = settled(profile_columns(df, "churn", "row_key", counted=counted))
     roles = prof.select("name", "family", "unique_count", "missing_count", "is_constant", "is_id").collect()
-    rows = quality.quality_findings(df, prof, "churn", roles=roles)
+    rows = quality.quality_findings(df, prof, "churn", roles=roles, counted=counted)
     rows = rows.unionByName(leakage.leakage_findings(df, roles, "churn", "binary_classification"))
     plain = [r["name"] for r in roles if not r["is_id"] and not r["is_constant"] and r["name"] not in ("churn", "row_key")]
     if name == "drift":
@@ -243,17 +250,23 @@ def _case_findings(df, name: str):
 def injected_faults_detected_customers(spark, sf_dir):
     """All cases but the slice, which has a query of its own; the check SQL is the ground truth of what was injected, with the status where it is certain."""
     base = fault_base(spark, sf_dir)
+    rows = base.count()
     cases = {
         "clean": base, "leakage": faults.leaky_feature(base, "churn", "row_key"),
-        "duplicates": faults.repeated_rows(base, "row_key", max(10, base.count() // 7)),
+        "duplicates": faults.repeated_rows(base, "row_key", max(10, rows // 7)),
         "drift": faults.shifted_half(base, "monthly_charges", "row_key", 75.0),
         "missing": faults.informative_gaps(base.withColumn("annual_income", 60000 + faults.normal("row_key", "inc") * 15000), "annual_income", "churn", "row_key"),
-        "outliers": faults.extreme_values(base.withColumn("account_balance", 5000 + faults.normal("row_key", "bal") * 1000), "account_balance", "row_key", max(12, base.count() // 15)),
+        "outliers": faults.extreme_values(base.withColumn("account_balance", 5000 + faults.normal("row_key", "bal") * 1000), "account_balance", "row_key", max(12, rows // 15)),
         "temporal": faults.late_feature(base, "churn", "row_key"),
     }
-    found = fd.empty(base).withColumn("case_id", F.lit(""))
-    for name, df in cases.items():
-        found = found.unionByName(settled(_case_findings(settled(df), name).withColumn("case_id", F.lit(faults.FAULTS[name].case_id))))
+
+    def found_in(name: str, df: DataFrame) -> DataFrame:
+        return settled(_case_findings(stored(df, "fault-case"), name).withColumn("case_id", F.lit(faults.FAULTS[name].case_id)))
+
+    # side by side: a case is a row of short stages over few rows or columns, between which most cores would wait
+    with ThreadPool(CASES_AT_ONCE) as pool:
+        parts = pool.starmap(inheritable_thread_target(spark)(found_in), cases.items())
+    found = reduce(DataFrame.unionByName, parts)
     scored = faults.score_detectors(found, [faults.FAULTS[n] for n in cases])
     certain = F.col("case_id").isin("BENCH_1_LEAKAGE", "BENCH_4_INFORMATIVE_MISSING")
     return scored.select(

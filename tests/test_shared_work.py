@@ -85,3 +85,48 @@ def test_phrases_merge_as_one_by_one_in_blocks_and_parts(spark, monkeypatch):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "position long, vector array<double>")
     for block in (None, 40):
         assert {r["position"]: r["representative"] for r in enrich.merge_phrases(df, block).collect()} == want
+
+
+def test_detectors_read_the_counts_of_the_profile(spark, monkeypatch):
+    """Given the profile's counts, the detectors count and order no values again and find the same."""
+    from gaugework.operators import profile, quality
+
+    df = _rows(spark).withColumn("z", F.when(F.col("id") % 20 == 0, F.col("id") * 1000.0).otherwise(F.col("z")))
+    counted = profile.counted_values(df, "id")
+    alone = sorted(quality.quality_findings(df, profile.profile_columns(df, "y", "id"), "y").drop("evidence").collect())
+    names = []
+    write = quality.stored
+    monkeypatch.setattr(quality, "stored", lambda df, name: names.append(name) or write(df, name))
+    made = quality.quality_findings(df, profile.profile_columns(df, "y", "id", counted=counted), "y", counted=counted)
+    assert sorted(made.drop("evidence").collect()) == alone and any(r["type"] == "outliers" for r in alone)
+    assert names == []
+    stats = [sorted(quality.outlier_stats(df, ["x", "z"], counted=c).collect()) for c in (None, counted)]
+    assert stats[0] == stats[1] and names == ["outlier-values"] * 2
+
+
+def test_moments_of_a_table_without_rows(spark):
+    from gaugework.operators.profile import numeric_moments
+
+    rows = numeric_moments(_rows(spark).where("id < 0"), ["x", "z"]).collect()
+    assert [(r["column"], r["n"], r["mean"]) for r in rows] == [("x", 0, None), ("z", 0, None)]
+
+
+def test_faults_gather_no_rows_in_one_task(spark, tmp_path):
+    """Repeated and extreme rows are found by their boundary, the base is spread whatever the number of files."""
+    from gaugework.operators import faults
+    from gaugework.plans import checks_model
+
+    df = spark.range(1, 500, 1, 3).select(F.col("id").alias("k"), F.col("id").cast("double").alias("x"))
+    again, extreme = faults.repeated_rows(df, "k", 71), faults.extreme_values(df, "x", "k", 33)
+    assert sorted(r["k"] for r in again.collect()) == sorted([*range(1, 500), *range(1, 72)])
+    lowest = df.orderBy(F.xxhash64(F.lit("extreme"), F.col("k")), "k").limit(33).collect()
+    assert {r["k"] for r in extreme.where("x >= 90000").collect()} == {r["k"] for r in lowest} and extreme.count() == 499
+    assert faults.repeated_rows(df, "k", 5000).count() == 998 and faults.repeated_rows(df, "k", 0).count() == 499
+    for made in (again, extreme):
+        assert "Limit" not in made._jdf.queryExecution().optimizedPlan().toString()
+    spark.range(200).selectExpr("id AS c_custkey", "'a' AS c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert len(checks_model.fault_base(spark, str(tmp_path)).inputFiles()) == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
