@@ -32,13 +32,14 @@ def _target_value(df: DataFrame, target: str):
     return whole_text(target, kind), False
 
 
-def spearman(df: DataFrame, features: list[str], target: str, binary: bool) -> DataFrame:
-    """column, n, spearman with average-rank ties; texts rank in byte order of the whole text.
+def _ranks_per_value(df: DataFrame, features: list[str], target: str, binary: bool, squares: bool = False) -> tuple[DataFrame, set[str]]:
+    """(column, number, text, n, sy, yy per value of every feature, stored; which of number and text occur).
 
     Ranks of the target hold for the rows that have the feature. One ordered pass over the target's distinct values with one
     count per feature gives them all; rows take them by one join on the target, before they are unpivoted, and are summed
-    per feature value (count, sum and sum of squares of the target's rank). The features are ranked on that table. So
-    no table of value pairs exists. Ranks are centred on the mean rank, which keeps the sums well conditioned.
+    per feature value (count, sum and sum of squares of the target's rank). So no table of value pairs exists. Ranks are
+    centred on the mean rank, which keeps the sums well conditioned. ``squares`` adds s and q, the sums of a numeric target
+    and of its squares, to the same rows.
     """
     kinds = families(df, features)
     y, _ = _target_value(df, target)
@@ -56,23 +57,52 @@ def spearman(df: DataFrame, features: list[str], target: str, binary: bool) -> D
                  F.col(f"r{i}").alias("r"))
         for i, (c, n) in enumerate(zip(kinds, numeric))
     ]
-    long = ranked.select(F.inline(F.array(*slots))).where("number IS NOT NULL OR text IS NOT NULL")
-    per_value = stored(long.groupBy("column", "number", "text").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("r").alias("sy"), F.sum(F.col("r") * F.col("r")).alias("yy")), "ranks-per-value")
-    parts = []
-    for kind in {"number" if n else "text" for n in numeric}:
-        own = per_value.where(f"{kind} IS NOT NULL").select("column", F.col(kind).alias("x"), "n", "sy", "yy")
-        ordered = running_totals(own, ["column"], "x", ["n"])
-        w, a = F.col("n").cast("double"), F.col("cum_n") - (F.col("n") - 1) / 2.0 - (F.col("all_n") + 1) / 2.0
-        sums = ordered.groupBy("column").agg(
-            F.max("all_n").alias("rows"), F.sum(a * F.col("sy")).alias("xy"), F.sum(w * a * a).alias("xx"), F.sum("yy").alias("yy"))
-        norm = F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))
-        parts.append(sums.where(F.col("rows") >= LEAST_ROWS).select(
-            "column", F.col("rows").alias("n"), F.when(norm > 0, F.col("xy") / norm).otherwise(F.lit(0.0)).alias("spearman")
-        ))
+    kept = [F.col("y")] if squares else []
+    long = ranked.select(*kept, F.inline(F.array(*slots))).where("number IS NOT NULL OR text IS NOT NULL")
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("r").alias("sy"), F.sum(F.col("r") * F.col("r")).alias("yy")]
+    if squares:
+        sums += [F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q")]
+    per_value = stored(long.groupBy("column", "number", "text").agg(*sums), "ranks-per-value")
+    return per_value, {"number" if n else "text" for n in numeric}
+
+
+def _ordered_values(per_value: DataFrame, kinds: set[str], sums: list[str]) -> DataFrame:
+    """The values of every feature with running sums, numbers by size and texts by their bytes; the values themselves are left out."""
+    kept = [c for c in per_value.columns if c not in ("column", "number", "text")]
+    parts = [
+        running_totals(per_value.where(f"{kind} IS NOT NULL").select("column", F.col(kind).alias("x"), *kept), ["column"], "x", sums).drop("x")
+        for kind in sorted(kinds)
+    ]
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def _rank_correlation(ordered: DataFrame) -> DataFrame:
+    """column, n, spearman from the features' values in order."""
+    w, a = F.col("n").cast("double"), F.col("cum_n") - (F.col("n") - 1) / 2.0 - (F.col("all_n") + 1) / 2.0
+    sums = ordered.groupBy("column").agg(
+        F.max("all_n").alias("rows"), F.sum(a * F.col("sy")).alias("xy"), F.sum(w * a * a).alias("xx"), F.sum("yy").alias("yy"))
+    norm = F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))
+    return sums.where(F.col("rows") >= LEAST_ROWS).select(
+        "column", F.col("rows").alias("n"), F.when(norm > 0, F.col("xy") / norm).otherwise(F.lit(0.0)).alias("spearman"))
+
+
+def spearman(df: DataFrame, features: list[str], target: str, binary: bool) -> DataFrame:
+    """column, n, spearman with average-rank ties; texts rank in byte order of the whole text."""
+    return _rank_correlation(_ordered_values(*_ranks_per_value(df, features, target, binary), ["n"]))
+
+
+def regression_scores(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """column, metric, score, spearman against a numeric target.
+
+    Trees and rank correlation read the same values in order: rows are unpivoted and counted once for both, and ordered once.
+    """
+    ordered = _ordered_values(*_ranks_per_value(df, features, target, False, squares=True), ["n", "s", "q"])
+    placed = stored(ordered.where(F.col("all_n") >= LEAST_ROWS), "placed-values")
+    trees = _tree_scores(placed.withColumnsRenamed({"n": "w", "cum_n": "cum_w", "all_n": "all_w"}), False)
+    # broadcast: one row per feature
+    return trees.drop("spearman").join(F.broadcast(_rank_correlation(placed).drop("n")), "column")
+
+
 def _with_leaves(placed: DataFrame) -> DataFrame:
     """One row per (column, leaf) of the best depth-``TREE_DEPTH`` tree over all thresholds: w, s, q.
 
@@ -136,6 +166,26 @@ def _coded_target(df: DataFrame, target: str, binary: bool) -> Column:
     return F.when(y.isNotNull(), (y == F.lit(top)).cast("double"))
 
 
+def _tree_scores(placed: DataFrame, binary: bool) -> DataFrame:
+    """column, metric, score, spearman (binary target only) from the stored values in order."""
+    metric = "AUC" if binary else "R2"
+    rank = F.col("cum_w") - (F.col("w") - 1) / 2.0 - (F.col("all_w") + 1) / 2.0
+    sums = placed.groupBy("column").agg(
+        F.sum(rank * F.col("s")).alias("xy"), F.sum(F.col("w") * rank * rank).alias("xx"), F.max("all_w").alias("tw"),
+        F.max("all_s").alias("ts"), F.max("all_q").alias("tq"))
+
+    def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        t = pdf.iloc[0]
+        norm = np.sqrt(t["xx"] * max(t["tq"] - t["ts"] ** 2 / t["tw"], 0.0))
+        rho = (t["xy"] / norm if norm > 0 else 0.0) if binary else None
+        return pd.DataFrame({
+            "column": [key[0]], "metric": [metric], "score": [_score_leaves(pdf, binary)], "spearman": [rho]})
+
+    # broadcast: one row per feature
+    return _with_leaves(placed).join(F.broadcast(sums), "column").groupBy("column").applyInPandas(
+        score, "column string, metric string, score double, spearman double")
+
+
 def single_feature_scores(df: DataFrame, features: list[str], target: str, binary: bool) -> DataFrame:
     """column, metric, score of a depth-3 tree on each feature alone; for a binary target also spearman.
 
@@ -143,7 +193,6 @@ def single_feature_scores(df: DataFrame, features: list[str], target: str, binar
     eight rows per feature at most. A binary target has only two ranks, so its rank correlation follows from the
     feature's ranks.
     """
-    metric = "AUC" if binary else "R2"
     y = _coded_target(df, target, binary).cast("double")
     kinds = families(df, features)
     parts = []
@@ -160,21 +209,7 @@ def single_feature_scores(df: DataFrame, features: list[str], target: str, binar
         parts.append(running_totals(per_value, ["column"], "x", ["w", "s", "q"]).where(F.col("all_w") >= LEAST_ROWS).drop("x"))
     # the tree reads this table once per level, without the values
     placed = stored(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), "placed-values")
-    rank = F.col("cum_w") - (F.col("w") - 1) / 2.0 - (F.col("all_w") + 1) / 2.0
-    sums = placed.groupBy("column").agg(
-        F.sum(rank * F.col("s")).alias("xy"), F.sum(F.col("w") * rank * rank).alias("xx"), F.max("all_w").alias("tw"),
-        F.max("all_s").alias("ts"), F.max("all_q").alias("tq"))
-
-    def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = pdf.iloc[0]
-        norm = np.sqrt(t["xx"] * max(t["tq"] - t["ts"] ** 2 / t["tw"], 0.0))
-        rho = (t["xy"] / norm if norm > 0 else 0.0) if binary else None
-        return pd.DataFrame({
-            "column": [key[0]], "metric": [metric], "score": [_score_leaves(pdf, binary)], "spearman": [rho]})
-
-    # broadcast: one row per feature
-    return _with_leaves(placed).join(F.broadcast(sums), "column").groupBy("column").applyInPandas(
-        score, "column string, metric string, score double, spearman double")
+    return _tree_scores(placed, binary)
 
 
 def post_event_names(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -189,6 +224,8 @@ def feature_target_scores(df: DataFrame, features: list[str], target: str, targe
     names = post_event_names(df, features)
     if binary:
         scored = single_feature_scores(df, features, target, True)
+    elif regression and _target_value(df, target)[1]:
+        scored = regression_scores(df, features, target)
     else:
         scored = spearman(df, features, target, False).select("column", "spearman")
         if regression:

@@ -130,3 +130,17 @@ def test_faults_gather_no_rows_in_one_task(spark, tmp_path):
         assert len(checks_model.fault_base(spark, str(tmp_path)).inputFiles()) == 4
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_regression_scores_count_the_values_once(spark, monkeypatch):
+    """Trees and rank correlation against a number read one table of values, with the scores of each on its own."""
+    from gaugework.operators import leakage
+
+    df = _rows(spark).withColumn("y", F.when(F.col("id") % 11 != 0, F.col("id") * 7 % 90 / 4.0))
+    features = ["x", "z", "word"]
+    ranks = {r["column"]: r["spearman"] for r in leakage.spearman(df, features, "y", False).collect()}
+    trees = {r["column"]: r["score"] for r in leakage.single_feature_scores(df, features, "y", False).collect()}
+    monkeypatch.setattr(leakage, "single_feature_scores", None)  # unpivots and counts the rows once more
+    got = leakage.feature_target_scores(df, features, "y", "regression").collect()
+    assert {r["column"]: (r["metric"], r["score"], r["spearman"]) for r in got} == {
+        c: ("R2", round(trees[c], 4), round(ranks[c], 4)) for c in features}
