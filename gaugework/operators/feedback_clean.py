@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugework.functions.columns import families, once, ref
+from gaugework.functions.columns import KEY_HEAD, families, once, ref
 from gaugework.operators.lineage import stored
 from gaugework.operators.ordered import running_totals
 from gaugework.operators.semantic import parsed_datetime
@@ -93,6 +93,11 @@ def _repaired(text: str) -> str:
     return best
 
 
+def _beyond_ascii(text: str) -> Column:
+    """The text if it has a character beyond ASCII, else null: ASCII texts need no Python."""
+    return F.when(F.length(text) != F.octet_length(text), F.col(text))
+
+
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("repaired", T.BooleanType())]))
 def unicode_text(values: pd.Series) -> pd.DataFrame:
     """NFKC form and repaired encoding: the two steps that have no built-in counterpart."""
@@ -101,31 +106,48 @@ def unicode_text(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": fixed, "repaired": [a != b for a, b in zip(composed, fixed)]})
 
 
+def _where_needed(needed: Column, step: Column, text: str) -> Column:
+    """The step on the texts that it changes; the others are told apart by a plainer look."""
+    return F.when(needed, step).otherwise(F.col(text))
+
+
 def cleaned_text(df: DataFrame, text: str) -> DataFrame:
     """Add cleaned_text and the array ``_warnings`` (in the order in which the steps run)."""
-    staged = df.withColumn("_raw", ref(text).cast("string")).withColumn("_u", unicode_text("_raw"))
+    staged = df.withColumn("_raw", ref(text).cast("string")).withColumn("_u", unicode_text(_beyond_ascii("_raw")))
     # each step once per row: inlined into each other, the steps and warnings would repeat the expressions of all steps before
-    staged = once(staged, _no_nul=F.expr("replace(_u.text, '\\0', '')"))
-    staged = once(staged, _visible=F.regexp_replace("_no_nul", r"[\x01-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", ""))
-    collapsed = F.regexp_replace(F.regexp_replace("_visible", r"[ \t\r]+", " "), r"\n +", "\n")
-    staged = once(staged, _clean=F.regexp_replace(collapsed, r"(?U)^\s+|\s+\z", ""))
+    staged = once(staged, _composed=F.coalesce("_u.text", "_raw"))
+    staged = once(staged, _no_nul=F.expr("replace(_composed, '\\0', '')"))
+    staged = once(staged, _visible=_where_needed(
+        ~F.col("_no_nul").rlike(r"\A[\t\n\r -~\xA0-\x{10FFFF}]*\z"),
+        F.regexp_replace("_no_nul", r"[\x01-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", ""), "_no_nul"))
+    staged = once(staged, _spaced=_where_needed(
+        F.expr(r"contains(_visible, '  ') OR contains(_visible, '\t') OR contains(_visible, '\r')"),
+        F.regexp_replace("_visible", r"[ \t\r]+", " "), "_visible"))
+    staged = once(staged, _lined=_where_needed(F.expr(r"contains(_spaced, '\n ')"), F.regexp_replace("_spaced", r"\n +", "\n"), "_spaced"))
+    staged = once(staged, _clean=_where_needed(
+        F.expr(r"concat(left(_lined, 1), right(_lined, 1))").rlike(r"(?U)\s"),
+        F.regexp_replace("_lined", r"(?U)^\s+|\s+\z", ""), "_lined"))
     warnings = F.expr(
         "CASE WHEN _raw IS NULL THEN array('missing_text') ELSE array_compact(array("
         "CASE WHEN _u.repaired THEN 'encoding_repaired' END, "
-        "CASE WHEN _no_nul <> _u.text THEN 'null_bytes_removed' END, "
+        "CASE WHEN _no_nul <> _composed THEN 'null_bytes_removed' END, "
         "CASE WHEN _visible <> _no_nul THEN 'invisible_control_characters_removed' END, "
         "CASE WHEN _clean <> _visible THEN 'whitespace_normalized' END, "
         "CASE WHEN _clean = '' THEN 'empty_text' END)) END")
     return staged.withColumn("cleaned_text", F.coalesce("_clean", F.lit(""))).withColumn("_warnings", warnings).drop(
-        "_raw", "_u", "_no_nul", "_visible", "_clean")
+        "_raw", "_u", "_composed", "_no_nul", "_visible", "_spaced", "_lined", "_clean")
 
 
 @F.pandas_udf(T.StringType())
-def case_folded(values: pd.Series) -> pd.Series:
-    """Full case folding, which has no built-in counterpart: a regular expression of all special letters costs ten times as much."""
+def _folded_letters(values: pd.Series) -> pd.Series:
     return values.map(str.casefold, na_action="ignore")
 
 
+def case_folded(text: str) -> Column:
+    """Full case folding, which has no built-in counterpart beyond ASCII: a regular expression of all special letters costs ten times as much."""
+    return F.coalesce(_folded_letters(_beyond_ascii(text)), F.lower(text))
+
+
 def is_placeholder(text: Column) -> Column:
     return F.trim(F.lower(text)).isin(*PLACEHOLDERS)
 
@@ -336,22 +358,26 @@ def duplicate_columns(df: DataFrame) -> DataFrame:
     """Add is_duplicate, duplicate_group_id, duplicate_type and duplicate_similarity.
 
     Texts are grouped by a short key of the whole case-folded text (itself, or its head and digest), and copies are
-    counted by these keys alone. Whole texts are fetched only for keys with copies or near copies, once per key: group
-    numbers follow their order. The rows are stored once with their keys, and the marks of keys with copies or near
+    counted by these keys alone. Whole texts are fetched only for long keys with copies or near copies, once per key and
+    folded again: group numbers follow their order. These keys are stored, so that the fetch goes by their measured size
+    and few of them send no text of the others. The rows are stored once with their keys, and the marks of keys with copies or near
     copies are joined back: rows without a key stay out of that join, a small table of marks is broadcast by its
     measured size, and adaptive execution splits a hot key. Near duplicates share all word characters and are looked
     for among texts that are not exact copies.
     """
     bare = r"[^\p{L}\p{N}_]+"
     staged = once(df.withColumn("_folded", case_folded("cleaned_text")), _bare=F.regexp_replace("_folded", bare, ""))
-    short = "CASE WHEN {c} = '' THEN NULL WHEN length({c}) <= 100 THEN {c} ELSE concat(substring({c}, 1, 100), sha2({c}, 256)) END"
-    keyed = stored(staged.withColumn("_key", F.expr(short.format(c="_folded"))).withColumn("_near", F.expr(short.format(c="_bare"))).drop("_bare"), "feedback-keys")
+    short = f"CASE WHEN {{c}} = '' THEN NULL WHEN length({{c}}) <= {KEY_HEAD} THEN {{c}} ELSE concat(substring({{c}}, 1, {KEY_HEAD}), sha2({{c}}, 256)) END"
+    keyed = stored(staged.withColumn("_key", F.expr(short.format(c="_folded"))).withColumn("_near", F.expr(short.format(c="_bare"))).drop("_folded", "_bare"), "feedback-keys")
     counted = stored(keyed.where("_key IS NOT NULL").groupBy("_key", "_near").agg(F.expr("count(1) AS copies")), "feedback-counts")
     near = counted.where("copies = 1 AND _near IS NOT NULL")
     shared = near.groupBy("_near").agg(F.expr("count(1) AS members")).where("members > 1").select("_near")
-    wanted = counted.where("copies > 1").unionByName(near.join(shared, "_near", "left_semi"))
-    texts = stored(keyed.select("_key", "_folded").join(wanted, "_key").groupBy("_key", "_near", "copies").agg(
-        F.min("_folded").alias("_folded")), "feedback-texts")
+    wanted = stored(counted.where("copies > 1").unionByName(near.join(shared, "_near", "left_semi")), "feedback-wanted")
+    long = f"length(_key) > {KEY_HEAD}"
+    fetched = keyed.where(long).select("_key", "cleaned_text").join(wanted.where(long), "_key").groupBy("_key", "_near", "copies").agg(
+        F.min("cleaned_text").alias("_whole"))
+    texts = stored(wanted.where(f"NOT {long}").withColumn("_folded", F.col("_key")).unionByName(
+        fetched.select("_key", "_near", "copies", case_folded("_whole").alias("_folded"))), "feedback-texts")
     exact = texts.where("copies > 1").select("_key", "_folded")
     exact_ids = _row_position(exact, "_key", "_folded").selectExpr(
         "_key", "'exact' AS kind", "position AS number", "1.0D AS similarity")
@@ -366,7 +392,7 @@ def duplicate_columns(df: DataFrame) -> DataFrame:
     near_ids = near_duplicate_ratios(members).withColumnRenamed("group", "_near").join(numbers, "_near").selectExpr(
         "digest AS _key", "'near_duplicate' AS kind", "number", "similarity")
     marks = stored(exact_ids.unionByName(near_ids), "feedback-marks")
-    rows = keyed.drop("_folded", "_near")
+    rows = keyed.drop("_near")
     given = rows.where("_key IS NOT NULL").join(marks, "_key", "left")
     absent = rows.where("_key IS NULL").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in marks.schema.fields if f.name != "_key"])
     return given.unionByName(absent).select(

@@ -1,7 +1,10 @@
 import random
+import re
+import unicodedata
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +95,61 @@ def test_cleaning_steps_are_evaluated_once(spark):
     assert row["f"] == "fine place\nhere" and row["_warnings"] == ["invisible_control_characters_removed", "whitespace_normalized", "invalid_numeric:rating"]
 
 
+def test_steps_skip_only_texts_that_they_leave_alone(spark):
+    """Each step by a plain rule on every text, whatever the look that spares it."""
+    draw = random.Random(17)
+    letters = ["a", "B", "ß", "é", "İ", "ﬁ", "Ã©", "😊", " ", "  ", "\t", "\r", "\n", "\n ", "\0", "\x01", "\x0b", "\x0c", "\x1c", "\x7f", "\x85", "\xa0", "\u2003", "\u2028", "\u3000"]
+    texts = ["".join(draw.choices(letters, k=draw.randrange(1, 9))) for _ in range(1500)] + letters + ["", " ", "x" * 200, "ok \x01", "\x01 ok"]
+    blank = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for row in feedback_clean.cleaned_text(df, "t").withColumn("f", feedback_clean.case_folded("cleaned_text")).collect():
+        composed = unicodedata.normalize("NFKC", texts[row["id"]])
+        mended = feedback_clean._repaired(composed)
+        bare = mended.replace("\0", "")
+        visible = re.sub(r"[\x01-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", "", bare)
+        clean = re.sub(rf"\A{blank}|{blank}\Z", "", re.sub(r"\n +", "\n", re.sub(r"[ \t\r]+", " ", visible)))
+        steps = [(composed, mended, "encoding_repaired"), (mended, bare, "null_bytes_removed"),
+                 (bare, visible, "invisible_control_characters_removed"), (visible, clean, "whitespace_normalized")]
+        assert (row["cleaned_text"], row["f"]) == (clean, clean.casefold())
+        assert row["_warnings"] == [w for old, new, w in steps if old != new] + ["empty_text"] * (clean == "")
+
+
+def test_ascii_texts_are_not_sent_to_python(spark, monkeypatch):
+    kind, given = feedback_clean.unicode_text.returnType, feedback_clean.unicode_text.func
+
+    @F.pandas_udf(kind)
+    def strict(values: pd.Series) -> pd.DataFrame:
+        assert not any(v is not None and v.isascii() for v in values)
+        return given(values)
+
+    monkeypatch.setattr(feedback_clean, "unicode_text", strict)
+    df = spark.createDataFrame([("Plain  text",), ("Broken letter Ã©",), (None,)], "feedback string")
+    rows = feedback_clean.cleaned_text(df, "feedback").collect()
+    assert [r["cleaned_text"] for r in rows] == ["Plain text", "Broken letter é", ""]
+    assert [r["_warnings"] for r in rows] == [["whitespace_normalized"], ["encoding_repaired"], ["missing_text"]]
+
+
+def test_texts_without_copies_are_not_sent_for_those_with(spark, monkeypatch):
+    """Rows hold the text once, and the few keys with copies are broadcast to them by their stored size."""
+    kept, plans = {}, {}
+    write = feedback_clean.stored
+
+    def recorded(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        kept[name] = write(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(feedback_clean, "stored", recorded)
+    long = "Much said " * 30
+    texts = [f"{i} alone " + "long " * 40 for i in range(50)] + [long + "STRASSE", long + "straße", long + "end!", long + "end", "Twice", "twice"]
+    out = feedback_clean.duplicate_columns(spark.createDataFrame([(t,) for t in texts], "cleaned_text string")).collect()
+    assert sorted((r["cleaned_text"][-6:], r["duplicate_type"], r["duplicate_group_id"]) for r in out if r["is_duplicate"]) == [
+        ("TRASSE", "exact", "duplicate-1"), ("Twice", "exact", "duplicate-2"), ("d end!", "near_duplicate", "duplicate-3"),
+        ("id end", "near_duplicate", "duplicate-3"), ("straße", "exact", "duplicate-1"), ("twice", "exact", "duplicate-2")]
+    assert kept["feedback-keys"].columns == ["cleaned_text", "_key", "_near"]
+    assert "SortMergeJoin" not in plans["feedback-texts"] and "BroadcastHashJoin" in plans["feedback-texts"]
+
+
 def test_only_texts_with_copies_are_fetched(spark, monkeypatch):
     kept = {}
     write = feedback_clean.stored
