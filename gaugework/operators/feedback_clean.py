@@ -149,7 +149,9 @@ def case_folded(text: str) -> Column:
 
 
 def is_placeholder(text: Column) -> Column:
-    return F.trim(F.lower(text)).isin(*PLACEHOLDERS)
+    # lower case has no fewer characters, so longer texts need not be put in lower case
+    bare = F.trim(text)
+    return (F.length(bare) <= max(map(len, PLACEHOLDERS))) & F.lower(bare).isin(*PLACEHOLDERS)
 
 
 def normalized_date(value: Column) -> Column:
@@ -416,15 +418,17 @@ def clean_rows(df: DataFrame, mapping: Mapping) -> DataFrame:
         name = f"normalized_{normal_name(c)}"
         out = out.withColumn(name, normalized_number(ref(c)))
         extra.append(F.when(ref(c).isNotNull() & ref(name).isNull(), f"invalid_numeric:{c}"))
+    # told here, so that what follows the duplicate search need not carry the text for it
+    out = out.withColumn("_rejected", (F.col("cleaned_text") == "") | is_placeholder(F.col("cleaned_text")))
     return out.withColumn("_warnings", F.concat("_warnings", F.array_compact(F.array(*[e.cast("string") for e in extra]))))
 
 
 def with_status(df: DataFrame) -> DataFrame:
     """Join the warnings, without repeats, and derive the quality status."""
-    rejected = (F.col("cleaned_text") == "") | is_placeholder(F.col("cleaned_text"))
-    return df.withColumn("quality_warnings", F.array_join(F.array_distinct("_warnings"), ";")).drop("_warnings").withColumn(
+    return df.withColumn("quality_warnings", F.array_join(F.array_distinct("_warnings"), ";")).withColumn(
         "quality_status",
-        F.when(rejected, "rejected").when(F.col("quality_warnings") != "", "accepted_with_warning").otherwise("accepted"))
+        F.when(F.col("_rejected"), "rejected").when(F.col("quality_warnings") != "", "accepted_with_warning").otherwise("accepted")
+    ).drop("_warnings", "_rejected")
 
 
 def clean_feedback(df: DataFrame, mapping: Mapping | None = None) -> DataFrame:

@@ -150,6 +150,25 @@ def test_texts_without_copies_are_not_sent_for_those_with(spark, monkeypatch):
     assert "SortMergeJoin" not in plans["feedback-texts"] and "BroadcastHashJoin" in plans["feedback-texts"]
 
 
+def test_status_does_not_carry_the_texts(spark):
+    """After the duplicate search, warnings and status need no text."""
+    df = spark.createDataFrame([("Plain text", "5"), (" N/A ", "bad"), ("", "1"), ("plain TEXT", "2"), ("nonexistent", "3")], "feedback string, rating string")
+    out = feedback_clean.clean_feedback(df)
+    status = out.select("quality_warnings", "quality_status")
+    assert "cleaned_text" not in status._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in status.collect()) == [
+        ("", "accepted"), ("empty_text", "rejected"), ("exact_duplicate", "accepted_with_warning"), ("exact_duplicate", "accepted_with_warning"),
+        ("whitespace_normalized;missing_text;invalid_numeric:rating", "rejected")]
+    assert not [c for c in out.columns if c.startswith("_")]
+
+
+def test_placeholders_by_plain_rule(spark):
+    texts = list(feedback_clean.PLACEHOLDERS) + ["N/A", "  NULL  ", "   None", "nones", "n a", "-", "---", "", "İ", "niİ", "NA\n", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for r in df.select("t", feedback_clean.is_placeholder(F.col("t")).alias("p")).collect():
+        assert r["p"] == (None if r["t"] is None else r["t"].lower().strip(" ") in feedback_clean.PLACEHOLDERS)
+
+
 def test_only_texts_with_copies_are_fetched(spark, monkeypatch):
     kept = {}
     write = feedback_clean.stored
