@@ -376,8 +376,10 @@ def duplicate_columns(df: DataFrame) -> DataFrame:
     shared = near.groupBy("_near").agg(F.expr("count(1) AS members")).where("members > 1").select("_near")
     wanted = stored(counted.where("copies > 1").unionByName(near.join(shared, "_near", "left_semi")), "feedback-wanted")
     long = f"length(_key) > {KEY_HEAD}"
-    fetched = keyed.where(long).select("_key", "cleaned_text").join(wanted.where(long), "_key").groupBy("_key", "_near", "copies").agg(
-        F.min("cleaned_text").alias("_whole"))
+    # the hashes of far more keys than the keys themselves are small enough to be broadcast; the join by key that follows decides
+    hashed = wanted.where(long).select(F.xxhash64("_key").alias("_hash"))
+    asked = keyed.where(long).select("_key", "cleaned_text", F.xxhash64("_key").alias("_hash")).join(hashed, "_hash", "left_semi")
+    fetched = asked.join(wanted.where(long), "_key").groupBy("_key", "_near", "copies").agg(F.min("cleaned_text").alias("_whole"))
     texts = stored(wanted.where(f"NOT {long}").withColumn("_folded", F.col("_key")).unionByName(
         fetched.select("_key", "_near", "copies", case_folded("_whole").alias("_folded"))), "feedback-texts")
     exact = texts.where("copies > 1").select("_key", "_folded")

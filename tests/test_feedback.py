@@ -2,6 +2,7 @@ import random
 import re
 import unicodedata
 from difflib import SequenceMatcher
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -187,6 +188,26 @@ def test_only_texts_with_copies_are_fetched(spark, monkeypatch):
     assert "_folded" not in kept["feedback-counts"].columns
 
 
+def test_texts_meet_hashes_of_keys_where_the_keys_are_too_large(spark, monkeypatch):
+    plans, write = {}, feedback_clean.stored
+
+    def recorded(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        made = write(df, name)
+        if name == "feedback-wanted":  # too large to be broadcast, as with many copies
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(sum(Path(f.removeprefix("file://")).stat().st_size for f in made.inputFiles()) // 2))
+        return made
+
+    monkeypatch.setattr(feedback_clean, "stored", recorded)
+    texts = [f"{i // 2} told " + "long " * 40 for i in range(40)] + ["alone " * 30]
+    try:
+        out = feedback_clean.duplicate_columns(spark.createDataFrame([(t,) for t in texts], "cleaned_text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r["is_duplicate"] for r in out) == 40 and len({r["duplicate_group_id"] for r in out}) == 21
+    assert "LeftSemi" in plans["feedback-texts"] and "BroadcastHashJoin" in plans["feedback-texts"]
+
+
 def test_near_duplicates_are_flagged_without_deletion(spark):
     out = _clean(spark, [("The ramp is steep",), ("The ramp is steep!",), ("The ramp is icy",)], "feedback string")
     assert out.count() == 3 and out.where("duplicate_type = 'near_duplicate'").count() == 2
