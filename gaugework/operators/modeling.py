@@ -1,4 +1,4 @@
-"""Cross-validated random forests on Spark ML: folds, fold-isolated preparation, metrics."""
+"""Cross-validated random forests: folds, fold-isolated preparation, metrics."""
 
 from __future__ import annotations
 
@@ -6,16 +6,14 @@ from dataclasses import dataclass, field
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.functions.columns import KEY_HEAD, families, present, quoted, ref
 from gaugework.functions.numeric import rounded
+from gaugework.operators import forests
 from gaugework.operators.lineage import stored
 from gaugework.operators.ordered import interpolated_quantiles, running_totals, value_counts
 from gaugework.operators.semantic import parsed_datetime
@@ -25,8 +23,8 @@ from gaugework.operators.profile import NUMERIC, quantiles
 TREES, DEPTH, LEAF, SEED, FOLDS = 50, 6, 2, 42, 5
 CLIP = (0.01, 0.99)
 MISSING = "MISSING"
-# Rows of all folds that are fitted at the same time; beyond it one fold follows the other.
-ROWS_AT_ONCE = 20_000_000
+# A tree tells as many ranges of equally many rows apart, and each value that fills one by itself.
+BINS = 32
 
 
 def fold_count(rows: int, wanted: int = FOLDS) -> int:
@@ -126,6 +124,7 @@ class Prepared:
 
     columns: dict[str, Column] = field(default_factory=dict)
     bounds: dict[str, tuple[float, float]] = field(default_factory=dict)
+    scales: dict[str, tuple[float, float, float]] = field(default_factory=dict)  # fill, mean and scale
 
 
 def feature_columns(df: DataFrame, roles: list, target: str, exclude: set[str] = frozenset()) -> list[str]:
@@ -189,26 +188,59 @@ def _trained_on(k: int, chronological: bool) -> list[list[int]]:
     return [[f for f in every if (f < i if chronological else f != i)] for i in range(k)]
 
 
-def fold_points(rows: DataFrame, columns: list[str], trains: list[list[int]]) -> list[dict]:
-    """For each list of folds the clipping percentiles and the median of each numeric column, over the list's rows.
+def fold_counts(rows: DataFrame, columns: list[str], trains: list[list[int]]) -> list[DataFrame]:
+    """column, value, and for each list of folds i: w<i> (its rows with the value), cum_w<i>, all_w<i>; a table each for whole and broken numbers.
 
-    Values are counted per fold once; a list's quantiles are those of its folds' summed counts, and one ordered pass carries
-    the sums of all lists.
+    Values are counted per fold once; a list's counts are the sums of its folds', and one ordered pass carries all lists.
     """
-    points: list[dict] = [{} for _ in trains]
     folds = sorted({f for t in trains for f in t})
     names = {f: f"n_{i}" for i, f in enumerate(folds)}
     sums = {f"w{i}": " + ".join(names[f] for f in t) for i, t in enumerate(trains)}
+    counted = value_counts(rows, columns, measures={n: (F.col("fold") == f).cast("bigint") for f, n in names.items()}).values()
+    return [
+        stored(running_totals(counts.selectExpr("column", "value", *[f"{e} AS {w}" for w, e in sums.items()]), ["column"], "value", list(sums)), "fold-counts")
+        for counts in counted
+    ]
+
+
+def fold_points(counts: list[DataFrame], lists: int) -> list[dict]:
+    """For each list of folds the clipping percentiles and the median of each numeric column, from :func:`fold_counts`."""
+    points: list[dict] = [{} for _ in range(lists)]
     probs = {"low": CLIP[0], "mid": 0.5, "high": CLIP[1]}
-    for counts in value_counts(rows, columns, measures={n: (F.col("fold") == f).cast("bigint") for f, n in names.items()}).values():
-        weighted = counts.selectExpr("column", "value", *[f"{e} AS {w}" for w, e in sums.items()])
-        ordered = stored(running_totals(weighted, ["column"], "value", list(sums)), "fold-counts")
-        parts = [interpolated_quantiles(ordered, ["column"], "value", w, probs).withColumn("i", F.lit(i)) for i, w in enumerate(sums)]
+    for ordered in counts:
+        parts = [interpolated_quantiles(ordered, ["column"], "value", f"w{i}", probs).withColumn("i", F.lit(i)) for i in range(lists)]
         for r in reduce(DataFrame.unionByName, parts).collect():
             points[r["i"]][r["column"]] = r
     return points
 
 
+def fold_cuts(counts: list[DataFrame], lists: int, value: str = "value") -> list[dict[str, np.ndarray]]:
+    """For each list of folds and each column where a tree may split, by exact ranks over the list's rows: midway between ranges.
+
+    ``BINS`` ranges of equally many rows; a value that fills a range stands alone, and so does each of at most ``BINS`` values.
+    """
+    cuts: list[dict[str, np.ndarray]] = [{} for _ in range(lists)]
+    for ordered in counts:
+        seen = reduce(DataFrame.unionByName, [ordered.where(f"w{i} > 0").selectExpr(
+            f"{i} AS i", "column", f"CAST({value.format(i=i)} AS double) AS v", f"(cum_w{i} - 1) * {BINS} DIV all_w{i} AS bin", f"w{i} * {BINS} >= all_w{i} AS alone",
+        ) for i in range(lists)])
+        ends: dict[tuple, list] = {}
+        for r in seen.groupBy("i", "column", "bin", "alone").agg(F.min("v").alias("low"), F.max("v").alias("v"), F.expr("count(1) AS n")).collect():
+            ends.setdefault((r["i"], r["column"]), []).append(r)
+        few = [k for k, found in ends.items() if sum(r["n"] for r in found) <= BINS]
+        values: dict[tuple, list] = {k: [(r["low"], r["v"]) for r in found] for k, found in ends.items()}
+        if few:
+            values |= {k: [] for k in few}
+            asked = F.concat_ws(":", "i", "column").isin([f"{i}:{c}" for i, c in few])
+            for r in seen.where(asked).select("i", "column", "v").collect():
+                values[r["i"], r["column"]].append((r["v"], r["v"]))
+        for (i, c), found in values.items():
+            low, high = np.array(sorted(found), float).T
+            middle = high[:-1] + (low[1:] - high[:-1]) / 2
+            cuts[i][c] = np.where(middle < low[1:], middle, high[:-1])
+    return cuts
+
+
 def fold_preparations(
     rows: DataFrame, features: list[str], recipe: Recipe, trains: list[list[int]],
     points: list[dict] | None = None, known: dict | None = None,
@@ -224,7 +256,7 @@ def fold_preparations(
     inside = [F.col("fold").isin(t) for t in trains]
     known = {} if known is None else known
     if numeric:
-        points = fold_points(rows, numeric, trains) if points is None else points
+        points = fold_points(fold_counts(rows, numeric, trains), len(trains)) if points is None else points
         values = [{} for _ in trains]
         for i, at in enumerate(points):
             for c in numeric:
@@ -242,7 +274,7 @@ def fold_preparations(
         for i, c in pairs:
             fill = fills[i, c]
             if c in made[i].bounds and recipe.impute != "mean" and fill is not None:
-                fill = max(made[i].bounds[c][0], min(made[i].bounds[c][1], fill))
+                fill = fills[i, c] = max(made[i].bounds[c][0], min(made[i].bounds[c][1], fill))
             values[i][c] = F.coalesce(values[i][c], F.lit(float(fill if fill is not None else 0.0)))
         treated = {(i, c): (i, c, c in made[i].bounds, recipe.impute) for i, c in pairs}
         _aggregated(rows, {
@@ -251,6 +283,7 @@ def fold_preparations(
         for i, c in pairs:
             mean, scale = known["mean", *treated[i, c]], known["scale", *treated[i, c]]
             made[i].columns[c] = (values[i][c] - F.lit(mean or 0.0)) / F.lit(scale or 1.0)
+            made[i].scales[c] = float(fills[i, c] if fills[i, c] is not None else 0.0), mean or 0.0, scale or 1.0
     for one in made:
         for c in recipe.flags:
             if c in features:
@@ -278,17 +311,22 @@ def _aggregated(rows: DataFrame, wanted: dict[tuple, Column], known: dict) -> No
 
 
 def fold_codes(rows: DataFrame, text: list[str], trains: list[list[int]]) -> DataFrame | None:
-    """column, value, codes: for each list of folds the rank of the value among those of its rows, -1 where it has none."""
+    """column, value, codes: for each list of folds the rank of the value among those of its rows, -1 where it has none.
+
+    And w<i>, cum_w<i>, all_w<i> as in :func:`fold_counts`.
+    """
     if not text:
         return None
     filled = rows.select("fold", *[F.coalesce(ref(c).cast("string"), F.lit(MISSING)).alias(c) for c in text])
     long = filled.unpivot(["fold"], [quoted(c) for c in text], "column", "whole")
-    ones = [f"one{i}" for i in range(len(trains))]
+    ones, sums = ([f"{n}{i}" for i in range(len(trains))] for n in ("one", "w"))
     # counted by a short key; the order is that of whole texts, carried once per category
     seen = long.groupBy("column", _short_key(F.col("whole")).alias("value")).agg(
-        F.min("whole").alias("whole"), *[F.max(F.col("fold").isin(t).cast("bigint")).alias(o) for o, t in zip(ones, trains)])
+        F.min("whole").alias("whole"), *[F.max(F.col("fold").isin(t).cast("bigint")).alias(o) for o, t in zip(ones, trains)],
+        *[F.sum(F.col("fold").isin(t).cast("bigint")).alias(w) for w, t in zip(sums, trains)])
     codes = ", ".join(f"IF({o} = 1, CAST(cum_{o} - 1 AS double), -1D)" for o in ones)
-    return stored(running_totals(seen, ["column"], "whole", ones).selectExpr("column", "value", f"array({codes}) AS codes"), "category-codes")
+    counts = [f"{n}{w}" for w in sums for n in ("", "cum_", "all_")]
+    return stored(running_totals(seen, ["column"], "whole", ones + sums).selectExpr("column", "value", f"array({codes}) AS codes", *counts), "category-codes")
 
 
 class Folds:
@@ -319,16 +357,19 @@ class Folds:
         self.numbers = [c for c in features if self.kinds[c] in NUMERIC]
         self._fitted: dict[bool, tuple] = {}
 
-    def fitted(self, isolated: bool) -> tuple[list[list[int]], list[dict], dict, DataFrame, int]:
-        """(lists of folds that preparation is fitted on, their quantiles, means and scales so far, model matrix, classes)."""
+    def fitted(self, isolated: bool) -> tuple[list[list[int]], list[dict], dict, DataFrame, int, list[dict]]:
+        """(lists of folds that preparation is fitted on, their quantiles, means and scales so far, model matrix, classes, cut points)."""
         if isolated not in self._fitted:
             trains = _trained_on(self.k, self.chronological)
             fits = trains if isolated else [sorted({f for t in trains for f in t} | set(range(self.k)))]
-            points = fold_points(self.rows, self.numbers, fits) if self.numbers else []
-            matrix = self._matrix(fold_codes(self.rows, self.text, fits))
-            # without its number of classes a label counts as one of a hundred at most
+            counts = fold_counts(self.rows, self.numbers, fits) if self.numbers else []
+            points, cuts = fold_points(counts, len(fits)), fold_cuts(counts, len(fits))
+            codes = fold_codes(self.rows, self.text, fits)
+            if codes is not None:
+                cuts = [a | b for a, b in zip(cuts, fold_cuts([codes], len(fits), "codes[{i}]"))]
+            matrix = self._matrix(codes)
             classes = int(matrix.agg(F.max("_label")).first()[0] or 0) + 1 if self.classification else 0
-            self._fitted[isolated] = fits, points, {}, matrix, classes
+            self._fitted[isolated] = fits, points, {}, matrix, classes, cuts
         return self._fitted[isolated]
 
     def _matrix(self, codes: DataFrame | None) -> DataFrame:
@@ -348,36 +389,44 @@ def out_of_fold_predictions(folds: Folds, features: list[str], recipe: Recipe =
     """(key, y, prediction, probability of validated rows; rows touched by the recipe in a fold).
 
     The label is numeric (class codes for classification). With ``isolated`` all preparation is fitted on the training rows of
-    each fold; otherwise once on all rows. A fold's preparation is an expression over the stored features, and its
-    predictions are stored, so a lost executor never retrains a fold. Folds are fitted side by side as far as
-    their rows stay under ``ROWS_AT_ONCE``, which keeps all cores at work between the levels of small forests.
+    each fold; otherwise once on all rows. A fold's preparation is an expression over the stored features. The forests of
+    all folds are grown together (:func:`forests.grow`), and each fold's predictions are stored, so a lost executor never retrains.
     """
-    fits, points, known, matrix, classes = folds.fitted(isolated)
+    fits, points, known, matrix, classes, cuts = folds.fitted(isolated)
     text = [c for c in features if c in folds.text]
     made, touched = fold_preparations(folds.rows, features, recipe, fits, points, known)
-    nominal = {"ml_attr": {"type": "nominal", "name": "_label", "num_vals": max(2, classes)}}
-
-    def fold(i: int, train: list[int]) -> DataFrame:
+    trains = _trained_on(folds.k, folds.chronological)
+    slots, places, shaped = [], [], []
+    for at, one in enumerate(made):
+        columns = list(one.columns.values()) + [F.coalesce(F.element_at(f"_codes{folds.text.index(c)}", at + 1), F.lit(-1.0)) for c in text]
+        slots.append([f"_x{at}_{j}" for j in range(len(columns))])
+        places.append([prepared_cuts(one, c, cuts[at]) for c in one.columns] + [cuts[at].get(c, np.empty(0)) for c in text])
+        shaped += [e.alias(n) for e, n in zip(columns, slots[-1])]
+    table = matrix.select(F.col("_key").alias("key"), "_label", "fold", *shaped)
+    grown = forests.grow(table, slots, places, trains, classes, TREES, DEPTH, LEAF, seed)
+
+    def fold(i: int) -> DataFrame:
         at = i if isolated else 0
-        slots = list(made[at].columns.values()) + [F.coalesce(F.element_at(f"_codes{folds.text.index(c)}", at + 1), F.lit(-1.0)) for c in text]
-        shaped = matrix.select("_key", "_label", "fold", *[e.alias(f"_x{j}") for j, e in enumerate(slots)])
-        table = VectorAssembler(inputCols=[f"_x{j}" for j in range(len(slots))], outputCol="features").transform(shaped)
-        common = dict(featuresCol="features", labelCol="_label", numTrees=TREES, maxDepth=DEPTH,
-                      minInstancesPerNode=LEAF, seed=seed)
-        forest = RandomForestClassifier(**common) if folds.classification else RandomForestRegressor(**common)
-        training = table.where(F.col("fold").isin(train)).select("_label", "features")
-        model = forest.fit(training.withMetadata("_label", nominal) if folds.classification else training)
-        scored = model.transform(table.where(F.col("fold") == i).select("_key", "_label", "features"))
-        p = F.get(vector_to_array("probability"), F.lit(1)) if folds.classification else F.lit(None).cast("double")
-        return stored(scored.select(
-            F.col("_key").alias("key"), F.col("_label").alias("y"), "prediction", p.alias("probability"), F.lit(i).alias("fold")), "fold-predictions")
+        rows = table.where(F.col("fold") == i).select("key", F.col("_label").alias("y"), *slots[at])
+        return stored(forests.scored(rows, slots[at], places[at], grown[i], classes).withColumn("fold", F.lit(i)), "fold-predictions")
 
-    trains = _trained_on(folds.k, folds.chronological)
-    with ThreadPool(max(1, min(folds.k, ROWS_AT_ONCE // max(1, folds.n)))) as pool:
-        parts = pool.starmap(inheritable_thread_target(matrix.sparkSession)(fold), enumerate(trains))
+    with ThreadPool(max(1, folds.k)) as pool:
+        parts = pool.map(inheritable_thread_target(matrix.sparkSession)(fold), range(folds.k))
     return reduce(DataFrame.unionByName, parts), touched
 
 
+def prepared_cuts(made: Prepared, column: str, cuts: dict[str, np.ndarray]) -> np.ndarray:
+    """Where a tree may split the prepared column: at the cut points of its values, clipped and scaled alike, and around the fill."""
+    if column not in made.scales:  # whether a value is missing
+        return np.zeros(1)
+    fill, mean, scale = made.scales[column]
+    values = cuts.get(column, np.empty(0))
+    if column in made.bounds:
+        values = np.clip(values, *made.bounds[column])
+    filled = (fill - mean) / scale
+    return np.unique(np.concatenate([(values - mean) / scale, [np.nextafter(filled, -np.inf), filled]]))
+
+
 def auc(scored: DataFrame, label: str = "y", score: str = "probability") -> DataFrame:
     """One row: area under the ROC curve by rank sums over distinct scores (ties share their rank)."""
     counts = scored.groupBy(F.col(score).alias("value")).agg(
