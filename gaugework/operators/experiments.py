@@ -109,10 +109,13 @@ def shared_folds(
 
 def investigate(
     df: DataFrame, roles: list, target: str, target_type: str, key: str, category: str, affected: list[str],
-    strategies: list[str], time: str | None = None, k: int | None = None,
+    strategies: list[str], time: str | None = None, k: int | None = None, folds: Folds | None = None,
 ) -> tuple[DataFrame, str]:
-    """(one row per strategy with its difference to the first one, interpretation). All strategies share the folds."""
-    folds = shared_folds(df, roles, target, target_type, key, time, k)
+    """(one row per strategy with its difference to the first one, interpretation). All strategies share the folds.
+
+    Several comparisons on the same rows, or on some of their columns, may share ``folds`` too.
+    """
+    folds = folds or shared_folds(df, roles, target, target_type, key, time, k)
     rows: list[dict] = []
     for s in strategies:
         first = rows[0]["primary_score"] if rows else None

@@ -175,8 +175,9 @@ def all_strategies_orders(spark, sf_dir):
         ("suspected_leakage", ["refund_flag"], df), ("missingness_strategy", ["income_score"], df.drop("refund_flag")),
         ("feature_redundancy", ["total_price", "tail_amount"], df), ("outlier_treatment", ["tail_amount"], df.drop("refund_flag")),
     ]
+    folds = experiments.shared_folds(df, roles, "urgent", "binary_classification", "order_id")
     parts = [
-        experiments.investigate(rows, roles, "urgent", "binary_classification", "order_id", category, affected, decisions.STRATEGIES[category])[0]
+        experiments.investigate(rows, roles, "urgent", "binary_classification", "order_id", category, affected, decisions.STRATEGIES[category], folds=folds)[0]
         .withColumn("category", F.lit(category)) for category, affected, rows in cases
     ]
     made = reduce(DataFrame.unionByName, parts)

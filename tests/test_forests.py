@@ -101,3 +101,21 @@ def test_cut_points_are_exact_ranks(spark):
     inside = np.diff([0, *np.searchsorted(values, both["x"], "right"), 1000])
     assert 6.5 in both["x"] and 8 in both["x"] and sorted(inside)[-2] <= 1000 / 32 + 1 and len(both["x"]) <= 34
     assert len(odd["x"]) >= 31
+
+
+def test_comparisons_on_some_of_the_columns_share_folds(spark, monkeypatch):
+    from gaugework.operators import experiments
+
+    monkeypatch.setattr(modeling, "TREES", 5)
+    names = []
+    write = modeling.stored
+    monkeypatch.setattr(modeling, "stored", lambda df, name: names.append(name) or write(df, name))
+    df = _noisy(spark, 1500).drop("amount")
+    given = ([], "y", "binary_classification", "id", "missingness_strategy", ["z"], ["MEDIAN_IMPUTATION", "DROP_FEATURE"])
+    folds = experiments.shared_folds(df, *given[:4], k=3)
+    for rows in (df, df.drop("noise")):
+        alone, shared = (experiments.investigate(rows, *given, k=3, folds=f)[0].collect() for f in (None, folds))
+        assert [r.asDict() | {"primary_score": 0, "secondary_metrics": 0, "delta_from_baseline": 0, "delta_pct": 0, "delta_label": 0, "practical_importance": 0} for r in alone] == [
+            r.asDict() | {"primary_score": 0, "secondary_metrics": 0, "delta_from_baseline": 0, "delta_pct": 0, "delta_label": 0, "practical_importance": 0} for r in shared]
+        assert [r["primary_score"] for r in alone] == pytest.approx([r["primary_score"] for r in shared], abs=0.03)
+    assert names.count("model-matrix") == names.count("folded-rows") == 3  # one for all shared, one for each alone
