@@ -13,7 +13,7 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,8 @@ PLACEHOLDERS = ("n/a", "na", "n.a.", "nan", "null", "none", "nil", "-", "--")
 DAMAGE_MARKERS = ("Ã", "Â", "â€", "ðŸ", "ï¿½")
 
 GROUP_BLOCK = 128
+# Bytes of a hash in a broadcast table.
+_HASH_BYTES = 16
 
 
 class FeedbackInputError(ValueError):
@@ -318,8 +320,9 @@ def block_pairs(df: DataFrame, group: str | None, key: str, block: int) -> DataF
     """
     by = [group] if group else ["_all"]
     rows = df if group else df.withColumn("_all", F.lit("all"))
-    sizes = rows.groupBy(*by).agg(F.expr(f"CAST(ceil(count(1) / {block}) AS int) AS _blocks"))
-    placed = rows.join(sizes, by).withColumn("_part", F.expr(f"CAST(pmod(xxhash64({key}, 'part'), _blocks) AS int)"))
+    # only the groups of several blocks, stored: where they are few they are broadcast by their size, and no text is sent to meet them
+    sizes = stored(rows.groupBy(*by).agg(F.expr(f"CAST(ceil(count(1) / {block}) AS int) AS _blocks")).where("_blocks > 1"), "group-blocks")
+    placed = rows.join(sizes, by, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).withColumn("_part", F.expr(f"CAST(pmod(xxhash64({key}, 'part'), _blocks) AS int)"))
     met = placed.withColumn("_with", F.explode(F.expr("sequence(0, _blocks - 1)")))
     side = F.explode(F.expr(
         "CASE WHEN _part = _with THEN array(struct(_part AS mine, _part AS other, true AS asks, true AS answers)) "
@@ -356,6 +359,12 @@ def near_duplicate_ratios(texts: DataFrame, block: int = GROUP_BLOCK) -> DataFra
     ).groupBy("group", "digest").agg(F.round(F.max("similarity"), 4).alias("similarity"))
 
 
+def _broadcast_limit(spark: SparkSession) -> int:
+    """The size in bytes up to which this session broadcasts a table; 0 for a unit that is not known."""
+    said = re.fullmatch(r"(-?\d+)\s*([kmg]?)i?b?", spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower())
+    return int(said[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[said[2]] if said else 0
+
+
 def duplicate_columns(df: DataFrame) -> DataFrame:
     """Add is_duplicate, duplicate_group_id, duplicate_type and duplicate_similarity.
 
@@ -373,21 +382,25 @@ def duplicate_columns(df: DataFrame) -> DataFrame:
     keyed = stored(staged.withColumn("_key", F.expr(short.format(c="_folded"))).withColumn("_near", F.expr(short.format(c="_bare"))).drop("_folded", "_bare"), "feedback-keys")
     counted = stored(keyed.where("_key IS NOT NULL").groupBy("_key", "_near").agg(F.expr("count(1) AS copies")), "feedback-counts")
     near = counted.where("copies = 1 AND _near IS NOT NULL")
-    shared = near.groupBy("_near").agg(F.expr("count(1) AS members")).where("members > 1").select("_near")
-    wanted = stored(counted.where("copies > 1").unionByName(near.join(shared, "_near", "left_semi")), "feedback-wanted")
+    # one member of each group stands for the word characters that all share
+    shared = near.groupBy("_near").agg(F.expr("count(1) AS members"), F.min("_key").alias("_head")).where("members > 1").select("_near", "_head")
+    wanted = stored(counted.where("copies > 1").withColumn("_first", F.lit(False)).unionByName(
+        near.join(shared, "_near").withColumn("_first", F.expr("_key = _head")).drop("_head")), "feedback-wanted")
     long = f"length(_key) > {KEY_HEAD}"
     # the hashes of far more keys than the keys themselves are small enough to be broadcast; the join by key that follows decides
+    # (beyond that the texts would be sent twice, to meet the hashes and to meet the keys)
     hashed = wanted.where(long).select(F.xxhash64("_key").alias("_hash"))
-    asked = keyed.where(long).select("_key", "cleaned_text", F.xxhash64("_key").alias("_hash")).join(hashed, "_hash", "left_semi")
-    fetched = asked.join(wanted.where(long), "_key").groupBy("_key", "_near", "copies").agg(F.min("cleaned_text").alias("_whole"))
+    asked = keyed.where(long).select("_key", "cleaned_text")
+    if hashed.count() * _HASH_BYTES <= _broadcast_limit(df.sparkSession):
+        asked = asked.withColumn("_hash", F.xxhash64("_key")).join(F.broadcast(hashed), "_hash", "left_semi").drop("_hash")
+    fetched = asked.join(wanted.where(long), "_key").groupBy("_key", "_near", "copies", "_first").agg(F.min("cleaned_text").alias("_whole"))
     texts = stored(wanted.where(f"NOT {long}").withColumn("_folded", F.col("_key")).unionByName(
-        fetched.select("_key", "_near", "copies", case_folded("_whole").alias("_folded"))), "feedback-texts")
+        fetched.select("_key", "_near", "copies", "_first", case_folded("_whole").alias("_folded"))), "feedback-texts")
     exact = texts.where("copies > 1").select("_key", "_folded")
     exact_ids = _row_position(exact, "_key", "_folded").selectExpr(
         "_key", "'exact' AS kind", "position AS number", "1.0D AS similarity")
     single = texts.where("copies = 1")
-    groups = stored(single.groupBy("_near").agg(F.min("_folded").alias("_folded")).select(
-        "_near", F.regexp_replace("_folded", bare, "").alias("_bare")), "feedback-groups")
+    groups = stored(single.where("_first").select("_near", F.regexp_replace("_folded", bare, "").alias("_bare")), "feedback-groups")
     # one row: how many numbers the exact groups have used
     used = exact.agg(F.expr("count(1) AS used")).withColumn("_one", F.lit(1))
     numbers = _row_position(groups, "_near", "_bare").withColumn("_one", F.lit(1)).join(F.broadcast(used), "_one").selectExpr(

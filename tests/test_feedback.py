@@ -342,3 +342,21 @@ def test_files(spark, tmp_path):
     assert read_feedback_csv(spark, str(tmp_path / "f.csv")).first().asDict() == {"feedback": "café", "note": ""}
     write_csv(spark.createDataFrame([], "a string, b array<int>"), str(tmp_path / "empty"))
     assert spark.read.option("header", True).csv(str(tmp_path / "empty")).columns == ["a", "b"]
+
+
+@pytest.mark.parametrize("limit", ["10m", "1b"])
+def test_whole_texts_are_sent_once_to_be_found_and_once_to_be_compared(spark, monkeypatch, limit):
+    """Groups take their characters from one member, and texts meet hashes only where these are broadcast."""
+    plans, write = {}, feedback_clean.stored
+    monkeypatch.setattr(feedback_clean, "stored", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or write(df, name))
+    texts = [f"{i // 3} told " + "long " * 40 + "!" * (i % 3) for i in range(60)] + ["alone " * 30, "twice " * 30, "twice " * 30]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        out = feedback_clean.duplicate_columns(spark.createDataFrame([(t,) for t in texts], "cleaned_text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    found = {r["cleaned_text"]: r["duplicate_group_id"] for r in out if r["is_duplicate"]}
+    bare = sorted({re.sub(r"\W", "", t) for t in texts[:60]})
+    assert found == {t: f"duplicate-{bare.index(re.sub(r'\W', '', t)) + 2}" for t in texts[:60]} | {texts[-1]: "duplicate-1"}
+    assert "Exchange" not in plans["feedback-groups"] and ("LeftSemi" in plans["feedback-texts"]) == (limit == "10m")
+    assert plans["feedback-texts"].count("Exchange hashpartitioning(_key") <= 2  # the texts and the keys
